@@ -72,3 +72,17 @@ def java(pattern: str) -> str:
 def re2(pattern: str) -> str:
     """DuckDB (RE2) spelling."""
     return pattern
+
+# ---------------------------------------------------------------------------
+# Category id -> name of the German category dictionary
+# (ids 1..68 in order).
+# ---------------------------------------------------------------------------
+CATEGORY_NAMES = [
+    "Pronoun", "I", "We", "Self", "You", "Other", "Negate", "Assent", "Article", "Preps",
+    "Number", "Affect", "Posemo", "Posfeel", "Optim", "Negemo", "Anx", "Anger", "Sad", "Cogmech",
+    "Cause", "Insight", "Discrep", "Inhib", "Tentat", "Certain", "Senses", "See", "Hear", "Feel",
+    "Social", "Comm", "Othref", "Friends", "Family", "Humans", "Time", "Past", "Present", "Future",
+    "Space", "Up", "Down", "Incl", "Excl", "Motion", "Occup", "School", "Job", "Achieve",
+    "Leisure", "Home", "Sports", "TV", "Music", "Money", "Metaph", "Relig", "Death", "Physcal",
+    "Body", "Sexual", "Eating", "Sleep", "Groom", "Swear", "Nonfl", "Fillers",
+]

@@ -77,7 +77,8 @@ def clean_messages(raw: DataFrame) -> DataFrame:
 
 
 def _hash_order(seed: int, key: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))
+    """Seeded, engine-portable pseudo-random order: md5 of 'seed:key'."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "UID_key") -> DataFrame:
@@ -91,7 +92,7 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "UID_key") -> Dat
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str = "UID_key") -> DataFrame:
     """P12 fraction mode: keep a row when its seeded hash falls under the
     fraction (repeatable, no shuffle)."""
-    u = (F.abs(_hash_order(seed, key)) % F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.conv(F.substring(_hash_order(seed, key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     return df.filter(u < F.lit(fraction))
 
 
@@ -108,18 +109,14 @@ def sample_balanced(df: DataFrame, n: int, by: str = "group_or_channel", seed: i
 
 
 def _water_fill(counts: dict, n: int) -> dict:
-    quota = {k: 0 for k in counts}
-    left, open_ = n, sorted(counts, key=lambda k: counts[k])
-    while left > 0 and open_:
-        share = max(left // len(open_), 1)
-        k = open_[0]
-        take = min(share, counts[k] - quota[k], left)
-        quota[k] += take
+    """Even shares; strata smaller than their share give the rest to the
+    larger ones (smallest first, remainder to the largest)."""
+    quota, left = {}, n
+    ks = sorted(counts, key=lambda k: (counts[k], str(k)))
+    for i, k in enumerate(ks):
+        take = min(left // (len(ks) - i), counts[k])
+        quota[k] = take
         left -= take
-        if quota[k] >= counts[k]:
-            open_.pop(0)
-        elif take == share:
-            open_ = open_[1:] + [k]
     return quota
 
 

@@ -144,7 +144,7 @@ class InlineLexicon:
         def key(t):
             if self.maxlen:
                 lens = F.sequence(F.least(F.length(t), F.lit(self.maxlen)), F.lit(1), F.lit(-1))
-                n = F.element_at(F.filter(lens, lambda k: self._in(F.substring(t, 1, k), self.stems)), 1)
+                n = F.try_element_at(F.filter(lens, lambda k: self._in(F.substring(t, 1, k), self.stems)), F.lit(1))
                 stem_key = F.concat(F.lit("*"), F.substring(t, 1, n))
             else:
                 stem_key = F.lit(None).cast("string")
@@ -212,8 +212,10 @@ def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message
         by_tag[p].add(w)
     words = X.words_array(text)
     tmp = df.withColumn("_w", F.when(X.has_text(text), words).otherwise(F.array().cast("array<string>")))
-    cols = {out: F.size(F.filter("_w", lambda w, s=sorted(by_tag.get(tag, ())): w.isin(s) if s else F.lit(False)))
-            .cast("bigint") for tag, out in tags}
+    def count_tag(words_in_tag):
+        ws = sorted(words_in_tag)
+        return F.size(F.filter("_w", lambda w: w.isin(ws) if ws else F.lit(False))).cast("bigint")
+    cols = {out: count_tag(by_tag.get(tag, ())) for tag, out in tags}
     return tmp.withColumns(cols).drop("_w")
 
 

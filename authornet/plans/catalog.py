@@ -79,3 +79,9 @@ FROM j LEFT JOIN fw ON fw.fwd_author = j.author AND fw.group_name = j.group_name
 @register("a1_author_group_features", _flagship_sql())
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(author_group_table(spark, sf_dir).select(*FLAGSHIP_COLS))
+
+
+# stage modules register themselves on import
+from . import q_clean  # noqa: E402,F401
+from . import q_authors  # noqa: E402,F401
+from . import q_lexicon  # noqa: E402,F401

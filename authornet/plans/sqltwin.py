@@ -149,3 +149,58 @@ def rounded(select_cols, double_cols, inner: str, digits: int = 6) -> str:
     side applies the same rounding)."""
     cols = [f"round({c}, {digits}) AS {c}" if c in double_cols else c for c in select_cols]
     return f"SELECT {', '.join(cols)} FROM ({inner}) _r"
+
+
+SUMS = ["noun_count", "verb_count", "adj_count", "positive_sentiment", "negative_sentiment", "neutral_sentiment"]
+MEANS = ["sent_count", "word_count", "avg_sent_length", "avg_word_length", "exclamation_count",
+         "question_count", "emoji_count", "flesch_reading_ease", "liwc_I", "liwc_We", "liwc_You",
+         "liwc_Other", "liwc_Affect"]
+SHARES = ["positive_sentiment", "negative_sentiment", "neutral_sentiment", "channel_messages", "group_messages"]
+
+
+def author_ctes(keys, name: str = "ag") -> str:
+    """Independent SQL for the per-key author table: own-message features,
+    all-message counts, full outer merge, forwarded-by counts, ratios."""
+    k = ", ".join(keys)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    on = " AND ".join(f"l.{c} = c.{c}" for c in keys)
+    fw_keys = ", ".join("fwd_author" if c == "author" else c for c in keys)
+    fw_on = " AND ".join(f"fw.{'fwd_author' if c == 'author' else c} = j.{c}" for c in keys)
+    coal = ", ".join(f"coalesce(l.{c}, c.{c}) AS {c}" for c in keys)
+    sums = ",\n    ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in SUMS)
+    means = ",\n    ".join(f"avg({c}) AS {c}" for c in MEANS)
+    shares = ",\n  ".join(f"CASE WHEN own_n <> 0 THEN {c} / own_n END AS {c}" for c in SHARES)
+    fl = "CASE WHEN flesch_reading_ease >= 0 AND flesch_reading_ease <= 100 THEN flesch_reading_ease END"
+    return f"""{name}_ling AS (
+  SELECT {k}, {sums},
+    CAST(sum(CASE WHEN group_or_channel = 'channel' THEN 1 ELSE 0 END) AS BIGINT) AS channel_messages,
+    CAST(sum(CASE WHEN group_or_channel = 'group' THEN 1 ELSE 0 END) AS BIGINT) AS group_messages,
+    {means}
+  FROM feat WHERE own_message = 1 AND {notnull} GROUP BY {k}),
+{name}_cnt AS (
+  SELECT {k}, CAST(sum(own_message) AS BIGINT) AS own_n, CAST(sum(forwarded_message) AS BIGINT) AS fwd_n,
+    CAST(count(UID_key) AS BIGINT) AS total_message_count
+  FROM clean WHERE {notnull} GROUP BY {k}),
+{name}_fw AS (
+  SELECT {fw_keys}, CAST(count(*) AS BIGINT) AS n FROM clean WHERE fwd_author IS NOT NULL GROUP BY {fw_keys}),
+{name}_j AS (
+  SELECT {coal}, l.* EXCLUDE ({k}), c.* EXCLUDE ({k})
+  FROM {name}_ling l FULL OUTER JOIN {name}_cnt c ON {on}),
+{name} AS (
+  SELECT {", ".join("j." + c for c in keys)},
+  noun_count, verb_count, adj_count,
+  {shares},
+  {", ".join(c for c in MEANS if c != "flesch_reading_ease")},
+  {fl} AS flesch_reading_ease,
+  own_n / total_message_count AS own_message, fwd_n / total_message_count AS forwarded_message,
+  total_message_count, coalesce(fw.n, 0) AS was_forwarded,
+  own_n AS own_message_count, fwd_n AS forwarded_message_count,
+  CASE WHEN adj_count <> 0 THEN verb_count / adj_count END AS action_quotient,
+  CASE WHEN negative_sentiment <> 0 THEN positive_sentiment / negative_sentiment END AS sentiment_quotient,
+  {flesch_class(fl)} AS avg_flesch_reading_ease_class
+  FROM {name}_j j LEFT JOIN {name}_fw fw ON {fw_on})"""
+
+
+TOXICITY = """tox AS (
+  SELECT c.author, avg(l.toxic) AS tox FROM clean c JOIN labels l ON l.doc_id = c.UID_key
+  WHERE c.own_message = 1 AND c.author IS NOT NULL GROUP BY c.author)"""
