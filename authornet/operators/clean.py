@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut_lineage
 
 CLEAN_COLUMNS = ["UID_key", "author", "fwd_message", "fwd_author", "date", "group_or_channel",
                  "own_message", "forwarded_message", "group_name", "fwd_message_string",
@@ -172,7 +173,8 @@ def row_positions(df: DataFrame, order: str, out: str = "_pos") -> DataFrame:
     """1-based global position in ``order`` (ties broken by the column
     itself), built from per-partition counts rather than one global window."""
     sorted_df = df.repartitionByRange(order).sortWithinPartitions(order)
-    part = sorted_df.withColumn("_part", F.spark_partition_id())
+    # pin the partition ids: both branches below must see the same ones
+    part = cut_lineage(sorted_df.withColumn("_part", F.spark_partition_id()))
     sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(order))

@@ -85,3 +85,4 @@ def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 from . import q_clean  # noqa: E402,F401
 from . import q_authors  # noqa: E402,F401
 from . import q_lexicon  # noqa: E402,F401
+from . import q_graph  # noqa: E402,F401
