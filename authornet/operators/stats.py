@@ -107,14 +107,14 @@ def kde(df: DataFrame, col: str, grid: list[float], bandwidth: float | None = No
 
 def average_rank(df: DataFrame, cols, key: str) -> DataFrame:
     """Average ranks (ties share the mean rank) of several columns,
-    long form (key, column, value, rank).  Nulls get no rank."""
-    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+    long form (key, feature, value, rank).  Nulls get no rank."""
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                               for c in cols])).alias("r")).select(key, "r.*")
     long = long.filter(F.col("value").isNotNull())
-    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    before = _cumulative_before(vc, ["column"], "value", "n")
-    ranked = before.select("column", "value", ((2 * F.col("before") + F.col("n") + 1) / 2.0).alias("rank"))
-    return long.join(ranked, ["column", "value"])
+    vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    before = _cumulative_before(vc, ["feature"], "value", "n")
+    ranked = before.select("feature", "value", ((2 * F.col("before") + F.col("n") + 1) / 2.0).alias("rank"))
+    return long.join(ranked, ["feature", "value"]).select(key, "feature", "value", "rank")
 
 
 def _cumulative_before(df: DataFrame, part_cols, order: str, weight: str) -> DataFrame:
@@ -146,7 +146,7 @@ def spearman(df: DataFrame, cols, key: str, target: str | None = None) -> DataFr
         sub = df.select(key, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) \
             .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         r = average_rank(sub, ["x", "y"], key)
-        wide = r.groupBy(key).pivot("column", ["x", "y"]).agg(F.first("rank"))
+        wide = r.groupBy(key).pivot("feature", ["x", "y"]).agg(F.first("rank"))
         rho = wide.agg(F.corr("x", "y").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
         out = rho if out is None else out.unionByName(rho)
     return out
