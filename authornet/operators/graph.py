@@ -126,8 +126,12 @@ def transition(edges: DataFrame, mem: DataFrame, t: int = 2) -> DataFrame:
     A + I = P Pᵀ + diag(1 - m),
     ((A+I) W (A+I))_ij = (P Q Pᵀ)_ij + (P Pᵀ)_ij (w_i e_i + w_j e_j) + δ_ij e_i² w_i
     with e = 1 - m and Q = Pᵀ W P (group x group, built from each author's
-    own groups).  Larger t falls back to repeated sparse products.""" 
-    norms = _column_norms(mem)
+    own groups).  Larger t falls back to repeated sparse products.
+
+    The memberships and edges are read many times below, so they are
+    checkpointed once (reliably, in the shared checkpoint folder)."""
+    mem, edges = cut_lineage(mem), cut_lineage(edges)
+    norms = cut_lineage(_column_norms(mem))
     s_i = norms.select(F.col("author").alias("src"), (F.col("strength") + 1).alias("rs"))
     c_j = norms.select(F.col("author").alias("dst"), F.col("C").alias("C"))
     # support of A + I with (A+I)_ij = (P Pᵀ)_ij - m_i δ_ij + δ_ij
@@ -240,14 +244,17 @@ def eigenvector(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = No
     (the networkx default) multiplies through the edge table; weighted
     uses the factored form A v = P (Pᵀ v) - m ∘ v on the memberships, so it
     needs no pair table at all."""
+    node_df = cut_lineage(node_df)
     n = node_df.count()
     v = node_df.select("author", F.lit(1.0 / n).alias("v"))
     if weighted:
         if mem is None:
             raise ValueError("weighted power iteration needs the memberships")
-        m = strength(mem).select("author", F.col("groups").cast("double").alias("m"))
+        mem = cut_lineage(mem)
+        m = cut_lineage(strength(mem).select("author", F.col("groups").cast("double").alias("m")))
     else:
-        sym = symmetric(edges).select(F.col("src").alias("author"), F.col("dst").alias("to"))
+        sym = cut_lineage(symmetric(edges).select(F.col("src").alias("author"), F.col("dst").alias("to")))
+    held = None
     for it in range(iters):
         if weighted:
             g = mem.join(v, "author").groupBy("group_name").agg(F.sum("v").alias("gv"))
@@ -258,9 +265,11 @@ def eigenvector(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = No
         new = v.join(av, "author", "left").select("author", "v", (F.col("v") + F.coalesce("av", F.lit(0.0))).alias("x"))
         new = new.cache() if (it + 1) % checkpoint_every else cut_lineage(new)
         norm = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-        new = new.select("author", "v", (F.col("x") / norm).alias("x"))
-        err = new.agg(F.sum(F.abs(F.col("x") - F.col("v")))).first()[0]
-        v = new.select("author", F.col("x").alias("v"))
+        err = new.agg(F.sum(F.abs(F.col("x") / norm - F.col("v")))).first()[0]
+        if held is not None:
+            held.unpersist()
+        held = new
+        v = new.select("author", (F.col("x") / norm).alias("v"))
         if err < n * tol:
             break
     return v.select("author", F.col("v").alias("eigenvector_centrality"))
@@ -273,6 +282,8 @@ def closeness(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = None
     search from every source (or the given ``sources``) runs as an
     iterative frontier join; with memberships it walks author -> group ->
     author, so no pair table is read.  Exact for all sources."""
+    node_df = cut_lineage(node_df)
+    mem = cut_lineage(mem) if mem is not None else None
     n = node_df.count()
     src = (sources if sources is not None else node_df).select(F.col("author").alias("s"))
     if mem is not None:

@@ -203,6 +203,12 @@ def _bounded_collect(df: DataFrame, limit: int = MAX_INLINE_ENTRIES):
     return rows
 
 
+def with_words(df: DataFrame, text: str = "final_message_string") -> DataFrame:
+    """Word tokens computed once, shared by the POS and polarity lookups."""
+    words = X.words_array(text)
+    return df.withColumn("_words", F.when(X.has_text(text), words).otherwise(F.array().cast("array<string>")))
+
+
 def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message_string",
                tags=(("NOUN", "noun_count"), ("VERB", "verb_count"), ("ADJ", "adj_count"))) -> DataFrame:
     """Noun / verb / adjective tokens per message via a (word, pos)
@@ -210,13 +216,14 @@ def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message
     by_tag = defaultdict(set)
     for w, p in _bounded_collect(pos_lexicon.select(F.lower("word"), "pos")):
         by_tag[p].add(w)
-    words = X.words_array(text)
-    tmp = df.withColumn("_w", F.when(X.has_text(text), words).otherwise(F.array().cast("array<string>")))
+    tmp = df if "_words" in df.columns else with_words(df, text)
+    tmp = tmp.withColumn("_w", F.col("_words"))
     def count_tag(words_in_tag):
         ws = sorted(words_in_tag)
         return F.size(F.filter("_w", lambda w: w.isin(ws) if ws else F.lit(False))).cast("bigint")
     cols = {out: count_tag(by_tag.get(tag, ())) for tag, out in tags}
-    return tmp.withColumns(cols).drop("_w")
+    out = tmp.withColumns(cols).drop("_w")
+    return out if "_words" in df.columns else out.drop("_words")
 
 
 def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_message_string") -> DataFrame:
@@ -225,7 +232,8 @@ def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_messa
     by_score = defaultdict(set)
     for w, s in _bounded_collect(polarity.select(F.lower("word"), F.col("score").cast("int"))):
         by_score[s].add(w)
-    words = X.words_array(text)
+    tmp0 = df if "_words" in df.columns else with_words(df, text)
+    words = F.col("_words")
 
     def score_of(w):
         expr = F.lit(0)
@@ -233,10 +241,11 @@ def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_messa
             expr = F.when(w.isin(sorted(ws)), F.lit(s)).otherwise(expr)
         return expr
     score = F.aggregate(F.transform(words, score_of), F.lit(0), lambda acc, x: acc + x)
-    tmp = df.withColumn("_s", F.when(X.has_text(text), score))
+    tmp = tmp0.withColumn("_s", F.when(X.has_text(text), score))
     flag = lambda cond: F.when(F.col("_s").isNull(), F.lit(None).cast("int")).otherwise(cond.cast("int"))
-    return tmp.withColumns({
+    out = tmp.withColumns({
         "positive_sentiment": flag(F.col("_s") > 0),
         "negative_sentiment": flag(F.col("_s") < 0),
         "neutral_sentiment": flag(F.col("_s") == 0),
     }).drop("_s")
+    return out if "_words" in df.columns else out.drop("_words")

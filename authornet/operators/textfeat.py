@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import patterns as P
 from ..functions import text as X
 from . import lexicon as L
 
@@ -23,17 +24,36 @@ COUNT_FEATURES = ["sent_count", "word_count", "avg_sent_length", "avg_word_lengt
                   "exclamation_count", "question_count", "emoji_count"]
 
 
-def count_features(df: DataFrame, text: str = "final_message_string", raw: str = "final_message") -> DataFrame:
-    """T1-T7."""
-    return df.withColumns({
-        "sent_count": X.sent_count(text),
-        "word_count": X.word_count(text),
-        "avg_sent_length": X.avg_sent_length(text),
-        "avg_word_length": X.avg_word_length(text),
+def count_features(df: DataFrame, text: str = "final_message_string", raw: str = "final_message",
+                   with_flesch: bool = False) -> DataFrame:
+    """T1-T7 (and T8/T9 with ``with_flesch``).  The regex scans every
+    feature shares (word runs, sentence separators) run once per message
+    into helper columns; the features are arithmetic on those."""
+    has = X.has_text(text)
+    zero = F.lit(0).cast("bigint")
+    base = df.withColumns({
+        "_ht": has,
+        "_w": F.coalesce(X._count(text, P.WORD), zero),
+        "_s": F.coalesce(X._count(text, P.SENT_SEP), zero),
+        "_c": F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))),
+    })
+    wc = F.when(F.col("_ht"), F.col("_w")).otherwise(zero)
+    sc = F.when(F.col("_ht"), F.col("_s") + 1).otherwise(zero)
+    out = base.withColumns({
+        "sent_count": sc,
+        "word_count": wc,
+        "avg_sent_length": F.when(sc > 0, wc / sc).otherwise(F.lit(0.0)),
+        "avg_word_length": F.when(wc > 0, F.col("_c") / wc).otherwise(F.lit(0.0)),
         "exclamation_count": X.exclamation_count(text),
         "question_count": X.question_count(text),
         "emoji_count": X.emoji_count(raw),
     })
+    if with_flesch:
+        w, s = F.col("_w"), F.greatest(F.col("_s"), F.lit(1).cast("bigint"))
+        score = F.lit(180.0) - w / s - F.lit(58.5) * X.syllable_count(text) / w
+        out = out.withColumn("flesch_reading_ease", F.when(w > 0, score))
+        out = out.withColumn("flesch_reading_ease_class", X.flesch_class("flesch_reading_ease"))
+    return out.drop("_ht", "_w", "_s", "_c")
 
 
 def flesch_features(df: DataFrame, text: str = "final_message_string") -> DataFrame:
@@ -47,11 +67,14 @@ def message_features(clean: DataFrame, pos_lexicon: DataFrame | None = None,
                      lexicon_plan: str = "inline") -> DataFrame:
     """T1-T11 and L5-L10 on the cleaned message table (one narrow stage
     with the inline lexicon plan)."""
-    df = flesch_features(count_features(clean))
+    df = count_features(clean, with_flesch=True)
+    if pos_lexicon is not None or polarity is not None:
+        df = L.with_words(df)
     if pos_lexicon is not None:
         df = L.pos_counts(df, pos_lexicon)
     if polarity is not None:
         df = L.sentiment_flags(df, polarity)
+    df = df.drop("_words")
     if lexicon is not None:
         df = L.lexicon_rates(df, lexicon, plan=lexicon_plan)
     return df

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 # ---------------------------------------------------------------------------
 # Suffixes attached to some messages (tags, links, emoji, runs)
@@ -26,7 +26,7 @@ EMOJI_ONLY = "\U0001F600\U0001F600"
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     k = F.col("doc_id")
     aid = F.when(k % 2 == 0, k % 53).otherwise(k % 397).cast("string")
     author = (F.when(k % 41 == 40, F.lit(None).cast("string"))
