@@ -107,13 +107,16 @@ def q_p12f(spark, sf):
     return C.sample_fraction(clean_messages(spark, sf), 0.25, seed=7).select("UID_key")
 
 
-@register("p13_sample_balanced", BASE + """
-SELECT UID_key, group_or_channel FROM (
+@register("p13_sample_balanced", BASE + """,
+st AS (SELECT group_or_channel AS g, count(*) AS c FROM clean GROUP BY group_or_channel),
+ord AS (SELECT g, c, row_number() OVER (ORDER BY c, g) AS i FROM st),
+first_q AS (SELECT least(c, 150) AS q1 FROM ord WHERE i = 1),
+quota AS (SELECT g, CASE WHEN i = 1 THEN least(c, 150) ELSE least(c, 300 - (SELECT q1 FROM first_q)) END AS q FROM ord)
+SELECT s.UID_key, s.group_or_channel FROM (
   SELECT UID_key, group_or_channel,
-    row_number() OVER (PARTITION BY group_or_channel ORDER BY md5(concat('42:', CAST(UID_key AS VARCHAR))), UID_key) AS rn,
-    count(*) OVER (PARTITION BY group_or_channel) AS cnt
-  FROM clean) s
-WHERE rn <= (SELECT CASE WHEN min(c) >= 150 THEN 150 ELSE 0 END FROM (SELECT count(*) AS c FROM clean GROUP BY group_or_channel))""")
+    row_number() OVER (PARTITION BY group_or_channel ORDER BY md5(concat('42:', CAST(UID_key AS VARCHAR))), UID_key) AS rn
+  FROM clean) s JOIN quota ON quota.g = s.group_or_channel
+WHERE s.rn <= quota.q""")
 def q_p13(spark, sf):
     """n = 300 over two strata: 150 each when both hold at least 150 rows."""
     return C.sample_balanced(clean_messages(spark, sf), 300, "group_or_channel").select("UID_key", "group_or_channel")
