@@ -231,3 +231,28 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction")
 def weighted_f1(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """D12."""
     return class_report(df, label, pred).filter(F.col("cls") == "weighted avg").select(F.col("f1").alias("weighted_f1"))
+
+
+# --- D8/D9 ----------------------------------------------------------------------------------------
+
+def fit_multinomial(df: DataFrame, x: str, label: str = "label", weight: str | None = "weight",
+                    max_iter: int = 5000):
+    """Multinomial logistic regression with L2 penalty; with balanced
+    class weights (D10) and ``regParam = 1 / sum(weights)`` it optimises the
+    same objective as an unscaled-C=1 fit on the weighted sum of losses."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    data = df.withColumn("_features", array_to_vector(F.col(x)))
+    total = data.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0]
+    lr = LogisticRegression(featuresCol="_features", labelCol=label, family="multinomial", maxIter=max_iter,
+                            regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False,
+                            **({"weightCol": weight} if weight else {}))
+    return lr.fit(data)
+
+
+def predict(model, df: DataFrame, x: str, key: str) -> DataFrame:
+    """Predicted class and class probabilities as an array."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    out = model.transform(df.withColumn("_features", array_to_vector(F.col(x))))
+    return out.select(key, F.col("prediction").cast("int").alias("prediction"),
+                      vector_to_array("probability").alias("probability"))

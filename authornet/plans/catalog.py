@@ -87,3 +87,4 @@ from . import q_authors  # noqa: E402,F401
 from . import q_lexicon  # noqa: E402,F401
 from . import q_graph  # noqa: E402,F401
 from . import q_stats  # noqa: E402,F401
+from . import q_io  # noqa: E402,F401

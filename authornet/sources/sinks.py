@@ -23,7 +23,7 @@ def write_id_text(df: DataFrame, path: str, key: str = "UID_key", col: str = "fi
                   mode: str = "overwrite") -> str:
     """``id<TAB>text`` lines, no header, no quoting, null as ''."""
     (df.select(F.col(key).cast("string"), F.coalesce(F.col(col), F.lit("")))
-     .write.mode(mode).option("sep", "\t").option("quote", "").option("escape", "")
+     .write.mode(mode).option("sep", "\t").option("quote", "").option("escape", "").option("emptyValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("header", False).csv(path))
     return path

@@ -123,3 +123,37 @@ def test_node_index_dense_sorted(spark):
     df = spark.createDataFrame([(a,) for a in ["d", "a", "c", "b", "e"]], "author string").repartition(3)
     got = {r.author: r.idx for r in G.node_index(df).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4}
+
+
+def test_betweenness_matches_brandes(spark):
+    m = mem_df(spark)
+    authors, ix, A = dense()
+    e = G.pair_weights(G.author_pairs(m))
+    nodes = m.select("author").distinct()
+    n = len(authors)
+    bc = {a: 0.0 for a in authors}
+    for s in authors:
+        stack, pred, sigma, dist = [], {w: [] for w in authors}, dict.fromkeys(authors, 0.0), {}
+        sigma[s], dist[s] = 1.0, 0
+        queue = [s]
+        while queue:
+            v = queue.pop(0)
+            stack.append(v)
+            for w in authors:
+                if A[ix[v], ix[w]] > 0:
+                    if w not in dist:
+                        dist[w] = dist[v] + 1
+                        queue.append(w)
+                    if dist[w] == dist[v] + 1:
+                        sigma[w] += sigma[v]
+                        pred[w].append(v)
+        delta = dict.fromkeys(authors, 0.0)
+        while stack:
+            w = stack.pop()
+            for v in pred[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                bc[w] += delta[w]
+    got = {r.author: r.betweenness_centrality for r in G.betweenness(e, nodes).collect()}
+    for a in authors:
+        assert abs(got[a] - bc[a] / ((n - 1) * (n - 2))) < 1e-12
