@@ -38,11 +38,19 @@ def keys_present(keys) -> Column:
     return cond
 
 
+def _all(conds):
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
 def _present(df: DataFrame, cols):
     return [c for c in cols if c in df.columns]
 
 
-def aggregate_features(df: DataFrame, keys=("author", "group_name"), with_forwarded: bool = True) -> DataFrame:
+def aggregate_features(df: DataFrame, keys=("author", "group_name"), with_forwarded: bool = True,
+                       extra_means=()) -> DataFrame:
     """A1-A4 + J2-J5 fused: per key, sums and means of own-message features,
     message counts of all messages, and ``was_forwarded``.
 
@@ -51,16 +59,23 @@ def aggregate_features(df: DataFrame, keys=("author", "group_name"), with_forwar
     but null when the key has no own message at all; means skip missing."""
     keys = list(keys)
     sums = _present(df, SUM_FEATURES)
-    means = _present(df, MEAN_FEATURES)
+    means = _present(df, MEAN_FEATURES) + [c for c in extra_means if c in df.columns]
     own = (F.col("own_message") == 1)
-    base = df.filter(keys_present(keys)).select(*keys, *sums, *means, "group_or_channel", "own_message", "forwarded_message",
-                       "UID_key", F.lit(1).alias("_msg"), F.lit(0).alias("_fwd"))
-    rows = base
+    carried = [*sums, *means, "group_or_channel", "own_message", "forwarded_message", "UID_key"]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    base = F.struct(*[F.col(k).alias(k) for k in keys], *[F.col(c).alias(c) for c in carried],
+                    F.lit(1).alias("_msg"), F.lit(0).alias("_fwd"))
     if with_forwarded:
-        fwd_keys = [F.col("fwd_author").alias("author") if k == "author" else F.col(k) for k in keys]
-        fwd = df.filter(F.col("fwd_author").isNotNull()).select(*fwd_keys, F.lit(0).alias("_msg"),
-                                                                  F.lit(1).alias("_fwd"))
-        rows = base.unionByName(fwd, allowMissingColumns=True)
+        # the forwarded-by event of the same message, as a second narrow row
+        # produced in the same pass (no second scan of the source)
+        fwd_keys = [(F.col("fwd_author") if k == "author" else F.col(k)).alias(k) for k in keys]
+        fwd = F.struct(*fwd_keys, *[F.lit(None).cast(types[c]).alias(c) for c in carried],
+                       F.lit(0).alias("_msg"), F.lit(1).alias("_fwd"))
+        both = F.array(base, fwd)
+    else:
+        both = F.array(base)
+    keep = lambda r: F.lit(True) if not keys else _all([r[k].isNotNull() for k in keys])
+    rows = df.select(F.explode(F.filter(both, keep)).alias("_r")).select("_r.*")
     own_row = (F.col("_msg") == 1) & own
     n_own = F.sum(F.when(own_row, 1).otherwise(0))
 

@@ -46,11 +46,17 @@ def toxicity_scores(spark: SparkSession, sf_dir: str, clean: DataFrame, key: str
 
 
 def author_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 30-feature author table (plus the Flesch class label)."""
+    """The 30-feature author table (plus the Flesch class label).  The
+    per-message label join happens on narrow feature rows (the text is
+    already reduced to numbers), so the text is scanned and cleaned once."""
+    from ..operators.lexicon import broadcast_if_small
     clean = clean_messages(spark, sf_dir)
     feats = TF.message_features(clean, FX.pos_df(spark), FX.polarity_df(spark), FX.lexicon_df(spark))
-    agg = A.post_features(A.aggregate_features(feats, ["author"]))
-    agg = TF.toxicity(agg, toxicity_scores(spark, sf_dir, clean))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("UID_key"), F.col("toxic").cast("double").alias("_tox"))
+    feats = feats.drop("final_message", "final_message_string", "fwd_message", "fwd_message_string") \
+        .join(broadcast_if_small(labels), "UID_key", "left")
+    agg = A.post_features(A.aggregate_features(feats, ["author"], extra_means=["_tox"]))
+    agg = agg.withColumn("toxicity", F.when(F.col("own_message") == 1, F.col("_tox"))).drop("_tox")
     return agg.select("author", *A.FEATURES_30, "avg_flesch_reading_ease_class")
 
 
