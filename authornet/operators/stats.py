@@ -114,7 +114,10 @@ def average_rank(df: DataFrame, cols, key: str) -> DataFrame:
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     before = _cumulative_before(vc, ["feature"], "value", "n")
     ranked = before.select("feature", "value", ((2 * F.col("before") + F.col("n") + 1) / 2.0).alias("rank"))
-    return long.join(ranked, ["feature", "value"]).select(key, "feature", "value", "rank")
+    # one row per distinct value: broadcast when small; otherwise a shuffle
+    # join whose hot values (ties) AQE's skew handling splits
+    from .lexicon import broadcast_if_small
+    return long.join(broadcast_if_small(ranked), ["feature", "value"]).select(key, "feature", "value", "rank")
 
 
 def _cumulative_before(df: DataFrame, part_cols, order: str, weight: str) -> DataFrame:
@@ -138,18 +141,38 @@ def spearman(df: DataFrame, cols, key: str, target: str | None = None) -> DataFr
     """Spearman correlation with pairwise deletion: for each pair of
     columns (or each column against ``target``), rows missing either value
     are dropped and ranks are taken on the remaining rows.  Long form
-    (a, b, rho)."""
+    (a, b, rho).
+
+    Columns without any null share one rank pass and one correlation
+    aggregate for all their pairs; only pairs that involve a column with
+    nulls get their own ranking of the pairwise-complete rows."""
+    cols = list(cols)
+    df = df.withColumn("_key", F.col(key))  # the key may itself be a ranked column
+    key = "_key"
     pairs = [(a, target) for a in cols if a != target] if target else \
         [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    out = None
+    involved = sorted({c for p in pairs for c in p})
+    nulls = df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in involved]).first().asDict()
+    clean_cols = [c for c in involved if not nulls[c]]
+    out = []
+    shared = [(a, b) for a, b in pairs if a in clean_cols and b in clean_cols]
+    if shared:
+        r = average_rank(df, clean_cols, key)
+        wide = r.groupBy(key).pivot("feature", clean_cols).agg(F.first("rank"))
+        out.append(wide.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho"))
+                                      for a, b in shared]).alias("r")).select(F.explode("r").alias("r")).select("r.*"))
     for a, b in pairs:
+        if (a, b) in shared:
+            continue
         sub = df.select(key, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) \
             .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         r = average_rank(sub, ["x", "y"], key)
         wide = r.groupBy(key).pivot("feature", ["x", "y"]).agg(F.first("rank"))
-        rho = wide.agg(F.corr("x", "y").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
-        out = rho if out is None else out.unionByName(rho)
-    return out
+        out.append(wide.agg(F.corr("x", "y").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho"))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
 
 
 # --- D3-D5 ----------------------------------------------------------------------------------

@@ -204,12 +204,26 @@ def q_a17(spark, sf):
     return round_doubles(ST.kde(table(spark, sf, "events"), "value", KDE_GRID))
 
 
-@register("g8_degree_kde")
+DEG_GRID = [float(i) for i in range(0, 400, 10)]
+
+
+def _degree_kde_sql():
+    from .q_graph import GRAPH_SQL
+    return S.rounded(["x", "density"], {"density"}, GRAPH_SQL + f""",
+vals AS (SELECT CAST(degree AS DOUBLE) AS v, count(*) AS c FROM deg GROUP BY degree),
+st AS (SELECT count(degree) AS n, stddev_samp(degree) AS sd FROM deg),
+hh AS (SELECT sd * pow(n, -0.2) AS h, n FROM st),
+grid AS (SELECT CAST(unnest([{", ".join(repr(g) for g in DEG_GRID)}]) AS DOUBLE) AS x)
+SELECT g.x, sum(v.c * exp(-0.5 * pow((g.x - v.v) / hh.h, 2))) / (hh.n * hh.h * sqrt(2 * pi())) AS density
+FROM grid g, vals v, hh GROUP BY g.x, hh.n, hh.h""")
+
+
+@register("g8_degree_kde", _degree_kde_sql())
 def q_g8k(spark, sf):
     clean = clean_messages(spark, sf)
     mem = G.memberships(clean)
     deg = G.degree(G.pair_weights(G.author_pairs(mem)), mem.select("author").distinct())
-    return round_doubles(ST.kde(deg, "degree", [float(i) for i in range(0, 400, 10)]))
+    return round_doubles(ST.kde(deg, "degree", DEG_GRID))
 
 
 # --- D1-D5 ------------------------------------------------------------------------------------
@@ -467,3 +481,29 @@ def q_n14(spark, sf):
     z = _emb(spark, sf).select(F.col("vec_id").alias("author"), N.to_double_array("embedding").alias("z"))
     C = V.refine_centres(z, K_CENTRES, epochs=3, lr=0.1)
     return round_doubles(N.cluster_table(N.soft_assign(z, C), K_CENTRES))
+
+
+@register("s8_log_metrics")
+def q_s8(spark, sf):
+    """Per-epoch metric rows of the centre refinement (KL, clusters used,
+    Calinski-Harabasz, Davies-Bouldin of the hard labels) appended with the
+    run parameters to a Parquet log, then read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import log_metrics
+    z = _emb(spark, sf).select(F.col("vec_id").alias("author"), N.to_double_array("embedding").alias("z"))
+    rows = []
+    C = None
+    for epoch in range(2):
+        C = V.refine_centres(z, K_CENTRES, epochs=1, lr=0.1, seed=42 + epoch) if C is None else C
+        q = N.soft_assign(z, C)
+        kl = N.kl(N.target_distribution(q), q).first()[0]
+        hard = N.hard_label(q).join(z, "author")
+        used = V.labels_used(hard, "cluster").first()[0]
+        ch = V.calinski_harabasz(hard, "z", "cluster", "author").first()[0] if used > 1 else None
+        db = V.davies_bouldin(hard, "z", "cluster", "author").first()[0] if used > 1 else None
+        rows.append({"epoch": epoch, "kl": float(kl), "assigned_clusters": int(used),
+                     "calinski_harabasz": ch, "davies_bouldin": db})
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/s8-{uuid.uuid4().hex}"
+    log_metrics(spark, rows, path, params={"k": K_CENTRES, "lr": 0.1})
+    return round_doubles(spark.read.parquet(path))
