@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .lexicon import broadcast_if_small
 
 # Members of one group handled per pair-block (bounds the work of a task
 # to BLOCK^2 pairs).
@@ -54,7 +53,7 @@ def author_pairs(mem: DataFrame, block: int = BLOCK) -> DataFrame:
     hash blocks and joined block-pair by block-pair, so no task holds more
     than ``block``² pairs however skewed the group sizes are."""
     sizes = group_sizes(mem).filter(F.col("n") >= 2)
-    m = (mem.join(broadcast_if_small(sizes), "group_name")
+    m = (mem.join(sizes, "group_name")  # computed side: AQE broadcasts it at run time when small
          .withColumn("nb", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.lit(1)).cast("int"))
          .withColumn("b", F.pmod(F.xxhash64("author"), F.col("nb")).cast("int")))
     left = m.select("group_name", "author", F.col("b").alias("bi"),

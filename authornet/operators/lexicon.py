@@ -35,8 +35,14 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup side only after counting it; beyond the bound the
-    caller's join falls back to a shuffle join (AQE may still convert)."""
+    """For a lookup *input* (lexicon, labels, lemmas): broadcast only after
+    counting it; beyond the bound the join stays a shuffle join.
+
+    Sides that are *computed* from large data (group sizes, matched
+    vocabulary, rank tables) are not passed here - counting them would run
+    their whole plan twice.  Those joins carry no hint: AQE measures the
+    materialised shuffle output at run time and switches to a broadcast
+    join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
@@ -111,7 +117,7 @@ def lexicon_hits_join(df: DataFrame, lexicon: DataFrame, key: str = "UID_key",
     tokens = tokenize(df, key, text)
     matched = match_exact(tokens, lexicon).unionByName(match_prefix(tokens, lexicon))
     matched = filter_targets(matched, targets)
-    return (tokens.join(broadcast_if_small(matched), "tok")
+    return (tokens.join(matched, "tok")  # computed side: AQE decides at run time
             .groupBy(key, "cat_name").agg(F.count(F.lit(1)).alias("hits")))
 
 

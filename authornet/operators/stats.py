@@ -114,10 +114,9 @@ def average_rank(df: DataFrame, cols, key: str) -> DataFrame:
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     before = _cumulative_before(vc, ["feature"], "value", "n")
     ranked = before.select("feature", "value", ((2 * F.col("before") + F.col("n") + 1) / 2.0).alias("rank"))
-    # one row per distinct value: broadcast when small; otherwise a shuffle
-    # join whose hot values (ties) AQE's skew handling splits
-    from .lexicon import broadcast_if_small
-    return long.join(broadcast_if_small(ranked), ["feature", "value"]).select(key, "feature", "value", "rank")
+    # one row per distinct value: AQE broadcasts it at run time when small;
+    # otherwise a shuffle join whose hot values (ties) the skew handling splits
+    return long.join(ranked, ["feature", "value"]).select(key, "feature", "value", "rank")
 
 
 def _cumulative_before(df: DataFrame, part_cols, order: str, weight: str) -> DataFrame:
