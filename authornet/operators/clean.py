@@ -62,9 +62,14 @@ def final_text(df: DataFrame) -> DataFrame:
 
 
 def drop_emptied(df: DataFrame) -> DataFrame:
-    """Drop a row only when both cleaned texts are exactly ''."""
-    both_empty = F.coalesce(F.col("final_message_string") == "", F.lit(False)) & \
-        F.coalesce(F.col("fwd_message_string") == "", F.lit(False))
+    """Drop a row only when both cleaned texts are exactly ''.
+
+    Catalyst pushes this filter below the cleaning projection, so its
+    regexes run once more for the filter.  The forwarded text is tested
+    first: it is null for most messages, which short-circuits the ``AND``
+    before the own text is cleaned a second time."""
+    both_empty = F.coalesce(F.col("fwd_message_string") == "", F.lit(False)) & \
+        F.coalesce(F.col("final_message_string") == "", F.lit(False))
     return df.filter(~both_empty)
 
 
