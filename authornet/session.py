@@ -22,10 +22,6 @@ DEFAULT_CONF = {
     # a broadcast must stay small even when statistics are off by 10x
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; the
-    # fused text-feature projection exceeds that, so let Spark split such a
-    # stage instead of running one huge interpreted method (2-3x faster here)
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
