@@ -89,3 +89,15 @@ def q_d9(spark, sf):
     model, emb = _model(spark, sf)
     pred = ST.predict(model, emb.filter(F.col("is_test")), "x", "vec_id")
     return pred.join(emb.select("vec_id", "label"), "vec_id")
+
+
+@register("s3_write_table", S.with_ctes(*S.BASE) + """
+SELECT author, group_name, CAST(sum(own_message) AS BIGINT) AS own_message,
+  CAST(sum(forwarded_message) AS BIGINT) AS forwarded_message, CAST(count(UID_key) AS BIGINT) AS total_message_count
+FROM clean WHERE author IS NOT NULL AND group_name IS NOT NULL GROUP BY author, group_name""")
+def q_s3(spark, sf):
+    """S3: a result table written as Parquet and read back."""
+    from ..operators import aggregate as A
+    path = _scratch(spark, "s3")
+    sinks.write_table(A.message_counts(clean_messages(spark, sf)), path)
+    return spark.read.parquet(path)

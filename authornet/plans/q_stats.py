@@ -507,3 +507,30 @@ def q_s8(spark, sf):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/s8-{uuid.uuid4().hex}"
     log_metrics(spark, rows, path, params={"k": K_CENTRES, "lr": 0.1})
     return round_doubles(spark.read.parquet(path))
+
+
+@register("j10_attach_clusters", S.rounded(["vec_id", "label", "cluster"] + _PROB, set(_PROB), Q_SQL + """,
+ct AS (SELECT h.vec_id, h.cluster, """ + ", ".join(f"max(q.q) FILTER (WHERE q.k = {i}) AS cluster_{i}_prob" for i in range(K_CENTRES)) + """
+       FROM hard h JOIN q ON q.vec_id = h.vec_id GROUP BY h.vec_id, h.cluster)
+SELECT e.vec_id, e.label, ct.* EXCLUDE (vec_id) FROM embeddings e JOIN ct ON ct.vec_id = e.vec_id"""))
+def q_j10(spark, sf):
+    """Features (here the label column) joined with the hard cluster
+    and one probability column per cluster, on the key."""
+    feats = _emb(spark, sf).select("vec_id", "label")
+    return round_doubles(feats.join(N.cluster_table(_q(spark, sf), K_CENTRES, key="vec_id"), "vec_id"))
+
+
+@register("s9_export_cluster_means", S.rounded(["label", "d", "mean"], {"mean"}, S.with_ctes(EMB_LONG) +
+                                               "SELECT label, CAST(d AS INTEGER) AS d, avg(v) AS mean FROM emb GROUP BY label, d"))
+def q_s9(spark, sf):
+    """Cluster means written with the table writer (gzip CSV instead of
+    xlsx) and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import write_table
+    long = _emb(spark, sf).select("label", F.posexplode(N.to_double_array("embedding")).alias("d", "v"))
+    means = ST.cluster_means(long, ["v"], label=["label", "d"]).withColumnRenamed("v", "mean")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/s9-{uuid.uuid4().hex}"
+    write_table(means, path, fmt="csv")
+    back = spark.read.option("header", True).schema("label int, d int, mean double").csv(path)
+    return round_doubles(back)
