@@ -87,12 +87,22 @@ def _hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+# Up to this many rows a sample is a distributed top-n; beyond it the rows
+# are cut by global position, so nothing of size n passes the driver.
+TOP_N_MAX = 100_000
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "UID_key") -> DataFrame:
     """Repeatable sample of exactly ``n`` rows (fewer if the input is
-    smaller).  Sampling *is* the operator here, so the limit is the feature:
-    Spark plans it as a distributed top-n (TakeOrdered), each task keeps at
-    most ``n`` rows."""
-    return df.orderBy(_hash_order(seed, key), F.col(key)).limit(n)
+    smaller), the first n rows in seeded-hash order.  Sampling *is* the
+    operator here, so the cut is the feature.  Small n: a top-n (each task
+    keeps at most n rows).  Large n: positions from a range-partitioned
+    sort with per-partition offsets, then a filter - no driver merge."""
+    if n <= TOP_N_MAX:
+        return df.orderBy(_hash_order(seed, key), F.col(key)).limit(n)
+    order = F.struct(_hash_order(seed, key).alias("h"), F.col(key).alias("k"))
+    pos = row_positions(df.withColumn("_order", order), "_order")
+    return pos.filter(F.col("_pos") <= n).drop("_order", "_pos")
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str = "UID_key") -> DataFrame:

@@ -35,19 +35,49 @@ def means_with_counts(df: DataFrame, cols, by: str = "cluster") -> DataFrame:
     return df.groupBy(by).agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("size"))
 
 
+def exact_quantiles(df: DataFrame, cols, probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy / pandas default),
+    computed from distributed cumulative counts of the distinct values: no
+    task ever holds a whole column.  Returns (feature, p, value)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                         for c in cols])).alias("r")).select("r.*").filter(F.col("value").isNotNull())
+    vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    cum = _cumulative_before(vc, ["feature"], "value", "n")
+    tot = vc.groupBy("feature").agg(F.sum("n").alias("total"))
+    # 0-based target positions per probability (lower and upper neighbour)
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    tgt = tot.select("feature", "total", F.explode(ps).alias("p")) \
+        .withColumn("pos", (F.col("total") - 1) * F.col("p")) \
+        .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
+    # tgt has (#columns x #probabilities) rows - a bounded broadcast, so the
+    # cumulative table is filtered where it lies instead of shuffled by column
+    hit = lambda which: (cum.join(F.broadcast(tgt), "feature")
+                         .filter((F.col("before") <= F.col(which)) & (F.col(which) < F.col("before") + F.col("n")))
+                         .select("feature", "p", "pos", "lo", F.col("value").alias(f"v_{which}")))
+    both = hit("lo").join(hit("hi").select("feature", "p", "v_hi"), ["feature", "p"])
+    return both.select("feature", "p", (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+
+
 def describe_table(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear interpolation),
-    max per column, long form (column, stat, value).  ``exact=False`` uses
-    ``percentile_approx`` (bounded memory per column) for very large data."""
+    max per column, long form (column, stat, value).  Exact quantiles come
+    from distributed cumulative counts (``exact_quantiles``);
+    ``exact=False`` uses ``percentile_approx`` (bounded sketch)."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        pct = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-               else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
         aggs += [F.count(x).cast("double").alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), pct.alias(f"{c}|pct"),
-                 F.max(x).alias(f"{c}|max")]
+                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"{c}|pct"))
     wide = df.agg(*aggs)
+    if exact:
+        q = exact_quantiles(df, cols)
+        qa = q.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))),
+                                                  lambda s: s["value"]).alias("pct"))  # 3 rows per column
+        pcts = {r["feature"]: r["pct"] for r in qa.collect()}  # one short list per column
+        wide = wide.withColumns({f"{c}|pct": F.array(*[F.lit(v) for v in (pcts.get(c) or [None] * 3)]).cast("array<double>")
+                                 for c in cols})
     rows = []
     for c in cols:
         rows += [F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), v.alias("value")) for s, v in [

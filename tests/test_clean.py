@@ -70,3 +70,12 @@ def test_union_tagged_fills_missing(spark):
     out = C.union_tagged({"group": a, "channel": b}).orderBy("UID_key").collect()
     assert out[0].group_or_channel == "group" and out[0].transcribed_message is None
     assert out[1].group_or_channel == "channel"
+
+
+def test_large_sample_uses_positions(spark, monkeypatch):
+    monkeypatch.setattr(C, "TOP_N_MAX", 10)
+    df = spark.range(0, 500, 1, 5).withColumnRenamed("id", "UID_key")
+    big = sorted(r[0] for r in C.sample_n(df, 37, seed=5).collect())
+    monkeypatch.setattr(C, "TOP_N_MAX", 10**9)
+    small = sorted(r[0] for r in C.sample_n(df, 37, seed=5).collect())
+    assert big == small and len(big) == 37

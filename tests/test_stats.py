@@ -85,3 +85,12 @@ def test_validity_indices_match_numpy(spark):
         b = min(D[i, lab == k].mean() for k in ks if k != lab[i])
         sil.append(0.0 if own.sum() == 1 else (b - a) / max(a, b))
     assert abs(V.silhouette(df).first()[0] - np.mean(sil)) < 1e-9
+
+
+def test_exact_quantiles_match_numpy(spark):
+    vals = [5.0, 1.0, 1.0, 3.0, 8.0, 2.0, 2.0, 2.0, 9.5]
+    df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(vals)], "a double, b double").repartition(4)
+    got = {(r.feature, r.p): r.value for r in ST.exact_quantiles(df, ["a", "b"], [0.1, 0.25, 0.5, 0.9]).collect()}
+    for c, arr in (("a", vals), ("b", [float(i) for i in range(len(vals))])):
+        for p in (0.1, 0.25, 0.5, 0.9):
+            assert abs(got[(c, p)] - np.quantile(arr, p)) < 1e-12
