@@ -116,7 +116,7 @@ def _column_norms(mem: DataFrame) -> DataFrame:
                     (F.col("RS") + (1 - F.col("groups")) / (F.col("strength") + 1)).alias("C")))
 
 
-def transition(edges: DataFrame, mem: DataFrame, t: int = 2) -> DataFrame:
+def transition(edges: DataFrame, mem: DataFrame, t: int = 2, hot_groups: int = 1000) -> DataFrame:
     """M = mean of T^1..T^t, T = column-L1 normalisation of the
     row-normalised A + I, read only on the support of A + I (the only
     entries the attention layer uses).  Returns (src, dst, m).
@@ -144,19 +144,35 @@ def transition(edges: DataFrame, mem: DataFrame, t: int = 2) -> DataFrame:
     if t != 2:
         return _transition_iterative(t1, t)
     w = norms.select("author", (1.0 / ((F.col("strength") + 1) * F.col("C"))).alias("w"),
-                     (1 - F.col("groups")).alias("e"))
-    # Q_gh = sum over authors l in g and h of w_l (pairs of an author's own groups)
-    pw = mem.join(w, "author")
-    q = (pw.alias("x").join(mem.alias("y"), F.col("x.author") == F.col("y.author"))
+                     (1 - F.col("groups")).alias("e"), "groups")
+    sup_pairs = sup.select(F.col("src").alias("i"), F.col("dst").alias("j"), "a")
+    # Authors in more than `hot_groups` groups would make Q quadratic in their
+    # group count; they contribute through their adjacency columns instead:
+    # H_ij = sum over hot l of w_l c_il c_jl, c = P Pᵀ (rows <= support x hot).
+    normal = w.filter(F.col("groups") <= hot_groups).select("author")
+    mem_n = mem.join(normal, "author")
+    # Q_gh = sum over ordinary authors l in g and h of w_l (pairs of l's own groups)
+    pw = mem_n.join(w.select("author", "w"), "author")
+    q = (pw.alias("x").join(mem_n.alias("y"), F.col("x.author") == F.col("y.author"))
          .groupBy(F.col("x.group_name").alias("g"), F.col("y.group_name").alias("h"))
          .agg(F.sum("x.w").alias("q")))
     # U_ih = sum over i's groups g of Q_gh
     u = (mem.join(q, mem.group_name == q.g).groupBy(mem.author.alias("i"), q.h.alias("h"))
          .agg(F.sum("q").alias("u")))
     # (P Q Pᵀ)_ij on the support = sum over j's groups h of U_ih
-    sup_pairs = sup.select(F.col("src").alias("i"), F.col("dst").alias("j"), "a")
     pqp = (sup_pairs.join(mem.select(F.col("author").alias("j"), F.col("group_name").alias("h")), "j")
            .join(u, ["i", "h"]).groupBy("i", "j").agg(F.sum("u").alias("pqp")))
+    hot = w.filter(F.col("groups") > hot_groups).select(F.col("author").alias("l"), F.col("w").alias("wl"), "groups")
+    if hot.limit(1).count() > 0:
+        c_hot = (both.join(hot, both.dst == hot.l).select(F.col("src").alias("x"), "l", F.col("a").alias("c"), "wl")
+                 .unionByName(hot.select(F.col("l").alias("x"), "l", F.col("groups").cast("double").alias("c"), "wl")))
+        c_hot = cut_lineage(c_hot)
+        ci = c_hot.select(F.col("x").alias("i"), "l", F.col("c").alias("ci"), "wl")
+        cj = c_hot.select(F.col("x").alias("j"), "l", F.col("c").alias("cj"))
+        h_part = (sup_pairs.select("i", "j").join(ci, "i").join(cj, ["j", "l"])
+                  .groupBy("i", "j").agg(F.sum(F.col("wl") * F.col("ci") * F.col("cj")).alias("hp")))
+        pqp = (pqp.join(h_part, ["i", "j"], "full")
+               .select("i", "j", (F.coalesce("pqp", F.lit(0.0)) + F.coalesce("hp", F.lit(0.0))).alias("pqp")))
     wi = w.select(F.col("author").alias("i"), F.col("w").alias("wi"), F.col("e").alias("ei"))
     wj = w.select(F.col("author").alias("j"), F.col("w").alias("wj"), F.col("e").alias("ej"))
     # (P Pᵀ)_ij = a_ij off the diagonal, m_i on it

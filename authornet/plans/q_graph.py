@@ -125,6 +125,15 @@ def q_g9(spark, sf):
     return round_doubles(G.transition(edges, mem, t=2))
 
 
+@register("g9_transition_hot_authors", S.rounded(["src", "dst", "m"], {"m"}, GRAPH_SQL + """
+SELECT tp.src, tp.dst, (tp.t + coalesce(t2.t2, 0)) / 2 AS m FROM tp LEFT JOIN t2 ON tp.src = t2.src AND tp.dst = t2.dst"""))
+def q_g9h(spark, sf):
+    """Same matrix with every author in more than one group taken through
+    the hot-author path (as authors active in very many groups would be)."""
+    _, mem, edges, _ = _graph(spark, sf)
+    return round_doubles(G.transition(edges, mem, t=2, hot_groups=1))
+
+
 @register("g9_transition_t3", S.rounded(["src", "dst", "m"], {"m"}, GRAPH_SQL + """,
 t3 AS (SELECT x.src, y.dst, sum(x.t2 * y.t) AS t3 FROM t2 x JOIN tp y ON x.dst = y.src GROUP BY x.src, y.dst)
 SELECT tp.src, tp.dst, (tp.t + coalesce(t2.t2, 0) + coalesce(t3.t3, 0)) / 3 AS m FROM tp

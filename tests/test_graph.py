@@ -63,12 +63,12 @@ def test_transition_matches_dense(spark):
     adj = A + np.eye(len(authors))
     adj_norm = adj / adj.sum(axis=1, keepdims=True)
     T = adj_norm / adj_norm.sum(axis=0, keepdims=True)
-    for t in (2, 3):
+    for t, hot in ((2, 1000), (2, 1), (2, 0), (3, 1000)):
         M = sum(np.linalg.matrix_power(T, i) for i in range(1, t + 1)) / t
-        got = G.transition(e, m, t=t).collect()
+        got = G.transition(e, m, t=t, hot_groups=hot).collect()
         assert len(got) == int((adj > 0).sum())
         for r in got:
-            assert abs(r.m - M[ix[r.src], ix[r.dst]]) < 1e-12, (t, r)
+            assert abs(r.m - M[ix[r.src], ix[r.dst]]) < 1e-12, (t, hot, r)
     # normalised adjacency rows sum to 1
     rows = G.normalize_adj(e, m).groupBy("src").agg(F.sum("w").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-12 for r in rows)
