@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 
-# Inline plan limit: lexicon rows embedded as hashed sets in the plan.
-MAX_INLINE_ENTRIES = 200_000
+# Inline plan limit: lexicon rows embedded as hashed sets in the plan (the
+# plan travels with every task, so it stays well below a megabyte or two).
+MAX_INLINE_ENTRIES = 50_000
 # Broadcast limit for a looked-up table whose size is only known at run time.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -163,11 +164,15 @@ class InlineLexicon:
 
 
 def lexicon_rates(df: DataFrame, lexicon: DataFrame, targets=P.LEXICON_TARGETS, mode: str = "ratio",
-                  text: str = "final_message_string", plan: str = "inline", key: str = "UID_key",
+                  text: str = "final_message_string", plan: str = "auto", key: str = "UID_key",
                   prefix: str = "liwc_") -> DataFrame:
     """Per message, hits / tokens (``mode='ratio'``, 0 without
     tokens) or raw hits (``mode='count'``), one ``liwc_<Cat>`` column per
-    target.  Keeps every input row and column."""
+    target.  Keeps every input row and column.  ``plan='auto'`` uses the
+    inline plan when the lexicon has at most ``MAX_INLINE_ENTRIES`` rows
+    (counted), the join plan otherwise."""
+    if plan == "auto":
+        plan = "inline" if lexicon.limit(MAX_INLINE_ENTRIES + 1).count() <= MAX_INLINE_ENTRIES else "join"
     if plan == "inline":
         lex = InlineLexicon(lexicon)
         toks = X.ws_tokens(text)

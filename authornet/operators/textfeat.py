@@ -64,7 +64,7 @@ def flesch_features(df: DataFrame, text: str = "final_message_string") -> DataFr
 
 def message_features(clean: DataFrame, pos_lexicon: DataFrame | None = None,
                      polarity: DataFrame | None = None, lexicon: DataFrame | None = None,
-                     lexicon_plan: str = "inline") -> DataFrame:
+                     lexicon_plan: str = "auto") -> DataFrame:
     """T1-T11 and L5-L10 on the cleaned message table (one narrow stage
     with the inline lexicon plan)."""
     df = count_features(clean, with_flesch=True)

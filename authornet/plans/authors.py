@@ -21,7 +21,7 @@ def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_messages(raw_messages(spark, sf_dir))
 
 
-def message_features(spark: SparkSession, sf_dir: str, full: bool = True, lexicon_plan: str = "inline") -> DataFrame:
+def message_features(spark: SparkSession, sf_dir: str, full: bool = True, lexicon_plan: str = "auto") -> DataFrame:
     clean = clean_messages(spark, sf_dir)
     if not full:
         return TF.message_features(clean)

@@ -1,7 +1,8 @@
 """Headline benchmark: prints ONE JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 8), BENCH_REPEAT (default 3; median reported after one warm-up).
+(default 8), BENCH_REPEAT (default 3; median reported after one warm-up),
+BENCH_EVENT_LOG (optional folder for Spark's event log: stage/task times).
 Each query is executed in full with the ``noop`` sink (every row is
 produced, nothing is collected to the driver).
 """
@@ -46,7 +47,10 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage/task times for later inspection
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), extra=extra)
     times = {}
     for label, name in HEADLINE.items():
         run_once(spark, name, sf)  # warm-up
