@@ -105,6 +105,14 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "UID_key") -> Dat
     return pos.filter(F.col("_pos") <= n).drop("_order", "_pos")
 
 
+def sample_clean(raw: DataFrame, n: int, seed: int = 42, buffer: int = 500, key: str = "UID_key") -> DataFrame:
+    """P12 as a pipeline step: sample n + buffer messages that have any
+    text, clean them, then keep n of the survivors (the buffer covers rows
+    that cleaning empties)."""
+    pre = sample_n(has_any_text(raw), n + buffer, seed, key)
+    return sample_n(clean_messages(pre), n, seed, key)
+
+
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str = "UID_key") -> DataFrame:
     """P12 fraction mode: keep a row when its seeded hash falls under the
     fraction (repeatable, no shuffle)."""

@@ -102,6 +102,16 @@ def q_p12(spark, sf):
     return C.sample_n(clean_messages(spark, sf), 200, seed=42).select("UID_key", "author")
 
 
+@register("p12_sample_clean", S.with_ctes(S.RAW) + """,
+pre AS (SELECT * FROM raw WHERE coalesce(message, fwd_message, transcribed_message) IS NOT NULL
+        ORDER BY md5(concat('42:', CAST(UID_key AS VARCHAR))), UID_key LIMIT 700),
+""" + S.CLEAN.replace("FROM raw", "FROM pre") + """
+SELECT UID_key, author, final_message_string FROM clean
+ORDER BY md5(concat('42:', CAST(UID_key AS VARCHAR))), UID_key LIMIT 200""")
+def q_p12c(spark, sf):
+    return C.sample_clean(raw_messages(spark, sf), 200, seed=42).select("UID_key", "author", "final_message_string")
+
+
 @register("p12_sample_fraction", BASE + "SELECT UID_key FROM clean WHERE CAST(('0x' || substring(md5(concat('7:', CAST(UID_key AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 < 0.25")
 def q_p12f(spark, sf):
     return C.sample_fraction(clean_messages(spark, sf), 0.25, seed=7).select("UID_key")
