@@ -287,15 +287,18 @@ def eigenvector(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = No
         v = new.select("author", (F.col("x") / norm).alias("v"))
         if err < n * tol:
             break
+    else:
+        raise RuntimeError(f"power iteration did not converge in {iters} iterations")
     return v.select("author", F.col("v").alias("eigenvector_centrality"))
 
 
 def closeness(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = None, sources: DataFrame | None = None,
-              max_hops: int = 64) -> DataFrame:
+              max_hops: int | None = None) -> DataFrame:
     """Closeness with the Wasserman-Faust scaling used by networkx,
     (r/(N-1)) * (r / sum of distances), r = reachable others.  Breadth-first
     search from every source (or the given ``sources``) runs as an
-    iterative frontier join; with memberships it walks author -> group ->
+    iterative frontier join until no frontier is left (``max_hops`` only if
+    the caller wants a cut); with memberships it walks author -> group ->
     author, so no pair table is read.  Exact for all sources."""
     node_df = cut_lineage(node_df)
     mem = cut_lineage(mem) if mem is not None else None
@@ -309,7 +312,9 @@ def closeness(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = None
         hop = lambda fr: fr.join(sym, "a").select("s", F.col("b").alias("a"))
     seen = src.select("s", F.col("s").alias("a"), F.lit(0).alias("d"))
     frontier = seen.select("s", "a")
-    for d in range(1, max_hops + 1):
+    d = 0
+    while max_hops is None or d < max_hops:
+        d += 1
         nxt = hop(frontier).distinct().join(seen.select("s", "a"), ["s", "a"], "left_anti")
         nxt = cut_lineage(nxt)
         if nxt.limit(1).count() == 0:
@@ -325,7 +330,7 @@ def closeness(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = None
 
 
 def betweenness(edges: DataFrame, node_df: DataFrame, sources: DataFrame | None = None,
-                max_hops: int = 64, normalized: bool = True) -> DataFrame:
+                max_hops: int | None = None, normalized: bool = True) -> DataFrame:
     """Brandes' betweenness on the unweighted graph, all sources (or
     the given ``sources``).  Forward: breadth-first levels carrying the
     number of shortest paths per (source, node).  Backward: dependencies
@@ -339,7 +344,7 @@ def betweenness(edges: DataFrame, node_df: DataFrame, sources: DataFrame | None
     level = cut_lineage(src.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
     levels = [level]
     seen = level.select("s", "v")
-    for _ in range(max_hops):
+    while max_hops is None or len(levels) <= max_hops:
         nxt = (level.join(sym, "v").select("s", F.col("w").alias("v"), "sigma")
                .join(seen, ["s", "v"], "left_anti")
                .groupBy("s", "v").agg(F.sum("sigma").alias("sigma")))
