@@ -72,7 +72,7 @@ def _model(spark, sf):
     emb = ST.split(emb, "vec_id")
     train = emb.filter(~F.col("is_test"))
     w = ST.class_weights(train, "label").select("label", "weight")
-    model = ST.fit_multinomial(train.join(F.broadcast(w), "label"), "x", "label", "weight", max_iter=200)
+    model = ST.fit_multinomial(train.join(F.broadcast(w), "label"), "x", "label", "weight")  # K rows broadcast
     return model, emb
 
 
