@@ -67,3 +67,18 @@ def test_encoder_rows_are_unit_length(spark):
         assert abs(np.linalg.norm(r.z) - 1) < 1e-12
     assert N.total_loss(0.1, 0.2, None) is None
     assert abs(N.total_loss(0.1, 0.2, 0.5) - (0.3 + 0.5)) < 1e-12
+
+
+def test_centre_refinement_lowers_kl(spark):
+    from authornet.operators import validity as V
+    rng = np.random.default_rng(5)
+    Z = np.vstack([rng.normal(loc=c, scale=0.3, size=(15, 3)) for c in ([0, 0, 2], [2, 0, 0], [0, 2, 0])])
+    Z /= np.linalg.norm(Z, axis=1, keepdims=True)
+    z = spark.createDataFrame([(i, Z[i].tolist()) for i in range(len(Z))], "author int, z array<double>")
+    C0 = V.refine_centres(z, 3, epochs=0, seed=1)
+    C1 = V.refine_centres(z, 3, epochs=5, lr=0.5, seed=1)
+    def kl(C):
+        q = N.soft_assign(z, C)
+        return N.kl(N.target_distribution(q), q).first()[0]
+    assert C0.shape == C1.shape == (3, 3)
+    assert kl(C1) < kl(C0)

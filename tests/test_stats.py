@@ -94,3 +94,28 @@ def test_exact_quantiles_match_numpy(spark):
     for c, arr in (("a", vals), ("b", [float(i) for i in range(len(vals))])):
         for p in (0.1, 0.25, 0.5, 0.9):
             assert abs(got[(c, p)] - np.quantile(arr, p)) < 1e-12
+
+
+def test_multinomial_matches_balanced_objective(spark):
+    rng = np.random.default_rng(11)
+    n, d = 90, 3
+    X = rng.normal(size=(n, d))
+    y = (X[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(int) + (X[:, 1] > 1).astype(int)
+    df = spark.createDataFrame([(i, X[i].tolist(), int(y[i])) for i in range(n)], "k int, x array<double>, label int")
+    w = ST.class_weights(df, "label").select("label", "weight")
+    model = ST.fit_multinomial(df.join(w, "label"), "x", "label", "weight", max_iter=5000)
+    W = model.coefficientMatrix.toArray()
+    b = model.interceptVector.toArray()
+    K = W.shape[0]
+    counts = np.bincount(y, minlength=K)
+    s = n / (K * counts[y])
+    logits = X @ W.T + b
+    P = np.exp(logits - logits.max(1, keepdims=True))
+    P /= P.sum(1, keepdims=True)
+    Y = np.eye(K)[y]
+    gW = ((P - Y) * s[:, None]).T @ X + W       # d/dW of sum s_i CE_i + 0.5 |W|^2
+    gb = ((P - Y) * s[:, None]).sum(0)
+    assert np.abs(gW).max() < 1e-3 and np.abs(gb).max() < 1e-3
+    pred = {r.k: r for r in ST.predict(model, df, "x", "k").collect()}
+    assert all(abs(sum(r.probability) - 1) < 1e-9 for r in pred.values())
+    assert all(pred[i].prediction == int(np.argmax(P[i])) for i in range(n))
