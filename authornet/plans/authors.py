@@ -60,6 +60,18 @@ def author_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("author", *A.FEATURES_30, "avg_flesch_reading_ease_class")
 
 
+NARROW = ["UID_key", "author", "group_name", "group_or_channel", "date", "own_message", "forwarded_message",
+          "fwd_author"]
+
+
+def narrow_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned messages without their text (keys and flags only), written
+    once to the checkpoint folder: graph and count plans that need the
+    message table several times read this instead of re-cleaning text."""
+    from ..session import cut_lineage
+    return cut_lineage(clean_messages(spark, sf_dir).select(*NARROW))
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (the oracle twin rounds the same way)."""
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"

@@ -34,7 +34,8 @@ idx AS (SELECT author, CAST(row_number() OVER (ORDER BY author) - 1 AS BIGINT) A
 
 
 def _graph(spark, sf):
-    clean = clean_messages(spark, sf)
+    from .authors import narrow_messages
+    clean = narrow_messages(spark, sf)
     mem = G.memberships(clean)
     edges = G.pair_weights(G.author_pairs(mem))
     return clean, mem, edges, mem.select("author").distinct()

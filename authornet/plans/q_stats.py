@@ -382,7 +382,8 @@ H_OUT = 3
 
 
 def _author_x(spark, sf):
-    clean = clean_messages(spark, sf)
+    from .authors import narrow_messages
+    clean = narrow_messages(spark, sf)
     agg = A.aggregate_features(clean, ["author"])
     x = agg.select("author", F.array(*[F.col(c).cast("double") for c in X_COLS]).alias("x"))
     mem = G.memberships(clean)
