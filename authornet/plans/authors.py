@@ -76,3 +76,28 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (the oracle twin rounds the same way)."""
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
                        else F.col(f.name) for f in df.schema.fields])
+
+
+def scored_authors(spark: SparkSession, sf_dir: str, hidden: int = 128, embedding: int = 9, k: int = 6,
+                   seed: int = 42, t: int = 2) -> DataFrame:
+    """The reference's final table: the 30 author features, the hard
+    cluster and one probability per cluster from the attention encoder
+    (exported shape 30 -> hidden -> embedding, third layer, K centres;
+    weights from the seeded initialiser), plus degree and degree
+    centrality of the author graph."""
+    from ..operators import clean as C
+    from ..operators import graph as G
+    from ..operators import propagate as N
+    from ..session import cut_lineage
+    feats = cut_lineage(author_table(spark, sf_dir))                 # N authors x 31 columns
+    x = C.assemble(C.fill_zero(feats, A.FEATURES_30), A.FEATURES_30, keep=["author"])
+    msgs = narrow_messages(spark, sf_dir)
+    mem = G.memberships(msgs)
+    edges = cut_lineage(G.pair_weights(G.author_pairs(mem)))
+    nodes = mem.select("author").distinct()
+    m = G.transition(edges, mem, t=t)
+    w = N.init_weights([len(A.FEATURES_30), hidden, embedding, embedding], seed=seed, clusters=k)
+    q = N.score_authors(x, m, w, w["centres"])
+    table = N.cluster_table(q, k)
+    deg = G.degree_centrality(G.degree(edges, nodes))
+    return feats.join(table, "author", "left").join(deg, "author", "left")

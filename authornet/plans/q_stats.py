@@ -535,3 +535,10 @@ def q_s9(spark, sf):
     write_table(means, path, fmt="csv")
     back = spark.read.option("header", True).schema("label int, d int, mean double").csv(path)
     return round_doubles(back)
+
+
+@register("n13_scored_authors")
+def q_n13s(spark, sf):
+    """End to end: 30 features, clusters and probabilities, degree."""
+    from .authors import scored_authors
+    return round_doubles(scored_authors(spark, sf))
