@@ -249,8 +249,10 @@ def _length_scorer(s: pd.Series) -> pd.Series:
     return s.map(lambda t: len(t) / 1000.0 if isinstance(t, str) else None)
 
 
-@register("t13_score_batches", BASE + "SELECT UID_key, round(length(substring(final_message_string, 1, 500)) / 1000.0, 6) AS score FROM clean")
+@register("t13_score_batches", BASE + "SELECT UID_key, round(length(final_message_string) / 1000.0, 6) AS score FROM clean")
 def q_t13(spark, sf):
+    """Whole texts go to the scorer (truncation, where a scorer needs it,
+    is the separate P21 step)."""
     df = clean_messages(spark, sf).select("UID_key", "final_message_string")
-    scored = TF.score_batches(df, "final_message_string", _length_scorer, out="score", max_chars=500)
+    scored = TF.score_batches(df, "final_message_string", _length_scorer, out="score")
     return round_doubles(scored.select("UID_key", "score"))
