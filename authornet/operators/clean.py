@@ -123,13 +123,24 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str = "
 def sample_balanced(df: DataFrame, n: int, by: str = "group_or_channel", seed: int = 42,
                     key: str = "UID_key") -> DataFrame:
     """N rows split evenly over the strata of ``by``; a stratum that has
-    too few rows gives its shortfall to the others (water-filling)."""
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}  # one row per stratum
-    quota = _water_fill(counts, n)
-    rn = F.row_number().over(Window.partitionBy(by).orderBy(_hash_order(seed, key), F.col(key)))
+    too few rows gives its shortfall to the others (water-filling).  Rows
+    are numbered inside their stratum from global positions (range
+    partition + per-partition offsets) minus the stratum's start, so a
+    stratum holding most rows is never sorted in one task.  Rows without a
+    stratum cannot be allotted and are left out."""
+    df = df.filter(F.col(by).isNotNull())
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_cnt"))
+    quota = _water_fill({r[0]: r[1] for r in counts.collect()}, n)  # one row per stratum
     q = F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))]) if quota else F.create_map()
-    return (df.withColumn("_rn", rn).filter(F.col("_rn") <= F.element_at(q, F.col(by)))
-            .drop("_rn"))
+    # start of each stratum in the global (stratum, hash, key) order: a
+    # window over the per-stratum counts only (one row per stratum)
+    starts = counts.select(by, (F.sum("_cnt").over(Window.orderBy(F.col(by).asc_nulls_first())) - F.col("_cnt"))
+                           .alias("_start"))
+    order = F.struct(F.col(by).alias("s"), _hash_order(seed, key).alias("h"), F.col(key).alias("k"))
+    pos = row_positions(df.withColumn("_order", order), "_order")
+    return (pos.join(F.broadcast(starts), by, "left")   # one row per stratum
+            .filter(F.col("_pos") - F.col("_start") <= F.element_at(q, F.col(by)))
+            .drop("_order", "_pos", "_start"))
 
 
 def _water_fill(counts: dict, n: int) -> dict:
