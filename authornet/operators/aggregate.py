@@ -149,7 +149,15 @@ def join_texts(df: DataFrame, keys=("author",), col: str = "final_message_string
     keys = list(keys)
     out = out or col
     src = df.filter(X.has_text(col) & keys_present(keys))
-    part = F.floor(F.col(order) / F.lit(part_keys)).cast("bigint")
+    numeric = dict(src.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
+    if numeric:
+        part = F.floor(F.col(order) / F.lit(part_keys)).cast("bigint")
+    else:
+        # any orderable key: consecutive runs of `part_keys` rows in
+        # (keys, order) order, numbered from distributed global positions
+        from .clean import row_positions
+        src = row_positions(src.withColumn("_o", F.struct(*[F.col(k) for k in keys], F.col(order))), "_o")
+        part = F.floor((F.col("_pos") - 1) / F.lit(part_keys)).cast("bigint")
     return (src.groupBy(*keys, part.alias("part"))
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(col)))),
                                           lambda s: s[col]), " ").alias(out)))
