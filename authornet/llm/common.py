@@ -4,8 +4,11 @@ intermediates in the shared folder, stable row numbers and prefix sums."""
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +63,18 @@ def exclusive_prefix(df: DataFrame, order: str, value: str, out: str, by: tuple[
     inside = cut.withColumn("_inside", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
     return (inside.join(starts, [*by, "_block"]).withColumn(out, F.col("_start") + F.col("_inside"))
             .drop("_block", "_start", "_inside"))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not use."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def send(spark: SparkSession, model) -> Callable[[], object]:
+    """Broadcast a bounded model together with its classes, so that executors need not
+    have this package installed; call the result inside a task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)
