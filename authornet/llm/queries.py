@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op8_decontam
 from .packing import op1_packing
+from .pii import op4_pii
+from .quality_rules import op5_quality_rules
+from .secrets_scan import op7_secrets
+from .sharding import op9_sharding
+from .simhash import op2_simhash
+from .token_files import op6_token_files
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
+    "op7_secrets": op7_secrets,
+    "op8_decontam": op8_decontam,
+    "op9_sharding": op9_sharding,
 }
 ORACLE: dict[str, str] = {}
