@@ -27,6 +27,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 ROUNDS = 100
 SMOOTHING = 1.0
+SURE = 0.98
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shout", "n_stops",
             "n_digits")
 
@@ -79,38 +80,43 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 60),
         "symbols": _vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.01),
+        "symbol_share": _vote(F.col("n_symbols") / chars > 0.02, F.col("n_symbols") / chars < 0.002),
         "repeats": _vote(per_word("n_repeat_words") > MAX_REPEAT_PERCENT / 100, per_word("n_repeat_words") < 0.05),
-        "lines": _vote(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 2)),
+        "lines": _vote(F.col("n_dup_lines") * 2 > F.col("n_lines"), (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 2)),
         "word_size": _vote((size < 3) | (size > 10), (size >= 3.5) & (size <= 8)),
         "capitals": _vote(F.col("n_upper") / chars > 0.3, F.col("n_upper") / chars < 0.1),
         "shouting": _vote(per_word("n_shout") > 0.1, per_word("n_shout") < 0.02),
-        "stops": _vote((F.col("n_stops") == 0) & (F.col("n_words") >= 40), (per_word("n_stops") > 0.02) & (per_word("n_stops") < 0.4)),
+        "stops": _vote((F.col("n_stops") == 0) & (F.col("n_words") >= 80), (per_word("n_stops") > 0.02) & (per_word("n_stops") < 0.4)),
         "digits": _vote(F.col("n_digits") / chars > 0.2, F.col("n_digits") / chars < 0.05),
     }
 
 
-RULES = ("length", "symbols", "repeats", "lines", "word_size", "capitals", "shouting", "stops", "digits")
+RULES = ("length", "symbols", "symbol_share", "repeats", "lines", "word_size", "capitals", "shouting", "stops", "digits")
 
 
 def learn(patterns: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Expectation-maximisation with rules independent given the class.  ``patterns``:
     (n, rules) votes, ``weights``: documents of each.  Returns the prior log-odds and the
-    log-odds of each rule's votes, (rules, 3) for -1, 0, 1."""
-    n_rules = patterns.shape[1]
+    log-odds of each rule's votes, (rules, 3) for -1, 0, 1.
+
+    Left alone, the two classes drift to whatever splits the corpus best.  So the expectation is held
+    at ``SURE`` where no rule votes against and at 1 - SURE where two or more do; the
+    documents in between, with a single vote against, are what the algorithm weighs, and the
+    learned odds then judge every document."""
     if not len(patterns):
-        return 0.0, np.zeros((n_rules, 3))
-    # at the start a vote against weighs as much as the sum of two votes for
-    start = (patterns == 1).sum(axis=1) - 4.0 * (patterns == -1).sum(axis=1)
-    good = 1 / (1 + np.exp(-start))
+        return 0.0, np.zeros((patterns.shape[1], 3))
+    against = (patterns == -1).sum(axis=1)
+    free = against == 1
+    good = np.where(free, 0.5, np.where(against == 0, SURE, 1 - SURE))
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    prior, odds = 0.0, np.zeros((n_rules, 3))
     for _ in range(rounds):
         of_good, of_bad = weights * good, weights * (1 - good)
         p_good = (np.einsum("n,nrv->rv", of_good, onehot) + SMOOTHING) / (of_good.sum() + 3 * SMOOTHING)
         p_bad = (np.einsum("n,nrv->rv", of_bad, onehot) + SMOOTHING) / (of_bad.sum() + 3 * SMOOTHING)
         prior = math.log((of_good.sum() + SMOOTHING) / (of_bad.sum() + SMOOTHING))
         odds = np.log(p_good / p_bad)
-        new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("nrv,rv->n", onehot, odds), -500, 500)))
+        posterior = 1 / (1 + np.exp(-np.clip(prior + np.einsum("nrv,rv->n", onehot, odds), -500, 500)))
+        new = np.where(free, posterior, good)
         done = np.abs(new - good).max() < 1e-9
         good = new
         if done:
