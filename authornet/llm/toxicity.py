@@ -31,9 +31,12 @@ from .decontam import NORMAL
 from .labels import held_out, training_rows
 
 STEMS = (4, 5, 6, 7)
-MIN_TOXIC_USES = 8
+MIN_TOXIC_TEXTS = 5
 MIN_Z = 4.0
-PRIOR_WORDS = 1000.0
+# weight of the prior against the training texts' own words
+PRIOR_SHARE = 0.02
+# a text's uses of one entry beyond these tell no more about it (words repeat inside a text)
+USES_PER_TEXT = 4
 SIGNIFICANT = 0.0
 CACHED_WORDS = 300_000
 PREDICT_FROM = 0.3
@@ -55,24 +58,20 @@ def _labelled(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def candidates(df: DataFrame, rows: DataFrame) -> list[str]:
-    """Entries used often enough in the toxic training texts (bounded by those)."""
+    """Entries that enough of the toxic training texts use (bounded by those)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                words.update(tokens(t))
-            for w, n in words.items():
-                for e in entries(w):
-                    uses[e] += n
+                uses.update({e for w in set(tokens(t)) for e in entries(w)})
         if uses:
             yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())],
                                              names=["entry", "n"])
 
     toxic = common.texts(df).join(F.broadcast(rows.filter("y = 1").select("doc_id")), "doc_id", "left_semi")
     often = (toxic.select("text").mapInArrow(run, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= MIN_TOXIC_USES))
+             .filter(F.col("n") >= MIN_TOXIC_TEXTS))
     return sorted(r["entry"] for r in often.select("entry").collect())
 
 
@@ -86,18 +85,20 @@ def count_entries(df: DataFrame, rows: DataFrame, wanted: list[str]) -> dict[str
         uses = {"": np.zeros(3, dtype=np.int64)}
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            groups: list[Counter] = [Counter(), Counter(), Counter()]
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                groups[2 if y is None else 1 - y].update(tokens(t))
-            for k, words in enumerate(groups):
-                uses[""][k] += words.total()
-                for w, n in words.items():
+                k = 2 if y is None else 1 - y
+                words = tokens(t)
+                uses[""][k] += len(words)
+                here: dict[str, int] = {}
+                for w, n in Counter(words).items():
                     if (found := known.get(w)) is None:
                         found = tuple(e for e in entries(w) if e in wanted)
                         if len(known) < CACHED_WORDS:
                             known[w] = found
                     for e in found:
-                        uses.setdefault(e, np.zeros(3, dtype=np.int64))[k] += n
+                        here[e] = here.get(e, 0) + n
+                for e, n in here.items():
+                    uses.setdefault(e, np.zeros(3, dtype=np.int64))[k] += min(n, USES_PER_TEXT)
         cols = [pa.array([int(v[k]) for v in uses.values()], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), *cols], names=["entry", "toxic", "clean", "rest"])
 
@@ -113,13 +114,14 @@ class Lexicon:
     def __init__(self, counts: dict[str, np.ndarray]):
         n = counts.get("", np.ones(3))
         n_toxic, n_clean, n_all = np.maximum(n, 1)
+        weight = PRIOR_SHARE * (n_toxic + n_clean)
         chosen: dict[str, np.ndarray] = {}
         for e, (toxic, clean, every) in counts.items():
             if not e:
                 continue
-            prior = PRIOR_WORDS * every / n_all
+            prior = weight * every / n_all
             a, b = toxic + prior, clean + prior
-            delta = (np.log(a / max(n_toxic + PRIOR_WORDS - a, 1e-9)) - np.log(b / max(n_clean + PRIOR_WORDS - b, 1e-9)))
+            delta = (np.log(a / max(n_toxic + weight - a, 1e-9)) - np.log(b / max(n_clean + weight - b, 1e-9)))
             if delta / np.sqrt(1 / a + 1 / b) >= MIN_Z:
                 chosen[e] = np.array([delta, toxic, clean, every])
         # an entry's own uses: those of no longer entry
