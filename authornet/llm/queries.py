@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op8_decontam
 from .packing import op1_packing
 from .pii import op4_pii
+from .quality_rank import op10_quality_rank
 from .quality_rules import op5_quality_rules
 from .secrets_scan import op7_secrets
 from .sharding import op9_sharding
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_decontam": op8_decontam,
     "op9_sharding": op9_sharding,
+    "op10_quality_rank": op10_quality_rank,
 }
 ORACLE: dict[str, str] = {}
