@@ -177,14 +177,28 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, h, fp, component_id) of every row: component_id is the smallest
-    doc_id whose fingerprint is linked, directly or through others."""
+    """(doc_id, h, fp, root, component_id) of every row: root is the smallest fingerprint
+    (as a signed long) linked, directly or through others; component_id the smallest doc_id."""
     fps = common.write_shared(fingerprints(df, shingle), "fingerprints")
     per_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(links(per_fp, max_bits)).select(F.col("node").alias("fp"), "root")
     known = per_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     first = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(known.join(first, "root").select("fp", "component_id"), "fp")
+    return fps.join(known.join(first, "root").select("fp", "root", "component_id"), "fp")
+
+
+def keep_first(df: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``df`` (all columns) that are the first of their class: smallest doc_id,
+    then smallest text hash.  Rows equal in both are one document and stay once."""
+    classes = near_duplicates(df, shingle, max_bits)
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    key, h, one = (common.free_name(df, x) for x in ("key", "h", "one"))
+    first = classes.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    first = first.select(name(F.col("first.doc_id")).alias(key), F.col("first.h").alias(h))
+    # equal rows are merged before the shuffle as well as after it; the join keeps the partitioning
+    rows = df.withColumns({key: name(F.col("doc_id")), h: F.xxhash64(name(F.col("text")))}).groupBy(key, h).agg(
+        F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(one))
+    return rows.join(first, [key, h], "left_semi").select(F.col(f"{one}.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
