@@ -18,13 +18,15 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_200_000
+# What stays when the table is full: short pieces, which are the frequent ones.
+KEPT_LENGTH = 8
 LONG_PIECE = 80
-# A stop or comma before white space that does not follow a letter or digit.
-LOOSE_STOP = r"(?:[\W_]|^)[.,](?=\s)"
-# White space in a row is merged by the byte-level pattern in ways a cut at single spaces would break.
-ODD_SPACED = re.compile(r"\s[\s]|[\x02\x03]|" + LOOSE_STOP)
-ODD_PLAIN = re.compile(LOOSE_STOP)
+# A stop or comma before white space that does not follow a letter or digit (the class comes
+# first, so that the search runs from stop to stop).
+LOOSE_STOP = re.compile(r"[.,](?=\s)(?:(?<=[\W_][.,])|(?<=\A[.,]))")
+# White space other than space and line end, and the marks set below.
+ODD_CHARACTER = re.compile("[\t\x02\x03\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 TAIL = ".,!&%#*$|;:?)"
 
 
@@ -111,28 +113,37 @@ class BulkEncoder:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
-        for at in range(0, len(batch), 256):
-            out += self._encode(batch[at:at + 256])
+        for at in range(0, len(batch), 512):
+            out += self._encode(batch[at:at + 512])
         return out
 
     def _pieces(self, text: str) -> list[str] | None:
-        if self.spaced:
-            if ODD_SPACED.search(text):
-                return None
-            marked = text.replace(". ", " \x02. ").replace(", ", " \x02, ").replace(".\n", " \x02.\n")
-            return marked.replace("\n", " \x03").split(" ")
-        if ODD_PLAIN.search(text):
-            return text.split(" ")
-        return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace("\n", " ").split(" ")
+        if not self.spaced:
+            if LOOSE_STOP.search(text):
+                return text.split(" ")
+            return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace("\n", " ").split(" ")
+        # white space in a row is merged in ways that a cut at single spaces would break
+        if ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or ODD_CHARACTER.search(text)
+                or LOOSE_STOP.search(text)):
+            return None
+        marked = text.replace(". ", " \x02. ").replace(", ", " \x02, ").replace(".\n", " \x02.\n")
+        return marked.replace("\n", " \x03").split(" ")
 
     def _encode(self, batch: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
-            self.cache = dict(self.fixed)
+            self.cache = self.fixed | {p: ids for p, ids in self.cache.items() if len(p) <= KEPT_LENGTH}
+            if len(self.cache) > CACHE_PIECES // 2:
+                self.cache = dict(self.fixed)
         rows = [self._pieces(t) for t in batch]
-        need = set().union(*(r[self.spaced:] for r in rows if r is not None)) - self.cache.keys()
+        # one look into the large table for each distinct piece; the small one stays near the processor
+        met = list(set().union(*(r[self.spaced:] for r in rows if r is not None)))
+        near = dict(zip(met, map(self.cache.get, met)))
+        need = [p for p, ids in near.items() if ids is None]
         long = {p for p in need if len(p) > LONG_PIECE}
-        self._learn(need - long)
-        find = self.cache.__getitem__
+        need = [p for p in need if p not in long] if long else need
+        self._learn(need)
+        near.update(zip(need, map(self.cache.__getitem__, need)))
+        find = near.__getitem__
         out = []
         for t, r in zip(batch, rows):
             if r is None or (long and not long.isdisjoint(r)):  # odd spacing, or pieces too long to keep
