@@ -35,6 +35,7 @@ COVERAGE = 20
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 NORMAL = bytes(c if c >= 0x80 or c in _KEEP else (c + 32 if 0x41 <= c <= 0x5A else 0x20) for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -207,7 +208,7 @@ def contaminated(n_hit, n_words):
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the given word spans and what lies between their words."""
-    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    places = [(m.start(), m.end()) for m in WORD.finditer(text.translate(LOWER))]
     out, at = [], 0
     for first, end in spans:
         out.append(text[at:places[first][0]])
