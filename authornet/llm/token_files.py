@@ -98,14 +98,18 @@ class Segment:
         return value
 
     def all(self) -> np.ndarray:
-        """Every token, from the highest level down."""
-        values = np.zeros(0, dtype=np.uint32)
-        for chunks, bits, _ in reversed(self.levels):
-            more = np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)
-            here = chunks.astype(np.uint32)
-            here[more] |= values << np.uint32(8)
-            values = here
-        return values
+        """Every token: each level's chunks go to their byte of the tokens that
+        reach it."""
+        out = np.zeros((self.n_ids, 4), dtype=np.uint8)
+        reach = None
+        for k, (chunks, bits, _) in enumerate(self.levels):
+            if k == 0:
+                out[:, 0] = chunks
+            else:
+                out[reach, k] = chunks
+            more = np.flatnonzero(np.unpackbits(bits, count=len(chunks), bitorder="little"))
+            reach = more if reach is None else reach[more]
+        return out.view("<u4").ravel()
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, spaced: bool = True, end_id: int = END_ID,
@@ -156,7 +160,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, nth, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 seg = Segment(payload)
-                raw = memoryview(seg.all().astype("<u4").tobytes())
+                raw = memoryview(seg.all()).cast("B")
                 starts = seg.starts
                 crc = [zlib.crc32(raw[4 * s:4 * e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 n = len(crc)
