@@ -70,8 +70,8 @@ class BulkEncoder:
     def _letters(self, words: list[str], glue: str, mark: np.ndarray, key: str, starts: bool) -> None:
         """Ids of words of letters only, many words in a call; ``mark`` tells the
         tokens that open (``starts``) or close a word."""
-        for at in range(0, len(words), 4000):
-            part = words[at:at + 4000]
+        for at in range(0, len(words), 500):
+            part = words[at:at + 500]
             ids = self._ids((glue or " ").join(["", *part] if glue else part))
             marks = np.flatnonzero(mark[ids])
             if len(marks) != len(part):  # a letter that normalises into something else

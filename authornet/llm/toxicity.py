@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Tokens are lower-cased words and the stems (first letters) they begin with.  Candidates are the entries
-that toxic training texts use often enough; one pass counts them in toxic and clean training
-texts and in the whole corpus.  Their log-odds carry a Dirichlet prior in proportion to the corpus
+that distinctly more toxic than clean training texts use; one pass counts them in toxic and clean
+training texts and in the whole corpus.  Their log-odds carry a Dirichlet prior in proportion to the corpus
 counts, and entries whose log-odds stand out by ``MIN_Z`` deviations form the lexicon.  A word scores as
 its longest entry, every other word a small negative value.
 
@@ -32,6 +32,9 @@ from .labels import held_out, training_rows
 
 STEMS = (4, 5, 6, 7)
 MIN_TOXIC_TEXTS = 5
+# deviations by which the share of texts must differ for an entry to be counted in the corpus,
+# and by which its log-odds must stand out to enter the lexicon
+MIN_TEXT_Z = 2.5
 MIN_Z = 4.0
 # weight of the prior against the training texts' own words
 PRIOR_SHARE = 0.02
@@ -57,22 +60,46 @@ def _labelled(df: DataFrame, rows: DataFrame) -> DataFrame:
     return common.texts(df).join(F.broadcast(rows), "doc_id", "left")
 
 
-def candidates(df: DataFrame, rows: DataFrame) -> list[str]:
-    """Entries that enough of the toxic training texts use (bounded by those)."""
+def text_counts(df: DataFrame, rows: DataFrame, y: int, wanted: frozenset | None = None) -> DataFrame:
+    """(entry, n): training texts of class ``y`` that use each entry (of ``wanted``)."""
+    sent = common.send(df.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent()
         uses: Counter = Counter()
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                uses.update({e for w in set(tokens(t)) for e in entries(w)})
+                here: set[str] = set()
+                for w in set(tokens(t)):
+                    if (found := known.get(w)) is None:
+                        found = tuple(e for e in entries(w) if wanted is None or e in wanted)
+                        if len(known) < CACHED_WORDS:
+                            known[w] = found
+                    here.update(found)
+                uses.update(here)
         if uses:
             yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())],
                                              names=["entry", "n"])
 
-    toxic = common.texts(df).join(F.broadcast(rows.filter("y = 1").select("doc_id")), "doc_id", "left_semi")
-    often = (toxic.select("text").mapInArrow(run, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= MIN_TOXIC_TEXTS))
-    return sorted(r["entry"] for r in often.select("entry").collect())
+    mine = common.texts(df).join(F.broadcast(rows.filter(F.col("y") == y).select("doc_id")), "doc_id", "left_semi")
+    return mine.select("text").mapInArrow(run, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
+
+
+def candidates(df: DataFrame, rows: DataFrame) -> list[str]:
+    """Entries that enough toxic training texts use, and distinctly more of them than
+    of the clean ones (both bounded by the training rows)."""
+    often = {r["entry"]: r["n"] for r in text_counts(df, rows, 1).filter(F.col("n") >= MIN_TOXIC_TEXTS).collect()}
+    clean = {r["entry"]: r["n"] for r in text_counts(df, rows, 0, frozenset(often)).collect()}
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size.get(1, 0) + 1, size.get(0, 0) + 1
+
+    def stands_out(e: str) -> bool:
+        a, b = often[e] + 0.5, clean.get(e, 0) + 0.5
+        odds = np.log(a / (n1 - a + 0.5)) - np.log(b / (n0 - b + 0.5))
+        return odds >= MIN_TEXT_Z * np.sqrt(1 / a + 1 / b)
+
+    return sorted(e for e in often if stands_out(e))
 
 
 def count_entries(df: DataFrame, rows: DataFrame, wanted: list[str]) -> dict[str, np.ndarray]:
