@@ -54,9 +54,12 @@ def strip_lower(col) -> Column:
     return F.lower(F.regexp_replace(_c(col), P.java(P.EDGE_WS), ""))
 
 
-def truncate_text(col, n: int) -> Column:
-    """First ``n`` characters (only where a scorer demands it)."""
-    return F.substring(_c(col), 1, n)
+def chunk_text(col, n: int) -> Column:
+    """The whole text as an array of pieces of at most ``n`` characters
+    (a scorer's limit); '' is one empty piece, null stays null."""
+    c = _c(col)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(c) / n).cast("int") - 1, F.lit(0)))
+    return F.when(c.isNotNull(), F.transform(starts, lambda k: F.substring(c, k * n + 1, F.lit(n))))
 
 
 # --- counts ----------------------------------------------------------------

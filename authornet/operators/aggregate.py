@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Output columns that must equal the reference's, in its order.
 SUM_FEATURES = ["noun_count", "verb_count", "adj_count",
                 "positive_sentiment", "negative_sentiment", "neutral_sentiment"]
 MEAN_FEATURES = ["sent_count", "word_count", "avg_sent_length", "avg_word_length",
@@ -140,27 +141,37 @@ def was_forwarded(agg: DataFrame, messages: DataFrame, keys=("author", "group_na
             .withColumn("was_forwarded", F.coalesce("was_forwarded", F.lit(0).cast("bigint"))))
 
 
-def join_texts(df: DataFrame, keys=("author",), col: str = "final_message_string", order: str = "UID_key",
-               part_keys: int = 4096, out: str | None = None) -> DataFrame:
-    """A5: ' '-joined texts (nulls and '' skipped) in ``order``.  To keep
-    every collected value bounded, a key's texts are split into parts of at
-    most ``part_keys`` consecutive order values; concatenating the parts in
-    ``part`` order gives the key's whole text."""
-    keys = list(keys)
-    out = out or col
-    src = df.filter(X.has_text(col) & keys_present(keys))
-    numeric = dict(src.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
-    if numeric:
-        part = F.floor(F.col(order) / F.lit(part_keys)).cast("bigint")
-    else:
-        # any orderable key: consecutive runs of `part_keys` rows in
-        # (keys, order) order, numbered from distributed global positions
-        from .clean import row_positions
-        src = row_positions(src.withColumn("_o", F.struct(*[F.col(k) for k in keys], F.col(order))), "_o")
-        part = F.floor((F.col("_pos") - 1) / F.lit(part_keys)).cast("bigint")
-    return (src.groupBy(*keys, part.alias("part"))
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(col)))),
-                                          lambda s: s[col]), " ").alias(out)))
+def join_texts(df: DataFrame, keys=("author",), cols=("final_message_string",), order: str = "UID_key",
+               part_rows: int = 4096) -> DataFrame:
+    """A5: ' '-joined texts (nulls and '' skipped) in ``order``, unique within a key and
+    of any orderable type.  A key's messages are numbered in that order and cut into parts
+    of ``part_rows`` (part 0, 1, ... within each key), so no collected value holds
+    more than that many messages; concatenating the parts in order gives the whole.
+    Numbers come from global positions of (keys, order) alone, minus the key's first."""
+    from .clean import row_positions
+    keys, cols = list(keys), list(cols)
+    some = F.lit(False)
+    for c in cols:
+        some = some | X.has_text(c)
+    src = df.filter(some & keys_present(keys))
+    pos = row_positions(src.select(F.struct(*keys, order).alias("_o")), "_o")
+    first = pos.groupBy(*[F.col(f"_o.{k}").alias(k) for k in keys]).agg(F.min("_pos").alias("_first"))
+    part = pos.select(F.col(f"_o.{order}").alias(order), *[F.col(f"_o.{k}").alias(k) for k in keys], "_pos").join(first, keys).select(
+        *keys, order, F.floor((F.col("_pos") - F.col("_first")) / F.lit(part_rows)).cast("bigint").alias("part"))
+    rows = src.select(*keys, order, *cols).join(part, [*keys, order])
+
+    def whole(c: str) -> Column:
+        texts = F.array_sort(F.collect_list(F.when(X.has_text(c), F.struct(F.col(order), F.col(c).alias("text")))))
+        return F.array_join(F.transform(texts, lambda r: r["text"]), " ").alias(c)
+
+    joined = [whole(c) for c in cols]
+    return rows.groupBy(*keys, "part").agg(*joined)
+
+
+def attach_texts(agg: DataFrame, texts: DataFrame, keys=("author",), cols=("final_message", "final_message_string")) -> DataFrame:
+    """The table of :func:`join_texts` on the aggregated table: one row per key and
+    part, so a hot key's text is never one value (a key without text keeps one row)."""
+    return agg.join(texts.select(*keys, "part", *cols), list(keys), "left")
 
 
 def message_ratios(df: DataFrame) -> DataFrame:
@@ -171,6 +182,7 @@ def message_ratios(df: DataFrame) -> DataFrame:
             .withColumn("forwarded_message", F.col("forwarded_message_count") / F.col("total_message_count")))
 
 
+# The counts that become shares of own messages.
 SHARE_COLUMNS = ["positive_sentiment", "negative_sentiment", "neutral_sentiment",
                  "channel_messages", "group_messages"]
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import cut_lineage
+from .lexicon import bounded_rows
 
 CLEAN_COLUMNS = ["UID_key", "author", "fwd_message", "fwd_author", "date", "group_or_channel",
                  "own_message", "forwarded_message", "group_name", "fwd_message_string",
@@ -87,22 +88,15 @@ def _hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-# Up to this many rows a sample is a distributed top-n; beyond it the rows
-# are cut by global position, so nothing of size n passes the driver.
-TOP_N_MAX = 100_000
-
-
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "UID_key") -> DataFrame:
     """Repeatable sample of exactly ``n`` rows (fewer if the input is
-    smaller), the first n rows in seeded-hash order.  Sampling *is* the
-    operator here, so the cut is the feature.  Small n: a top-n (each task
-    keeps at most n rows).  Large n: positions from a range-partitioned
-    sort with per-partition offsets, then a filter - no driver merge."""
-    if n <= TOP_N_MAX:
-        return df.orderBy(_hash_order(seed, key), F.col(key)).limit(n)
+    smaller), the first n in seeded-hash order; ``key`` names a row.  Sampling *is* the
+    operator here, so the cut is the feature.  One plan for every n: keys get their
+    positions from a range-partitioned sort of (hash, key) alone, and the chosen keys
+    pick the rows in a semi-join, so neither rows nor texts are sorted or merged."""
     order = F.struct(_hash_order(seed, key).alias("h"), F.col(key).alias("k"))
-    pos = row_positions(df.withColumn("_order", order), "_order")
-    return pos.filter(F.col("_pos") <= n).drop("_order", "_pos")
+    chosen = row_positions(df.select(order.alias("_order")), "_order").filter(F.col("_pos") <= n)
+    return df.join(chosen.select(F.col("_order.k").alias(key)), key, "left_semi")
 
 
 def sample_clean(raw: DataFrame, n: int, seed: int = 42, buffer: int = 500, key: str = "UID_key") -> DataFrame:
@@ -123,36 +117,40 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str = "
 def sample_balanced(df: DataFrame, n: int, by: str = "group_or_channel", seed: int = 42,
                     key: str = "UID_key") -> DataFrame:
     """N rows split evenly over the strata of ``by``; a stratum that has
-    too few rows gives its shortfall to the others (water-filling).  Rows
-    are numbered inside their stratum from global positions (range
-    partition + per-partition offsets) minus the stratum's start, so a
-    stratum holding most rows is never sorted in one task.  Rows without a
-    stratum cannot be allotted and are left out."""
-    df = df.filter(F.col(by).isNotNull())
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_cnt"))
-    quota = _water_fill({r[0]: r[1] for r in counts.collect()}, n)  # one row per stratum
-    q = F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))]) if quota else F.create_map()
-    # start of each stratum in the global (stratum, hash, key) order: a
-    # window over the per-stratum counts only (one row per stratum)
-    starts = counts.select(by, (F.sum("_cnt").over(Window.orderBy(F.col(by).asc_nulls_first())) - F.col("_cnt"))
-                           .alias("_start"))
+    too few rows gives its shortfall to the others (water-filling).  Only
+    (stratum, hash, key) is ordered: a row's number in its stratum is its global
+    position minus the stratum's first one, so a stratum holding most rows is never
+    sorted in one task; the chosen keys then pick the rows in a semi-join.  Rows without
+    a stratum cannot be allotted and are left out."""
     order = F.struct(F.col(by).alias("s"), _hash_order(seed, key).alias("h"), F.col(key).alias("k"))
-    pos = row_positions(df.withColumn("_order", order), "_order")
-    return (pos.join(F.broadcast(starts), by, "left")   # one row per stratum
-            .filter(F.col("_pos") - F.col("_start") <= F.element_at(q, F.col(by)))
-            .drop("_order", "_pos", "_start"))
-
-
-def _water_fill(counts: dict, n: int) -> dict:
-    """Even shares; strata smaller than their share give the rest to the
-    larger ones (smallest first, remainder to the largest)."""
-    quota, left = {}, n
-    ks = sorted(counts, key=lambda k: (counts[k], str(k)))
-    for i, k in enumerate(ks):
-        take = min(left // (len(ks) - i), counts[k])
-        quota[k] = take
-        left -= take
-    return quota
+    pos = row_positions(df.filter(F.col(by).isNotNull()).select(order.alias("_order")), "_order")
+    strata = pos.groupBy(F.col("_order.s").alias("s")).agg(F.min("_pos").alias("first"), F.count(F.lit(1)).alias("cnt"))
+    chosen = (pos.join(water_fill(strata, n), F.col("_order.s") == F.col("s"))
+              .filter(F.col("_pos") - F.col("first") < F.col("quota")))
+    return df.join(chosen.select(F.col("_order.k").alias(key)), key, "left_semi")
+
+
+def water_fill(strata: DataFrame, n: int) -> DataFrame:
+    """``strata`` (s, cnt, ...) with ``quota``: even shares of n; strata smaller than
+    their share give the rest to the larger ones (smallest first, what does not divide to
+    the largest).  With the strata in order of size, the i-th of m is taken
+    whole as long as its count is at most (n - rows before it) // (m - i); from the
+    first larger one on, all share what is left."""
+    from .stats import _cumulative_before
+    rank = row_positions(strata.select(F.struct("cnt", F.col("s").cast("string").alias("name")).alias("_o"), "s", "cnt"), "_o", "_i")
+    ranked = _cumulative_before(rank.withColumn("_g", F.lit(1)), ["_g"], "_i", "cnt").select(
+        "s", "cnt", (F.col("_i") - 1).alias("i"), F.col("before").alias("_before"))
+    m = ranked.agg(F.count(F.lit(1)).alias("m")).first()["m"]
+    share = F.floor((F.lit(n) - F.col("_before")) / (F.lit(m) - F.col("i")))
+    cut = ranked.filter(F.col("cnt") > share).agg(F.min(F.struct("i", "_before")).alias("x")).first()["x"]
+    whole = F.col("cnt")
+    if cut is None:
+        quota = whole
+    else:
+        base, extra = divmod(max(n - cut["_before"], 0), m - cut["i"])
+        quota = F.when(F.col("i") < cut["i"], whole).otherwise(
+            F.lit(base) + (F.col("i") >= m - extra).cast("long"))
+    return strata.join(ranked.select("s", quota.cast("long").alias("quota")), "s")
 
 
 def union_tagged(frames: dict, tag_col: str = "group_or_channel") -> DataFrame:
@@ -196,11 +194,12 @@ def assemble(df: DataFrame, cols, out: str = "x", keep=("author",)) -> DataFrame
 
 
 def batch_ids(df: DataFrame, size: int, order: str = "UID_key", out: str = "batch_id") -> DataFrame:
-    """Consecutive batches of ``size`` rows in ``order``.  Positions are
-    computed without a single-partition window: a range-partitioned sort,
-    per-partition counts (tiny), then offsets added back per partition."""
-    with_pos = row_positions(df, order)
-    return with_pos.withColumn(out, F.floor((F.col("_pos") - 1) / F.lit(size)).cast("bigint")).drop("_pos")
+    """Consecutive batches of ``size`` rows in ``order`` (a unique key).
+    Positions of the keys alone are computed without a single-partition window: a
+    range-partitioned sort, per-partition counts, then offsets added back per partition."""
+    pos = row_positions(df.select(order), order)
+    batch = pos.select(order, F.floor((F.col("_pos") - 1) / F.lit(size)).cast("bigint").alias(out))
+    return df.join(batch, order)
 
 
 def row_positions(df: DataFrame, order: str, out: str = "_pos") -> DataFrame:
@@ -222,15 +221,11 @@ def row_positions(df: DataFrame, order: str, out: str = "_pos") -> DataFrame:
 def preprocess_text(df: DataFrame, col: str, stopwords, lemmas: DataFrame, out: str = "preprocessed",
                     key: str = "UID_key") -> DataFrame:
     """Lower-case word tokens, stop-words dropped, lemma substituted,
-    re-joined with ' '.  Lemmas are a bounded lookup table joined on the
-    distinct vocabulary, then mapped back per token position."""
-    from .lexicon import broadcast_if_small
-    toks = df.select(key, F.posexplode(X.words_array(col)).alias("pos", "tok"))
-    toks = toks.filter(~F.col("tok").isin(list(stopwords)))
-    lem = broadcast_if_small(lemmas.select(F.col("word").alias("tok"), "lemma"))
-    mapped = toks.join(lem, "tok", "left").select(key, "pos", F.coalesce("lemma", "tok").alias("w"))
-    joined = (mapped.groupBy(key)
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))),
-                                            lambda s: s["w"]), " ").alias(out)))
-    return (df.join(joined, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.lit(""))))
+    re-joined with ' ', all inside the row.  The lemma table is measured and then travels
+    as a map; a larger one is refused."""
+    lem = {r["word"]: r["lemma"] for r in bounded_rows(lemmas.select("word", "lemma"))}
+    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))]).cast("array<string>")
+    known = F.create_map(*[F.lit(x) for pair in sorted(lem.items()) for x in pair]) if lem else None
+    words = F.filter(X.words_array(col), lambda w: ~F.array_contains(stop, w))
+    mapped = F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)) if lem else words
+    return df.withColumn(out, F.coalesce(F.array_join(mapped, " "), F.lit("")))

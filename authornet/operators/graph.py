@@ -125,7 +125,8 @@ def transition(edges: DataFrame, mem: DataFrame, t: int = 2, hot_groups: int = 1
     A + I = P Pᵀ + diag(1 - m),
     ((A+I) W (A+I))_ij = (P Q Pᵀ)_ij + (P Pᵀ)_ij (w_i e_i + w_j e_j) + δ_ij e_i² w_i
     with e = 1 - m and Q = Pᵀ W P (group x group, built from each author's
-    own groups).  Larger t falls back to repeated sparse products.
+    own groups).  Larger t goes through group space too (``_transition_powers``);
+    no power is ever built over all author pairs.
 
     The memberships and edges are read many times below, so they are
     checkpointed once (reliably, in the shared checkpoint folder)."""
@@ -142,7 +143,7 @@ def transition(edges: DataFrame, mem: DataFrame, t: int = 2, hot_groups: int = 1
     if t == 1:
         return t1.select("src", "dst", F.col("t1").alias("m"))
     if t != 2:
-        return _transition_iterative(t1, t)
+        return _transition_powers(sup, mem, norms, t)
     w = norms.select("author", (1.0 / ((F.col("strength") + 1) * F.col("C"))).alias("w"),
                      (1 - F.col("groups")).alias("e"), "groups")
     sup_pairs = sup.select(F.col("src").alias("i"), F.col("dst").alias("j"), "a")
@@ -187,32 +188,57 @@ def transition(edges: DataFrame, mem: DataFrame, t: int = 2, hot_groups: int = 1
             .select("src", "dst", ((F.col("t1") + F.coalesce("t2", F.lit(0.0))) / 2).alias("m")))
 
 
-def _transition_iterative(t1: DataFrame, t: int) -> DataFrame:
-    """General t: full sparse powers T^k for k < t (lineage cut each
-    round), last power read on the support only."""
-    support = t1.select("src", "dst")
-    acc = t1.select("src", "dst", F.col("t1").alias("m"))
-    power = t1.select(F.col("src"), F.col("dst"), F.col("t1").alias("v"))
+def _transition_powers(sup: DataFrame, mem: DataFrame, norms: DataFrame, t: int) -> DataFrame:
+    """Mean of T^1..T^t on the support of A + I, with the powers kept as
+    author x group tables.  With B = A + I = P Pᵀ + E, E = diag(1 - m), and
+    Y_k = B (W B)^(k-1):
+
+      Y_k = sum over r = 1..k of U_r Pᵀ (W E)^(k-r) + E (W E)^(k-1)
+      U_1 = P,  U_k = sum over j = 0..k-2 of U_(k-1-j) Q_j + E (W E)^(k-2) W P,
+      Q_j = Pᵀ (W E)^j W P  (group x group, from each author's own groups)
+
+    and T^k_ij = Y_k(i, j) / (rs_i C_j).  U_r is joined to the support's
+    pairs through the target's groups, so only entries on the support are summed."""
+    d = norms.select("author", (1.0 / ((F.col("strength") + 1) * F.col("C"))).alias("w"),
+                     (1 - F.col("groups")).cast("double").alias("e"), (F.col("strength") + 1).alias("rs"), "C")
+    d = cut_lineage(d.withColumn("we", F.col("w") * F.col("e")))
+    own = mem.join(d, "author")
+    q = (own.select("author", F.col("group_name").alias("g"), "w", "we").join(mem.withColumnRenamed("group_name", "h"), "author")
+         .groupBy("g", "h").agg(*[F.sum(F.col("w") * F.pow("we", F.lit(j))).alias(f"q{j}") for j in range(t - 1)]))
+    q = cut_lineage(q)
+    u = [mem.select(F.col("author").alias("i"), F.col("group_name").alias("h"), F.lit(1.0).alias("u"))]
     for k in range(2, t + 1):
-        step = t1.select(F.col("src").alias("l"), F.col("dst").alias("j"), F.col("t1").alias("b"))
-        nxt = (power.join(step, power.dst == step.l)
-               .groupBy(power.src.alias("src"), step.j.alias("dst")).agg(F.sum(F.col("v") * F.col("b")).alias("v")))
-        if k == t:
-            nxt = nxt.join(support, ["src", "dst"], "left_semi")
-        else:
-            nxt = cut_lineage(nxt)
-        acc = acc.join(nxt.withColumnRenamed("v", f"p{k}"), ["src", "dst"], "left") \
-            .select("src", "dst", (F.col("m") + F.coalesce(F.col(f"p{k}"), F.lit(0.0))).alias("m"))
-        power = nxt
-    return acc.select("src", "dst", (F.col("m") / t).alias("m"))
+        parts = own.select(F.col("author").alias("i"), F.col("group_name").alias("h"),
+                           (F.col("e") * F.pow("we", F.lit(k - 2)) * F.col("w")).alias("u"))
+        for j in range(k - 1):
+            step = q.select("g", F.col("h").alias("h2"), F.col(f"q{j}").alias("q"))
+            parts = parts.unionByName(u[k - 2 - j].join(step, F.col("h") == F.col("g"))
+                                      .select("i", F.col("h2").alias("h"), (F.col("u") * F.col("q")).alias("u")))
+        u.append(cut_lineage(parts.groupBy("i", "h").agg(F.sum("u").alias("u"))))
+    every = None
+    for r, table in enumerate(u, 1):
+        part = table.withColumn("r", F.lit(r))
+        every = part if every is None else every.unionByName(part)
+    pairs = sup.select(F.col("src").alias("i"), F.col("dst").alias("j"))
+    seen = (pairs.join(mem.select(F.col("author").alias("j"), F.col("group_name").alias("h")), "j").join(every, ["i", "h"])
+            .groupBy("i", "j").agg(*[F.sum(F.when(F.col("r") == r, F.col("u"))).alias(f"p{r}") for r in range(1, t + 1)]))
+    di = d.select(F.col("author").alias("i"), F.col("rs").alias("rs"), F.col("e").alias("ei"), F.col("we").alias("wei"))
+    dj = d.select(F.col("author").alias("j"), "C", F.col("we").alias("wej"))
+    total = F.lit(0.0)
+    for k in range(1, t + 1):
+        for r in range(1, k + 1):
+            total = total + F.coalesce(F.col(f"p{r}"), F.lit(0.0)) * F.pow("wej", F.lit(k - r))
+        total = total + F.when(F.col("i") == F.col("j"), F.col("ei") * F.pow("wei", F.lit(k - 1))).otherwise(F.lit(0.0))
+    return (pairs.join(seen, ["i", "j"], "left").join(di, "i").join(dj, "j")
+            .select(F.col("i").alias("src"), F.col("j").alias("dst"), (total / (F.col("rs") * F.col("C")) / F.lit(float(t))).alias("m")))
 
 
 # --- counts, degrees, centralities -----------------------------------------------------
 
 def graph_size(edges: DataFrame, node_df: DataFrame) -> DataFrame:
-    """Node and edge counts (isolated nodes included)."""
-    n_edges = edges.count()  # one scalar
-    return node_df.agg(F.count(F.lit(1)).alias("nodes")).withColumn("edges", F.lit(n_edges).cast("bigint"))
+    """Node and edge counts (isolated nodes included) in one aggregate."""
+    both = node_df.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("nodes"), F.coalesce(F.sum("e"), F.lit(0)).cast("bigint").alias("edges"))
 
 
 def degree(edges: DataFrame, node_df: DataFrame) -> DataFrame:
@@ -227,9 +253,10 @@ def degree_stats(deg: DataFrame) -> DataFrame:
                    F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
 
 
-def degree_centrality(deg: DataFrame) -> DataFrame:
-    """Degree / (N - 1); N from a one-row aggregate."""
-    n = deg.count()  # one scalar
+def degree_centrality(deg: DataFrame, node_df: DataFrame | None = None) -> DataFrame:
+    """Degree / (N - 1); N is counted on the node table where it is given,
+    so the pairs are built once."""
+    n = (node_df if node_df is not None else deg).count()  # one scalar
     return deg.select("author", "degree",
                       (F.col("degree") / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)).alias("degree_centrality"))
 
@@ -253,12 +280,12 @@ def missing_keys(a: DataFrame, b: DataFrame, key: str = "author") -> DataFrame:
 
 
 def eigenvector(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = None, weighted: bool = False,
-                iters: int = 100, tol: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+                iters: int = 100, tol: float = 1e-6, checkpoint_every: int = 5, fixed: bool = False) -> DataFrame:
     """Power iteration with networkx's convention: iterate on A + I,
     L2-normalise, stop when the L1 change is below N * tol.  Unweighted
     (the networkx default) multiplies through the edge table; weighted
     uses the factored form A v = P (Pᵀ v) - m ∘ v on the memberships, so it
-    needs no pair table at all."""
+    needs no pair table at all.  ``fixed`` takes exactly ``iters`` steps."""
     node_df = cut_lineage(node_df)
     n = node_df.count()
     v = node_df.select("author", F.lit(1.0 / n).alias("v"))
@@ -285,93 +312,121 @@ def eigenvector(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = No
             held.unpersist()
         held = new
         v = new.select("author", (F.col("x") / norm).alias("v"))
-        if err < n * tol:
+        if not fixed and err < n * tol:
             break
     else:
-        raise RuntimeError(f"power iteration did not converge in {iters} iterations")
+        if not fixed:
+            raise RuntimeError(f"power iteration did not converge in {iters} iterations")
     return v.select("author", F.col("v").alias("eigenvector_centrality"))
 
 
+# Sources that search at the same time: the state of a search is at most this many times the nodes.
+SOURCES_AT_ONCE = 4096
+
+
+def _source_batches(src: DataFrame, at_once: int):
+    """The sources (column s) in consecutive batches, by their index."""
+    index = cut_lineage(node_index(src, "s"))
+    n = index.agg(F.max("idx")).first()[0]
+    for first in range(0, 0 if n is None else n + 1, at_once):
+        yield index.filter((F.col("idx") >= first) & (F.col("idx") < first + at_once)).select("s")
+
+
 def closeness(edges: DataFrame, node_df: DataFrame, mem: DataFrame | None = None, sources: DataFrame | None = None,
-              max_hops: int | None = None) -> DataFrame:
+              max_hops: int | None = None, at_once: int = SOURCES_AT_ONCE) -> DataFrame:
     """Closeness with the Wasserman-Faust scaling used by networkx,
     (r/(N-1)) * (r / sum of distances), r = reachable others.  Breadth-first
     search from every source (or the given ``sources``) runs as an
     iterative frontier join until no frontier is left (``max_hops`` only if
     the caller wants a cut); with memberships it walks author -> group ->
-    author, so no pair table is read.  Exact for all sources."""
+    author, so no pair table is read.  Exact for all sources.
+
+    Sources search in batches.  The graph is undirected, so a level's neighbours
+    lie in it, the one before or the next: only two levels are held, and each is
+    reduced to (source, nodes, distance) at once."""
     node_df = cut_lineage(node_df)
     mem = cut_lineage(mem) if mem is not None else None
     n = node_df.count()
     src = (sources if sources is not None else node_df).select(F.col("author").alias("s"))
     if mem is not None:
-        hop = lambda fr: (fr.join(mem.withColumnRenamed("author", "a"), "a").select("s", "group_name").distinct()
+        hop = lambda fr: (fr.join(mem.withColumnRenamed("author", "a"), "a").select("s", "group_name").distinct()
                           .join(mem, "group_name").select("s", F.col("author").alias("a")))
     else:
-        sym = symmetric(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        hop = lambda fr: fr.join(sym, "a").select("s", F.col("b").alias("a"))
-    seen = src.select("s", F.col("s").alias("a"), F.lit(0).alias("d"))
-    frontier = seen.select("s", "a")
-    d = 0
-    while max_hops is None or d < max_hops:
-        d += 1
-        nxt = hop(frontier).distinct().join(seen.select("s", "a"), ["s", "a"], "left_anti")
-        nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
-            break
-        seen = cut_lineage(seen.unionByName(nxt.withColumn("d", F.lit(d))))
-        frontier = nxt
-    agg = seen.filter(F.col("d") > 0).groupBy("s").agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot"))
-    out = src.join(agg, "s", "left").select(
+        sym = cut_lineage(symmetric(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        hop = lambda fr: fr.join(sym, "a").select("s", F.col("b").alias("a"))
+    reached = None
+    for batch in _source_batches(src, at_once):
+        before, level = None, batch.select("s", F.col("s").alias("a"))
+        d = 0
+        while max_hops is None or d < max_hops:
+            d += 1
+            known = level if before is None else level.unionByName(before)
+            nxt = cut_lineage(hop(level).distinct().join(known, ["s", "a"], "left_anti"))
+            part = cut_lineage(nxt.groupBy("s").agg(F.count(F.lit(1)).alias("r"), (F.count(F.lit(1)) * d).alias("tot")))
+            if part.limit(1).count() == 0:
+                break
+            reached = part if reached is None else reached.unionByName(part)
+            before, level = level, nxt
+    if reached is None:
+        return src.select(F.col("s").alias("author"), F.lit(0.0).alias("closeness_centrality"))
+    agg = reached.groupBy("s").agg(F.sum("r").alias("r"), F.sum("tot").alias("tot"))
+    return src.join(agg, "s", "left").select(
         F.col("s").alias("author"),
         F.when(F.col("tot") > 0, (F.col("r") / F.lit(max(n - 1, 1))) * (F.col("r") / F.col("tot")))
         .otherwise(F.lit(0.0)).alias("closeness_centrality"))
-    return out
 
 
 def betweenness(edges: DataFrame, node_df: DataFrame, sources: DataFrame | None = None,
-                max_hops: int | None = None, normalized: bool = True) -> DataFrame:
+                max_hops: int | None = None, normalized: bool = True, at_once: int = SOURCES_AT_ONCE) -> DataFrame:
     """Brandes' betweenness on the unweighted graph, all sources (or
-    the given ``sources``).  Forward: breadth-first levels carrying the
-    number of shortest paths per (source, node).  Backward: dependencies
-    flow from each level to the previous one through the edges that join
-    consecutive levels.  Scaled like networkx (1/((n-1)(n-2)) when
+    the given ``sources``), in batches.  Forward: breadth-first levels carrying the
+    number of shortest paths per (source, node); a new level is told from the
+    last two only.  Backward: dependencies flow from each level to the
+    previous one through the edges that join consecutive levels, and each batch is
+    reduced to a sum per node.  Scaled like networkx (1/((n-1)(n-2)) when
     normalised, 1/2 otherwise for an undirected graph)."""
     node_df = cut_lineage(node_df)
     n = node_df.count()
     sym = cut_lineage(symmetric(edges).select(F.col("src").alias("v"), F.col("dst").alias("w")))
     src = (sources if sources is not None else node_df).select(F.col("author").alias("s"))
-    level = cut_lineage(src.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
+    total = None
+    for batch in _source_batches(src, at_once):
+        part = _dependencies(batch, sym, max_hops)
+        if part is not None:
+            total = part if total is None else total.unionByName(part)
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else 0.5
+    if total is None:
+        return node_df.select("author", F.lit(0.0).alias("betweenness_centrality"))
+    b = total.groupBy("v").agg(F.sum("b").alias("b"))
+    return (node_df.join(b.withColumnRenamed("v", "author"), "author", "left")
+            .select("author", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality")))
+
+
+def _dependencies(batch: DataFrame, sym: DataFrame, max_hops: int | None) -> DataFrame | None:
+    """(v, b): sum of the dependencies of one batch of sources on each node."""
+    level = cut_lineage(batch.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
     levels = [level]
-    seen = level.select("s", "v")
     while max_hops is None or len(levels) <= max_hops:
+        known = level.select("s", "v")
+        if len(levels) > 1:
+            known = known.unionByName(levels[-2].select("s", "v"))
         nxt = (level.join(sym, "v").select("s", F.col("w").alias("v"), "sigma")
-               .join(seen, ["s", "v"], "left_anti")
+               .join(known, ["s", "v"], "left_anti")
                .groupBy("s", "v").agg(F.sum("sigma").alias("sigma")))
         nxt = cut_lineage(nxt)
         if nxt.limit(1).count() == 0:
             break
         levels.append(nxt)
-        seen = cut_lineage(seen.unionByName(nxt.select("s", "v")))
         level = nxt
-    delta = None  # dependencies of the deepest level are 0
-    total = None
-    for depth in range(len(levels) - 1, 0, -1):
+    delta = total = None  # dependencies of the deepest level are 0
+    for depth in range(len(levels) - 1, 1, -1):
         child = levels[depth].select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"))
         child = child if delta is None else child.join(
             delta.select("s", F.col("v").alias("w"), F.col("delta").alias("dw")), ["s", "w"], "left")
         dw = F.col("dw") if delta is not None else F.lit(0.0)
-        parent = levels[depth - 1]
-        contrib = (parent.join(sym, "v").join(child, ["s", "w"])
+        contrib = (levels[depth - 1].join(sym, "v").join(child, ["s", "w"])
                    .select("s", "v", (F.col("sigma") / F.col("sw") * (1 + F.coalesce(dw, F.lit(0.0)))).alias("c")))
-        new_delta = cut_lineage(contrib.groupBy("s", "v").agg(F.sum("c").alias("delta")))
-        if depth - 1 >= 1:
-            part = new_delta.groupBy("v").agg(F.sum("delta").alias("b"))
-            total = part if total is None else total.unionByName(part)
-        delta = new_delta
-    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else 0.5
-    if total is None:
-        return node_df.select("author", F.lit(0.0).alias("betweenness_centrality"))
-    b = total.groupBy("v").agg(F.sum("b").alias("b"))
-    return (node_df.join(b.withColumnRenamed("v", "author"), "author", "left")
-            .select("author", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality")))
+        delta = cut_lineage(contrib.groupBy("s", "v").agg(F.sum("c").alias("delta")))
+        part = delta.groupBy("v").agg(F.sum("delta").alias("b"))
+        total = part if total is None else total.unionByName(part)
+    return None if total is None else cut_lineage(total.groupBy("v").agg(F.sum("b").alias("b")))

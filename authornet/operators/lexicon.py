@@ -12,10 +12,10 @@ Two physical plans give the same result:
   becomes hashed ``IN`` sets inside higher-order array expressions.  Each
   message is scored in the projection that reads it: no explode, no
   shuffle, the text never leaves its partition.
-* ``join`` (any size): tokens are exploded, the *distinct* vocabulary is
-  matched once (exact equi-join, then generated prefixes equi-joined with
-  the stems - never a LIKE theta join), and the per-token result is joined
-  back, broadcast only when its measured size allows.
+* ``join`` (any size): messages are tokenised once into a stored table; its
+  *distinct vocabulary* is matched once (exact equi-join, then generated prefixes
+  equi-joined with the stems - never a LIKE theta join), and the matches are joined to
+  the token counts per message.  AQE measures the sides and broadcasts or splits.
 """
 
 from __future__ import annotations
@@ -27,25 +27,28 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..session import cut_lineage
 
-# Inline plan limit: lexicon rows embedded as hashed sets in the plan (the
-# plan travels with every task, so it stays well below a megabyte or two).
-MAX_INLINE_ENTRIES = 50_000
-# Broadcast limit for a looked-up table whose size is only known at run time.
-MAX_BROADCAST_ROWS = 2_000_000
+# Inline plan limit in bytes: the lexicon then travels as hashed sets in the plan, with every task.
+MAX_INLINE_BYTES = 1 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """For a lookup *input* (lexicon, labels, lemmas): broadcast only after
-    counting it; beyond the bound the join stays a shuffle join.
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of a lookup table's values (one aggregate, nothing collected)."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    return df.agg(F.sum(width + F.lit(8))).first()[0] or 0
 
-    Sides that are *computed* from large data (group sizes, matched
-    vocabulary, rank tables) are not passed here - counting them would run
-    their whole plan twice.  Those joins carry no hint: AQE measures the
-    materialised shuffle output at run time and switches to a broadcast
-    join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def fits_inline(df: DataFrame) -> bool:
+    return table_bytes(df) <= MAX_INLINE_BYTES
+
+
+def bounded_rows(df: DataFrame):
+    """All rows of a lookup table whose size was measured first."""
+    size = table_bytes(df)
+    if size > MAX_INLINE_BYTES:
+        raise ValueError(f"a lookup table of {size} bytes does not fit inline; use the join plan")
+    return df.collect()
 
 
 # --- L1-L4 lexicon table operators ------------------------------------------
@@ -91,35 +94,35 @@ def _split(lexicon: DataFrame):
 def match_exact(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(tok, cat_name) for tokens that are exact dictionary words."""
     exact, _ = _split(lexicon)
-    vocab = tokens.select("tok").distinct()
-    return vocab.join(broadcast_if_small(exact.withColumnRenamed("word", "tok")), "tok")
+    return tokens.select("tok").distinct().join(exact.withColumnRenamed("word", "tok"), "tok")
 
 
 def match_prefix(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(tok, cat_name) via the longest stem, for tokens with no exact
     entry.  Prefixes are generated for distinct tokens only."""
     exact, stems = _split(lexicon)
-    vocab = tokens.select("tok").distinct()
-    vocab = vocab.join(broadcast_if_small(exact.select(F.col("word").alias("tok")).distinct()), "tok", "left_anti")
-    maxlen = stems.agg(F.max(F.length("stem"))).first()[0] or 0
-    if maxlen == 0:
-        return vocab.select("tok", F.lit(None).cast("string").alias("cat_name")).limit(0)
-    pfx = vocab.select("tok", F.explode(F.sequence(F.lit(1), F.least(F.length("tok"), F.lit(maxlen)))).alias("n")) \
-        .withColumn("stem", F.expr("substring(tok, 1, n)"))
-    stem_keys = broadcast_if_small(stems.select("stem").distinct())
-    best = pfx.join(stem_keys, "stem").groupBy("tok").agg(F.max("n").alias("n"))
-    best = best.withColumn("stem", F.expr("substring(tok, 1, n)"))
-    return best.join(broadcast_if_small(stems), "stem").select("tok", "cat_name")
-
-
-def lexicon_hits_join(df: DataFrame, lexicon: DataFrame, key: str = "UID_key",
-                      text: str = "final_message_string", targets=P.LEXICON_TARGETS) -> DataFrame:
-    """(key, cat_name, hits) for the target categories, join plan."""
-    tokens = tokenize(df, key, text)
-    matched = match_exact(tokens, lexicon).unionByName(match_prefix(tokens, lexicon))
-    matched = filter_targets(matched, targets)
-    return (tokens.join(matched, "tok")  # computed side: AQE decides at run time
-            .groupBy(key, "cat_name").agg(F.count(F.lit(1)).alias("hits")))
+    vocab = tokens.select("tok").distinct().join(exact.select(F.col("word").alias("tok")).distinct(), "tok", "left_anti")
+    longest = stems.agg(F.max(F.length("stem"))).first()[0] or 0
+    pfx = vocab.select("tok", F.explode(F.when(F.lit(longest > 0) & (F.length("tok") > 0), F.sequence(
+        F.lit(1), F.least(F.length("tok"), F.lit(longest))))).alias("n")).withColumn("stem", F.expr("substring(tok, 1, n)"))
+    best = pfx.join(stems.select("stem").distinct(), "stem").groupBy("tok").agg(F.max("n").alias("n"))
+    return best.withColumn("stem", F.expr("substring(tok, 1, n)")).join(stems, "stem").select("tok", "cat_name")
+
+
+def token_counts(base: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, tok, n) of a stored table with a token array: summed inside each
+    task before the shuffle, so a word repeated in a message is one row."""
+    return base.select(key, F.explode(tokens).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexicon_hits_join(base: DataFrame, lexicon: DataFrame, key: str = "UID_key", tokens: str = "_toks",
+                      targets=P.LEXICON_TARGETS) -> DataFrame:
+    """(key, cat_name, hits) for the target categories, join plan, from a stored
+    table with a token array."""
+    vocab = cut_lineage(base.select(F.explode(tokens).alias("tok")).distinct())
+    matched = filter_targets(match_exact(vocab, lexicon).unionByName(match_prefix(vocab, lexicon)), targets)
+    return (token_counts(base, key, tokens).join(matched, "tok")
+            .groupBy(key, "cat_name").agg(F.sum("n").alias("hits")))
 
 
 # --- inline plan --------------------------------------------------------------
@@ -127,17 +130,14 @@ def lexicon_hits_join(df: DataFrame, lexicon: DataFrame, key: str = "UID_key",
 class InlineLexicon:
     """A size-checked lexicon compiled into hashed ``IN`` sets."""
 
-    def __init__(self, lexicon: DataFrame, max_entries: int = MAX_INLINE_ENTRIES):
-        exact, stems = _split(lexicon)
-        n = exact.limit(max_entries + 1).count() + stems.limit(max_entries + 1).count()
-        if n > max_entries:
-            raise ValueError(f"lexicon has more than {max_entries} entries; use the join plan")
+    def __init__(self, lexicon: DataFrame):
         self.exact_by_cat = defaultdict(set)
         self.stem_by_cat = defaultdict(set)
-        for w, c in exact.collect():
-            self.exact_by_cat[c].add(w)
-        for s, c in stems.collect():
-            self.stem_by_cat[c].add(s)
+        for word, cat in bounded_rows(lexicon.select(F.lower("word").alias("word"), "cat_name").distinct()):
+            if word.endswith("*"):
+                self.stem_by_cat[cat].add(word[:-1])
+            else:
+                self.exact_by_cat[cat].add(word)
         self.exact_words = sorted(set().union(*self.exact_by_cat.values())) if self.exact_by_cat else []
         self.stems = sorted(set().union(*self.stem_by_cat.values())) if self.stem_by_cat else []
         self.maxlen = max((len(s) for s in self.stems), default=0)
@@ -165,31 +165,27 @@ class InlineLexicon:
 
 def lexicon_rates(df: DataFrame, lexicon: DataFrame, targets=P.LEXICON_TARGETS, mode: str = "ratio",
                   text: str = "final_message_string", plan: str = "auto", key: str = "UID_key",
-                  prefix: str = "liwc_") -> DataFrame:
+                  prefix: str = "liwc_", carry=None) -> DataFrame:
     """Per message, hits / tokens (``mode='ratio'``, 0 without
     tokens) or raw hits (``mode='count'``), one ``liwc_<Cat>`` column per
-    target.  Keeps every input row and column.  ``plan='auto'`` uses the
-    inline plan when the lexicon has at most ``MAX_INLINE_ENTRIES`` rows
-    (counted), the join plan otherwise."""
+    target.  Keeps every input row and the columns ``carry`` (default: all).
+    ``plan='auto'`` takes the inline plan when the lexicon's measured size is at most
+    ``MAX_INLINE_BYTES``, the join plan otherwise; both give the same result."""
     if plan == "auto":
-        plan = "inline" if lexicon.limit(MAX_INLINE_ENTRIES + 1).count() <= MAX_INLINE_ENTRIES else "join"
+        plan = "inline" if fits_inline(lexicon.select("word", "cat_name")) else "join"
+    carry = list(carry) if carry is not None else df.columns
     if plan == "inline":
         lex = InlineLexicon(lexicon)
         toks = X.ws_tokens(text)
-        keys = lex.entry_keys(toks)
-        ntok = F.size(toks)
-        tmp = df.withColumn("_keys", keys).withColumn("_ntok", ntok)
-        cols = {}
-        for cat in targets:
-            hits = lex.category_hits(F.col("_keys"), cat)
-            cols[prefix + cat] = _rate(hits, F.col("_ntok"), mode)
-        return tmp.withColumns(cols).drop("_keys", "_ntok")
-    hits = lexicon_hits_join(df, lexicon, key, text, targets)
-    wide = pivot_rates(hits, targets, key, prefix)
-    out = df.join(wide, key, "left").withColumn("_ntok", F.size(X.ws_tokens(text)))
-    cols = {prefix + c: _rate(F.coalesce(F.col(prefix + c), F.lit(0).cast("bigint")), F.col("_ntok"), mode)
-            for c in targets}
-    return out.withColumns(cols).drop("_ntok")
+        tmp = df.withColumn("_keys", lex.entry_keys(toks)).withColumn("_ntok", F.size(toks))
+        hits = {c: lex.category_hits(F.col("_keys"), c) for c in targets}
+    else:
+        # tokenised once and stored: the vocabulary, the counts and the result all read this table
+        base = cut_lineage(df.select(*dict.fromkeys([*carry, key]), X.ws_tokens(text).alias("_toks")))
+        wide = pivot_rates(lexicon_hits_join(base, lexicon, key, "_toks", targets), targets, key, prefix)
+        tmp = base.withColumn("_ntok", F.size("_toks")).join(wide, key, "left")
+        hits = {c: F.coalesce(F.col(prefix + c), F.lit(0).cast("bigint")) for c in targets}
+    return tmp.select(*carry, *[_rate(hits[c], F.col("_ntok"), mode).alias(prefix + c) for c in targets])
 
 
 def _rate(hits: Column, ntok: Column, mode: str) -> Column:
@@ -205,14 +201,7 @@ def pivot_rates(hits: DataFrame, targets=P.LEXICON_TARGETS, key: str = "UID_key"
     return wide.select(key, *[F.col(c).cast("bigint").alias(prefix + c) for c in targets])
 
 
-# --- T10 / T11 token lookups (inline, size-checked) -------------------------
-
-def _bounded_collect(df: DataFrame, limit: int = MAX_INLINE_ENTRIES):
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"lookup table has more than {limit} rows")
-    return rows
-
+# --- T10 / T11 token lookups (inline when measured small, else a join) ------------
 
 def with_words(df: DataFrame, text: str = "final_message_string") -> DataFrame:
     """Word tokens computed once, shared by the POS and polarity lookups."""
@@ -220,40 +209,58 @@ def with_words(df: DataFrame, text: str = "final_message_string") -> DataFrame:
     return df.withColumn("_words", F.when(X.has_text(text), words).otherwise(F.array().cast("array<string>")))
 
 
+def _looked_up(df: DataFrame, lookup: DataFrame, key: str, aggs) -> DataFrame:
+    """Join plan of a word lookup: per key, ``aggs`` over (n, value) of the words
+    found.  The words are stored once with the rows they came from."""
+    hits = token_counts(df, key, "_words").join(lookup.distinct(), "tok")
+    return df.join(hits.groupBy(key).agg(*aggs), key, "left")
+
+
 def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message_string",
-               tags=(("NOUN", "noun_count"), ("VERB", "verb_count"), ("ADJ", "adj_count"))) -> DataFrame:
+               tags=(("NOUN", "noun_count"), ("VERB", "verb_count"), ("ADJ", "adj_count")),
+               key: str = "UID_key", plan: str = "auto") -> DataFrame:
     """Noun / verb / adjective tokens per message via a (word, pos)
-    table; 0 for no text."""
-    by_tag = defaultdict(set)
-    for w, p in _bounded_collect(pos_lexicon.select(F.lower("word"), "pos")):
-        by_tag[p].add(w)
+    table; 0 for no text.  A word with several entries of one tag counts once."""
+    lookup = pos_lexicon.select(F.lower("word").alias("tok"), F.col("pos").alias("value")).distinct()
     tmp = df if "_words" in df.columns else with_words(df, text)
-    tmp = tmp.withColumn("_w", F.col("_words"))
-    def count_tag(words_in_tag):
-        ws = sorted(words_in_tag)
-        return F.size(F.filter("_w", lambda w: w.isin(ws) if ws else F.lit(False))).cast("bigint")
-    cols = {out: count_tag(by_tag.get(tag, ())) for tag, out in tags}
-    out = tmp.withColumns(cols).drop("_w")
+    if plan == "join" or plan == "auto" and not fits_inline(lookup):
+        aggs = [F.sum(F.when(F.col("value") == tag, F.col("n"))).alias(out) for tag, out in tags]
+        found = _looked_up(cut_lineage(tmp), lookup, key, aggs)
+        out = found.withColumns({o: F.coalesce(F.col(o), F.lit(0)).cast("bigint") for _, o in tags})
+    else:
+        by_tag = defaultdict(set)
+        for w, p in bounded_rows(lookup):
+            by_tag[p].add(w)
+
+        def count_tag(ws):
+            return F.size(F.filter("_words", lambda w: w.isin(sorted(ws)) if ws else F.lit(False))).cast("bigint")
+        out = tmp.withColumns({o: count_tag(by_tag.get(tag, ())) for tag, o in tags})
     return out if "_words" in df.columns else out.drop("_words")
 
 
-def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_message_string") -> DataFrame:
+def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_message_string",
+                    key: str = "UID_key", plan: str = "auto") -> DataFrame:
     """Sign of the summed word polarity -> exclusive 0/1 flags
-    positive / negative / neutral; all null for no text."""
-    by_score = defaultdict(set)
-    for w, s in _bounded_collect(polarity.select(F.lower("word"), F.col("score").cast("int"))):
-        by_score[s].add(w)
-    tmp0 = df if "_words" in df.columns else with_words(df, text)
-    words = F.col("_words")
-
-    def score_of(w):
-        expr = F.lit(0)
-        for s, ws in sorted(by_score.items()):
-            expr = F.when(w.isin(sorted(ws)), F.lit(s)).otherwise(expr)
-        return expr
-    score = F.aggregate(F.transform(words, score_of), F.lit(0), lambda acc, x: acc + x)
-    tmp = tmp0.withColumn("_s", F.when(X.has_text(text), score))
-    flag = lambda cond: F.when(F.col("_s").isNull(), F.lit(None).cast("int")).otherwise(cond.cast("int"))
+    positive / negative / neutral; all null for no text.  Entries of one word add up."""
+    lookup = polarity.select(F.lower("word").alias("tok"), F.col("score").cast("int").alias("score")) \
+        .groupBy("tok").agg(F.sum("score").cast("int").alias("value"))
+    tmp = df if "_words" in df.columns else with_words(df, text)
+    if plan == "join" or plan == "auto" and not fits_inline(lookup):
+        found = _looked_up(cut_lineage(tmp), lookup, key, [F.sum(F.col("n") * F.col("value")).alias("_sum")])
+        tmp = found.withColumn("_s", F.when(X.has_text(text), F.coalesce("_sum", F.lit(0)))).drop("_sum")
+    else:
+        by_score = defaultdict(set)
+        for w, s in bounded_rows(lookup):
+            by_score[s].add(w)
+
+        def score_of(w):
+            expr = F.lit(0)
+            for s, ws in sorted(by_score.items()):
+                expr = F.when(w.isin(sorted(ws)), F.lit(s)).otherwise(expr)
+            return expr
+        score = F.aggregate(F.transform(F.col("_words"), score_of), F.lit(0), lambda acc, x: acc + x)
+        tmp = tmp.withColumn("_s", F.when(X.has_text(text), score))
+    flag = lambda cond: F.when(F.col("_s").isNull(), F.lit(None).cast("int")).otherwise(cond.cast("int"))
     out = tmp.withColumns({
         "positive_sentiment": flag(F.col("_s") > 0),
         "negative_sentiment": flag(F.col("_s") < 0),

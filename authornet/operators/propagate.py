@@ -3,8 +3,8 @@
 Attention is masked to the support of the normalised adjacency (edges and
 self-loops), so every step is a join and a group-by on that table:
 per-node scalars are joined to the edges, the softmax is a max-shifted
-exponential normalised per source node, and the aggregation of neighbour
-vectors runs in long form (node, dimension, value).  Weights and cluster
+exponential, and one aggregate per source sums the exponentials and the
+weighted neighbour vectors (a column per dimension).  Weights and cluster
 centres are small, bounded inputs and travel inside the expressions.
 """
 
@@ -37,6 +37,18 @@ def init_weights(sizes, seed: int = 42, clusters: int | None = None) -> dict:
     return out
 
 
+def rule_layers(sizes, clusters: int | None = None) -> dict:
+    """The layers of :func:`init_weights` by the rule of :func:`rule_weights`,
+    so that a twin can state them."""
+    out = {}
+    for li, (i, o) in enumerate(zip(sizes[:-1], sizes[1:])):
+        out[f"W{li}"] = rule_weights(i, o)
+        out[f"a_self{li}"], out[f"a_neighs{li}"] = rule_weights(o, 1)[:, 0], rule_weights(o + 1, 1)[1:, 0]
+    if clusters:
+        out["centres"] = rule_weights(clusters, sizes[-1])
+    return out
+
+
 def rule_weights(n_in: int, n_out: int) -> np.ndarray:
     """Deterministic test weights W[i, j] = ((31 i + 17 j) mod 19 - 9) / 19."""
     return np.array([[((i * 31 + j * 17) % 19 - 9) / 19.0 for j in range(n_out)] for i in range(n_in)])
@@ -64,40 +76,65 @@ def to_double_array(col) -> Column:
 # --- N2-N6 encoder -----------------------------------------------------------------------------
 
 def linear(x: DataFrame, W, key: str = "author", col: str = "x", out: str = "h") -> DataFrame:
-    """h = x W with a bounded broadcast weight matrix (in x out)."""
+    """h = x W with a bounded weight matrix (in x out): one literal array of
+    columns and a transform, so the plan does not grow with its cells."""
     W = np.asarray(W, dtype=float)
-    cols = [_dot(F.col(col), _lit_vec(W[:, j])) for j in range(W.shape[1])]
-    return x.select(key, F.array(*cols).alias(out))
+    columns = F.array(*[_lit_vec(W[:, j]) for j in range(W.shape[1])])
+    return x.select(key, F.transform(columns, lambda w: _dot(F.col(col), w)).alias(out))
+
+
+def _edge_scores(h: DataFrame, m: DataFrame, a_s, a_n, slope: float, key: str) -> DataFrame:
+    """(src, dst, e) over the support of ``m``: e = LeakyReLU(m * (h_src·a_s + h_dst·a_n))."""
+    f = h.select(key, _dot(F.col("h"), _lit_vec(a_s)).alias("fs"), _dot(F.col("h"), _lit_vec(a_n)).alias("fn"))
+    z = (m.join(f.select(F.col(key).alias("src"), "fs"), "src").join(f.select(F.col(key).alias("dst"), "fn"), "dst")
+         .select("src", "dst", (F.col("m") * (F.col("fs") + F.col("fn"))).alias("z")))
+    return z.select("src", "dst", F.when(F.col("z") >= 0, F.col("z")).otherwise(F.col("z") * slope).alias("e"))
+
+
+def _shifted(e: DataFrame) -> DataFrame:
+    """(src, dst, ex): exponentials shifted by the source's largest score."""
+    mx = e.groupBy("src").agg(F.max("e").alias("mx"))
+    return e.join(mx, "src").select("src", "dst", F.exp(F.col("e") - F.col("mx")).alias("ex"))
 
 
 def edge_attention(h: DataFrame, m: DataFrame, a_s, a_n, slope: float = 0.05, key: str = "author") -> DataFrame:
     """α over the support (src, dst, m) of the normalised adjacency:
-    e = LeakyReLU(m * (h_src·a_s + h_dst·a_n)), softmax over dst per src."""
-    fs = h.select(F.col(key).alias("src"), _dot(F.col("h"), _lit_vec(a_s)).alias("fs"))
-    fn = h.select(F.col(key).alias("dst"), _dot(F.col("h"), _lit_vec(a_n)).alias("fn"))
-    raw = m.join(fs, "src").join(fn, "dst").select("src", "dst", (F.col("m") * (F.col("fs") + F.col("fn"))).alias("z"))
-    e = raw.select("src", "dst", F.when(F.col("z") >= 0, F.col("z")).otherwise(F.col("z") * slope).alias("e"))
-    mx = e.groupBy("src").agg(F.max("e").alias("mx"))
-    ex = e.join(mx, "src").select("src", "dst", F.exp(F.col("e") - F.col("mx")).alias("ex"))
+    softmax of the edge scores over dst per src.  ``m`` is read several
+    times: pass it materialised."""
+    ex = _shifted(_edge_scores(h, m, a_s, a_n, slope, key))
     tot = ex.groupBy("src").agg(F.sum("ex").alias("tot"))
     return ex.join(tot, "src").select("src", "dst", (F.col("ex") / F.col("tot")).alias("alpha"))
 
 
-def attend(att: DataFrame, h: DataFrame, elu: bool = True, key: str = "author", out: str = "h") -> DataFrame:
-    """h'_src = ELU(sum over dst of alpha * h_dst), in long form."""
-    hl = h.select(F.col(key).alias("dst"), F.posexplode("h").alias("k", "v"))
-    agg = (att.join(hl, "dst").groupBy("src", "k").agg(F.sum(F.col("alpha") * F.col("v")).alias("v")))
+def _weighted_sum(w: DataFrame, weight: str, h: DataFrame, d: int, elu: bool, normalise: bool, key: str, out: str) -> DataFrame:
+    """Per source, the sum of weight * h_dst: one aggregate with a column per
+    dimension (and the sum of the weights), partial before its shuffle."""
+    wide = h.select(F.col(key).alias("dst"), *[F.element_at("h", k + 1).alias(f"_h{k}") for k in range(d)])
+    sums = w.join(wide, "dst").groupBy("src").agg(
+        F.sum(weight).alias("_w"), *[F.sum(F.col(weight) * F.col(f"_h{k}")).alias(f"_s{k}") for k in range(d)])
+    values = [F.col(f"_s{k}") / F.col("_w") if normalise else F.col(f"_s{k}") for k in range(d)]
     if elu:
-        agg = agg.withColumn("v", F.when(F.col("v") > 0, F.col("v")).otherwise(F.exp("v") - 1))
-    return (agg.groupBy("src")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias(out))
-            .withColumnRenamed("src", key))
+        values = [F.when(v > 0, v).otherwise(F.exp(v) - 1) for v in values]
+    return sums.select(F.col("src").alias(key), F.array(*values).alias(out))
+
+
+def _width(h: DataFrame, col: str = "h") -> int:
+    first = h.select(F.size(col).alias("n")).first()
+    return first["n"] if first else 0
+
+
+def attend(att: DataFrame, h: DataFrame, elu: bool = True, key: str = "author", out: str = "h", width: int | None = None) -> DataFrame:
+    """h'_src = ELU(sum over dst of alpha * h_dst)."""
+    return _weighted_sum(att, "alpha", h, width or _width(h), elu, False, key, out)
 
 
 def gat_layer(x: DataFrame, m: DataFrame, W, a_s, a_n, elu: bool = True, key: str = "author",
-              col: str = "x") -> DataFrame:
+              col: str = "x", slope: float = 0.05) -> DataFrame:
+    """One attention layer.  The softmax's denominator is summed together with
+    the weighted neighbours, so alpha itself is never built."""
     h = linear(x, W, key, col)
-    return attend(edge_attention(h, m, a_s, a_n, key=key), h, elu=elu, key=key)
+    ex = _shifted(_edge_scores(h, m, a_s, a_n, slope, key))
+    return _weighted_sum(ex, "ex", h, np.asarray(W).shape[1], elu, True, key, "h")
 
 
 def l2_normalize(df: DataFrame, col: str = "h", out: str = "z", key: str = "author") -> DataFrame:
@@ -113,15 +150,20 @@ def encode(x: DataFrame, m: DataFrame, weights: dict, key: str = "author", col:
     if materialize:
         m = cut_lineage(m)
     h1 = gat_layer(x, m, weights["W0"], weights["a_self0"], weights["a_neighs0"], key=key, col=col)
-    h1 = cut_lineage(h1) if materialize else h1
+    return encode_second(cut_lineage(h1) if materialize else h1, m, weights, key)
+
+
+def encode_second(h1: DataFrame, m: DataFrame, weights: dict, key: str = "author") -> DataFrame:
+    """The encoder's second layer on the (stored) first one, rows normalised."""
     h2 = gat_layer(h1.withColumnRenamed("h", "x"), m, weights["W1"], weights["a_self1"], weights["a_neighs1"], key=key)
-    return l2_normalize(cut_lineage(h2) if materialize else h2, key=key)
+    return l2_normalize(h2, key=key)
 
 
 def score_authors(x: DataFrame, m: DataFrame, weights: dict, centres, key: str = "author", col: str = "x") -> DataFrame:
     """Encoder, a third attention layer on z, normalise, soft assignment."""
     m = cut_lineage(m)
-    z = cut_lineage(encode(x, m, weights, key, col, materialize=True))
+    h1 = cut_lineage(gat_layer(x, m, weights["W0"], weights["a_self0"], weights["a_neighs0"], key=key, col=col))
+    z = cut_lineage(encode_second(h1, m, weights, key))
     h3 = gat_layer(z.withColumnRenamed("z", "x"), m, weights["W2"], weights["a_self2"], weights["a_neighs2"], key=key)
     z3 = l2_normalize(h3, key=key)
     return soft_assign(z3, centres, key=key)

@@ -95,22 +95,30 @@ def score_batches(df: DataFrame, col: str, fn: Callable[[pd.Series], pd.Series],
                   sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Score a text column with an external batch scorer inside the
     executors (Arrow batches).  Each batch is retried ``retries`` times with
-    exponential back-off; a batch that still fails scores null."""
+    exponential back-off; a batch that still fails scores null.  With ``max_chars``
+    the scorer sees pieces of at most that many characters, all of them, and a
+    text's score is the mean of its pieces' weighted by their length."""
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf[col].astype(object)
+            texts, row = pdf[col].astype(object), None
             if max_chars:
-                texts = texts.map(lambda s: s[:max_chars] if isinstance(s, str) else s)
+                pieces = [(i, s[k:k + max_chars] if isinstance(s, str) else s) for i, s in enumerate(texts)
+                          for k in range(0, max(len(s), 1) if isinstance(s, str) else 1, max_chars)]
+                row = pd.Series([i for i, _ in pieces], dtype="int64")
+                texts = pd.Series([s for _, s in pieces], dtype=object)
             result = None
             for attempt in range(retries):
                 try:
-                    result = pd.Series(fn(texts), index=pdf.index, dtype="float64")
+                    result = pd.Series(fn(texts).to_numpy(dtype="float64", na_value=float("nan")), index=texts.index)
                     break
                 except Exception:  # scorer failure: back off and retry
                     if attempt < retries - 1:
                         sleep(backoff ** attempt)
+            if result is not None and row is not None:
+                size = texts.str.len().fillna(1).clip(lower=1).astype("float64")
+                result = ((result * size).groupby(row).sum(min_count=1) / size.groupby(row).sum()).set_axis(pdf.index)
             pdf[out] = result if result is not None else float("nan")
             pdf[out] = pdf[out].astype("float64").where(pdf[out].notna(), None)
             yield pdf

@@ -1,9 +1,9 @@
 """Cluster validity (C1-C5) and centre refinement.
 
 Everything reduces to per-cluster sufficient statistics (count, vector sum,
-sum of squared norms) - a K-row aggregate - which is then applied to every
-point in the same projection, so the cost is linear in the points.  The
-K x d statistics are a bounded input (K clusters) and travel as literals.
+sum of squared norms) - a K-row table - which is joined to the points or,
+where a point meets all clusters, to one row that holds them as an array; the cost is
+linear in the points.
 """
 
 from __future__ import annotations
@@ -11,38 +11,37 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .propagate import _dot, _lit_vec, _sqdist, to_double_array
 
-MAX_CLUSTERS = 10_000
+# The K x d statistics travel as one row; more clusters than this are refused, never cut.
+MAX_CLUSTERS = 1_000
 
 
-def _long(df: DataFrame, x: str, label: str, key: str) -> DataFrame:
-    return df.select(key, F.col(label).alias("label"), F.posexplode(to_double_array(x)).alias("d", "v"))
-
-
-def cluster_stats(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id"):
-    """(labels, counts, sums K x d, squared-norm sums) as NumPy, from one
-    aggregation over the long form; K is checked against a bound."""
-    long = _long(df, x, label, key)
+def cluster_stats(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
+    """(label, n, s, q): size, vector sum and sum of squared norms of each
+    cluster, from one aggregation over the long form with partial sums."""
+    long = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.posexplode(to_double_array(x)).alias("d", "v"))
     per = long.groupBy("label", "d").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"),
                                          F.count(F.lit(1)).alias("n"))
-    rows = per.limit(MAX_CLUSTERS * 4096 + 1).collect()
-    labels = sorted({r["label"] for r in rows})
-    if len(labels) > MAX_CLUSTERS:
-        raise ValueError("too many clusters")
-    dim = max(r["d"] for r in rows) + 1
-    li = {l: i for i, l in enumerate(labels)}
-    S = np.zeros((len(labels), dim))
-    Q = np.zeros(len(labels))
-    N = np.zeros(len(labels))
-    for r in rows:
-        S[li[r["label"]], r["d"]] = r["s"]
-        Q[li[r["label"]]] += r["q"]
-        N[li[r["label"]]] = r["n"]
-    return labels, N, S, Q
+    by_d = F.array_sort(F.collect_list(F.struct("d", "s")))  # one entry per dimension
+    return per.groupBy("label").agg(F.max("n").alias("n"), F.transform(by_d, lambda r: r["s"]).alias("s"), F.sum("q").alias("q"))
+
+
+def _in_one_row(stats: DataFrame, *cols) -> DataFrame:
+    """All clusters as one array ``all`` (K is checked), keyed by ``_one`` = 0."""
+    n = stats.count()
+    if n > MAX_CLUSTERS:
+        raise ValueError(f"{n} clusters; validity indices take at most {MAX_CLUSTERS}")
+    return stats.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all")).withColumn("_one", _zero(F.size("all")))
+
+
+def _zero(col) -> Column:
+    """0 for every row, but from the row's data: the one row of clusters then meets the
+    points in a hash join (a literal key would be folded away and leave no key at all)."""
+    return F.pmod(F.xxhash64(col), F.lit(1))
 
 
 def labels_used(df: DataFrame, label: str = "label") -> DataFrame:
@@ -56,30 +55,18 @@ def silhouette_sq(df: DataFrame, x: str = "embedding", label: str = "label", key
     of a point to cluster C is |x|^2 - 2 x·S_C/n_C + Q_C/n_C; a uses
     n_A - 1 (the point itself excluded); singletons score 0.  Returns the
     per-point scores; average them for the index."""
-    labels, N, S, Q = cluster_stats(df, x, label, key)
-    if len(labels) < 2:
-        return df.select(key, F.lit(None).cast("double").alias("silhouette"))
-    xv = to_double_array(x)
-    nx = _dot(xv, xv)
-    sums = {}
-    for i, l in enumerate(labels):
-        sums[l] = nx * N[i] - 2 * _dot(xv, _lit_vec(S[i])) + F.lit(float(Q[i]))
-    own_n = F.col(label)
-    a_expr = None
-    b_expr = None
-    for i, l in enumerate(labels):
-        own = F.col(label) == F.lit(l)
-        a_val = sums[l] / F.lit(max(N[i] - 1, 1.0))
-        mean_l = sums[l] / F.lit(N[i])
-        a_expr = F.when(own, a_val) if a_expr is None else a_expr.when(own, a_val)
-        other = F.when(~own, mean_l)
-        b_expr = other if b_expr is None else F.least(b_expr, other)
-    size = F.element_at(F.create_map(*[v for i, l in enumerate(labels) for v in (F.lit(l), F.lit(float(N[i])))]), own_n)
+    row = _in_one_row(cluster_stats(df, x, label, key), "label", "n", "s", "q")
+    nx = _dot(F.col("_x"), F.col("_x"))
+    total = lambda c: nx * c["n"] - 2 * _dot(F.col("_x"), c["s"]) + c["q"]
+    own = F.element_at(F.filter("all", lambda c: c["label"] == F.col("_l")), 1)
+    rest = F.transform(F.filter("all", lambda c: c["label"] != F.col("_l")), lambda c: total(c) / c["n"])
+    points = df.select(key, F.col(label).alias("_l"), to_double_array(x).alias("_x"), _zero(F.col(key)).alias("_one"))
+    ab = points.join(F.broadcast(row), "_one").select(  # one row, K x d values
+        key, (total(own) / F.greatest(own["n"] - 1, F.lit(1))).alias("_a"), F.array_min(rest).alias("_b"), own["n"].alias("_n"))
     a, b = F.col("_a"), F.col("_b")
-    s = F.when(F.col("_size") <= 1, F.lit(0.0)).otherwise(
+    s = F.when(b.isNull(), F.lit(None).cast("double")).when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
         F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0)))
-    return (df.select(key, a_expr.alias("_a"), b_expr.alias("_b"), size.alias("_size"))
-            .select(key, s.alias("silhouette")))
+    return ab.select(key, s.alias("silhouette"))
 
 
 def silhouette(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
@@ -90,40 +77,32 @@ def silhouette(df: DataFrame, x: str = "embedding", label: str = "label", key: s
 def calinski_harabasz(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """(B / (K - 1)) / (W / (n - K)).  W = sum of |x|^2 - sum_k |S_k|^2 / n_k,
     B = sum_k |S_k|^2 / n_k - |S|^2 / n, both from the cluster statistics."""
-    labels, N, S, Q = cluster_stats(df, x, label, key)
-    n, k = N.sum(), len(labels)
-    within = Q.sum() - sum((S[i] @ S[i]) / N[i] for i in range(k))
-    tot = S.sum(axis=0)
-    between = sum((S[i] @ S[i]) / N[i] for i in range(k)) - (tot @ tot) / n
-    val = float((between / (k - 1)) / (within / (n - k))) if k > 1 and within > 0 else None
-    return df.sparkSession.createDataFrame([(val,)], "calinski_harabasz double")
+    stats = cluster_stats(df, x, label, key)
+    sums = stats.agg(F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("q").alias("q"),
+                     F.sum(_dot(F.col("s"), F.col("s")) / F.col("n")).alias("c"))
+    total = stats.select(F.posexplode("s").alias("d", "v")).groupBy("d").agg(F.sum("v").alias("v"))
+    grand = total.agg(F.sum(F.col("v") * F.col("v")).alias("t"))
+    n, k, q, c = sums.first()
+    t = grand.first()[0]  # scalars
+    within = (q or 0.0) - (c or 0.0)
+    value = float(((c - t / n) / (k - 1)) / (within / (n - k))) if k > 1 and within > 0 else None
+    return df.sparkSession.createDataFrame([(value,)], "calinski_harabasz double")
 
 
 def davies_bouldin(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j), s = mean
-    Euclidean distance of members to their centroid (one pass over the
-    points with the K centroids as literals), K x K finish on the driver."""
-    labels, N, S, _ = cluster_stats(df, x, label, key)
-    C = S / N[:, None]
-    xv = to_double_array(x)
-    dist = None
-    for i, l in enumerate(labels):
-        di = F.when(F.col(label) == F.lit(l), F.sqrt(_sqdist(xv, _lit_vec(C[i]))))
-        dist = di if dist is None else F.coalesce(dist, di)
-    sc = df.groupBy(label).agg(F.avg(dist).alias("s")).collect()
-    s = np.zeros(len(labels))
-    for r in sc:
-        s[labels.index(r[label])] = r["s"]
-    k = len(labels)
-    vals = []
-    for i in range(k):
-        best = 0.0
-        for j in range(k):
-            if i != j:
-                d = math.sqrt(((C[i] - C[j]) ** 2).sum())
-                best = max(best, (s[i] + s[j]) / d if d > 0 else math.inf)
-        vals.append(best)
-    return df.sparkSession.createDataFrame([(float(np.mean(vals)) if k > 1 else None,)], "davies_bouldin double")
+    Euclidean distance of members to their centroid (the points joined with
+    their centroid); the K x K comparison runs over the one row that holds all centroids."""
+    stats = cluster_stats(df, x, label, key).select("label", F.transform("s", lambda v: v / F.col("n")).alias("c"))
+    points = df.select(F.col(label).alias("label"), to_double_array(x).alias("_x"))
+    spread = points.join(stats, "label").groupBy("label").agg(F.avg(F.sqrt(_sqdist(F.col("_x"), F.col("c")))).alias("s"))
+    each = stats.join(spread, "label")
+    row = _in_one_row(each, "label", "c", "s")
+    one = row.select(F.explode("all").alias("i"), "all")
+    ratios = F.transform(F.filter("all", lambda j: j["label"] != F.col("i.label")),
+                         lambda j: (F.col("i.s") + j["s"]) / F.nullif(F.sqrt(_sqdist(F.col("i.c"), j["c"])), F.lit(0.0)))
+    worst = F.array_max(F.transform(ratios, lambda r: F.coalesce(r, F.lit(math.inf))))
+    return one.select(worst.alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def project_2d(df: DataFrame, x: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -136,33 +115,48 @@ def project_2d(df: DataFrame, x: str = "embedding", key: str = "vec_id") -> Data
     return out.select(key, F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
 
 
-def refine_centres(z: DataFrame, k: int, epochs: int = 10, lr: float = 0.01, seed: int = 42,
-                   x: str = "z", key: str = "author", v: float = 1.0) -> np.ndarray:
-    """K-means initialisation (Spark ML), then full-batch gradient
-    steps on the centres for KL(P || Q) with z fixed.  Each epoch is one
-    distributed pass that aggregates the K x d gradient."""
+def start_centres(z: DataFrame, k: int, seed: int = 42, x: str = "z") -> np.ndarray:
+    """k-means centres (Spark ML) to start the refinement from."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    vec = z.select(key, array_to_vector(to_double_array(x)).alias("features"))
-    km = KMeans(k=k, seed=seed, featuresCol="features").fit(vec)
-    C = np.array([c for c in km.clusterCenters()])
+    vec = z.select(array_to_vector(to_double_array(x)).alias("features"))
+    return np.array([c for c in KMeans(k=k, seed=seed, featuresCol="features").fit(vec).clusterCenters()])
+
+
+def refine_epochs(z: DataFrame, centres: np.ndarray, epochs: int = 10, lr: float = 0.01,
+                  x: str = "z", key: str = "author", v: float = 1.0):
+    """N14, one epoch at a time: yields (epoch, centres, q) of the centres
+    *before* the epoch's step, then takes a full-batch gradient step on KL(P || Q) with z
+    fixed, and at last yields the final state.  A step is one distributed
+    pass that sums the K x d gradient; only that leaves the cluster."""
     from .propagate import soft_assign, target_distribution
+    C = np.array(centres, dtype=float)
     zz = z.select(key, to_double_array(x).alias("z"))
     coef = (v + 2.0) / v
     n = zz.count()
-    for _ in range(epochs):
+    for epoch in range(epochs + 1):
         q = soft_assign(zz, C, v=v, key=key)
+        yield epoch, C, q
+        if epoch == epochs:
+            return
         p = target_distribution(q, key)
         # dKL/dmu_k = -(v+2)/v * sum_i (p_ik - q_ik) (z_i - mu_k) / (1 + |z_i - mu_k|^2 / v);
         # one pass: each (point, k) row contributes its weighted difference,
         # summed per (k, dimension) - a K x d result.
-        mus = F.array(*[_lit_vec(C[kk]) for kk in range(k)])
-        mu = F.element_at(mus, F.col("k") + 1)
-        j = p.join(q, [key, "k"]).join(zz, key).withColumn("mu", mu)
+        mus = F.array(*[_lit_vec(c) for c in C])
+        j = p.join(q, [key, "k"]).join(zz, key).withColumn("mu", F.element_at(mus, F.col("k") + 1))
         wgt = (F.col("p") - F.col("q")) / (1.0 + _sqdist(F.col("z"), F.col("mu")) / v)
         contrib = j.select("k", F.posexplode(F.zip_with("z", "mu", lambda a, b: (a - b) * wgt)).alias("d", "g"))
         G = np.zeros_like(C)
         for r in contrib.groupBy("k", "d").agg(F.sum("g").alias("g")).collect():  # K x d rows
             G[r["k"], r["d"]] = r["g"]
         C = C + lr * coef * G / max(n, 1)
-    return C
+
+
+def refine_centres(z: DataFrame, k: int, epochs: int = 10, lr: float = 0.01, seed: int = 42,
+                   x: str = "z", key: str = "author", v: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
+    """Centres after ``epochs`` steps from ``start`` (k-means when not given)."""
+    centres = start_centres(z, k, seed, x) if start is None else start
+    for _, centres, _ in refine_epochs(z, centres, epochs, lr, x, key, v):
+        pass
+    return centres

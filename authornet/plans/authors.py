@@ -49,12 +49,11 @@ def author_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30-feature author table (plus the Flesch class label).  The
     per-message label join happens on narrow feature rows (the text is
     already reduced to numbers), so the text is scanned and cleaned once."""
-    from ..operators.lexicon import broadcast_if_small
     clean = clean_messages(spark, sf_dir)
     feats = TF.message_features(clean, FX.pos_df(spark), FX.polarity_df(spark), FX.lexicon_df(spark))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("UID_key"), F.col("toxic").cast("double").alias("_tox"))
     feats = feats.drop("final_message", "final_message_string", "fwd_message", "fwd_message_string") \
-        .join(broadcast_if_small(labels), "UID_key", "left")
+        .join(labels, "UID_key", "left")  # AQE broadcasts a small label table
     agg = A.post_features(A.aggregate_features(feats, ["author"], extra_means=["_tox"]))
     agg = agg.withColumn("toxicity", F.when(F.col("own_message") == 1, F.col("_tox"))).drop("_tox")
     return agg.select("author", *A.FEATURES_30, "avg_flesch_reading_ease_class")
@@ -78,26 +77,29 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def scored_authors(spark: SparkSession, sf_dir: str, hidden: int = 128, embedding: int = 9, k: int = 6,
-                   seed: int = 42, t: int = 2) -> DataFrame:
+SCORED_SHAPE = (128, 9)  # exported shape: 30 features -> hidden -> embedding
+SCORED_CLUSTERS = 6
+
+
+def scored_weights(hidden: int = SCORED_SHAPE[0], embedding: int = SCORED_SHAPE[1], k: int = SCORED_CLUSTERS) -> dict:
+    """Rule-made weights of the three layers and the centres."""
+    from ..operators import propagate as N
+    return N.rule_layers([len(A.FEATURES_30), hidden, embedding, embedding], clusters=k)
+
+
+def scored_authors(spark: SparkSession, sf_dir: str, weights: dict | None = None, t: int = 2) -> DataFrame:
     """The reference's final table: the 30 author features, the hard
     cluster and one probability per cluster from the attention encoder
-    (exported shape 30 -> hidden -> embedding, third layer, K centres;
-    weights from the seeded initialiser), plus degree and degree
-    centrality of the author graph."""
-    from ..operators import clean as C
+    (``weights``: trained elsewhere; :func:`scored_weights` when not given), plus degree
+    and degree centrality of the author graph."""
     from ..operators import graph as G
     from ..operators import propagate as N
     from ..session import cut_lineage
+    w = weights or scored_weights()
     feats = cut_lineage(author_table(spark, sf_dir))                 # N authors x 31 columns
     x = C.assemble(C.fill_zero(feats, A.FEATURES_30), A.FEATURES_30, keep=["author"])
-    msgs = narrow_messages(spark, sf_dir)
-    mem = G.memberships(msgs)
+    mem = G.memberships(narrow_messages(spark, sf_dir))
     edges = cut_lineage(G.pair_weights(G.author_pairs(mem)))
-    nodes = mem.select("author").distinct()
-    m = G.transition(edges, mem, t=t)
-    w = N.init_weights([len(A.FEATURES_30), hidden, embedding, embedding], seed=seed, clusters=k)
-    q = N.score_authors(x, m, w, w["centres"])
-    table = N.cluster_table(q, k)
-    deg = G.degree_centrality(G.degree(edges, nodes))
-    return feats.join(table, "author", "left").join(deg, "author", "left")
+    q = N.score_authors(x, G.transition(edges, mem, t=t), w, w["centres"])
+    deg = G.degree_centrality(G.degree(edges, mem.select("author").distinct()))
+    return feats.join(N.cluster_table(q, len(w["centres"])), "author", "left").join(deg, "author", "left")

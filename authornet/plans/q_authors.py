@@ -21,11 +21,11 @@ AG_COLS = (["noun_count", "verb_count", "adj_count"] + S.SHARES + [c for c in S.
 A2_COLS = ["author"] + A.FEATURES_30 + ["avg_flesch_reading_ease_class"]
 
 
-def _author_sql(cols, where: str = "") -> str:
+def _author_sql(cols, digits: int | None = 6) -> str:
     inner = FULL + ", " + S.author_ctes(["author"]) + ", " + S.TOXICITY + """
 SELECT ag.*, CASE WHEN ag.own_message = 1 THEN tox.tox END AS toxicity
 FROM ag LEFT JOIN tox ON tox.author = ag.author"""
-    return S.rounded(cols, AUTHOR_DOUBLES, inner)
+    return S.rounded(cols, AUTHOR_DOUBLES if digits else (), inner)
 
 
 def _author_slice(cols):
@@ -70,13 +70,76 @@ def q_a4(spark, sf):
     return A.message_counts(clean_messages(spark, sf))
 
 
-@register("a5_join_texts", S.with_ctes(*S.BASE) + """
-SELECT author, CAST(floor(UID_key / 4096) AS BIGINT) AS part,
-  string_agg(final_message_string, ' ' ORDER BY UID_key) AS final_message_string
-FROM clean WHERE author IS NOT NULL AND final_message_string IS NOT NULL AND final_message_string <> ''
-GROUP BY author, part""")
+PART_ROWS = 8  # small, so that authors have several parts in the smallest tables as well
+
+
+def _texts_sql(keys) -> str:
+    k = ", ".join(keys)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    joined = ", ".join(f"coalesce(string_agg({c}, ' ' ORDER BY UID_key) FILTER (WHERE {S.has_text(c)}), '') AS {c}"
+                       for c in ("final_message", "final_message_string"))
+    return f"""txt AS (SELECT {k}, part, {joined} FROM (
+  SELECT *, CAST((row_number() OVER (PARTITION BY {k} ORDER BY UID_key) - 1) // {PART_ROWS} AS BIGINT) AS part
+  FROM clean WHERE {notnull} AND ({S.has_text('final_message')} OR {S.has_text('final_message_string')})) t GROUP BY {k}, part)"""
+
+
+def _texts(clean, keys):
+    return A.join_texts(clean, keys, ("final_message", "final_message_string"), part_rows=PART_ROWS)
+
+
+@register("a5_join_texts", S.with_ctes(*S.BASE, _texts_sql(["author"])) + "SELECT * FROM txt")
 def q_a5(spark, sf):
-    return A.join_texts(clean_messages(spark, sf), ["author"])
+    return _texts(clean_messages(spark, sf), ["author"])
+
+
+@register("a5_join_texts_string_key", S.with_ctes(*S.BASE, _texts_sql(["author"])) + "SELECT * FROM txt")
+def q_a5s(spark, sf):
+    """The same parts with the order given as text (padded numbers)."""
+    clean = clean_messages(spark, sf).withColumn("UID_key", F.lpad(F.col("UID_key").cast("string"), 20, "0"))
+    return _texts(clean, ["author"])
+
+
+def _with_texts_sql(keys) -> str:
+    on = " AND ".join(f"t.{c} = g.{c}" for c in keys)
+    inner = FULL + ", " + S.author_ctes(keys) + ", " + _texts_sql(keys) + f"""
+SELECT g.*, t.part, t.final_message, t.final_message_string FROM ag g LEFT JOIN txt t ON {on}"""
+    return S.rounded(list(keys) + AG_COLS + ["part", "final_message", "final_message_string"], AUTHOR_DOUBLES, inner)
+
+
+def _with_texts(keys):
+    def fn(spark, sf):
+        feats = message_features(spark, sf, full=True)
+        agg = A.post_features(A.aggregate_features(feats, keys)).select(*keys, *AG_COLS)
+        return round_doubles(A.attach_texts(agg, _texts(clean_messages(spark, sf), keys), keys))
+    return fn
+
+
+register("a1_author_group_texts", _with_texts_sql(["author", "group_name"]))(_with_texts(["author", "group_name"]))
+register("a2_author_texts", _with_texts_sql(["author"]))(_with_texts(["author"]))
+
+
+@register("t12_text_toxicity", S.rounded(["author", "own_message", "toxicity"], {"own_message", "toxicity"}, FULL + ", " + S.author_ctes(["author"]) + ", " + _texts_sql(["author"]) + f""",
+pc AS (SELECT author, final_message_string AS x, length(final_message_string) AS n,
+         unnest(range(CAST(greatest(ceil(length(final_message_string) / 500.0), 1) AS BIGINT))) AS p FROM txt),
+sc AS (SELECT author, least(500, n - 500 * p) AS size,
+         CAST(length(substring(x, CAST(500 * p + 1 AS BIGINT), 500)) - length(replace(substring(x, CAST(500 * p + 1 AS BIGINT), 500), '!', '')) AS DOUBLE) AS bangs FROM pc),
+tx AS (SELECT author, sum(bangs) / greatest(sum(size), 1) AS t FROM sc GROUP BY author)
+SELECT g.author, g.own_message, CASE WHEN g.own_message = 1 THEN tx.t END AS toxicity FROM ag g LEFT JOIN tx ON tx.author = g.author"""))
+def q_t12t(spark, sf):
+    """Toxicity of an author's whole text where every message is their own: the
+    parts go to the batch scorer in pieces, their scores are combined by length."""
+    clean = clean_messages(spark, sf)
+    agg = A.message_ratios(A.message_counts(clean, ["author"]))
+    scored = TF.score_batches(_texts(clean, ["author"]).select("author", "final_message_string"), "final_message_string",
+                              _shout_scorer, out="score", max_chars=500)
+    size = F.length("final_message_string")
+    own = scored.groupBy("author").agg((F.sum(F.col("score") * size) / F.greatest(F.sum(size), F.lit(1))).alias("toxicity"))
+    return round_doubles(TF.toxicity(agg, own).select("author", "own_message", "toxicity"))
+
+
+def _shout_scorer(s):
+    """Deterministic stand-in scorer: exclamation marks per character."""
+    return s.str.count("!") / s.str.len().clip(lower=1)
 
 
 # --- J1-J5 -----------------------------------------------------------------------
@@ -84,11 +147,9 @@ def q_a5(spark, sf):
                                          {f"liwc_{c}" for c in ["Affect", "I", "Other", "We", "You"]},
                                          FULL + "SELECT f.UID_key, f.word_count, l.* EXCLUDE (UID_key, n) FROM feat1 f FULL OUTER JOIN liwc l ON f.UID_key = l.UID_key"))
 def q_j1(spark, sf):
-    clean = clean_messages(spark, sf)
-    feats = TF.count_features(clean).select("UID_key", "word_count")
-    rates = L.lexicon_rates(clean.select("UID_key", "final_message_string"), FX.lexicon_df(spark), plan="join") \
-        .drop("final_message_string")
-    return round_doubles(A.merge_features(feats, rates, "UID_key"))
+    counted = TF.count_features(clean_messages(spark, sf))
+    both = L.lexicon_rates(counted, FX.lexicon_df(spark), plan="join", carry=["UID_key", "word_count"])
+    return round_doubles(A.merge_features(both.select("UID_key", "word_count"), both.drop("word_count"), "UID_key"))
 
 
 MERGE_COLS = ["noun_count", "verb_count", "adj_count", "positive_sentiment", "negative_sentiment",

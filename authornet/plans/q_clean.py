@@ -3,8 +3,6 @@ features (S1, P1-P23, T1-T13)."""
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from ..functions import text as X
 from ..operators import clean as C
 from ..operators import lexicon as L
 from ..operators import textfeat as TF
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources import sinks
 from ..sources.tables import read_messages, table
@@ -33,7 +31,7 @@ CLEAN_COLS = ", ".join(C.CLEAN_COLUMNS)
 def q_s1(spark, sf):
     """Write the raw messages as gzip CSV with a leading index column (the
     reference's file shape), read them back with ``read_messages``."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/s1-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "s1")
     raw = raw_messages(spark, sf)
     sinks.write_table(raw.select(F.lit(0).alias("_c0"), *raw.columns), path, fmt="csv")
     return read_messages(spark, path).select(*[c.strip() for c in RAW_COLS.split(",")])
@@ -117,21 +115,31 @@ def q_p12f(spark, sf):
     return C.sample_fraction(clean_messages(spark, sf), 0.25, seed=7).select("UID_key")
 
 
-@register("p13_sample_balanced", BASE + """,
-st AS (SELECT group_or_channel AS g, count(*) AS c FROM clean GROUP BY group_or_channel),
-ord AS (SELECT g, c, row_number() OVER (ORDER BY c, g) AS i FROM st),
-first_q AS (SELECT least(c, 150) AS q1 FROM ord WHERE i = 1),
-quota AS (SELECT g, CASE WHEN i = 1 THEN least(c, 150) ELSE least(c, 300 - (SELECT q1 FROM first_q)) END AS q FROM ord)
-SELECT s.UID_key, s.group_or_channel FROM (
-  SELECT UID_key, group_or_channel,
-    row_number() OVER (PARTITION BY group_or_channel ORDER BY md5(concat('42:', CAST(UID_key AS VARCHAR))), UID_key) AS rn
-  FROM clean) s JOIN quota ON quota.g = s.group_or_channel
-WHERE s.rn <= quota.q""")
+def _balanced_sql(by: str, n: int) -> str:
+    """Water-filling by recursion over the strata from the smallest on."""
+    return BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+st AS (SELECT {by} AS g, count(*) AS c FROM clean WHERE {by} IS NOT NULL GROUP BY {by}),
+ord AS (SELECT g, c, row_number() OVER (ORDER BY c, CAST(g AS VARCHAR)) AS i, count(*) OVER () AS m FROM st),
+fill AS (SELECT i, least({n} // m, c) AS q, {n} - least({n} // m, c) AS rest FROM ord WHERE i = 1
+  UNION ALL SELECT o.i, least(f.rest // (o.m - o.i + 1), o.c), f.rest - least(f.rest // (o.m - o.i + 1), o.c)
+  FROM fill f JOIN ord o ON o.i = f.i + 1)
+SELECT s.UID_key, s.{by} FROM (
+  SELECT UID_key, {by}, row_number() OVER (PARTITION BY {by} ORDER BY md5(concat('42:', CAST(UID_key AS VARCHAR))), UID_key) AS rn
+  FROM clean WHERE {by} IS NOT NULL) s JOIN ord ON ord.g = s.{by} JOIN fill ON fill.i = ord.i WHERE s.rn <= fill.q"""
+
+
+@register("p13_sample_balanced", _balanced_sql("group_or_channel", 300))
 def q_p13(spark, sf):
-    """n = 300 over two strata: 150 each when both hold at least 150 rows."""
+    """n = 300 over two strata."""
     return C.sample_balanced(clean_messages(spark, sf), 300, "group_or_channel").select("UID_key", "group_or_channel")
 
 
+@register("p13_sample_balanced_groups", _balanced_sql("group_name", 500))
+def q_p13g(spark, sf):
+    """n = 500 over all groups: many strata, most smaller than their share."""
+    return C.sample_balanced(clean_messages(spark, sf), 500, "group_name").select("UID_key", "group_name")
+
+
 CONV_AS_MESSAGES = "conv_id * 1000 + turn"
 
 
@@ -166,6 +174,7 @@ def q_p17(spark, sf):
                     {"UID_key": "total_message_count", "group_or_channel": "kind"})
 
 
+# Names of the non-empty clusters.
 RECODE = {0: "Cluster 1", 3: "Cluster 2", 4: "Cluster 3", 5: "Cluster 4"}
 
 
@@ -191,9 +200,13 @@ def q_p20(spark, sf):
     return C.assemble(df, ["sent_count", "word_count", "avg_word_length", "flesch_reading_ease"], keep=["UID_key"])
 
 
-@register("p21_truncate_text", BASE + "SELECT UID_key, substring(final_message_string, 1, 500) AS text FROM clean")
+@register("p21_chunk_text", BASE + """SELECT UID_key, CAST(part AS INTEGER) AS part, substring(final_message_string, CAST(part * 500 + 1 AS BIGINT), 500) AS text
+FROM (SELECT UID_key, final_message_string, unnest(range(CAST(greatest(ceil(length(final_message_string) / 500.0), 1) AS BIGINT))) AS part
+      FROM clean WHERE final_message_string IS NOT NULL) t""")
 def q_p21(spark, sf):
-    return clean_messages(spark, sf).select("UID_key", X.truncate_text("final_message_string", 500).alias("text"))
+    """Whole texts in pieces of at most 500 characters (a scorer's limit)."""
+    df = clean_messages(spark, sf).filter(F.col("final_message_string").isNotNull())
+    return df.select("UID_key", F.posexplode(X.chunk_text("final_message_string", 500)).alias("part", "text"))
 
 
 @register("p22_batch_ids", BASE + "SELECT UID_key, CAST(floor((row_number() OVER (ORDER BY UID_key) - 1) / 95) AS BIGINT) AS batch_id FROM clean")
@@ -233,11 +246,35 @@ for _name, _col in _T:
     register(_name, S.rounded(["UID_key", _col], _DOUBLE_T, FEAT + f"SELECT UID_key, {_col} FROM feat1"))(_t_query(_col))
 
 
+_ALL_T = ["UID_key"] + [c for _, c in _T] + ["noun_count", "verb_count", "adj_count", "positive_sentiment", "negative_sentiment",
+                                             "neutral_sentiment"] + [f"liwc_{c}" for c in P.LEXICON_TARGETS]
+
+
+@register("t_all_features", S.rounded(_ALL_T, _DOUBLE_T | {f"liwc_{c}" for c in P.LEXICON_TARGETS}, FULL + "SELECT * FROM feat"))
+def q_tall(spark, sf):
+    """Every per-message feature in one narrow stage."""
+    return round_doubles(message_features(spark, sf, full=True).select(*_ALL_T))
+
+
 @register("t10_pos_counts", FULL + "SELECT UID_key, noun_count, verb_count, adj_count FROM feat")
 def q_t10(spark, sf):
     return L.pos_counts(clean_messages(spark, sf), FX.pos_df(spark)).select("UID_key", "noun_count", "verb_count", "adj_count")
 
 
+@register("t10_pos_counts_join", FULL + "SELECT UID_key, noun_count, verb_count, adj_count FROM feat")
+def q_t10j(spark, sf):
+    """The plan for a lexicon of any size."""
+    df = clean_messages(spark, sf).select("UID_key", "final_message_string")
+    return L.pos_counts(df, FX.pos_df(spark), plan="join").select("UID_key", "noun_count", "verb_count", "adj_count")
+
+
+@register("t11_sentiment_flags_join", FULL + "SELECT UID_key, positive_sentiment, negative_sentiment, neutral_sentiment FROM feat")
+def q_t11j(spark, sf):
+    df = clean_messages(spark, sf).select("UID_key", "final_message_string")
+    return L.sentiment_flags(df, FX.polarity_df(spark), plan="join") \
+        .select("UID_key", "positive_sentiment", "negative_sentiment", "neutral_sentiment")
+
+
 @register("t11_sentiment_flags", FULL + "SELECT UID_key, positive_sentiment, negative_sentiment, neutral_sentiment FROM feat")
 def q_t11(spark, sf):
     return L.sentiment_flags(clean_messages(spark, sf), FX.polarity_df(spark)) \
@@ -246,13 +283,18 @@ def q_t11(spark, sf):
 
 def _length_scorer(s: pd.Series) -> pd.Series:
     """Deterministic stand-in scorer: characters / 1000."""
-    return s.map(lambda t: len(t) / 1000.0 if isinstance(t, str) else None)
+    return s.str.len() / 1000.0
 
 
-@register("t13_score_batches", BASE + "SELECT UID_key, round(length(final_message_string) / 1000.0, 6) AS score FROM clean")
+@register("t13_score_batches", BASE + """, pieces AS (
+  SELECT UID_key, length(final_message_string) AS n, unnest(range(CAST(greatest(ceil(length(final_message_string) / 500.0), 1) AS BIGINT))) AS part
+  FROM clean WHERE final_message_string IS NOT NULL),
+scored AS (SELECT UID_key, n, least(500, n - 500 * part) AS size FROM pieces)
+SELECT c.UID_key, round(s.score, 6) AS score FROM clean c LEFT JOIN (
+  SELECT UID_key, CASE WHEN max(n) = 0 THEN 0.0 ELSE sum(size * (size / 1000.0)) / max(n) END AS score FROM scored GROUP BY UID_key) s ON s.UID_key = c.UID_key""")
 def q_t13(spark, sf):
-    """Whole texts go to the scorer (truncation, where a scorer needs it,
-    is the separate P21 step)."""
+    """Every piece of at most 500 characters is scored; a message's score is
+    their mean weighted by length."""
     df = clean_messages(spark, sf).select("UID_key", "final_message_string")
-    scored = TF.score_batches(df, "final_message_string", _length_scorer, out="score")
+    scored = TF.score_batches(df, "final_message_string", _length_scorer, out="score", max_chars=500)
     return round_doubles(scored.select("UID_key", "score"))

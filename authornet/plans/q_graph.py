@@ -10,8 +10,8 @@ from ..operators import graph as G
 from ..operators import stats as ST
 from ..sources import sinks
 from . import sqltwin as S
-from .authors import clean_messages, round_doubles
-from .catalog import register
+from .authors import narrow_messages, round_doubles
+from .catalog import ORACLE, register
 
 GRAPH_SQL = S.with_ctes(*S.BASE) + """,
 mem AS (SELECT DISTINCT group_name, author FROM clean WHERE author IS NOT NULL AND group_name IS NOT NULL),
@@ -34,7 +34,6 @@ idx AS (SELECT author, CAST(row_number() OVER (ORDER BY author) - 1 AS BIGINT) A
 
 
 def _graph(spark, sf):
-    from .authors import narrow_messages
     clean = narrow_messages(spark, sf)
     mem = G.memberships(clean)
     edges = G.pair_weights(G.author_pairs(mem))
@@ -43,19 +42,19 @@ def _graph(spark, sf):
 
 @register("a11_memberships", GRAPH_SQL + "SELECT group_name, author FROM mem")
 def q_a11(spark, sf):
-    return G.memberships(clean_messages(spark, sf))
+    return G.memberships(narrow_messages(spark, sf))
 
 
 @register("j6_author_pairs", GRAPH_SQL + "SELECT src, dst, group_name FROM pairs")
 def q_j6(spark, sf):
-    return G.author_pairs(G.memberships(clean_messages(spark, sf)))
+    return G.author_pairs(G.memberships(narrow_messages(spark, sf)))
 
 
 @register("j6_author_pairs_salted", GRAPH_SQL + "SELECT src, dst, group_name FROM pairs")
 def q_j6s(spark, sf):
     """Same result with a tiny block size: every group is split, as a hot
     group would be at scale."""
-    return G.author_pairs(G.memberships(clean_messages(spark, sf)), block=3)
+    return G.author_pairs(G.memberships(narrow_messages(spark, sf)), block=3)
 
 
 @register("a12_pair_weights", GRAPH_SQL + "SELECT src, dst, weight FROM edges")
@@ -65,7 +64,7 @@ def q_a12(spark, sf):
 
 @register("g1_membership_graph", GRAPH_SQL + "SELECT src, dst, weight FROM edges")
 def q_g1(spark, sf):
-    return G.membership_graph(clean_messages(spark, sf))
+    return G.membership_graph(narrow_messages(spark, sf))
 
 
 @register("g2_symmetric", GRAPH_SQL + "SELECT src, dst, weight FROM sym")
@@ -99,7 +98,7 @@ def q_g5s(spark, sf):
 
 @register("g6_strength", GRAPH_SQL + "SELECT author, strength FROM stren")
 def q_g6(spark, sf):
-    mem = G.memberships(clean_messages(spark, sf))
+    mem = G.memberships(narrow_messages(spark, sf))
     return G.strength(mem).select("author", F.col("strength").cast("bigint").alias("strength"))
 
 
@@ -107,7 +106,7 @@ def q_g6(spark, sf):
                                             GRAPH_SQL + "SELECT author, degree, degree / ((SELECT count(*) FROM nodes) - 1) AS degree_centrality FROM deg"))
 def q_g7(spark, sf):
     _, _, edges, nodes = _graph(spark, sf)
-    return round_doubles(G.degree_centrality(G.degree(edges, nodes)))
+    return round_doubles(G.degree_centrality(G.degree(edges, nodes), nodes))
 
 
 @register("g8_degree_histogram", GRAPH_SQL + """, st AS (SELECT min(degree) AS lo, max(degree) AS hi FROM deg),
@@ -159,10 +158,25 @@ def q_g10(spark, sf):
     return round_doubles(G.closeness(edges, nodes, mem=mem))
 
 
-@register("g12_eigenvector")
+@register("g10_closeness_batches", ORACLE["g10_closeness"])
+def q_g10b(spark, sf):
+    """The same with 100 sources at a time."""
+    _, mem, edges, nodes = _graph(spark, sf)
+    return round_doubles(G.closeness(edges, nodes, mem=mem, at_once=100))
+
+
+G12_STEPS = 30
+
+
+@register("g12_eigenvector", S.rounded(["author", "eigenvector_centrality"], {"eigenvector_centrality"}, GRAPH_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+stepm AS (SELECT src, dst FROM sym UNION ALL SELECT author, author FROM nodes),
+ev AS (SELECT 0 AS it, author, CAST(1 AS DOUBLE) AS x FROM nodes
+  UNION ALL SELECT e.it + 1, m.dst, sum(e.x) FROM ev e JOIN stepm m ON m.src = e.author WHERE e.it < {G12_STEPS} GROUP BY e.it + 1, m.dst)
+SELECT author, x / sqrt(sum(x * x) OVER ()) AS eigenvector_centrality FROM ev WHERE it = {G12_STEPS}"""))
 def q_g12(spark, sf):
+    """A fixed number of power steps (the twin takes as many)."""
     _, mem, edges, nodes = _graph(spark, sf)
-    return round_doubles(G.eigenvector(edges, nodes))
+    return round_doubles(G.eigenvector(edges, nodes, iters=G12_STEPS, fixed=True))
 
 
 @register("a18_node_index", GRAPH_SQL + "SELECT author, idx FROM idx")

@@ -3,14 +3,12 @@ model / centrality rows without a SQL twin (G11, D8, D9)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import graph as G
 from ..operators import stats as ST
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources import sinks
 from ..sources.tables import read_lexicon_dic, table
 from . import sqltwin as S
@@ -21,10 +19,6 @@ from .q_lexicon import VOCAB_LEX_SQL, vocab_lexicon
 LATIN1 = r"^[\x{1}-\x{FF}]+$"
 
 
-def _scratch(spark, tag):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @register("s2_read_lexicon_dic", S.with_ctes(VOCAB_LEX_SQL) + f"SELECT word, categories FROM vlex WHERE regexp_matches(word, {S.q(LATIN1)})")
 def q_s2(spark, sf):
     """Write the corpus-derived lexicon as a Latin-1 ``.dic`` (metadata block
@@ -33,7 +27,7 @@ def q_s2(spark, sf):
     entries = lex.select(F.concat_ws("\t", F.col("word"), F.array_join(F.col("categories"), "\t")).alias("line"))
     header = spark.createDataFrame([("%",)] + [(f"{i}\t{n}",) for i, n in enumerate(P.CATEGORY_NAMES, 1)] + [("%",)],
                                    "line string")
-    path = _scratch(spark, "s2")
+    path = scratch_path(spark, "s2")
     (header.unionByName(entries).write.option("encoding", "ISO-8859-1").option("sep", "\u0001")
      .option("quote", "\u0000").option("escape", "\u0000").option("header", False)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
@@ -42,7 +36,7 @@ def q_s2(spark, sf):
 
 @register("s4_write_id_text", S.with_ctes(*S.BASE) + "SELECT UID_key, CASE WHEN coalesce(final_message_string, '') = '' THEN NULL ELSE final_message_string END AS text FROM clean")
 def q_s4(spark, sf):
-    path = _scratch(spark, "s4")
+    path = scratch_path(spark, "s4")
     sinks.write_id_text(clean_messages(spark, sf), path)
     back = (spark.read.option("sep", "\t").option("quote", "\u0000").option("header", False)
             .schema("UID_key long, text string").csv(path))
@@ -54,15 +48,31 @@ def q_s7(spark, sf):
     clean = clean_messages(spark, sf)
     mem = G.memberships(clean)
     adj = G.normalize_adj(G.pair_weights(G.author_pairs(mem)), mem)
-    path = _scratch(spark, "s7")
+    path = scratch_path(spark, "s7")
     sinks.save_matrix(adj, path)
     return round_doubles(spark.read.parquet(path))
 
 
-@register("g11_betweenness")
+def _betweenness_sql() -> str:
+    """Pairs with d(s, v) + d(v, t) = d(s, t), weighted by their share of the paths."""
+    from .q_graph import GRAPH_SQL
+    return S.rounded(["author", "betweenness_centrality"], {"betweenness_centrality"}, GRAPH_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+walk(s, a, d) AS (SELECT author, author, 0 FROM nodes
+  UNION SELECT w.s, y.dst, w.d + 1 FROM walk w JOIN sym y ON w.a = y.src WHERE w.d < (SELECT least(12, count(*)) FROM nodes)),
+dist AS (SELECT s, a, min(d) AS d FROM walk GROUP BY s, a),
+sg AS (SELECT s, a, d, CAST(1 AS DOUBLE) AS n FROM dist WHERE d = 0
+  UNION ALL SELECT g.s, y.dst, g.d + 1, sum(g.n) FROM sg g JOIN sym y ON g.a = y.src JOIN dist t ON t.s = g.s AND t.a = y.dst AND t.d = g.d + 1
+  GROUP BY g.s, y.dst, g.d + 1),
+b AS (SELECT x.a AS v, sum(x.n * y.n / z.n) AS b FROM sg x JOIN sg y ON y.s = x.a JOIN sg z ON z.s = x.s AND z.a = y.a AND z.d = x.d + y.d
+  WHERE x.d > 0 AND y.d > 0 GROUP BY x.a)
+SELECT n.author, coalesce(b.b, 0) / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2)) AS betweenness_centrality
+FROM nodes n LEFT JOIN b ON b.v = n.author""")
+
+
+@register("g11_betweenness", _betweenness_sql())
 def q_g11(spark, sf):
-    clean = clean_messages(spark, sf)
-    mem = G.memberships(clean)
+    from .authors import narrow_messages
+    mem = G.memberships(narrow_messages(spark, sf))
     edges = G.pair_weights(G.author_pairs(mem))
     return round_doubles(G.betweenness(edges, mem.select("author").distinct()))
 
@@ -98,6 +108,6 @@ FROM clean WHERE author IS NOT NULL AND group_name IS NOT NULL GROUP BY author,
 def q_s3(spark, sf):
     """S3: a result table written as Parquet and read back."""
     from ..operators import aggregate as A
-    path = _scratch(spark, "s3")
+    path = scratch_path(spark, "s3")
     sinks.write_table(A.message_counts(clean_messages(spark, sf)), path)
     return spark.read.parquet(path)

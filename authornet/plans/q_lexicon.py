@@ -99,5 +99,4 @@ def q_l9(spark, sf):
 
 @register("l10_pivot_rates", S.rounded(["UID_key"] + LIWC_COLS, set(LIWC_COLS), TOK + "SELECT UID_key, " + ", ".join(LIWC_COLS) + " FROM liwc"))
 def q_l10(spark, sf):
-    df = L.lexicon_rates(clean_messages(spark, sf), FX.lexicon_df(spark), plan="join")
-    return round_doubles(df.select("UID_key", *LIWC_COLS))
+    return round_doubles(L.lexicon_rates(clean_messages(spark, sf), FX.lexicon_df(spark), plan="join", carry=["UID_key"]))

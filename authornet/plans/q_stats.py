@@ -2,7 +2,8 @@
 C1-C5, D1-D5, D10-D14, W2-W6, N2-N4, N7, N9-N14, S6).
 
 Embeddings and labels come from ``embeddings`` (unit vectors, 10 labels);
-centres for the soft assignment are the vectors with ``vec_id < 6``;
+centres for the soft assignment are the means of all vectors with the same
+``label % 6``;
 label / prediction pairs for the classification metrics come from
 ``labels`` (quality as truth, toxic as prediction); numeric columns for
 descriptive statistics come from ``events`` and ``documents``.
@@ -33,9 +34,14 @@ def _emb(spark, sf):
 
 
 def _centres(spark, sf):
-    """K x d centres (bounded K) taken from the table."""
-    rows = _emb(spark, sf).filter(F.col("vec_id") < K_CENTRES).orderBy("vec_id").select("embedding").collect()
-    return np.array([[float(v) for v in r[0]] for r in rows])
+    """K x d centres (bounded K): means over the whole table."""
+    long = _emb(spark, sf).select((F.col("label") % K_CENTRES).cast("int").alias("k"),
+                                  F.posexplode(N.to_double_array("embedding")).alias("d", "v"))
+    cells = {(r["k"], r["d"]): r["v"] for r in long.groupBy("k", "d").agg(F.avg("v").alias("v")).collect()}  # K x d
+    out = np.zeros((K_CENTRES, 1 + max(d for _, d in cells)))
+    for at, v in cells.items():
+        out[at] = v
+    return out
 
 
 def _q(spark, sf):
@@ -44,7 +50,7 @@ def _q(spark, sf):
 
 
 Q_SQL = S.with_ctes(EMB_LONG) + f""",
-cen AS (SELECT vec_id AS k, d, v FROM emb WHERE vec_id < {K_CENTRES}),
+cen AS (SELECT label % {K_CENTRES} AS k, d, avg(v) AS v FROM emb GROUP BY label % {K_CENTRES}, d),
 dist AS (SELECT e.vec_id, c.k, sum((e.v - c.v) * (e.v - c.v)) AS d2 FROM emb e JOIN cen c ON e.d = c.d GROUP BY e.vec_id, c.k),
 qr AS (SELECT vec_id, k, pow(1.0 + d2, -1.5) AS w FROM dist),
 q AS (SELECT vec_id, CAST(k AS INTEGER) AS k, w / sum(w) OVER (PARTITION BY vec_id) AS q FROM qr),
@@ -462,52 +468,126 @@ def q_n7(spark, sf):
     return round_doubles(N.decode(z, edges))
 
 
-@register("n5_encode")
+def _layer_sql(n: int, source: str, W, a_s, a_n, normalise: bool) -> str:
+    """One attention layer as CTEs: y<n> (author, j, v) from ``source`` (author, i, x)."""
+    wrows = ", ".join(f"({i}, {j}, {float(W[i, j])!r})" for i in range(W.shape[0]) for j in range(W.shape[1]))
+    arows = ", ".join(f"({j}, {float(a_s[j])!r}, {float(a_n[j])!r})" for j in range(W.shape[1]))
+    value = "v / greatest(sqrt(sum(v * v) OVER (PARTITION BY author)), 1e-12)" if normalise else "v"
+    return f"""lh{n} AS (SELECT s.author, w.j, sum(s.x * w.w) AS h FROM {source} s JOIN (VALUES {wrows}) w(i, j, w) ON s.i = w.i GROUP BY s.author, w.j),
+lf{n} AS (SELECT h.author, sum(h.h * a.a_s) AS fs, sum(h.h * a.a_n) AS fn FROM lh{n} h JOIN (VALUES {arows}) a(j, a_s, a_n) ON h.j = a.j GROUP BY h.author),
+le{n} AS (SELECT mm.src, mm.dst, mm.m * (a.fs + b.fn) AS z FROM mm JOIN lf{n} a ON a.author = mm.src JOIN lf{n} b ON b.author = mm.dst),
+lx{n} AS (SELECT src, dst, exp(e - max(e) OVER (PARTITION BY src)) AS ex FROM (SELECT src, dst, CASE WHEN z >= 0 THEN z ELSE z * 0.05 END AS e FROM le{n}) t),
+la{n} AS (SELECT src, dst, ex / sum(ex) OVER (PARTITION BY src) AS alpha FROM lx{n}),
+ls{n} AS (SELECT a.src AS author, h.j, sum(a.alpha * h.h) AS s FROM la{n} a JOIN lh{n} h ON h.author = a.dst GROUP BY a.src, h.j),
+y{n} AS (SELECT author, i, {value} AS x FROM (SELECT author, j AS i, CASE WHEN s > 0 THEN s ELSE exp(s) - 1 END AS v FROM ls{n}) t)"""
+
+
+def _assign_sql(source: str, centres) -> str:
+    """sq (author, k, q) of ``source`` (author, i, x) by the given centres."""
+    crows = ", ".join(f"({k}, {d}, {float(centres[k, d])!r})" for k in range(centres.shape[0]) for d in range(centres.shape[1]))
+    return f"""sd AS (SELECT s.author, c.k, sum((s.x - c.v) * (s.x - c.v)) AS d2 FROM {source} s JOIN (VALUES {crows}) c(k, d, v) ON s.i = c.d GROUP BY s.author, c.k),
+sq AS (SELECT author, CAST(k AS INTEGER) AS k, pow(1.0 + d2, -1.5) / sum(pow(1.0 + d2, -1.5)) OVER (PARTITION BY author) AS q FROM sd)"""
+
+
+ENC = N.rule_layers([len(X_COLS), 8, 4, 4], clusters=K_CENTRES)
+
+
+def _encoder_sql(w, source: str, layers: int) -> str:
+    parts = []
+    for n in range(layers):
+        parts.append(_layer_sql(n, source, w[f"W{n}"], w[f"a_self{n}"], w[f"a_neighs{n}"], n > 0))
+        source = f"y{n}"
+    return ",\n".join(parts)
+
+
+@register("n5_encode", S.rounded(["author", "k", "z"], {"z"}, _graph_sql() + ",\n" + _encoder_sql(ENC, "xl", 2) +
+                                 "\nSELECT author, CAST(i AS INTEGER) AS k, x AS z FROM y1"))
 def q_n5(spark, sf):
     x, m = _author_x(spark, sf)
-    w = N.init_weights([len(X_COLS), 8, 4], seed=42)
-    z = N.encode(x, m, w)
+    z = N.encode(x, m, ENC)
     return round_doubles(z.select("author", F.posexplode("z").alias("k", "z")))
 
 
-@register("n6_score_authors")
+@register("n6_score_authors", S.rounded(["author", "k", "q"], {"q"}, _graph_sql() + ",\n" + _encoder_sql(ENC, "xl", 3) + ",\n" +
+                                        _assign_sql("y2", ENC["centres"]) + "\nSELECT author, k, q FROM sq"))
 def q_n6(spark, sf):
     x, m = _author_x(spark, sf)
-    w = N.init_weights([len(X_COLS), 8, 4, 4], seed=42, clusters=K_CENTRES)
-    return round_doubles(N.score_authors(x, m, w, w["centres"]))
+    return round_doubles(N.score_authors(x, m, ENC, ENC["centres"]))
+
+
+EPOCHS, RATE = 3, 0.5
+
+
+def _epochs_sql() -> str:
+    """Unrolled refinement: centres c0 .. cE, soft assignments q0 .. qE, targets p0 .. pE."""
+    parts = [S.with_ctes(EMB_LONG) + f""", sz AS (SELECT count(DISTINCT vec_id) AS n FROM emb),
+c0 AS (SELECT CAST(label % {K_CENTRES} AS INTEGER) AS k, d, avg(v) AS v FROM emb GROUP BY label % {K_CENTRES}, d)"""]
+    for e in range(EPOCHS + 1):
+        parts.append(f"""d{e} AS (SELECT e.vec_id, c.k, sum((e.v - c.v) * (e.v - c.v)) AS d2 FROM emb e JOIN c{e} c ON e.d = c.d GROUP BY e.vec_id, c.k),
+q{e} AS (SELECT vec_id, k, d2, pow(1.0 + d2, -1.5) / sum(pow(1.0 + d2, -1.5)) OVER (PARTITION BY vec_id) AS q FROM d{e}),
+f{e} AS (SELECT k, sum(q) AS f FROM q{e} GROUP BY k),
+p{e} AS (SELECT q.vec_id, q.k, q.d2, q.q, (q.q * q.q / f.f) / sum(q.q * q.q / f.f) OVER (PARTITION BY q.vec_id) AS p FROM q{e} q JOIN f{e} f ON q.k = f.k),
+h{e} AS (SELECT vec_id, k AS cluster FROM (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY q DESC, k ASC) AS rn FROM q{e}) t WHERE rn = 1)""")
+        if e < EPOCHS:
+            parts.append(f"""c{e + 1} AS (SELECT c.k, c.d, c.v + {RATE} * 3.0 * sum((p.p - p.q) / (1.0 + p.d2) * (e.v - c.v)) / max(sz.n) AS v
+  FROM c{e} c JOIN p{e} p ON p.k = c.k JOIN emb e ON e.vec_id = p.vec_id AND e.d = c.d, sz GROUP BY c.k, c.d, c.v)""")
+    return ",\n".join(parts)
+
+
+def _index_sql(e: int) -> str:
+    """Calinski-Harabasz and Davies-Bouldin of the hard labels of epoch e."""
+    return f"""m{e} AS (SELECT e.vec_id, h.cluster, e.d, e.v FROM emb e JOIN h{e} h ON h.vec_id = e.vec_id),
+g{e} AS (SELECT cluster, d, avg(v) AS c, count(*) AS n FROM m{e} GROUP BY cluster, d),
+w{e} AS (SELECT sum((m.v - g.c) * (m.v - g.c)) AS w FROM m{e} m JOIN g{e} g ON m.cluster = g.cluster AND m.d = g.d),
+b{e} AS (SELECT sum(g.n * (g.c - a.c) * (g.c - a.c)) AS b FROM g{e} g JOIN (SELECT d, avg(v) AS c FROM emb GROUP BY d) a ON a.d = g.d),
+u{e} AS (SELECT count(DISTINCT cluster) AS k FROM h{e}),
+s{e} AS (SELECT cluster, avg(x) AS s FROM (SELECT m.vec_id, m.cluster, sqrt(sum((m.v - g.c) * (m.v - g.c))) AS x
+  FROM m{e} m JOIN g{e} g ON m.cluster = g.cluster AND m.d = g.d GROUP BY m.vec_id, m.cluster) t GROUP BY cluster),
+r{e} AS (SELECT i.cluster, max((si.s + sj.s) / j.x) AS r FROM (SELECT DISTINCT cluster FROM g{e}) i
+  JOIN (SELECT a.cluster AS ci, b.cluster AS cj, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS x FROM g{e} a JOIN g{e} b ON a.d = b.d AND a.cluster <> b.cluster
+        GROUP BY a.cluster, b.cluster) j ON j.ci = i.cluster JOIN s{e} si ON si.cluster = j.ci JOIN s{e} sj ON sj.cluster = j.cj GROUP BY i.cluster)"""
+
+
+def _refinement(spark, sf):
+    z = _emb(spark, sf).select(F.col("vec_id").alias("author"), N.to_double_array("embedding").alias("z"))
+    return z, V.refine_epochs(z, _centres(spark, sf), epochs=EPOCHS, lr=RATE)
 
 
-@register("n14_refine_centres")
+@register("n14_refine_centres", S.rounded(["author", "cluster"] + _PROB, set(_PROB), _epochs_sql() + f"""
+SELECT h.vec_id AS author, h.cluster, """ + ", ".join(f"max(q.q) FILTER (WHERE q.k = {i}) AS cluster_{i}_prob" for i in range(K_CENTRES)) + f"""
+FROM h{EPOCHS} h JOIN q{EPOCHS} q ON q.vec_id = h.vec_id GROUP BY h.vec_id, h.cluster"""))
 def q_n14(spark, sf):
-    z = _emb(spark, sf).select(F.col("vec_id").alias("author"), N.to_double_array("embedding").alias("z"))
-    C = V.refine_centres(z, K_CENTRES, epochs=3, lr=0.1)
-    return round_doubles(N.cluster_table(N.soft_assign(z, C), K_CENTRES))
+    _, states = _refinement(spark, sf)
+    *_, (_, _, q) = states
+    return round_doubles(N.cluster_table(q, K_CENTRES))
 
 
-@register("s8_log_metrics")
+_S8_SQL = _epochs_sql() + ",\n" + ",\n".join(_index_sql(e) for e in range(EPOCHS + 1)) + "\n" + " UNION ALL ".join(f"""
+SELECT {e} AS epoch, (SELECT sum(p * (ln(p) - ln(q))) FROM p{e}) / sz.n AS kl, u{e}.k AS assigned_clusters,
+  (b{e}.b / (u{e}.k - 1)) / (w{e}.w / (sz.n - u{e}.k)) AS calinski_harabasz, (SELECT avg(r) FROM r{e}) AS davies_bouldin,
+  {K_CENTRES} AS k, {RATE} AS lr FROM sz, u{e}, w{e}, b{e}""" for e in range(EPOCHS + 1))
+
+
+@register("s8_log_metrics", f"""SELECT CAST(epoch AS BIGINT) AS epoch, round(kl, 6) AS kl, CAST(assigned_clusters AS BIGINT) AS assigned_clusters,
+  round(calinski_harabasz, 6) AS calinski_harabasz, round(davies_bouldin, 6) AS davies_bouldin, CAST(k AS BIGINT) AS k,
+  CAST(lr AS DOUBLE) AS lr FROM ({_S8_SQL})""")
 def q_s8(spark, sf):
-    """Per-epoch metric rows of the centre refinement (KL, clusters used,
-    Calinski-Harabasz, Davies-Bouldin of the hard labels) appended with the
-    run parameters to a Parquet log, then read back."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
+    """One metric row per epoch of the centre refinement (KL, clusters used,
+    Calinski-Harabasz, Davies-Bouldin of the hard labels), appended with the
+    run parameters to a Parquet log as the epochs run, then read back."""
+    from ..session import scratch_path
     from ..sources.sinks import log_metrics
-    z = _emb(spark, sf).select(F.col("vec_id").alias("author"), N.to_double_array("embedding").alias("z"))
-    rows = []
-    C = None
-    for epoch in range(2):
-        C = V.refine_centres(z, K_CENTRES, epochs=1, lr=0.1, seed=42 + epoch) if C is None else C
-        q = N.soft_assign(z, C)
-        kl = N.kl(N.target_distribution(q), q).first()[0]
+    z, states = _refinement(spark, sf)
+    path = scratch_path(spark, "s8")
+    for epoch, _, q in states:
         hard = N.hard_label(q).join(z, "author")
         used = V.labels_used(hard, "cluster").first()[0]
-        ch = V.calinski_harabasz(hard, "z", "cluster", "author").first()[0] if used > 1 else None
-        db = V.davies_bouldin(hard, "z", "cluster", "author").first()[0] if used > 1 else None
-        rows.append({"epoch": epoch, "kl": float(kl), "assigned_clusters": int(used),
-                     "calinski_harabasz": ch, "davies_bouldin": db})
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/s8-{uuid.uuid4().hex}"
-    log_metrics(spark, rows, path, params={"k": K_CENTRES, "lr": 0.1})
-    return round_doubles(spark.read.parquet(path))
+        row = {"epoch": epoch, "kl": float(N.kl(N.target_distribution(q), q).first()[0]), "assigned_clusters": int(used),
+               "calinski_harabasz": V.calinski_harabasz(hard, "z", "cluster", "author").first()[0],
+               "davies_bouldin": V.davies_bouldin(hard, "z", "cluster", "author").first()[0]}
+        log_metrics(spark, [row], path, params={"k": K_CENTRES, "lr": RATE})
+    return round_doubles(spark.read.parquet(path).select("epoch", "kl", "assigned_clusters", "calinski_harabasz", "davies_bouldin",
+                                                         "k", "lr"))
 
 
 @register("j10_attach_clusters", S.rounded(["vec_id", "label", "cluster"] + _PROB, set(_PROB), Q_SQL + """,
@@ -526,19 +606,43 @@ def q_j10(spark, sf):
 def q_s9(spark, sf):
     """Cluster means written with the table writer (gzip CSV instead of
     xlsx) and read back."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
+    from ..session import scratch_path
     from ..sources.sinks import write_table
     long = _emb(spark, sf).select("label", F.posexplode(N.to_double_array("embedding")).alias("d", "v"))
     means = ST.cluster_means(long, ["v"], label=["label", "d"]).withColumnRenamed("v", "mean")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/s9-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "s9")
     write_table(means, path, fmt="csv")
     back = spark.read.option("header", True).schema("label int, d int, mean double").csv(path)
     return round_doubles(back)
 
 
-@register("n13_scored_authors")
+def _scored_sql() -> str:
+    from .authors import scored_weights
+    from .q_authors import A2_COLS, _author_sql
+    from .q_graph import GRAPH_SQL
+    w = scored_weights()
+    feats = "WITH " + GRAPH_SQL.lstrip()[len("WITH"):] + f""",
+fe AS (SELECT * FROM ({_author_sql(A2_COLS, digits=None)}) t),
+mm AS (SELECT tp.src, tp.dst, (tp.t + coalesce(t2.t2, 0)) / 2 AS m FROM tp LEFT JOIN t2 ON tp.src = t2.src AND tp.dst = t2.dst),
+xs AS (""" + " UNION ALL ".join(f"SELECT author, {i} AS i, coalesce(CAST({c} AS DOUBLE), 0.0) AS x FROM fe" for i, c in enumerate(A.FEATURES_30)) + "),\n"
+    feats += _encoder_sql(w, "xs", 3) + ",\n" + _assign_sql("y2", w["centres"]) + f""",
+ct AS (SELECT author, arg_max(k, q) AS cluster, """ + ", ".join(f"max(q) FILTER (WHERE k = {i}) AS cluster_{i}_prob" for i in range(K_CENTRES)) + f"""
+  FROM sq GROUP BY author),
+dg AS (SELECT author, degree, CAST(degree AS DOUBLE) / nullif((SELECT count(*) FROM deg) - 1, 0) AS degree_centrality FROM deg)
+SELECT fe.*, ct.* EXCLUDE (author), dg.* EXCLUDE (author) FROM fe LEFT JOIN ct ON ct.author = fe.author LEFT JOIN dg ON dg.author = fe.author"""
+    return feats
+
+
+def _register_scored():
+    from .q_authors import A2_COLS, AUTHOR_DOUBLES
+    cols = A2_COLS + ["cluster"] + _PROB + ["degree", "degree_centrality"]
+    register("n13_scored_authors", S.rounded(cols, AUTHOR_DOUBLES | set(_PROB) | {"degree_centrality"}, _scored_sql()))(q_n13s)
+
+
 def q_n13s(spark, sf):
     """End to end: 30 features, clusters and probabilities, degree."""
     from .authors import scored_authors
     return round_doubles(scored_authors(spark, sf))
+
+
+_register_scored()

@@ -2,7 +2,8 @@
 
 ``messages`` turns ``documents`` into the raw chat-message shape (author,
 own / forwarded / transcribed text, group, date).  Every document becomes
-one message and every text is used whole.  The same recipe is written once
+one message that holds its whole text; emoji-only, emptied and text-less messages
+are extra rows beside them.  The same recipe is written once
 as a DataFrame plan and once as SQL (the DuckDB oracle twin).
 
 The small vocabularies (category lexicon, part-of-speech, polarity,
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import spread, table
+from .tables import table
 
 # ---------------------------------------------------------------------------
 # Suffixes attached to some messages (tags, links, emoji, runs)
@@ -25,26 +26,40 @@ SUFFIX_1 = ' <b>Nein</b>!!! <a href="http://x.example/1">link</a> ich wir'
 EMOJI_ONLY = "\U0001F600\U0001F600"
 
 
+# Extra messages: keys of their own, from some of the documents.
+EMOJI_KEY, EMPTIED_KEY, BLANK_KEY = 1_000_000_000, 2_000_000_000, 3_000_000_000
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     k = F.col("doc_id")
+    text = F.col("text")
+    none = F.lit(None).cast("string")
+    suffix = F.when(k % 5 == 0, F.lit(SUFFIX_0)).when(k % 5 == 1, F.lit(SUFFIX_1)).otherwise(F.lit(""))
+    own = F.when((k % 10 != 7) & (k % 10 != 9), F.concat(text, suffix))
+    fwd = (k % 10 == 7) | (k % 10 == 8)
+
+    def row(key, message, fwd_message, transcribed):
+        return F.struct(key.alias("UID_key"), message.alias("message"), fwd_message.alias("fwd_message"),
+                        transcribed.alias("transcribed_message"))
+
+    emoji = F.lit(EMOJI_ONLY)
+    rows = F.array(row(k, own, F.when(fwd, text), F.when(k % 10 == 9, text)),
+                   F.when(k % 29 == 0, row(k + EMOJI_KEY, emoji, none, none)),
+                   F.when(k % 58 == 0, row(k + EMPTIED_KEY, emoji, emoji, none)),
+                   F.when(k % 20 == 19, row(k + BLANK_KEY, none, none, none)))
     aid = F.when(k % 2 == 0, k % 53).otherwise(k % 397).cast("string")
-    author = (F.when(k % 41 == 40, F.lit(None).cast("string"))
+    author = (F.when(k % 41 == 40, none)
               .when(k % 3 == 0, F.concat(F.lit(" Author_"), aid, F.lit(" ")))
               .otherwise(F.concat(F.lit("author_"), aid)))
-    suffix = F.when(k % 5 == 0, F.lit(SUFFIX_0)).when(k % 5 == 1, F.lit(SUFFIX_1)).otherwise(F.lit(""))
-    message = (F.when((k % 10 == 7) | (k % 10 == 9), F.lit(None).cast("string"))
-               .when(k % 29 == 0, F.lit(EMOJI_ONLY))
-               .otherwise(F.concat(F.col("text"), suffix)))
-    fwd = (k % 10 == 7) | (k % 10 == 8)
     src_no = F.substring(F.col("source"), 4, 100).cast("int")
-    return d.select(
-        k.alias("UID_key"),
+    return d.select("doc_id", "source", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("m")).select(
+        "m.UID_key",
         author.alias("author"),
-        message.alias("message"),
-        F.when(fwd, F.col("text")).alias("fwd_message"),
-        F.when(fwd, F.concat(F.lit("author_"), (k % 53).cast("string"))).alias("fwd_author"),
-        F.when(k % 20 == 9, F.col("text")).alias("transcribed_message"),
+        "m.message",
+        "m.fwd_message",
+        F.when(F.col("m.fwd_message").isNotNull(), F.concat(F.lit("author_"), (k % 53).cast("string"))).alias("fwd_author"),
+        "m.transcribed_message",
         F.concat(F.col("source"), F.lit("_"), (k % 7).cast("string")).alias("group_name"),
         F.when(src_no % 2 == 0, F.lit("group")).otherwise(F.lit("channel")).alias("group_or_channel"),
         F.date_add(F.lit("2021-01-01").cast("date"), (k % 31).cast("int")).alias("date"),
@@ -56,24 +71,30 @@ def _sql_str(s: str) -> str:
 
 
 MESSAGES_SQL = f"""
-SELECT doc_id AS UID_key,
+SELECT UID_key,
   CASE WHEN doc_id % 41 = 40 THEN NULL
        WHEN doc_id % 3 = 0 THEN concat(' Author_', CAST(aid AS VARCHAR), ' ')
        ELSE concat('author_', CAST(aid AS VARCHAR)) END AS author,
-  CASE WHEN doc_id % 10 IN (7, 9) THEN NULL
-       WHEN doc_id % 29 = 0 THEN {_sql_str(EMOJI_ONLY)}
-       ELSE concat(text, CASE WHEN doc_id % 5 = 0 THEN {_sql_str(SUFFIX_0)}
-                              WHEN doc_id % 5 = 1 THEN {_sql_str(SUFFIX_1)}
-                              ELSE '' END) END AS message,
-  CASE WHEN doc_id % 10 IN (7, 8) THEN text ELSE NULL END AS fwd_message,
-  CASE WHEN doc_id % 10 IN (7, 8) THEN concat('author_', CAST(doc_id % 53 AS VARCHAR)) ELSE NULL END AS fwd_author,
-  CASE WHEN doc_id % 20 = 9 THEN text ELSE NULL END AS transcribed_message,
+  message, fwd_message,
+  CASE WHEN fwd_message IS NOT NULL THEN concat('author_', CAST(doc_id % 53 AS VARCHAR)) ELSE NULL END AS fwd_author,
+  transcribed_message,
   concat(source, '_', CAST(doc_id % 7 AS VARCHAR)) AS group_name,
   CASE WHEN CAST(substring(source, 4) AS INTEGER) % 2 = 0 THEN 'group' ELSE 'channel' END AS group_or_channel,
   CAST(DATE '2021-01-01' + CAST(doc_id % 31 AS INTEGER) AS DATE) AS date
-FROM (SELECT doc_id, text, source,
-             CASE WHEN doc_id % 2 = 0 THEN doc_id % 53 ELSE doc_id % 397 END AS aid
-      FROM documents) d
+FROM (
+  SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN doc_id % 53 ELSE doc_id % 397 END AS aid, doc_id AS UID_key,
+    CASE WHEN doc_id % 10 IN (7, 9) THEN NULL
+         ELSE concat(text, CASE WHEN doc_id % 5 = 0 THEN {_sql_str(SUFFIX_0)}
+                                WHEN doc_id % 5 = 1 THEN {_sql_str(SUFFIX_1)} ELSE '' END) END AS message,
+    CASE WHEN doc_id % 10 IN (7, 8) THEN text ELSE NULL END AS fwd_message,
+    CASE WHEN doc_id % 10 = 9 THEN text ELSE NULL END AS transcribed_message
+  FROM documents
+  UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN doc_id % 53 ELSE doc_id % 397 END, doc_id + {EMOJI_KEY}, {_sql_str(EMOJI_ONLY)}, NULL, NULL
+  FROM documents WHERE doc_id % 29 = 0
+  UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN doc_id % 53 ELSE doc_id % 397 END, doc_id + {EMPTIED_KEY}, {_sql_str(EMOJI_ONLY)}, {_sql_str(EMOJI_ONLY)}, NULL
+  FROM documents WHERE doc_id % 58 = 0
+  UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN doc_id % 53 ELSE doc_id % 397 END, doc_id + {BLANK_KEY}, NULL, NULL, NULL
+  FROM documents WHERE doc_id % 20 = 19) d
 """
 
 # ---------------------------------------------------------------------------

@@ -17,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
-    """Give a small input enough tasks.  A table stored as a few files
-    (or one row group) is read by a few tasks only; when the scan has fewer
-    input files than the session's parallelism, hash-partition it by
-    ``key`` over ``factor`` x parallelism partitions.  Large inputs (many
-    files) are returned untouched, so no shuffle is added at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= par:
-        return df
-    n = factor * par
-    return df.repartition(n, key) if key else df.repartition(n)
-
-
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("UID_key", T.LongType()),
     T.StructField("author", T.StringType()),

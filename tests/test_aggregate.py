@@ -63,9 +63,10 @@ def test_join_texts_in_key_order_skipping_empty(spark):
 def test_join_texts_with_string_order_is_whole(spark):
     rows = [("a", f"k{i:03d}", f"t{i}") for i in range(10)] + [("b", "k000", "x")]
     df = spark.createDataFrame(rows, "author string, ts string, final_message_string string").repartition(3)
-    out = A.join_texts(df, ["author"], order="ts", part_keys=4).collect()
+    out = A.join_texts(df, ["author"], order="ts", part_rows=4).collect()
     parts = {}
     for r in out:
         parts.setdefault(r.author, []).append((r.part, r.final_message_string))
     joined = {a: " ".join(t for _, t in sorted(v)) for a, v in parts.items()}
     assert joined == {"a": " ".join(f"t{i}" for i in range(10)), "b": "x"}
+    assert sorted(p for p, _ in parts["a"]) == [0, 1, 2] and parts["b"] == [(0, "x")]  # numbered within the author

@@ -72,10 +72,43 @@ def test_union_tagged_fills_missing(spark):
     assert out[1].group_or_channel == "channel"
 
 
-def test_large_sample_uses_positions(spark, monkeypatch):
-    monkeypatch.setattr(C, "TOP_N_MAX", 10)
-    df = spark.range(0, 500, 1, 5).withColumnRenamed("id", "UID_key")
-    big = sorted(r[0] for r in C.sample_n(df, 37, seed=5).collect())
-    monkeypatch.setattr(C, "TOP_N_MAX", 10**9)
-    small = sorted(r[0] for r in C.sample_n(df, 37, seed=5).collect())
-    assert big == small and len(big) == 37
+def test_sample_picks_rows_by_key_alone(spark):
+    df = spark.range(0, 500, 1, 5).select(F.col("id").alias("UID_key"), F.lit("a long text").alias("text"))
+    picked = C.sample_n(df, 37, seed=5)
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert picked.columns == ["UID_key", "text"] and picked.count() == 37 and "LeftSemi" in plan
+    assert C.sample_n(df, 10_000, seed=5).count() == 500
+
+
+def test_balanced_sample_over_many_strata(spark):
+    sizes = {"a": 1, "b": 2, "c": 30, "d": 50, "e": 50}
+    rows = [(f"{g}{i}", g) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "UID_key string, g string")
+    for n in (0, 4, 5, 23, 101, 133, 500):
+        left, quota = n, {}
+        order = sorted(sizes, key=lambda g: (sizes[g], g))
+        for i, g in enumerate(order):
+            quota[g] = min(left // (len(order) - i), sizes[g])
+            left -= quota[g]
+        got = {r[0]: r[1] for r in C.sample_balanced(df, n, "g").groupBy("g").count().collect()}
+        assert got == {g: q for g, q in quota.items() if q}
+
+
+def test_every_document_keeps_its_whole_text(spark):
+    from authornet.sources import fixtures as FX
+    from authornet.sources.tables import table
+    sf = "/root/testdata/sf0.001"
+    m = FX.messages(spark, sf)
+    held = m.select(F.col("UID_key").alias("doc_id"), F.coalesce("fwd_message", "transcribed_message", "message").alias("held"))
+    docs = table(spark, sf, "documents").join(held, "doc_id", "left")
+    assert docs.filter(~F.coalesce(F.startswith("held", "text"), F.lit(False))).count() == 0
+    extra = {r.UID_key // 1_000_000_000 for r in m.select("UID_key").collect()}
+    assert extra == {0, 1, 2, 3}  # emoji-only, emptied and blank messages are rows of their own
+
+
+def test_preprocess_needs_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "The houses are BIG"), (2, None), (3, "")], "UID_key long, t string")
+    lem = spark.createDataFrame([("houses", "house")], "word string, lemma string")
+    out = C.preprocess_text(df, "t", ["the"], lem)
+    assert [r.preprocessed for r in out.orderBy("UID_key").collect()] == ["house are big", "", ""]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -47,3 +47,24 @@ def test_explode_and_name(spark):
     names = spark.createDataFrame([(1, "Pronoun"), (2, "I")], "categories int, cat_name string")
     out = L.sort_lexicon(L.name_categories(L.explode_lexicon(wide), names)).collect()
     assert [(r.word, r.cat_name, r.categories) for r in out] == [("ich", "I", 2), ("ich", "Pronoun", 1)]
+
+
+def test_large_lookups_take_the_join_plan(spark):
+    """60,000 words are beyond the inline size: same results through a shuffle join."""
+    words = [(f"filler{i:06d}padding", "NOUN") for i in range(60_000)] + [("dog", "NOUN"), ("run", "VERB"), ("dog", "NOUN")]
+    df = spark.createDataFrame([(1, "Dog dog run"), (2, ""), (3, None), (4, "nothing")], "UID_key long, final_message_string string")
+    pos = spark.createDataFrame(words, "word string, pos string")
+    assert not L.fits_inline(pos)
+    got = {r.UID_key: (r.noun_count, r.verb_count, r.adj_count) for r in L.pos_counts(df, pos).collect()}
+    assert got == {1: (2, 1, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0)}
+    score = spark.createDataFrame([(w, 1) for w, _ in words[:60_000]] + [("dog", -1)], "word string, score int")
+    flags = {r.UID_key: (r.positive_sentiment, r.negative_sentiment, r.neutral_sentiment) for r in L.sentiment_flags(df, score).collect()}
+    assert flags == {1: (0, 1, 0), 2: (None,) * 3, 3: (None,) * 3, 4: (0, 0, 1)}
+
+
+def test_join_plan_reads_the_text_once(spark):
+    lex = spark.createDataFrame(LEX, "word string, cat_name string, categories int")
+    df = spark.createDataFrame([(1, "the theory in wir")], "UID_key long, final_message_string string")
+    out = L.lexicon_rates(df, lex, targets=["We"], plan="join", carry=["UID_key"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "final_message_string" not in plan  # everything reads the stored token table

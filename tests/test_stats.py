@@ -119,3 +119,40 @@ def test_multinomial_matches_balanced_objective(spark):
     pred = {r.k: r for r in ST.predict(model, df, "x", "k").collect()}
     assert all(abs(sum(r.probability) - 1) < 1e-9 for r in pred.values())
     assert all(pred[i].prediction == int(np.argmax(P[i])) for i in range(n))
+
+
+def test_projection_keeps_the_largest_variances(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(80, 4)) * np.array([5.0, 2.0, 0.5, 0.1])
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(80)], "vec_id int, embedding array<double>")
+    got = np.array([(r.pc1, r.pc2) for r in V.project_2d(df).orderBy("vec_id").collect()])
+    top = np.sort(np.linalg.eigvalsh(np.cov(X.T)))[::-1][:2]
+    assert np.allclose(got.var(axis=0, ddof=1), top) and abs(np.cov(got.T)[0, 1]) < 1e-9
+
+
+def test_too_many_clusters_are_refused_not_cut(spark, monkeypatch):
+    import pytest
+    df = spark.createDataFrame([(i, [float(i), 1.0], i % 5) for i in range(20)], "vec_id int, embedding array<double>, label int")
+    assert V.cluster_stats(df).count() == 5
+    monkeypatch.setattr(V, "MAX_CLUSTERS", 4)
+    with pytest.raises(ValueError):
+        V.silhouette(df).collect()
+
+
+def test_every_epoch_is_logged(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["s8_log_metrics"](spark, "/root/testdata/sf0.001").orderBy("epoch").collect()
+    assert [r.epoch for r in rows] == [0, 1, 2, 3]
+    assert len({(r.kl, r.calinski_harabasz, r.davies_bouldin) for r in rows}) == 4  # no epoch is a copy
+
+
+def test_each_step_lowers_kl_to_its_own_target(spark):
+    """The target is renewed every epoch, so only the divergence from the epoch's own
+    target must fall with its step."""
+    from authornet.operators import propagate as N
+    rng = np.random.default_rng(4)
+    Z = rng.normal(size=(40, 3))
+    z = spark.createDataFrame([(i, Z[i].tolist()) for i in range(40)], "author int, z array<double>")
+    states = [(q, N.target_distribution(q)) for _, _, q in V.refine_epochs(z, Z[:4] * 0.5, epochs=3, lr=0.3)]
+    for (q, p), (after, _) in zip(states, states[1:]):
+        assert N.kl(p, after).first()[0] < N.kl(p, q).first()[0]

@@ -59,3 +59,28 @@ def test_flesch_null_for_blank(spark):
     v = one(spark, "Das ist gut.", X.flesch_de)
     # 3 words, 1 sentence, 4 vowel groups (Das, ist, gut -> a, i, u) = 3 syllables
     assert abs(v - (180 - 3 / 1 - 58.5 * 3 / 3)) < 1e-9
+
+
+def test_batch_scorer_sees_every_piece(spark):
+    import pandas as pd
+    from authornet.operators import textfeat as TF
+    df = spark.createDataFrame([(1, "a" * 25), (2, "!!"), (3, ""), (4, None)], "UID_key long, t string")
+    seen = lambda s: s.str.len().astype("float64")  # noqa: E731  a piece scores its length
+    got = {r.UID_key: r.score for r in TF.score_batches(df, "t", seen, max_chars=10).collect()}
+    assert got == {1: (10 * 10 + 10 * 10 + 5 * 5) / 25, 2: 2.0, 3: 0.0, 4: None}
+
+
+def test_batch_scorer_retries_and_gives_up(spark):
+    from authornet.operators import textfeat as TF
+    df = spark.createDataFrame([(1, "x")], "UID_key long, t string")
+
+    def broken(s):
+        raise OSError("no answer")
+    out = TF.score_batches(df, "t", broken, retries=2, backoff=1.0, sleep=lambda _: None).collect()
+    assert out[0].score is None
+
+
+def test_chunks_hold_the_whole_text(spark):
+    from authornet.functions import text as X
+    df = spark.createDataFrame([("abcdefg",), ("",), (None,), ("abc",)], "t string")
+    assert [r[0] for r in df.select(X.chunk_text("t", 3)).collect()] == [["abc", "def", "g"], [""], None, ["abc"]]
