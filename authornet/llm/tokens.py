@@ -14,6 +14,7 @@ import os
 import re
 import sys
 import types
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -119,6 +120,8 @@ class BulkEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.spaced:
+            if not text.isascii() and ("\u0130" in text or not unicodedata.is_normalized("NFC", text)):
+                return None  # its normal form may end a word in a mark, which joins the signs behind it
             if LOOSE_STOP.search(text):
                 return text.split(" ")
             return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace("\n", " ").split(" ")
