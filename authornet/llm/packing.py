@@ -22,6 +22,7 @@ a window fill whole windows first; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,12 @@ from .tokens import encoder
 WINDOW = 2048
 END_ID = 1
 
-TOKEN_SCHEMA = ("doc_id bigint, block int, row_in_block bigint, n_tokens bigint, n_full bigint, rest int, "
-                "full_rank bigint, rest_rank bigint, ids binary")
+RANKED = "doc_id bigint, h bigint, block int, row_in_block bigint, n_tokens bigint, n_full bigint, rest int, full_rank bigint, rest_rank bigint"
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, spaced: bool, end_id: int, window: int = WINDOW) -> DataFrame:
-    """Ids of each whole text with ``end_id`` behind them, and the row's ranks in its block."""
+def tokenize(df: DataFrame, tokenizer_path: str, spaced: bool, end_id: int, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """The ranks in its block of each whole text's ids (with ``end_id`` behind them), and the
+    ids themselves or, without ``with_ids``, the crc32 of each full window and of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, spaced)
@@ -50,7 +51,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, spaced: bool, end_id: int, wind
         end = np.array([end_id], dtype="<u4").tobytes()
         row, full_seen, rest_seen = 0, 0, np.zeros(window, dtype=np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
+            doc_ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for at in range(0, len(texts), 512):
                 ids = [x + end for x in enc.encode(texts[at:at + 512])]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
@@ -60,16 +61,22 @@ def tokenize(df: DataFrame, tokenizer_path: str, spaced: bool, end_id: int, wind
                     ranks[i] = rest_seen[r]
                     rest_seen[r] += 1
                 full_before = full_seen + np.cumsum(full) - full
+                if with_ids:
+                    last, names = [pa.array(ids, type=pa.binary())], ["ids"]
+                else:
+                    step = 4 * window
+                    heads = [[zlib.crc32(x[k * step:(k + 1) * step]) for k in range(f)] for x, f in zip(ids, full.tolist())]
+                    rests = [zlib.crc32(x[f * step:]) if f else zlib.crc32(x) for x, f in zip(ids, full.tolist())]
+                    last, names = [pa.array(heads, pa.list_(pa.int64())), pa.array(rests, pa.int64())], ["full_crcs", "rest_crc"]
                 yield pa.RecordBatch.from_arrays([
-                    doc_ids.slice(at, len(n)), pa.array(np.full(len(n), block, dtype=np.int32)),
+                    doc_ids.slice(at, len(n)), hashes.slice(at, len(n)), pa.array(np.full(len(n), block, dtype=np.int32)),
                     pa.array(np.arange(row, row + len(n))), pa.array(n), pa.array(full),
-                    pa.array(rest.astype(np.int32)), pa.array(full_before), pa.array(ranks),
-                    pa.array(ids, type=pa.binary())],
-                    names=["doc_id", "block", "row_in_block", "n_tokens", "n_full", "rest", "full_rank",
-                           "rest_rank", "ids"])
+                    pa.array(rest.astype(np.int32)), pa.array(full_before), pa.array(ranks), *last],
+                    names=["doc_id", "h", "block", "row_in_block", "n_tokens", "n_full", "rest", "full_rank", "rest_rank", *names])
                 row, full_seen = row + len(n), full_seen + int(full.sum())
 
-    return df.mapInArrow(run, TOKEN_SCHEMA)
+    schema = RANKED + (", ids binary" if with_ids else ", full_crcs array<bigint>, rest_crc bigint")
+    return df.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
 def best_fill(counts: np.ndarray, room: int) -> tuple[int, dict[int, int]]:
@@ -160,11 +167,11 @@ def _placed(rank: Column, length: Column, seg: Column, pool_first: int, window:
     return (F.when(seg["pool"] < 0, F.array(whole)).when(head < length, F.array(*cut)).otherwise(F.array(cut[0])))
 
 
-def place(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``tokens``: a written result of :func:`tokenize`.  One row per document with
-    ``pieces``: array of (start, length, sequence_id, offset)."""
+def place(tokens: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``tokens``: a written result of :func:`tokenize`.  One row per document: block, row_in_block,
+    ``keep`` and ``pieces``, an array of (start, length, sequence_id, offset)."""
     spark = tokens.sparkSession
-    narrow = tokens.select("doc_id", "block", "row_in_block", "n_tokens", "n_full", "rest", "full_rank", "rest_rank")
+    narrow = tokens.select("block", "row_in_block", "n_full", "rest", "full_rank", "rest_rank", *keep)
     counts = narrow.groupBy("block", "rest").agg(F.count("*").alias("n"), F.sum("n_full").alias("full")).persist()
     table = np.zeros(window, dtype=np.int64)
     # at most ``window`` rows, whatever the corpus
@@ -195,7 +202,7 @@ def place(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
                        .otherwise(F.array().cast("array<struct<begin:bigint,size:bigint,sequence_id:bigint,offset:bigint>>")),
                        lambda p: F.struct((rest_start + p["begin"]).alias("start"), p["size"].alias("length"),
                                           p["sequence_id"].alias("sequence_id"), p["offset"].alias("offset")))
-    return ranked.select("block", "row_in_block", F.concat(full, tail).alias("pieces"))
+    return ranked.select("block", "row_in_block", *keep, F.concat(full, tail).alias("pieces"))
 
 
 def pack(df: DataFrame, tokenizer_path: str, spaced: bool = False, end_id: int = END_ID,
@@ -213,10 +220,38 @@ def pack(df: DataFrame, tokenizer_path: str, spaced: bool = False, end_id: int =
                     F.shiftleft(F.col("block").cast("long"), 40).bitwiseOR(F.col("row_in_block")).alias("row_id")))
 
 
+def digests(df: DataFrame, tokenizer_path: str, spaced: bool = False, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
+    """The pieces of :func:`pack` with the crc32 of their ids instead of the ids: doc_id, start,
+    length, ids_crc32, doc_tokens, sequence_id, offset.  Ids are summed where they are made and
+    never leave their task; only documents whose remainder is cut are encoded a second time."""
+    texts = common.texts(df)
+    tokens = common.write_shared(tokenize(texts, tokenizer_path, spaced, end_id, window, with_ids=False), "tokens")
+    kept = ("doc_id", "h", "n_tokens", "full_crcs", "rest_crc")
+    placed = place(tokens, window, (*kept, F.col("rest").alias("size"), F.col("n_full").alias("whole")))
+    p = F.col("p")
+    crc = (F.when(p["start"] < F.col("whole") * window, F.get("full_crcs", (p["start"] / window).cast("int")))
+           .when(p["length"] == F.col("size"), F.col("rest_crc")))
+    cut = F.size(F.filter("pieces", lambda x: (x["start"] >= F.col("whole") * window) & (x["length"] < F.col("size")))) > 0
+    rows = common.write_shared(placed.select(*kept, "size", "whole", "pieces", cut.alias("cut")), "placed")
+    # equal texts with equal ids are cut alike below, so (doc_id, h) is name enough; the written
+    # list has a known size, by which the planner takes a broadcast or a shuffle join
+    again = common.write_shared(rows.filter("cut").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "h").distinct(), "cut")
+    named = texts.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    second = named.join(again, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("doc_id", "text")
+    ids = tokenize(second, tokenizer_path, spaced, end_id, window).select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "h", "ids")
+    piece = [F.col("n_tokens").alias("doc_tokens"), p["start"].alias("start"), p["length"].alias("length"),
+             p["sequence_id"].alias("sequence_id"), p["offset"].alias("offset")]
+    plain = rows.filter("not cut").withColumn("p", F.explode("pieces")).select("doc_id", crc.alias("ids_crc32"), *piece)
+    bits = F.expr("crc32(substring(ids, int(p.start * 4 + 1), int(p.length * 4)))")
+    recut = (rows.filter("cut").withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(ids, ["k", "h"])
+             .withColumn("p", F.explode("pieces")).select("doc_id", bits.alias("ids_crc32"), *piece))
+    return plain.unionByName(recut)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """The packing query over all documents (one row per piece)."""
     import public_tokenizers
 
-    pieces = pack(common.documents(spark, sf_dir), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
-                         "offset")
+    pieces = digests(common.documents(spark, sf_dir), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -19,7 +19,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 900_000
 # What stays when the table is full: short pieces, which are the frequent ones.
 KEPT_LENGTH = 8
 LONG_PIECE = 80
