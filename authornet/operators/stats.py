@@ -166,42 +166,50 @@ def _cumulative_before(df: DataFrame, part_cols, order: str, weight: str) -> Dat
             .withColumn("before", F.col("_off") + F.coalesce("_loc", F.lit(0))).drop("_p", "_loc", "_off"))
 
 
-def spearman(df: DataFrame, cols, key: str, target: str | None = None) -> DataFrame:
+def spearman(df: DataFrame, cols, key: str, target=None) -> DataFrame:
     """Spearman correlation with pairwise deletion: for each pair of
-    columns (or each column against ``target``), rows missing either value
-    are dropped and ranks are taken on the remaining rows.  Long form
+    columns (or each column against each of ``target``, a name or several), rows missing
+    either value are dropped and ranks are taken on the remaining rows.  Long form
     (a, b, rho).
 
-    Columns without any null share one rank pass and one correlation
-    aggregate for all their pairs; only pairs that involve a column with
-    nulls get their own ranking of the pairwise-complete rows."""
+    All pairs go through one pass: a row per (pair, key) with both values, the counts
+    of the values of each (pair, side), one running sum over those for the average ranks, and one
+    correlation aggregate.  Columns without nulls would repeat the same ranks in each
+    of their pairs, so pairs of two such columns share one side per column."""
     cols = list(cols)
+    targets = [target] if isinstance(target, str) else list(target or [])
     df = df.withColumn("_key", F.col(key))  # the key may itself be a ranked column
-    key = "_key"
-    pairs = [(a, target) for a in cols if a != target] if target else \
+    pairs = [(a, t) for t in targets for a in cols if a != t] if targets else \
         [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     involved = sorted({c for p in pairs for c in p})
     nulls = df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in involved]).first().asDict()
-    clean_cols = [c for c in involved if not nulls[c]]
-    out = []
-    shared = [(a, b) for a, b in pairs if a in clean_cols and b in clean_cols]
-    if shared:
-        r = average_rank(df, clean_cols, key)
-        wide = r.groupBy(key).pivot("feature", clean_cols).agg(F.first("rank"))
-        out.append(wide.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho"))
-                                      for a, b in shared]).alias("r")).select(F.explode("r").alias("r")).select("r.*"))
-    for a, b in pairs:
-        if (a, b) in shared:
-            continue
-        sub = df.select(key, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) \
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        r = average_rank(sub, ["x", "y"], key)
-        wide = r.groupBy(key).pivot("feature", ["x", "y"]).agg(F.first("rank"))
-        out.append(wide.agg(F.corr("x", "y").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    whole = {c for c in involved if not nulls[c]}
+
+    def side(a: str, b: str, c: str) -> str:
+        return c if a in whole and b in whole else f"{a}|{b}|{c}"
+
+    values = {side(a, b, c): (a, b, c) for a, b in pairs for c in (a, b)}
+    # the lists of sides and pairs are literals walked by a transform, so the plan stays small
+    columns = F.create_map(*[x for c in involved for x in (F.lit(c), F.col(c).cast("double"))])
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
+                      for name, (a, b, c) in values.items()])
+    at = lambda name: F.element_at("_v", name)
+    rows = F.transform(sides, lambda r: F.struct(r["side"].alias("side"), F.when(
+        at(r["a"]).isNotNull() & at(r["b"]).isNotNull(), at(r["c"])).alias("value")))
+    long = df.select("_key", columns.alias("_v")).select("_key", F.explode(rows).alias("r")).select("_key", "r.*") \
+        .filter(F.col("value").isNotNull())
+    counts = long.groupBy("side", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = _cumulative_before(counts, ["side"], "value", "n").select(
+        "side", "value", ((2 * F.col("before") + F.col("n") + 1) / 2.0).alias("rank"))
+    ranks = long.join(ranked, ["side", "value"]).groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("side", "rank"))).alias("ranks"))  # one entry per side
+    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(side(a, b, a)).alias("sa"),
+                                F.lit(side(a, b, b)).alias("sb")) for a, b in pairs])
+    each = ranks.select(F.explode(F.transform(listed, lambda p: F.struct(
+        p["a"].alias("a"), p["b"].alias("b"), F.try_element_at("ranks", p["sa"]).alias("ra"),
+        F.try_element_at("ranks", p["sb"]).alias("rb")))).alias("p")).select("p.*")
+    found = each.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    return found
 
 
 # --- D3-D5 ----------------------------------------------------------------------------------
@@ -302,6 +310,22 @@ def fit_multinomial(df: DataFrame, x: str, label: str = "label", weight: str | N
     return lr.fit(data)
 
 
+def loss_gradient(model, df: DataFrame, x: str, label: str = "label", weight: str = "weight") -> DataFrame:
+    """Gradient of D8's objective per (class, feature) at the fitted weights, per unit of
+    total weight (feature -1: intercept): about 0 everywhere is what makes a fit a fit."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    out = model.transform(df.withColumn("_features", array_to_vector(F.col(x))))
+    err = F.transform(vector_to_array("probability"), lambda p, k: F.col(weight) * (p - (k == F.col(label)).cast("double")))
+    rows = out.select(F.posexplode(err).alias("class", "e"), F.array_insert(x, 1, F.lit(1.0)).alias("x"))
+    cells = rows.select("class", "e", F.posexplode("x").alias("feature", "v"))
+    sums = cells.groupBy("class", (F.col("feature") - 1).alias("feature")).agg(F.sum(F.col("e") * F.col("v")).alias("g"))
+    total = df.agg(F.sum(weight)).first()[0]
+    coef = [(int(k), int(j), float(v)) for k, row in enumerate(model.coefficientMatrix.toArray()) for j, v in enumerate(row)]
+    coef += [(k, -1, 0.0) for k in range(model.coefficientMatrix.numRows)]
+    w = df.sparkSession.createDataFrame(coef, "class int, feature int, w double")
+    return sums.join(w, ["class", "feature"]).select("class", "feature", ((F.col("g") + F.col("w")) / total).alias("gradient"))
+
+
 def predict(model, df: DataFrame, x: str, key: str) -> DataFrame:
     """Predicted class and class probabilities as an array."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
