@@ -29,4 +29,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality_rank": op10_quality_rank,
 }
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP8_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_words_sql('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[p:p + 12], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0) t),
+cut AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT d.r, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) s WHERE len(d.w) >= s.n) t),
+hit AS (SELECT cut.r, cut.p, cut.n, win.item FROM cut JOIN win ON win.g = cut.g AND win.n = cut.n),
+cov AS (SELECT r, CAST(count(DISTINCT q) AS BIGINT) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) t GROUP BY r),
+its AS (SELECT r, CAST(count(DISTINCT item) AS BIGINT) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(cov.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+  sha256(coalesce(its.items, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AND 20 * coalesce(cov.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN cov ON cov.r = d.r LEFT JOIN its ON its.r = d.r"""
+
+# The others rest on tokenizers, XXH64, learned models or a greedy packing, which SQL cannot state;
+# tests/llm compares them with brute force, round trips or held-out labels.
+ORACLE: dict[str, str] = {"op8_decontam": OP8_SQL}
