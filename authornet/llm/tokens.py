@@ -120,11 +120,15 @@ class BulkEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.spaced:
-            if not text.isascii() and ("\u0130" in text or not unicodedata.is_normalized("NFC", text)):
-                return None  # its normal form may end a word in a mark, which joins the signs behind it
-            if LOOSE_STOP.search(text):
-                return text.split(" ")
-            return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace("\n", " ").split(" ")
+            # this vocabulary's normaliser lower-cases letter by letter after composing them; doing so first
+            # halves the forms of a word.  Where the order or the neighbours matter, it is left to it
+            low = text.lower()
+            if not text.isascii() and ("\u0130" in text or "\u03a3" in text or not (
+                    unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+                return None
+            if LOOSE_STOP.search(low):
+                return low.split(" ")
+            return low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace("\n", " ").split(" ")
         # white space in a row is merged in ways that a cut at single spaces would break
         if ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or ODD_CHARACTER.search(text)
                 or LOOSE_STOP.search(text)):

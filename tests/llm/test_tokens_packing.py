@@ -12,7 +12,7 @@ from authornet.llm.packing import best_fill, plan_windows
 from authornet.llm.tokens import BulkEncoder
 
 FILES = (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True))
-ALPHABET = st.sampled_from(list(" \n\t.,!'a bcdZ9éßİ日́_-\x1c\x02\x03") + ["'s ", ". ", ", ", ".\n", "foo", " bar", "\u0958", "e\u0301", "\u212b"])
+ALPHABET = st.sampled_from(list(" \n\t.,!'a bcdZ9éßİ日́_-\x1c\x02\x03") + ["'s ", ". ", ", ", ".\n", "foo", " bar", "\u0958", "e\u0301", "\u212b", "ΑΣ", "Σ", "ǅ", "THE"])
 
 
 @pytest.fixture(scope="module")
