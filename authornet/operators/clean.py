@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage
+from ..session import broadcast_offsets, cut_lineage
 from .lexicon import bounded_rows
 
 CLEAN_COLUMNS = ["UID_key", "author", "fwd_message", "fwd_author", "date", "group_or_channel",
@@ -211,9 +211,8 @@ def row_positions(df: DataFrame, order: str, out: str = "_pos") -> DataFrame:
     sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    # one row per partition: a bounded broadcast
     return (part.withColumn("_local", local)
-            .join(F.broadcast(offsets), "_part")
+            .join(broadcast_offsets(offsets), "_part")
             .withColumn(out, F.col("_off") + F.col("_local"))
             .drop("_part", "_local", "_off"))
 

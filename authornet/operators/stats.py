@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_offsets, cut_lineage
 
 
 # --- A13-A17, J8 -------------------------------------------------------------------
@@ -107,7 +107,7 @@ def histogram(df: DataFrame, col: str, width: float | None = None, bins: int | N
     counts = (df.filter((x >= lo) & (x <= hi)).groupBy(idx.cast("bigint").alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     grid = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return (grid.join(F.broadcast(counts), "bin", "left")  # at most `bins` rows
+    return (grid.join(counts, "bin", "left")
             .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
@@ -162,7 +162,7 @@ def _cumulative_before(df: DataFrame, part_cols, order: str, weight: str) -> Dat
     totals = part.groupBy("_p", *part_cols).agg(F.sum(weight).alias("_t"))
     offs = totals.select("_p", *part_cols, F.coalesce(F.sum("_t").over(
         Window.partitionBy(*part_cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offs), ["_p", *part_cols])
+    return (local.join(broadcast_offsets(offs), ["_p", *part_cols])
             .withColumn("before", F.col("_off") + F.coalesce("_loc", F.lit(0))).drop("_p", "_loc", "_off"))
 
 

@@ -92,3 +92,14 @@ def cut_lineage(df, eager: bool = True):
     loss of an executor, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+# Rows of a narrow offsets table (three numbers each) that may be broadcast.
+MAX_OFFSET_ROWS = 500_000
+
+
+def broadcast_offsets(df):
+    """A per-partition offsets table, broadcast after counting it; a larger one
+    is joined by a shuffle."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= MAX_OFFSET_ROWS else df
