@@ -19,9 +19,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_200_000
 # What stays when the table is full: short pieces, which are the frequent ones.
-KEPT_LENGTH = 8
+KEPT_LENGTH = 9
 LONG_PIECE = 80
 # A stop or comma before white space that does not follow a letter or digit (the class comes
 # first, so that the search runs from stop to stop).
