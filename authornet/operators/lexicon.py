@@ -34,7 +34,11 @@ MAX_INLINE_BYTES = 1 << 20
 
 
 def table_bytes(df: DataFrame) -> int:
-    """Measured size of a lookup table's values (one aggregate, nothing collected)."""
+    """Size of a lookup table: by the optimiser's statistics where they already
+    say that it is small, else measured (one aggregate, nothing collected)."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known <= MAX_INLINE_BYTES:
+        return known
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
     return df.agg(F.sum(width + F.lit(8))).first()[0] or 0
 
@@ -133,7 +137,7 @@ class InlineLexicon:
     def __init__(self, lexicon: DataFrame):
         self.exact_by_cat = defaultdict(set)
         self.stem_by_cat = defaultdict(set)
-        for word, cat in bounded_rows(lexicon.select(F.lower("word").alias("word"), "cat_name").distinct()):
+        for word, cat in bounded_rows(lexicon.select(F.lower("word").alias("word"), "cat_name")):
             if word.endswith("*"):
                 self.stem_by_cat[cat].add(word[:-1])
             else:
@@ -221,7 +225,7 @@ def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message
                key: str = "UID_key", plan: str = "auto") -> DataFrame:
     """Noun / verb / adjective tokens per message via a (word, pos)
     table; 0 for no text.  A word with several entries of one tag counts once."""
-    lookup = pos_lexicon.select(F.lower("word").alias("tok"), F.col("pos").alias("value")).distinct()
+    lookup = pos_lexicon.select(F.lower("word").alias("tok"), F.col("pos").alias("value"))
     tmp = df if "_words" in df.columns else with_words(df, text)
     if plan == "join" or plan == "auto" and not fits_inline(lookup):
         aggs = [F.sum(F.when(F.col("value") == tag, F.col("n"))).alias(out) for tag, out in tags]
@@ -242,15 +246,17 @@ def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_messa
                     key: str = "UID_key", plan: str = "auto") -> DataFrame:
     """Sign of the summed word polarity -> exclusive 0/1 flags
     positive / negative / neutral; all null for no text.  Entries of one word add up."""
-    lookup = polarity.select(F.lower("word").alias("tok"), F.col("score").cast("int").alias("score")) \
-        .groupBy("tok").agg(F.sum("score").cast("int").alias("value"))
+    lookup = polarity.select(F.lower("word").alias("tok"), F.col("score").cast("int").alias("value"))
     tmp = df if "_words" in df.columns else with_words(df, text)
     if plan == "join" or plan == "auto" and not fits_inline(lookup):
-        found = _looked_up(cut_lineage(tmp), lookup, key, [F.sum(F.col("n") * F.col("value")).alias("_sum")])
+        summed = lookup.groupBy("tok").agg(F.sum("value").cast("int").alias("value"))
+        found = _looked_up(cut_lineage(tmp), summed, key, [F.sum(F.col("n") * F.col("value")).alias("_sum")])
         tmp = found.withColumn("_s", F.when(X.has_text(text), F.coalesce("_sum", F.lit(0)))).drop("_sum")
     else:
-        by_score = defaultdict(set)
+        scores, by_score = defaultdict(int), defaultdict(set)
         for w, s in bounded_rows(lookup):
+            scores[w] += s
+        for w, s in scores.items():
             by_score[s].add(w)
 
         def score_of(w):

@@ -132,22 +132,6 @@ LEMMAS = [("was", "be"), ("is", "be"), ("are", "be"), ("des", "de"), ("les", "le
           ("den", "der"), ("das", "der"), ("une", "un")]
 
 
-def lexicon_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "word string, cat_name string, categories int")
-
-
-def pos_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POS_LEXICON, "word string, pos string")
-
-
-def polarity_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POLARITY_LEXICON, "word string, score int")
-
-
-def lemma_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEMMAS, "word string, lemma string")
-
-
 def values_sql(rows, cols) -> str:
     """The same rows as an inline ``VALUES`` relation for SQL twins."""
     def lit(v):
@@ -156,7 +140,24 @@ def values_sql(rows, cols) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
 
 
+# SQL text of the small tables; as literal relations their size is known to the optimiser.
 LEXICON_SQL = values_sql(LEXICON, ["word", "cat_name", "categories"])
 POS_SQL = values_sql(POS_LEXICON, ["word", "pos"])
 POLARITY_SQL = values_sql(POLARITY_LEXICON, ["word", "score"])
 LEMMA_SQL = values_sql(LEMMAS, ["word", "lemma"])
+
+
+def lexicon_df(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {LEXICON_SQL}")
+
+
+def pos_df(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {POS_SQL}")
+
+
+def polarity_df(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {POLARITY_SQL}")
+
+
+def lemma_df(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {LEMMA_SQL}")
