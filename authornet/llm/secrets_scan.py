@@ -43,14 +43,18 @@ NAME_WORDS = {
     "length": -3.0, "len": -3.0, "size": -3.0, "max": -2.0, "min": -2.0, "type": -2.5, "ttl": -3.0, "expiry": -3.0,
     "policy": -2.5, "hint": -2.0, "field": -2.0, "label": -2.0, "public": -3.0, "reset": -1.0, "limit": -3.0,
 }
-PLACEHOLDER = re.compile(r"changeme|example|placeholder|your[-_ ]|xxx|\*\*\*|<|\$\{|\{\{|^(?:none|null|true|false|todo|test)$", re.I)
+# A placeholder is one as a whole: words with separators and templates, at least one of which says so.
+WORDY = re.compile(
+    r"(?:(?:[A-Z]++[0-9!]*+|[0-9!]++)(?![A-Z0-9!])|\*++|<[^<>]*+>|\$\{[^{}]*+\}|\{\{[^{}]*+\}\}|[-_. :/@]++)++", re.I)
+STANDS_IN = re.compile(
+    r"(?<![A-Z])(?:changeme|example|placeholder|x{3,}|your(?=[-_ ]))(?![A-Z])|\*\*\*|<|\$\{|\{\{|^(?:none|null|true|false|todo|test)$",
+    re.I)
 MIN_SCORE = 4.0
 MAX_NAME = 80
-MAX_LITERAL = 4096
 
 OPERATOR = re.compile(r"=>|:=|[:=]")
 NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*\Z""")
-VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z0-9+/_.=$~^!%-]{1,4096}))""")
+VALUE = re.compile(r"""[ \t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z0-9+/_.=$~^!%-]++))""")
 PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'A-Za-z_])")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -77,24 +81,62 @@ def name_score(name: str) -> float:
     return sum(NAME_WORDS.get(w.lower(), 0.0) for w in WORDS.findall(name))
 
 
-def literal_score(literal: str) -> float:
-    """How much a literal looks like a secret: entropy, mix and length; -inf for
-    what cannot be one."""
-    if len(literal) < 6 or PLACEHOLDER.search(literal) or " " in literal.strip() and len(literal.split()) > 4:
-        return -math.inf
-    counts = Counter(literal)
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
-    mix = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(2.0, entropy / 2) + 0.5 * (mix - 1) + (0.5 if len(literal) >= 16 else 0.0)
+class Value:
+    """What a chain of literals and constants looks like.  Sums over its parts, so that a constant is
+    never spelled out again where it is used and long or nested chains cost linear time."""
+
+    __slots__ = ("size", "counts", "words", "open_left", "open_right", "wordy", "stands_in", "named", "span", "parts")
+
+    def __init__(self, literal: str = "", start: int = 0, end: int = 0):
+        self.size, self.counts, self.words = len(literal), Counter(literal), len(literal.split())
+        self.open_left, self.open_right = literal[:1].strip() != "", literal[-1:].strip() != ""
+        self.wordy = not literal or WORDY.fullmatch(literal) is not None
+        self.stands_in = self.wordy and STANDS_IN.search(literal) is not None
+        self.named, self.span, self.parts = -math.inf, (start, end), []
+
+    @classmethod
+    def chain(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls()
+        for p in parts:
+            out.words += p.words - (out.open_right and p.open_left)
+            if p.size:
+                out.open_left, out.open_right = out.open_left if out.size else p.open_left, p.open_right
+            out.size += p.size
+            out.counts.update(p.counts)
+            out.wordy, out.stands_in = out.wordy and p.wordy, out.stands_in or p.stands_in
+            out.named = max(out.named, p.named)
+            if out.size > 1 << 50:  # constants doubled over and over: only the shares matter from here
+                out.size, out.words = out.size / 1024, min(out.words, 1 << 50)
+                out.counts = Counter({c: n / 1024 for c, n in out.counts.items()})
+        out.parts = parts
+        return out
+
+    def under(self, name: str) -> Value:
+        """The same value as it is known under one more name."""
+        out = Value()
+        for k in self.__slots__:
+            setattr(out, k, getattr(self, k))
+        out.named, out.parts = max(self.named, name_score(name)), [self]
+        return out
+
+    def score(self) -> float:
+        """How much it looks like a secret: entropy, mix and length; -inf for what cannot be one."""
+        if self.size < 6 or self.wordy and self.stands_in or self.counts[" "] and self.words > 4:
+            return -math.inf
+        entropy = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values() if n)
+        mix = sum(any(f(c) for c in self.counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return min(2.0, entropy / 2) + 0.5 * (mix - 1) + (0.5 if self.size >= 16 else 0.0)
 
 
-Parts = tuple[tuple[str, int, int], ...]
+def literal_score(literal: str) -> float:
+    return Value(literal).score()
 
 
-def pairs(text: str) -> Iterator[tuple[str, Parts, list[str]]]:
-    """(name, parts of its value as (literal, start, end), names the value came
-    through) of every assignment, with constants propagated."""
-    constants: dict[str, tuple[Parts, list[str]]] = {}
+def pairs(text: str) -> Iterator[Value]:
+    """The value of every assignment with the best score of the names it came through, constants propagated."""
+    constants: dict[str, Value] = {}
     done = 0
     for op in OPERATOR.finditer(text):
         if op.start() < done or op[0] == ":" and text.startswith("//", op.end()) or op[0] == "=" and (
@@ -103,39 +145,39 @@ def pairs(text: str) -> Iterator[tuple[str, Parts, list[str]]]:
         named = NAME_BEFORE.search(text, max(done, op.start() - MAX_NAME), op.start())
         if not named:
             continue
-        at, parts, through = op.end(), [], []
+        at, parts = op.end(), []
         while m := VALUE.match(text, at):
             group = next(k for k in (1, 2, 3) if m[k] is not None)
             if group == 3 and (origin := constants.get(m[3])) and IDENTIFIER.match(m[3]):
-                parts += origin[0]
-                through += [m[3], *origin[1]]
+                parts.append(origin)
             else:
-                parts.append((m[group], m.start(group), m.end(group)))
+                parts.append(Value(m[group], m.start(group), m.end(group)))
             at = m.end()
             plus = PLUS.match(text, at)
-            if not plus or len(parts) > 64:
+            if not plus:
                 break
             at = plus.end()
         if parts:
             done = at
-            constants[named[1]] = tuple(parts), through
-            yield named[1], tuple(parts), through
+            constants[named[1]] = value = Value.chain(parts).under(named[1])
+            yield value
 
 
 def literal_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals that sensitive names reach, outside the patterns' spans."""
-    best: dict[tuple[int, int], float] = {}
     if "=" not in text and ":" not in text:
         return []
-    for name, parts, through in pairs(text):
-        named = max(name_score(n) for n in [name, *through])
-        if named < 1:
+    reached = [v for v in pairs(text) if v.named >= 1 and v.named + v.score() >= MIN_SCORE]
+    seen: set[Value] = set()
+    best: set[tuple[int, int]] = set()
+    while reached:
+        value = reached.pop()
+        if value in seen:
             continue
-        value = "".join(p[0] for p in parts)
-        if named + literal_score(value) >= MIN_SCORE:
-            for _, s, e in parts:
-                if e > s:
-                    best[s, e] = named
+        seen.add(value)
+        reached += value.parts
+        if not value.parts and value.span[1] > value.span[0]:
+            best.add(value.span)
     return [("literal", s, e) for s, e in best if not any(b <= s and e <= f for _, b, f in base)]
 
 

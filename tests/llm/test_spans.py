@@ -133,3 +133,37 @@ def test_secrets_query(results, texts):
 def test_literals_that_sensitive_names_reach(text, literals):
     _, every = secrets_scan.find_spans(text)
     assert [text[s:e] for k, s, e in every if k == "literal"] == literals
+
+
+def random_text(alphabet, size, seed=5):
+    return "".join(np.random.default_rng(seed).choice(list(alphabet), size))
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789/"
+
+
+def literals_of(text):
+    return [text[s:e] for k, s, e in secrets_scan.find_spans(text)[1] if k == "literal"]
+
+
+def test_literals_of_any_length_are_reported_whole():
+    key = random_text(BASE64, 4360)
+    key = key[:2000] + "xXx" + key[2000:]  # letters that a placeholder has, by chance
+    assert literals_of(f"client-key-data: {key}\nx: 1") == [key]
+    assert literals_of(f'private_key = "{key}"') == [key]
+    assert literals_of(f"k = '{key}'\nclient_credential = k") == [key]
+    parts = [random_text(BASE64, 20, i) for i in range(200)]
+    assert literals_of("private_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
+
+
+@pytest.mark.parametrize("value", ["changeme", "your-api-key-here", "example_password", "sk-xxxxxxxxxxxx", "<your token>", "${DB_PASS}",
+                                   "{{ db_pass }}", "Bearer ${TOKEN}", "placeholder1", "********"])
+def test_placeholders_are_whole_literals(value):
+    assert literals_of(f'db_pwd = "{value}"') == []
+
+
+def test_nested_chains_take_linear_time():
+    doubled = 'a0 = "Zx81jAq0Pq"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(20_000)) + "db_pwd = a20000"
+    assert literals_of(doubled) == ["Zx81jAq0Pq"]
+    assert len(literals_of("db_pwd = " + " + ".join(['"x9Zq"'] * 50_000))) == 50_000
+    assert literals_of('db_pwd = "' + 'a="' * 100_001) is not None
