@@ -4,7 +4,7 @@ The patterns (``base_spans``) are exact and always kept.  The field looks at zon
 with a digit or an @ in them, and scores whole candidate segments: length and digit
 counts, check digit, dotted quads, signs at the edges, cue words before.  A dynamic programme over
 the zone's tokens, bounded by the longest entity, chooses boundaries and types of all segments
-jointly.  Its weights are learned here: conditional likelihood on a bounded sample of zones
+jointly; a long zone is decoded in windows that overlap by more than the longest entity.  Its weights are learned here: conditional likelihood on a bounded sample of zones
 (``sample_zones``, the smallest hashes), marked by the patterns, with a Gaussian prior around the
 weights that the meaning of the features suggests.  A segment of the best labelling is added where
 it touches no pattern's span and its probability is high enough.
@@ -31,7 +31,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ZONES = 300
 MAX_TOKENS = 24
-MAX_PIECE = 400
+WINDOW, MARGIN = 1024, 3 * MAX_TOKENS  # tokens whose segments a window keeps, and read on either side of them
+KEPT_RUN = 64  # letters or digits of one run in a training row: more change no feature
 EPOCHS = 30
 PRIOR_STRENGTH = 0.02
 MIN_PROBABILITY = 0.9
@@ -43,6 +44,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
+GAP = re.compile(r"[ \n\t\r]")
+LONG_RUN = re.compile(rf"([A-Za-z]{{{KEPT_RUN}}})[A-Za-z]+|([0-9]{{{KEPT_RUN}}})[0-9]+")
 
 Span = tuple[str, int, int]
 
@@ -94,10 +97,9 @@ def zones(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     at = 0
     while m := MARK.search(text, at):
-        window = text[max(at, m.start() - MAX_PIECE):m.start()]
-        first = m.start() - len(window) + max(window.rfind(c) for c in " \n\t\r") + 1
-        window = text[m.end():m.end() + MAX_PIECE]
-        end = m.end() + min([p for c in " \n\t\r" if (p := window.find(c)) >= 0], default=len(window))
+        first = max(at, 1 + max(text.rfind(c, at, m.start()) for c in " \n\t\r"))
+        gap = GAP.search(text, m.end())
+        end = gap.start() if gap else len(text)
         if out and first == out[-1][1] + 1 and text[out[-1][1]] == " ":
             out[-1] = (out[-1][0], end)
         else:
@@ -135,19 +137,34 @@ def prior_weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, np.zeros(NO), np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
 
+def windows(text: str, first: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end) of the tokens whose segments are kept and of those read, for the windows of a zone.  The
+    kept parts lie side by side; what is read reaches ``MARGIN`` tokens further, so a segment that starts in a
+    kept part lies inside its window with all segments that compete with it."""
+    starts = [m.start() for m in TOKEN.finditer(text, first, end)]
+    n = len(starts)
+    at = lambda k: starts[max(k, 0)] if k < n else end
+    if n <= WINDOW + 2 * MARGIN:
+        yield first, end, first, end
+        return
+    for k in range(0, n, WINDOW):
+        yield at(k), at(k + WINDOW), at(k - MARGIN), at(k + WINDOW + MARGIN)
+
+
 class Lattice:
-    """Tokens of a zone and its candidate segments (first token, end token) with
-    their feature rows; ``outside`` is the kind of each token."""
+    """Tokens of a zone, or of a window of the zone that starts at ``zone``, and its candidate segments
+    (first token, end token) with their feature rows; ``outside`` is the kind of each token."""
 
-    def __init__(self, text: str, first: int, end: int):
-        zone = text[first:end]
-        toks = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(zone)]
+    def __init__(self, text: str, first: int, end: int, zone: int | None = None):
+        zone = first if zone is None else zone
+        toks = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, first, end)]
         self.n = len(toks)
         self.outside = np.array([self._kind(t) for _, _, t in toks], dtype=np.int64)
-        before = text[max(0, first - 40):first].lower().split()[-3:]
+        before = text[max(0, zone - 40):zone].lower().split()[-3:]
         cues = [INDEX[f"cue_{k}"] for k in KINDS if any(w.strip(":.,") in CUES[k].split() for w in before)]
         digits = np.concatenate([[0], np.cumsum([len(t) if k == 0 else 0 for (_, _, t), k in zip(toks, self.outside)])])
         ats = np.concatenate([[0], np.cumsum(self.outside == 1)])
+        letters = np.concatenate([[0], np.cumsum(self.outside == 2)])
         self.spans, rows, self.segments = [], [], []
         for i, (s, _, t) in enumerate(toks):
             if self.outside[i] not in (0, 2) and t not in "+(":
@@ -157,15 +174,17 @@ class Lattice:
                     break  # entities stay on a line
                 if self.outside[j - 1] not in (0, 2) or digits[j] - digits[i] < 7 and ats[j] == ats[i] and j - i < 7:
                     continue
+                if ats[j] == ats[i] and letters[j] > letters[i]:
+                    continue  # neither an address nor a number
                 e = toks[j - 1][1]
-                active = self._features(zone, s, e, int(digits[j] - digits[i]), int(ats[j] - ats[i]))
+                active = self._features(text, s, e, int(digits[j] - digits[i]), int(ats[j] - ats[i]))
                 if active is None:
                     continue
                 row = np.zeros(NF)
                 row[active + cues] = 1
                 rows.append(row)
                 self.segments.append((i, j))
-                self.spans.append((first + s, first + e))
+                self.spans.append((s, e))
         self.rows = np.array(rows).reshape(-1, NF)
         self.by_end: list[list[int]] = [[] for _ in range(self.n + 1)]
         for k, (_, j) in enumerate(self.segments):
@@ -177,8 +196,8 @@ class Lattice:
         return 0 if "0" <= c <= "9" else 1 if c == "@" else 2 if c.isalpha() else 4 if c.isspace() else 3
 
     @staticmethod
-    def _features(zone: str, s: int, e: int, n_digits: int, n_at: int) -> list[int] | None:
-        seg = zone[s:e]
+    def _features(text: str, s: int, e: int, n_digits: int, n_at: int) -> list[int] | None:
+        seg = text[s:e]
         names = ["bias"]
         names += (["digits_few"] if n_digits < 7 else ["digits_7_8"] if n_digits < 9 else ["digits_9_12"] if n_digits < 13
                   else ["digits_13_15"] if n_digits < 16 else ["digits_16_19"] if n_digits < 20 else ["digits_many"])
@@ -198,9 +217,9 @@ class Lattice:
                 names.append("at_dot")
         names += [f for f, yes in (("plus", seg[0] == "+"), ("paren", "(" in seg and ")" in seg), ("space", " " in seg),
                                    ("hyphen", "-" in seg), ("letters", letters)) if yes]
-        if s == 0 or not zone[s - 1].isalnum() and zone[s - 1] not in "@.-_+%":
+        if s == 0 or not text[s - 1].isalnum() and text[s - 1] not in "@.-_+%":
             names.append("left_clean")
-        after = zone[e:e + 2]
+        after = text[e:e + 2]
         if not after or not after[0].isalnum() and after[0] not in "@-_" and not (after[0] == "." and after[1:].isalnum()):
             names.append("right_clean")
         return [INDEX[f] for f in names]
@@ -279,15 +298,18 @@ def _gold(lat: Lattice, spans: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def train(samples: list[str], epochs: int = EPOCHS):
-    """Weights by gradient ascent on the conditional likelihood of the marked zones."""
+def train(samples: list[str | tuple[str, int, int, int]], epochs: int = EPOCHS):
+    """Weights by gradient ascent on the conditional likelihood of the marked zones: all zones of a text, or the
+    window of ``training_windows``."""
     weights = prior_weights()
     centre = [x.copy() for x in weights]
     data = []
-    for text in samples:
+    for sample in samples:
+        text, *place = [sample] if isinstance(sample, str) else sample
         spans = base_spans(text)
-        for first, end in zones(text):
-            lat = Lattice(text, first, end)
+        for zone, first, end in [place] if place else [
+                (zone, first, end) for zone, zone_end in zones(text) for _, _, first, end in windows(text, zone, zone_end)]:
+            lat = Lattice(text, first, end, zone)
             if lat.segments:
                 data.append((lat, _gold(lat, spans)))
     if not data:
@@ -327,15 +349,21 @@ def train(samples: list[str], epochs: int = EPOCHS):
 def added_spans(text: str, base: list[Span], weights) -> list[Span]:
     """Segments of the field that touch no pattern's span."""
     out = []
-    for first, end in zones(text):
-        if any(s <= first and e >= end for _, s, e in base):
+    for zone, zone_end in zones(text):
+        if any(s <= zone and e >= zone_end for _, s, e in base):
             continue
-        lat = Lattice(text, first, end)
-        found = [(k, kind) for k, kind in lat.best(*weights)
-                 if not any(s < lat.spans[k][1] and lat.spans[k][0] < e for _, s, e in base)]
-        if found:
-            _, seg_p, _, _ = lat.expectations(*weights)
-            out += [(KINDS[kind], *lat.spans[k]) for k, kind in found if seg_p[k, kind] >= MIN_PROBABILITY]
+        done = zone
+        for kept, kept_end, first, end in windows(text, zone, zone_end):
+            near = [(s, e) for _, s, e in base if s < end and first < e]
+            lat = Lattice(text, first, end, zone)
+            found = [(k, kind) for k, kind in lat.best(*weights) if kept <= lat.spans[k][0] < kept_end
+                     and not any(s < lat.spans[k][1] and lat.spans[k][0] < e for s, e in near)]
+            if found:
+                _, seg_p, _, _ = lat.expectations(*weights)
+                for k, kind in found:
+                    if seg_p[k, kind] >= MIN_PROBABILITY and lat.spans[k][0] >= done:
+                        out.append((KINDS[kind], *lat.spans[k]))
+                        done = lat.spans[k][1]
     return out
 
 
@@ -350,26 +378,38 @@ def digest(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def training_windows(text: str) -> Iterator[tuple[str, int, int, int, bool]]:
+    """(text, place where the words before the zone end, start, end, whether a pattern's span is in it) of every
+    window of the zones, with what the lattice reads around it; very long runs of one kind are shortened."""
+    base = base_spans(text)
+    for zone, zone_end in zones(text):
+        if zone_end - zone < 7:
+            continue
+        cue = text[max(0, zone - 40):zone]
+        for _, _, first, end in windows(text, zone, zone_end):
+            lead = cue if first == zone else f"{cue}\n{text[first - 1]}"
+            body = LONG_RUN.sub(r"\1\2", text[first:end])
+            after = "" if end == zone_end else text[end:end + 2]
+            yield (lead + body + after, len(cue), len(lead), len(lead) + len(body),
+                   any(s < end and first < e for _, s, e in base))
+
+
 def fit(df: DataFrame, sample_zones: int = SAMPLE_ZONES):
-    """Weights learned from the zones with the smallest hashes among all texts of
+    """Weights learned from the zones (windows of long ones) with the smallest hashes among all texts of
     ``df``; half of the sample holds a pattern's span, half does not."""
+    schema = "zone string, cue int, start int, stop int, marked boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
-            found, marked = [], []
-            for t in batch.column(0).to_pylist():
-                base = base_spans(t)
-                for first, end in zones(t):
-                    if end - first >= 7:
-                        found.append(t[max(0, first - 40):min(end, first + 4 * MAX_PIECE)])
-                        marked.append(any(s < end and first < e for _, s, e in base))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(marked, pa.bool_())],
-                                             names=["zone", "marked"])
+            found = [w for t in batch.column(0).to_pylist() for w in training_windows(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 5, types)],
+                                             names=["zone", "cue", "start", "stop", "marked"])
 
     texts = common.texts(df).select("text").filter(F.col("text").rlike("[0-9@]"))
-    cut = common.write_shared(texts.mapInArrow(run, "zone string, marked boolean").distinct(), "zones")
-    order = [F.xxhash64("zone"), F.col("zone")]
-    half = [r["zone"] for yes in (True, False)
+    cut = common.write_shared(texts.mapInArrow(run, schema).distinct(), "zones")
+    order = [F.xxhash64("zone"), F.col("zone"), F.col("start")]
+    half = [(r["zone"], r["cue"], r["start"], r["stop"]) for yes in (True, False)
             for r in cut.filter(F.col("marked") == yes).orderBy(*order).limit(sample_zones // 2).collect()]
     return train(half)
 

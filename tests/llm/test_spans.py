@@ -167,3 +167,58 @@ def test_nested_chains_take_linear_time():
     assert literals_of(doubled) == ["Zx81jAq0Pq"]
     assert len(literals_of("db_pwd = " + " + ".join(['"x9Zq"'] * 50_000))) == 50_000
     assert literals_of('db_pwd = "' + 'a="' * 100_001) is not None
+
+
+def sure_weights():
+    w, outside, trans = pii.prior_weights()
+    return 3 * w, outside, trans
+
+
+def minified(rows, at, number):
+    """JSON without white space; a telephone number that no pattern finds in the given row."""
+    row = lambda k: f'{{"n":"a","tel":"{number}"}}' if k == at else '{"n":"abcdefghij"}'
+    return "x [" + ",".join(row(k) for k in range(rows)) + ",{9}] 1"
+
+
+def test_zones_follow_the_whole_run():
+    text = minified(3000, 1500, "(030) 555-40817-22")
+    assert all(s == 0 or text[s - 1].isspace() for s, _ in pii.zones(text))
+    assert all(e == len(text) or text[e].isspace() for _, e in pii.zones(text))
+
+
+@pytest.mark.parametrize("shift", range(0, 40, 3))
+def test_entities_on_any_border_are_whole(shift):
+    weights = sure_weights()
+    number = "(030)555-408-172"
+    near = pii.find_spans(f"tel {number}", weights)[1]
+    assert near == [("phone", 4, 4 + len(number))]
+    for gap in (400, 11_000):  # the old pieces' border, and the border of a window
+        lead = "1" + "a" * shift + "," + "ab," * (gap // 3)
+        text = f"tel {lead}{number},ab"
+        found = pii.find_spans(text, weights)[1]
+        assert found == [("phone", 4 + len(lead), 4 + len(lead) + len(number))]
+
+
+def test_windows_decode_as_one_lattice():
+    rng = np.random.default_rng(3)
+    parts = ["(030)555-408-172", "12.7", "ab", "x9", "10.0.0.1", "1234567"]
+    zone = ",".join(rng.choice(parts, 1200))
+    text = "tel " + zone + " end"
+    assert len(list(pii.windows(text, 4, 4 + len(zone)))) > 3
+    weights = sure_weights()
+    lat = pii.Lattice(text, 4, 4 + len(zone))
+    seg_p = lat.expectations(*weights)[1]
+    base = pii.base_spans(text)
+    whole = [(pii.KINDS[kind], *lat.spans[k]) for k, kind in lat.best(*weights) if seg_p[k, kind] >= pii.MIN_PROBABILITY
+             and not any(s < lat.spans[k][1] and lat.spans[k][0] < e for _, s, e in base)]
+    assert whole and pii.added_spans(text, base, weights) == whole
+
+
+def test_training_windows_keep_features():
+    text = "tel " + ",".join(["(030)555-408-172", "a" * 5000, "10.0.0.1"] * 300)
+    rows = list(pii.training_windows(text))
+    assert len(rows) > 2 and all(len(r[0]) < 200 * 1200 for r in rows)
+    first, end = pii.zones(text)[0]
+    for (sample, cue, s, e, marked), (_, _, ws, we) in zip(rows, pii.windows(text, first, end)):
+        one, other = pii.Lattice(sample, s, e, cue), pii.Lattice(text, ws, we, first)
+        assert marked and one.segments == other.segments and (one.rows == other.rows).all()
