@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import broadcast_offsets, cut_lineage
-from .lexicon import bounded_rows
+from .lexicon import bounded_rows, fits_inline
 
 CLEAN_COLUMNS = ["UID_key", "author", "fwd_message", "fwd_author", "date", "group_or_channel",
                  "own_message", "forwarded_message", "group_name", "fwd_message_string",
@@ -220,11 +220,22 @@ def row_positions(df: DataFrame, order: str, out: str = "_pos") -> DataFrame:
 def preprocess_text(df: DataFrame, col: str, stopwords, lemmas: DataFrame, out: str = "preprocessed",
                     key: str = "UID_key") -> DataFrame:
     """Lower-case word tokens, stop-words dropped, lemma substituted,
-    re-joined with ' ', all inside the row.  The lemma table is measured and then travels
-    as a map; a larger one is refused."""
-    lem = {r["word"]: r["lemma"] for r in bounded_rows(lemmas.select("word", "lemma"))}
+    re-joined with ' '.  A lemma table measured small travels as a map and all happens inside the row;
+    a larger one is joined to the tokens, and each row is rebuilt from its tokens' positions.  Of several
+    lemmas of one word the first in order is taken."""
+    table = lemmas.select("word", "lemma").dropna()
     stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))]).cast("array<string>")
-    known = F.create_map(*[F.lit(x) for pair in sorted(lem.items()) for x in pair]) if lem else None
     words = F.filter(X.words_array(col), lambda w: ~F.array_contains(stop, w))
+    if not fits_inline(table):
+        # rows are numbered here and stored, so that keys may repeat or be null
+        base = cut_lineage(df.withColumns({"_row": F.monotonically_increasing_id(), "_words": words}))
+        tokens = base.select("_row", F.posexplode("_words").alias("pos", "word"))
+        found = tokens.join(table.groupBy("word").agg(F.min("lemma").alias("lemma")), "word", "left")
+        placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("w"))))
+        rebuilt = found.groupBy("_row").agg(F.array_join(F.transform(placed, lambda x: x["w"]), " ").alias("_text"))
+        return (base.join(rebuilt, "_row", "left").withColumn(out, F.coalesce("_text", F.lit("")))
+                .drop("_row", "_words", "_text"))
+    lem = {r["word"]: r["lemma"] for r in sorted(bounded_rows(table), reverse=True)}
+    known = F.create_map(*[F.lit(x) for pair in sorted(lem.items()) for x in pair]) if lem else None
     mapped = F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)) if lem else words
     return df.withColumn(out, F.coalesce(F.array_join(mapped, " "), F.lit("")))

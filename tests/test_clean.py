@@ -112,3 +112,19 @@ def test_preprocess_needs_no_shuffle(spark):
     out = C.preprocess_text(df, "t", ["the"], lem)
     assert [r.preprocessed for r in out.orderBy("UID_key").collect()] == ["house are big", "", ""]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preprocess_joins_a_large_lemma_table(spark):
+    """60,000 lemmas are beyond the inline size: same result, keys repeated and null."""
+    from authornet.operators import lexicon as L
+    df = spark.createDataFrame([(1, "The houses are BIG, the Houses"), (1, "mice and houses"), (None, "Mice"), (None, None), (3, ""),
+                                (4, "the")], "UID_key long, t string")
+    few = [("houses", "house"), ("mice", "mouse"), ("mice", "mousse"), ("big", None), (None, "x")]
+    many = few + [(f"filler{i:06d}padding", "filler") for i in range(60_000)]
+    small, large = (spark.createDataFrame(rows, "word string, lemma string") for rows in (few, many))
+    assert L.fits_inline(small) and not L.fits_inline(large)
+    got = [C.preprocess_text(df, "t", ["the"], lem) for lem in (small, large)]
+    assert got[0].columns == got[1].columns == ["UID_key", "t", "preprocessed"]
+    a, b = (sorted(map(str, x.collect())) for x in got)
+    assert a == b
+    assert sorted(r.preprocessed for r in got[1].collect()) == ["", "", "", "house are big house", "mouse", "mouse and house"]
