@@ -184,10 +184,11 @@ def lexicon_rates(df: DataFrame, lexicon: DataFrame, targets=P.LEXICON_TARGETS,
         tmp = df.withColumn("_keys", lex.entry_keys(toks)).withColumn("_ntok", F.size(toks))
         hits = {c: lex.category_hits(F.col("_keys"), c) for c in targets}
     else:
-        # tokenised once and stored: the vocabulary, the counts and the result all read this table
-        base = cut_lineage(df.select(*dict.fromkeys([*carry, key]), X.ws_tokens(text).alias("_toks")))
-        wide = pivot_rates(lexicon_hits_join(base, lexicon, key, "_toks", targets), targets, key, prefix)
-        tmp = base.withColumn("_ntok", F.size("_toks")).join(wide, key, "left")
+        # tokenised once and stored: the vocabulary, the counts and the result all read this table; its own
+        # row numbers, as the caller's keys may repeat or be null
+        base = cut_lineage(df.select(*carry, F.monotonically_increasing_id().alias("_row"), X.ws_tokens(text).alias("_toks")))
+        wide = pivot_rates(lexicon_hits_join(base, lexicon, "_row", "_toks", targets), targets, "_row", prefix)
+        tmp = base.withColumn("_ntok", F.size("_toks")).join(wide, "_row", "left")
         hits = {c: F.coalesce(F.col(prefix + c), F.lit(0).cast("bigint")) for c in targets}
     return tmp.select(*carry, *[_rate(hits[c], F.col("_ntok"), mode).alias(prefix + c) for c in targets])
 
@@ -213,11 +214,13 @@ def with_words(df: DataFrame, text: str = "final_message_string") -> DataFrame:
     return df.withColumn("_words", F.when(X.has_text(text), words).otherwise(F.array().cast("array<string>")))
 
 
-def _looked_up(df: DataFrame, lookup: DataFrame, key: str, aggs) -> DataFrame:
-    """Join plan of a word lookup: per key, ``aggs`` over (n, value) of the words
-    found.  The words are stored once with the rows they came from."""
-    hits = token_counts(df, key, "_words").join(lookup.distinct(), "tok")
-    return df.join(hits.groupBy(key).agg(*aggs), key, "left")
+def _looked_up(df: DataFrame, lookup: DataFrame, aggs) -> DataFrame:
+    """Join plan of a word lookup: per row, ``aggs`` over (n, value) of the words
+    found.  The words are stored once with the rows they came from and a number of the row, as
+    the caller's keys may repeat or be null."""
+    base = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    hits = token_counts(base, "_row", "_words").join(lookup.distinct(), "tok")
+    return base.join(hits.groupBy("_row").agg(*aggs), "_row", "left").drop("_row")
 
 
 def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message_string",
@@ -229,7 +232,7 @@ def pos_counts(df: DataFrame, pos_lexicon: DataFrame, text: str = "final_message
     tmp = df if "_words" in df.columns else with_words(df, text)
     if plan == "join" or plan == "auto" and not fits_inline(lookup):
         aggs = [F.sum(F.when(F.col("value") == tag, F.col("n"))).alias(out) for tag, out in tags]
-        found = _looked_up(cut_lineage(tmp), lookup, key, aggs)
+        found = _looked_up(tmp, lookup, aggs)
         out = found.withColumns({o: F.coalesce(F.col(o), F.lit(0)).cast("bigint") for _, o in tags})
     else:
         by_tag = defaultdict(set)
@@ -250,7 +253,7 @@ def sentiment_flags(df: DataFrame, polarity: DataFrame, text: str = "final_messa
     tmp = df if "_words" in df.columns else with_words(df, text)
     if plan == "join" or plan == "auto" and not fits_inline(lookup):
         summed = lookup.groupBy("tok").agg(F.sum("value").cast("int").alias("value"))
-        found = _looked_up(cut_lineage(tmp), summed, key, [F.sum(F.col("n") * F.col("value")).alias("_sum")])
+        found = _looked_up(tmp, summed, [F.sum(F.col("n") * F.col("value")).alias("_sum")])
         tmp = found.withColumn("_s", F.when(X.has_text(text), F.coalesce("_sum", F.lit(0)))).drop("_sum")
     else:
         scores, by_score = defaultdict(int), defaultdict(set)

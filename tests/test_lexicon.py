@@ -68,3 +68,18 @@ def test_join_plan_reads_the_text_once(spark):
     out = L.lexicon_rates(df, lex, targets=["We"], plan="join", carry=["UID_key"])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "final_message_string" not in plan  # everything reads the stored token table
+
+
+def test_plans_agree_on_repeated_and_null_keys(spark):
+    lex = spark.createDataFrame(LEX, "word string, cat_name string, categories int")
+    df = spark.createDataFrame([(1, "the theory in wir"), (1, "wir wir"), (None, "wir in"), (None, None), (2, "")],
+                               "UID_key long, final_message_string string")
+    pos = spark.createDataFrame([("wir", "NOUN"), ("theory", "NOUN"), ("in", "VERB")], "word string, pos string")
+    polarity = spark.createDataFrame([("wir", 1), ("theory", -1), ("the", -1)], "word string, score int")
+    for run in (lambda plan: L.lexicon_rates(df, lex, targets=["We", "You", "Other"], plan=plan, mode="count"),
+                lambda plan: L.lexicon_rates(df, lex, targets=["We", "You", "Other"], plan=plan),
+                lambda plan: L.pos_counts(df, pos, plan=plan), lambda plan: L.sentiment_flags(df, polarity, plan=plan)):
+        a, b = ([r.asDict() for r in run(plan).collect()] for plan in ("inline", "join"))
+        assert sorted(map(repr, a)) == sorted(repr({k: r[k] for k in a[0]}) for r in b)
+    counts = L.lexicon_rates(df, lex, targets=["We"], plan="join", mode="count", carry=["UID_key"]).collect()
+    assert sorted((r.UID_key or 0, r.liwc_We) for r in counts) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 0)]
