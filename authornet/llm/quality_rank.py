@@ -128,7 +128,8 @@ class Ranker:
 
 def rank(df: DataFrame, rows: DataFrame, reject_share: float | None = None) -> DataFrame:
     """doc_id, rank_score (Bradley-Terry) and score (probability) of every row.
-    ``reject_share``: place the threshold at this quantile of all documents' scores."""
+    The threshold lies at the quantile ``reject_share`` of all documents' scores; None: the share of
+    low quality in the training rows."""
     table = common.write_shared(featurize(df, rows), "features")
     # bounded: the training rows; sorted, so that the pairs are the same at any partitioning
     train = sorted((r["doc_id"], r["y"], r["features"]) for r in table.filter("y is not null").collect())
@@ -141,9 +142,8 @@ def rank(df: DataFrame, rows: DataFrame, reject_share: float | None = None) -> D
     shift = float(ranker.centre / ranker.scale @ ranker.w)
     terms = F.zip_with("features", F.array(*map(F.lit, w)), lambda x, c: x * c)
     scored = table.select("doc_id", (F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) - shift).alias("rank_score"))
-    cut = ranker.cut
-    if reject_share is not None:
-        cut = scored.agg(F.percentile_approx("rank_score", reject_share, QUANTILE_ACCURACY).alias("q")).first()["q"] or 0.0
+    share = ranker.low_share if reject_share is None else reject_share
+    cut = scored.agg(F.percentile_approx("rank_score", share, QUANTILE_ACCURACY).alias("q")).first()["q"] or 0.0
     rise = ranker.slope * (F.col("rank_score") - F.lit(float(cut))) + ranker.anchor
     return scored.withColumn("score", 1 / (1 + F.exp(-rise)))
 

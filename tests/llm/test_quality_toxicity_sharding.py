@@ -145,3 +145,16 @@ def test_equal_texts_share_a_shard(spark):
     for r in sharding.shard(df, 10).join(df, "doc_id").collect():
         where.setdefault(r["text"], set()).add(r["shard"])
     assert all(len(v) == 1 for v in where.values())
+
+
+def test_quality_cut_is_the_quantile_of_all_documents(spark):
+    """Labels come from a source of short texts only; the cut still rejects their share of all documents."""
+    rng = np.random.default_rng(4)
+    size = lambda k: int(rng.integers(3, 40) if k < 100 else rng.integers(200, 400))
+    docs = spark.createDataFrame([(k, " ".join(["word", "some", "text", "here"][i % 4] for i in range(size(k)))) for k in range(1000)],
+                                 "doc_id bigint, text string")
+    lengths = {r["doc_id"]: len(r["text"].split()) for r in docs.filter("doc_id < 100").collect()}
+    rows = spark.createDataFrame([(k, int(n >= 20)) for k, n in lengths.items()], "doc_id bigint, y int")
+    share = sum(n < 20 for n in lengths.values()) / 100
+    got = quality_rank.rank(docs, rows).filter(f"score < {quality_rank.PREDICT_FROM}").count() / 1000
+    assert abs(got - share) < 0.05
