@@ -7,8 +7,9 @@ hold it.  Words unknown to every item reset the match, so only runs of known wor
 for a window are walked at all; finding them is vectorised.
 
 The items are collected only after their size was measured.  Above ``part_bytes`` they are split by a hash
-into parts, each with an automaton of bounded size and a pass of its own, and the hits of
-the passes are united per row.
+into parts; each part's automaton is built in a task and written to the shared folder, and has a pass of its own whose
+hits are written before the next, so the driver holds no items and one automaton of bounded size at a time.  The hits
+of the passes are united per row.
 
 Edge cases: null texts have no words; an item without a word matches nothing; items of equal text
 all count; an empty benchmark leaves every document clean; an empty table gives an empty result;
@@ -17,14 +18,17 @@ repeated rows are judged each; extra columns are ignored (or kept, by ``decontam
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import common
 
 WINDOW = 13
@@ -148,19 +152,45 @@ class Automaton:
                 spans.append((first, i))
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> Iterator[Automaton]:
-    """One automaton for each part of the benchmark; parts are bounded by ``part_bytes``."""
+def automata(benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> tuple[int, Iterator[bytes]]:
+    """(number of parts, one pickled automaton for each); parts are bounded by ``part_bytes``.  Several are built
+    in tasks and read from the shared folder one after the other."""
     items = common.texts(benchmark.withColumn("item", F.coalesce(F.col("item_id").cast("string"), F.lit(""))), "item")
     items = items.withColumnRenamed("doc_id", "item")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = -(-total // part_bytes) or 1
-    for k in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield Automaton(sorted((r["item"], r["text"]) for r in mine.collect()), window)
-
-
-def _pass(rows: DataFrame, auto: Automaton) -> DataFrame:
-    sent = common.send(rows.sparkSession, auto)
+    if parts == 1:
+        return 1, iter([cloudpickle.dumps(Automaton(sorted((r["item"], r["text"]) for r in items.collect()), window))])
+    make = common.send(benchmark.sparkSession, Automaton)
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        auto = make()(sorted(zip(rows["item"].to_pylist(), rows["text"].to_pylist())), window)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "auto": pa.array([cloudpickle.dumps(auto)], pa.binary())})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("long"))
+    built = common.write_shared(dealt.groupBy("part").applyInArrow(build, "part bigint, auto binary"), "automata")
+    numbers = sorted(r["part"] for r in built.select("part").collect())
+    return len(numbers), (built.filter(F.col("part") == k).first()["auto"] for k in numbers)
+
+
+def _passes(rows: DataFrame, autos: Iterator[bytes]) -> DataFrame:
+    """The results of one pass per automaton over stored rows, each written before the next: all rows in the
+    first, rows with hits in the others."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "llm-hits")
+    schema = None
+    for auto in autos:
+        sent = spark.sparkContext.broadcast(auto)
+        out = _pass(rows, sent)
+        (out if schema is None else out.filter(F.size("hits") > 0)).write.mode("append").option("compression", "zstd").parquet(path)
+        schema = out.schema
+        sent.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _pass(rows: DataFrame, model) -> DataFrame:
+    """``model``: broadcast of a pickled automaton."""
+    sent = lambda: pickle.loads(model.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = sent()
@@ -185,19 +215,16 @@ def _pass(rows: DataFrame, auto: Automaton) -> DataFrame:
 def find_hits(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, hits (array of [first, end) word spans), n_hit, items."""
     rows = common.texts(df).select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
-    autos = list(automata(benchmark, window, part_bytes))
-    if len(autos) > 1:  # rows need a name under which the passes meet
+    n_parts, autos = automata(benchmark, window, part_bytes)
+    if n_parts > 1:  # rows need a name under which the passes meet
         rows = common.write_shared(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    passes = [_pass(rows, a) for a in autos]
-    out = passes[0]
-    if len(passes) > 1:
-        for other in passes[1:]:
-            out = out.unionByName(other)
+        out = _passes(rows, autos)
         out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                                      F.flatten(F.collect_list("hits")).alias("hits"),
                                      F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         spot = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["first"], x["end"] - 1))))
         return out.withColumn("n_hit", F.size(spot).cast("long")).drop("row")
+    out = _pass(rows, df.sparkSession.sparkContext.broadcast(next(autos)))
     length = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
     return out.withColumn("n_hit", length).drop("row")
 
@@ -219,16 +246,13 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``df`` (all columns) without contaminated documents, and without
     the hit spans (each at least a window or a whole item long) in the others."""
-    autos = list(automata(benchmark, window, part_bytes))
-    if len(autos) == 1:
-        return _cut(df, autos[0])
+    n_parts, autos = automata(benchmark, window, part_bytes)
+    if n_parts == 1:
+        return _cut(df, pickle.loads(next(autos)))
     row, hits = common.free_name(df, "row"), common.free_name(df, "hits")
     rows = common.write_shared(df.withColumn(row, F.monotonically_increasing_id()), "rows")
     narrow = rows.select(F.col(row).alias("row"), F.lit(0).cast("long").alias("doc_id"), "text")
-    passes = [_pass(narrow, a) for a in autos]
-    out = passes[0]
-    for other in passes[1:]:
-        out = out.unionByName(other)
+    out = _passes(narrow, autos)
     found = out.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("hits")).alias(hits))
     return _cut(rows.join(found, row).drop(row), None, hits)
 

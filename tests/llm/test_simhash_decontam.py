@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import re
 
 import numpy as np
@@ -132,3 +133,15 @@ def test_spans_are_cut_and_nothing_else():
     auto = decontam.Automaton([("1", "one two three four")], 4)
     spans, _ = auto.scan(decontam.words_of(text))
     assert decontam.cut_words(text, spans) == "Keep this. ! Keep that."
+
+
+def test_parts_are_built_in_tasks(spark):
+    """Several automata come one after the other, and together hold all items."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    size = sum(len(r["text"].encode()) for r in bench.collect())
+    whole = decontam.automata(bench)
+    assert whole[0] == 1
+    n, autos = decontam.automata(bench, part_bytes=-(-size // 3))
+    assert n == 3 and iter(autos) is autos
+    names = [sorted(pickle.loads(a).names) for a in autos]
+    assert all(names) and sorted(sum(names, [])) == sorted(pickle.loads(next(whole[1])).names)
