@@ -24,6 +24,9 @@ def write_tables(spark, path, rows, labels=(), items=()):
     docs.coalesce(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    pages = spark.createDataFrame([(r[0], None if r[0] is None else f"https://h.example/{r[0]}", r[1]) for r in rows],
+                                  "page_id bigint, url string, html string")
+    pages.withColumn("row", F.lit("x")).coalesce(2).write.parquet(f"{path}/pages.parquet")
     return str(path)
 
 

@@ -10,12 +10,13 @@ from authornet.llm.queries import QUERIES
 from .conftest import EDGE_ROWS
 
 PER_PIECE = {"op1_packing"}
+PER_PAGE = {"op11_html"}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_edge_rows_each_get_their_row(spark, edge_dir, results, name):
     rows = results(name, edge_dir)
-    ids = Counter(r["doc_id"] for r in rows)
+    ids = Counter(r["page_id" if name in PER_PAGE else "doc_id"] for r in rows)
     wanted = Counter(r[0] for r in EDGE_ROWS)
     if name in PER_PIECE:
         assert set(ids) == set(wanted)
