@@ -10,9 +10,11 @@ centres are small, bounded inputs and travel inside the expressions.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +23,50 @@ from ..session import cut_lineage
 
 # --- N1 weights ------------------------------------------------------------------------
 
-def init_weights(sizes, seed: int = 42, clusters: int | None = None) -> dict:
-    """Seeded Kaiming-uniform draws with the reference's fans: W of
-    shape (in, out) has bound sqrt(6 / in); the attention vectors (out, 1)
-    have bound sqrt(6 / out); cluster centres (K, d) have sqrt(6 / d)."""
-    rng = np.random.default_rng(seed)
+def seeded_draw(seed: int, name: str, i: int, j: int) -> float:
+    """Counter-based uniform draw in [0, 1): the first 32 bits of the MD5 of
+    ``seed:name:i:j``, so any engine draws the same number for a cell."""
+    return int(hashlib.md5(f"{seed}:{name}:{i}:{j}".encode()).hexdigest()[:8], 16) / float(1 << 32)
+
+
+def seeded_cell(seed: int, name: str, i, j, bound: float) -> Column:
+    """The same draw as a column, scaled to [-bound, bound)."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(name), F.col(i).cast("string"), F.col(j).cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return (2 * u - 1) * F.lit(bound)
+
+
+def weight_bounds(sizes, clusters: int | None = None) -> dict[str, tuple[int, int, float]]:
+    """(rows, columns, bound) of every weight, with the reference's fans: W of shape (in, out) has
+    bound sqrt(6 / in); the attention vectors (out, 1) sqrt(6 / out); centres (K, d) sqrt(6 / d)."""
     out = {}
     for li, (i, o) in enumerate(zip(sizes[:-1], sizes[1:])):
-        out[f"W{li}"] = rng.uniform(-math.sqrt(6.0 / i), math.sqrt(6.0 / i), size=(i, o))
-        out[f"a_self{li}"] = rng.uniform(-math.sqrt(6.0 / o), math.sqrt(6.0 / o), size=(o,))
-        out[f"a_neighs{li}"] = rng.uniform(-math.sqrt(6.0 / o), math.sqrt(6.0 / o), size=(o,))
+        out[f"W{li}"] = (i, o, math.sqrt(6.0 / i))
+        out[f"a_self{li}"] = out[f"a_neighs{li}"] = (o, 1, math.sqrt(6.0 / o))
     if clusters:
-        d = sizes[-1]
-        out["centres"] = rng.uniform(-math.sqrt(6.0 / d), math.sqrt(6.0 / d), size=(clusters, d))
+        out["centres"] = (clusters, sizes[-1], math.sqrt(6.0 / sizes[-1]))
+    return out
+
+
+def seeded_weights(sizes, seed: int = 42, clusters: int | None = None) -> dict:
+    """Seeded Kaiming-uniform weights, drawn cell by cell."""
+    out = {}
+    for name, (rows, cols, bound) in weight_bounds(sizes, clusters).items():
+        cells = np.array([[(2 * seeded_draw(seed, name, i, j) - 1) * bound for j in range(cols)] for i in range(rows)])
+        out[name] = cells[:, 0] if name.startswith("a_") else cells
     return out
 
 
+init_weights = seeded_weights
+
+
+def weight_table(x: DataFrame, name: str, cols: int, bound: float, seed: int = 42, col: str = "x") -> DataFrame:
+    """N1 as a table (i, j, w) for the features of ``x``: a row per feature position that occurs, its cells drawn by Spark."""
+    rows = x.select(F.explode(F.sequence(F.lit(0), F.size(col) - 1)).alias("i")).distinct()
+    cells = rows.select("i", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
+    return cells.select("i", "j", seeded_cell(seed, name, "i", "j", bound).alias("w"))
+
+
 def rule_layers(sizes, clusters: int | None = None) -> dict:
     """The layers of :func:`init_weights` by the rule of :func:`rule_weights`,
     so that a twin can state them."""
@@ -68,6 +98,14 @@ def _sqdist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows x length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
 def to_double_array(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.transform(c, lambda x: x.cast("double"))

@@ -8,16 +8,22 @@ linear in the points.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .propagate import _dot, _lit_vec, _sqdist, to_double_array
+from ..session import cut_lineage
+from .propagate import _dot, _lit_vec, _sqdist, _width, matrix, seeded_draw, to_double_array
 
-# The K x d statistics travel as one row; more clusters than this are refused, never cut.
+# Clusters whose K x d statistics travel as one row; more of them travel as several rows.
 MAX_CLUSTERS = 1_000
+# Directions of the sliced silhouette, and the groups that tell its error.
+SLICES, SLICE_GROUPS = 64, 8
 
 
 def cluster_stats(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
@@ -30,12 +36,17 @@ def cluster_stats(df: DataFrame, x: str = "embedding", label: str = "label", key
     return per.groupBy("label").agg(F.max("n").alias("n"), F.transform(by_d, lambda r: r["s"]).alias("s"), F.sum("q").alias("q"))
 
 
-def _in_one_row(stats: DataFrame, *cols) -> DataFrame:
-    """All clusters as one array ``all`` (K is checked), keyed by ``_one`` = 0."""
-    n = stats.count()
-    if n > MAX_CLUSTERS:
-        raise ValueError(f"{n} clusters; validity indices take at most {MAX_CLUSTERS}")
-    return stats.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all")).withColumn("_one", _zero(F.size("all")))
+def _in_rows(stats: DataFrame, *cols) -> tuple[DataFrame, int]:
+    """All clusters as arrays ``all`` of at most about MAX_CLUSTERS each, keyed by ``_one`` = 0 .. their number - 1;
+    few clusters are one row."""
+    n = -(-stats.count() // MAX_CLUSTERS) or 1
+    part = F.pmod(F.xxhash64("label"), F.lit(n)).cast("long").alias("_one")
+    return stats.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all")), n
+
+
+def _every_row(col, n: int) -> Column:
+    """Numbers 0 .. n - 1 (see :func:`_zero`): a point meets each of the rows of clusters."""
+    return F.explode(F.sequence(_zero(col), _zero(col) + F.lit(n - 1)))
 
 
 def _zero(col) -> Column:
@@ -55,14 +66,16 @@ def silhouette_sq(df: DataFrame, x: str = "embedding", label: str = "label", key
     of a point to cluster C is |x|^2 - 2 x·S_C/n_C + Q_C/n_C; a uses
     n_A - 1 (the point itself excluded); singletons score 0.  Returns the
     per-point scores; average them for the index."""
-    row = _in_one_row(cluster_stats(df, x, label, key), "label", "n", "s", "q")
+    rows, parts = _in_rows(cluster_stats(df, x, label, key), "label", "n", "s", "q")
     nx = _dot(F.col("_x"), F.col("_x"))
     total = lambda c: nx * c["n"] - 2 * _dot(F.col("_x"), c["s"]) + c["q"]
-    own = F.element_at(F.filter("all", lambda c: c["label"] == F.col("_l")), 1)
+    own = F.get(F.filter("all", lambda c: c["label"] == F.col("_l")), F.lit(0))
     rest = F.transform(F.filter("all", lambda c: c["label"] != F.col("_l")), lambda c: total(c) / c["n"])
-    points = df.select(key, F.col(label).alias("_l"), to_double_array(x).alias("_x"), _zero(F.col(key)).alias("_one"))
-    ab = points.join(F.broadcast(row), "_one").select(  # one row, K x d values
-        key, (total(own) / F.greatest(own["n"] - 1, F.lit(1))).alias("_a"), F.array_min(rest).alias("_b"), own["n"].alias("_n"))
+    points = df.select(key, F.col(label).alias("_l"), to_double_array(x).alias("_x"), _every_row(key, parts).alias("_one"))
+    ab = points.join(F.broadcast(rows), "_one").select(  # at most MAX_CLUSTERS x d values a row
+        key, (F.try_divide(total(own), F.greatest(own["n"] - 1, F.lit(1)))).alias("_a"), F.array_min(rest).alias("_b"), own["n"].alias("_n"))
+    if parts > 1:
+        ab = ab.groupBy(key).agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"), F.max("_n").alias("_n"))
     a, b = F.col("_a"), F.col("_b")
     s = F.when(b.isNull(), F.lit(None).cast("double")).when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
         F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0)))
@@ -74,6 +87,99 @@ def silhouette(df: DataFrame, x: str = "embedding", label: str = "label", key: s
     return silhouette_sq(df, x, label, key).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def projections(d: int, count: int, seed: int = 42) -> np.ndarray:
+    """``count`` unit directions in d dimensions from counter-based normal draws (Box-Muller), made orthogonal in blocks of d:
+    a whole block shows every length alike, so the estimates vary less."""
+    u = np.array([[seeded_draw(seed, "direction", r, j) for j in range(2 * d)] for r in range(count)])
+    normal = np.sqrt(-2 * np.log1p(-u[:, :d])) * np.cos(2 * np.pi * u[:, d:])
+    return np.concatenate([np.linalg.qr(normal[at:at + d].T)[0].T for at in range(0, count, d)])
+
+
+def sliced_totals(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id", slices: int = SLICES,
+                  seed: int = 42) -> DataFrame:
+    """(key, label, slice, cluster, total): for each direction the exact sum of |u . (x - y)| over the members y of each cluster.
+    The projections are sorted by (direction, value); running counts and sums per cluster give every sum, and each task
+    starts from what lies before it.  Linear in points x slices x clusters."""
+    points = df.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(x).isNotNull()).select(
+        F.col(key).alias("key"), F.col(label).alias("label"), to_double_array(x).alias("x"))
+    u = projections(_width(points, "x") or 1, slices, seed)
+    kind = {c: points.schema[c].dataType.simpleString() for c in ("key", "label")}
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = matrix(b.column(2)) @ u.T if b.num_rows else np.zeros((0, slices))
+            at = pa.array(np.repeat(np.arange(b.num_rows), slices))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at),
+                                              pa.array(np.tile(np.arange(slices, dtype=np.int32), b.num_rows)), pa.array(v.ravel())],
+                                             names=["key", "label", "slice", "v"])
+
+    flat = points.mapInArrow(project, f"key {kind['key']}, label {kind['label']}, slice int, v double")
+    placed = cut_lineage(flat.repartitionByRange("slice", "v", "key").sortWithinPartitions("slice", "v", "key")
+                         .withColumn("part", F.spark_partition_id()))
+    # (tasks + slices) x clusters rows: what each task holds of a slice
+    held = placed.groupBy("slice", "part", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).orderBy("slice", "part").collect()
+    clusters = sorted({r["label"] for r in held})
+    number = {c: i for i, c in enumerate(clusters)}
+    whole, starts = np.zeros((slices, 2, len(clusters))), {}
+    for (sl, part), rows in itertools.groupby(held, key=lambda r: (r["slice"], r["part"])):
+        starts[part, sl] = whole[sl].copy()
+        for r in rows:
+            whole[sl, :, number[r["label"]]] += (r["n"], r["s"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                rows = b.slice(lo, 4096)
+                cut, v = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+                member = np.eye(len(clusters))[[number[c] for c in rows.column(1).to_pylist()]]
+                total = np.zeros_like(member)
+                for sl in np.unique(cut).tolist():
+                    here = cut == sl
+                    if sl not in state:
+                        state[sl] = starts[rows.column(4)[int(np.argmax(here))].as_py(), sl].copy()
+                    n = state[sl][0] + np.cumsum(member[here], axis=0)
+                    s = state[sl][1] + np.cumsum(member[here] * v[here, None], axis=0)
+                    w = v[here, None]
+                    total[here] = w * n - s + (whole[sl, 1] - s) - w * (whole[sl, 0] - n)
+                    state[sl] = np.stack([n[-1], s[-1]])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), len(clusters)).cast(
+                    pa.list_(pa.float64()))], names=["key", "label", "slice", "totals"])
+
+    if not clusters:
+        return placed.select("key", "label", "slice", F.col("label").alias("cluster"), F.col("v").alias("total"))
+    out = placed.select("key", "label", "slice", "v", "part").mapInArrow(
+        sums, f"key {kind['key']}, label {kind['label']}, slice int, totals array<double>")
+    names = placed.sparkSession.createDataFrame(list(enumerate(clusters)), f"pos int, cluster {kind['label']}")
+    return out.select("key", "label", "slice", F.posexplode("totals").alias("pos", "total")).join(names, "pos").drop("pos")
+
+
+def silhouette_sliced(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id", slices: int = SLICES,
+                      seed: int = 42) -> DataFrame:
+    """C1 with Euclidean distance: one row (silhouette, error).  The mean distance from a point to a cluster is estimated from
+    ``slices`` directions, each exact, up to a factor common to all distances.  ``error``: two standard errors
+    over the indices of ``SLICE_GROUPS`` groups of directions, and the index's own distance from their mean."""
+    sizes = df.filter(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(label).isNotNull()).groupBy(
+        F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    totals = sliced_totals(df, x, label, key, slices, seed)
+    parts = cut_lineage(totals.groupBy("key", "label", "cluster", (F.col("slice") % SLICE_GROUPS).alias("g")).agg(F.sum("total").alias("total")))
+
+    def index(rows: DataFrame, *by: str) -> DataFrame:
+        """Scale and number of slices cancel in every score."""
+        own = F.col("cluster") == F.col("label")
+        mean = F.col("total") / F.when(own, F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.col("n"))
+        ab = rows.join(sizes, "cluster").groupBy("key", *by).agg(
+            F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
+        top = F.greatest("a", "b")
+        s = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("n") <= 1, F.lit(0.0)).when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(F.lit(0.0))
+        return ab.select(*by, s.alias("s")).groupBy(*by).agg(F.avg("s").alias("s"))
+
+    overall = index(parts.groupBy("key", "label", "cluster").agg(F.sum("total").alias("total")))
+    spread = index(parts, "g").agg(F.avg("s").alias("m"), (2 * F.stddev_samp("s") / math.sqrt(min(slices, SLICE_GROUPS))).alias("e"))
+    one = overall.withColumn("_k", F.lit(0)).join(spread.withColumn("_k", F.lit(0)), "_k")
+    return one.select(F.col("s").alias("silhouette"), (F.col("e") + F.abs(F.col("s") - F.col("m"))).alias("error"))
+
+
 def calinski_harabasz(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """(B / (K - 1)) / (W / (n - K)).  W = sum of |x|^2 - sum_k |S_k|^2 / n_k,
     B = sum_k |S_k|^2 / n_k - |S|^2 / n, both from the cluster statistics."""
@@ -92,17 +198,18 @@ def calinski_harabasz(df: DataFrame, x: str = "embedding", label: str = "label",
 def davies_bouldin(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j), s = mean
     Euclidean distance of members to their centroid (the points joined with
-    their centroid); the K x K comparison runs over the one row that holds all centroids."""
+    their centroid); every centroid then meets the rows that hold all centroids."""
     stats = cluster_stats(df, x, label, key).select("label", F.transform("s", lambda v: v / F.col("n")).alias("c"))
     points = df.select(F.col(label).alias("label"), to_double_array(x).alias("_x"))
     spread = points.join(stats, "label").groupBy("label").agg(F.avg(F.sqrt(_sqdist(F.col("_x"), F.col("c")))).alias("s"))
     each = stats.join(spread, "label")
-    row = _in_one_row(each, "label", "c", "s")
-    one = row.select(F.explode("all").alias("i"), "all")
+    rows, parts = _in_rows(each, "label", "c", "s")
+    one = each.select(F.struct("label", "c", "s").alias("i"), _every_row("label", parts).alias("_one")).join(F.broadcast(rows), "_one")
     ratios = F.transform(F.filter("all", lambda j: j["label"] != F.col("i.label")),
                          lambda j: (F.col("i.s") + j["s"]) / F.nullif(F.sqrt(_sqdist(F.col("i.c"), j["c"])), F.lit(0.0)))
     worst = F.array_max(F.transform(ratios, lambda r: F.coalesce(r, F.lit(math.inf))))
-    return one.select(worst.alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    per = one.select(F.col("i.label").alias("label"), worst.alias("r")).groupBy("label").agg(F.max("r").alias("r"))
+    return per.agg(F.avg("r").alias("davies_bouldin"))
 
 
 def project_2d(df: DataFrame, x: str = "embedding", key: str = "vec_id") -> DataFrame:

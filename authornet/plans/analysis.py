@@ -17,8 +17,6 @@ from ..sources.sinks import write_table
 from ..sources.tables import table
 from .authors import NARROW, scored_weights
 
-_DONE: dict[tuple[str, str], dict[str, DataFrame]] = {}
-
 
 def full_feature_analysis(spark: SparkSession, messages: DataFrame, out_dir: str, pos: DataFrame, polarity: DataFrame,
                           lexicon: DataFrame, scores: DataFrame, weights: dict | None = None) -> dict[str, DataFrame]:
@@ -52,10 +50,7 @@ def full_feature_analysis(spark: SparkSession, messages: DataFrame, out_dir: str
 
 
 def analysis_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The analysis of the driver's tables, run once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _DONE:
-        scores = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("UID_key"), "toxic")
-        _DONE[key] = full_feature_analysis(spark, FX.messages(spark, sf_dir), scratch_path(spark, "analysis"), FX.pos_df(spark),
-                                           FX.polarity_df(spark), FX.lexicon_df(spark), scores)
-    return _DONE[key]
+    """The analysis of the driver's tables as they are now."""
+    scores = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("UID_key"), "toxic")
+    return full_feature_analysis(spark, FX.messages(spark, sf_dir), scratch_path(spark, "analysis"), FX.pos_df(spark),
+                                 FX.polarity_df(spark), FX.lexicon_df(spark), scores)

@@ -89,3 +89,4 @@ from . import q_graph  # noqa: E402,F401
 from . import q_stats  # noqa: E402,F401
 from . import q_io  # noqa: E402,F401
 from . import q_analysis  # noqa: E402,F401
+from . import q_fit  # noqa: E402,F401

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import neighbours as NB
 from ..operators import stats as ST
 from . import sqltwin as S
 from .analysis import analysis_tables
@@ -108,6 +109,19 @@ def _fitted(spark, sf):
     return ST.fit_multinomial(train, "x", "label", "weight"), train, test
 
 
+def _fitted_resampled(spark, sf):
+    """The same with over- and under-sampled training rows (D6, D7) before the weights; a class that
+    resampling leaves without rows is not fitted.  Without any row left the rows stay as they are."""
+    train, test = _prepared(spark, sf)
+    x = F.array(*[F.col(c) for c in A.FEATURES_30]).alias("x")
+    label = F.col("cluster").cast("int").alias("label")
+    train, test = train.select("author", x, label), test.select("author", x, label)
+    made = NB.smote_enn(train, "author", "x", "label").select(F.col("key").alias("author"), "x", "label")
+    train = made if made.limit(1).count() else train
+    weights = ST.class_weights(train, "label").select("label", "weight")  # one row per cluster
+    return ST.fit_multinomial(train.join(F.broadcast(weights), "label"), "x", "label", "weight"), train, test
+
+
 @register("d8_gradient_at_fit", SCORED + f""", tr AS (SELECT cluster FROM sc WHERE cluster IS NOT NULL AND NOT ({_SPLIT}))
 SELECT CAST(k.k AS INTEGER) AS class, CAST(j.j AS INTEGER) AS feature, true AS at_optimum
 FROM (SELECT unnest(range(CAST((SELECT max(cluster) + 1 FROM tr) AS BIGINT))) AS k) k, (SELECT unnest(range(-1, {len(A.FEATURES_30)})) AS j) j""")
@@ -121,8 +135,8 @@ def q_d8g(spark, sf):
 
 @register("d9_predict_cluster")
 def q_d9c(spark, sf):
-    """Predicted cluster and probabilities of the held-out authors."""
-    model, _, test = _fitted(spark, sf)
+    """Predicted cluster and probabilities of the held-out authors, from the resampled training rows."""
+    model, _, test = _fitted_resampled(spark, sf)
     return ST.predict(model, test, "x", "author").join(test.select("author", "label"), "author")
 
 

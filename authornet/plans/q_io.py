@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import sinks
 from ..sources.tables import read_lexicon_dic, table
 from . import sqltwin as S
-from .authors import clean_messages, round_doubles
+from .authors import clean_messages, narrow_messages, round_doubles
 from .catalog import register
 from .q_lexicon import VOCAB_LEX_SQL, vocab_lexicon
 
@@ -45,8 +45,7 @@ def q_s4(spark, sf):
 
 @register("s7_save_matrix", S.rounded(["src", "dst", "w"], {"w"}, __import__("authornet.plans.q_graph", fromlist=["GRAPH_SQL"]).GRAPH_SQL + "SELECT src, dst, w FROM adjn"))
 def q_s7(spark, sf):
-    clean = clean_messages(spark, sf)
-    mem = G.memberships(clean)
+    mem = G.memberships(narrow_messages(spark, sf))
     adj = G.normalize_adj(G.pair_weights(G.author_pairs(mem)), mem)
     path = scratch_path(spark, "s7")
     sinks.save_matrix(adj, path)

@@ -21,7 +21,7 @@ from ..operators import stats as ST
 from ..operators import validity as V
 from ..sources.tables import table
 from . import sqltwin as S
-from .authors import clean_messages, round_doubles
+from .authors import clean_messages, narrow_messages, round_doubles
 from .catalog import register
 
 K_CENTRES = 6
@@ -226,8 +226,7 @@ FROM grid g, vals v, hh GROUP BY g.x, hh.n, hh.h""")
 
 @register("g8_degree_kde", _degree_kde_sql())
 def q_g8k(spark, sf):
-    clean = clean_messages(spark, sf)
-    mem = G.memberships(clean)
+    mem = G.memberships(narrow_messages(spark, sf))
     deg = G.degree(G.pair_weights(G.author_pairs(mem)), mem.select("author").distinct())
     return round_doubles(ST.kde(deg, "degree", DEG_GRID))
 
@@ -388,7 +387,6 @@ H_OUT = 3
 
 
 def _author_x(spark, sf):
-    from .authors import narrow_messages
     clean = narrow_messages(spark, sf)
     agg = A.aggregate_features(clean, ["author"])
     x = agg.select("author", F.array(*[F.col(c).cast("double") for c in X_COLS]).alias("x"))
@@ -463,8 +461,7 @@ def q_n7(spark, sf):
     W, a_s, a_n = _weights()
     h = N.linear(x, W)
     z = N.l2_normalize(N.attend(N.edge_attention(h, m, a_s, a_n), h))
-    clean = clean_messages(spark, sf)
-    edges = G.pair_weights(G.author_pairs(G.memberships(clean))).select("src", "dst")
+    edges = G.pair_weights(G.author_pairs(G.memberships(narrow_messages(spark, sf)))).select("src", "dst")
     return round_doubles(N.decode(z, edges))
 
 
