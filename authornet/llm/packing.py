@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokens import encoder
+from .tokens import byte_slices, encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -48,13 +48,14 @@ def tokenize(df: DataFrame, tokenizer_path: str, spaced: bool, end_id: int, wind
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, spaced)
         block = TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         row, full_seen, rest_seen = 0, 0, np.zeros(window, dtype=np.int64)
         for batch in batches:
-            doc_ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for at in range(0, len(texts), 512):
-                ids = [x + end for x in enc.encode(texts[at:at + 512])]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            doc_ids, hashes = batch.column(0), batch.column(2)
+            for at, texts in byte_slices(batch.column(1).cast(pa.string())):
+                flat, ends = enc.encode_ended(texts, end_id)
+                raw, stops = memoryview(flat.astype("<u4")).cast("B"), (4 * ends).tolist()
+                ids = [raw[s:e] for s, e in zip([0, *stops], stops)]
+                n = np.diff(ends, prepend=0)
                 full, rest = n // window, n % window
                 ranks = np.empty(len(n), dtype=np.int64)
                 for i, r in enumerate(rest.tolist()):
@@ -62,7 +63,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, spaced: bool, end_id: int, wind
                     rest_seen[r] += 1
                 full_before = full_seen + np.cumsum(full) - full
                 if with_ids:
-                    last, names = [pa.array(ids, type=pa.binary())], ["ids"]
+                    last, names = [pa.array([bytes(x) for x in ids], type=pa.binary())], ["ids"]
                 else:
                     step = 4 * window
                     heads = [[zlib.crc32(x[k * step:(k + 1) * step]) for k in range(f)] for x, f in zip(ids, full.tolist())]

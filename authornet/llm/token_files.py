@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import byte_slices, encoder
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -118,28 +118,32 @@ def write_tokens(df: DataFrame, tokenizer_path: str, spaced: bool = True, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, spaced)
-        end = np.array([end_id], dtype="<u4").tobytes()
         part, nth = TaskContext.get().partitionId(), 0
-        docs, blobs, held = [], [], 0
+        docs: list = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # (lengths, ids)
+        held = 0
 
-        def flush():
-            nonlocal nth, docs, blobs, held
-            lengths = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-            payload = encode_segment(docs, lengths, np.frombuffer(b"".join(blobs), dtype="<u4"))
+        def flush() -> pa.RecordBatch:
+            nonlocal nth, docs, parts, held
+            lengths, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([len(docs)], pa.int64()),
-                 pa.array([int(lengths.sum())], pa.int64()), pa.array([payload], pa.binary())],
+                 pa.array([len(ids)], pa.int64()), pa.array([encode_segment(docs, lengths, ids)], pa.binary())],
                 names=["part", "nth", "n_docs", "n_ids", "payload"])
-            docs, blobs, held, nth = [], [], 0, nth + 1
+            docs, parts, held, nth = [], [], 0, nth + 1
             return row
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                for d, blob in zip(ids[at:at + 256], enc.encode(texts[at:at + 256])):
-                    docs.append(d)
-                    blobs.append(blob + end)
-                    held += len(blob) // 4 + 1
+            keys = batch.column(0).to_pylist()
+            for at, texts in byte_slices(batch.column(1).cast(pa.string())):
+                ids, ends = enc.encode_ended(texts, end_id)
+                starts, first = np.concatenate([[0], ends[:-1]]), 0
+                while first < len(ends):  # up to the document that fills the segment
+                    last = min(len(ends), int(np.searchsorted(ends, starts[first] + segment_ids - held)) + 1)
+                    docs += keys[at + first:at + last]
+                    parts.append((ends[first:last] - starts[first:last], ids[starts[first]:ends[last - 1]]))
+                    held += int(ends[last - 1] - starts[first])
+                    first = last
                     if held >= segment_ids:
                         yield flush()
         if docs:
