@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,52 +32,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import per_worker
+from .tokens import LINE_END, MARKS, byte_slices, cut_pieces, marked, per_worker
 
 CHUNK_BYTES = 8 << 20
-CACHE_UNITS = 500_000
-LONG_UNIT = 60
-# units encoded in one call: long calls cost more a byte
-STREAM_UNITS = 2_000
-SPACE = "[\t-\r\x1c-\x20\x85\xa0  -     　]"
-# white space that is not one space or line end between other characters, and the marks below
-UNEVEN = f"{SPACE}{SPACE}|^{SPACE}|{SPACE}$|[\x02\x03\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]"
-CUT = re.compile(r"(?<=\S) (?=\S)")
-# first character of a unit: it follows a line end instead of a space; it begins with one of the marks itself
-LINE_END, PLAIN = "\x02", "\x03"
-
-
-def split_groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Ends of the groups as (tokens of A so far, tokens of B so far); ``a`` and ``b`` are the
-    ascending byte ends of the tokens of the same bytes, so the last ones agree."""
-    cuts = []
-    # (first, last) of A's and B's tokens in the interval, and which of A's ends in it were not probed yet
-    todo = [(0, len(a), 0, len(b), 0, len(a) - 1)]
-    while todo:
-        a0, a1, b0, b1, low, high = todo.pop()
-        if a1 - a0 == 1 or b1 - b0 == 1 or low >= high:
-            cuts.append((a1, b1))
-            continue
-        below = above = (low + high) // 2
-        while True:  # outward from the middle; the ends from below to above are known to be no cuts
-            if above < high:
-                found = bisect_left(b, a[above], b0, b1)
-                if b[found] == a[above]:
-                    todo.append((above + 1, a1, found + 1, b1, above + 1, high))
-                    todo.append((a0, above + 1, b0, found + 1, low, below))
-                    break
-                above += 1
-            if below > low:
-                below -= 1
-                found = bisect_left(b, a[below], b0, b1)
-                if b[found] == a[below]:
-                    todo.append((below + 1, a1, found + 1, b1, above, high))
-                    todo.append((a0, below + 1, b0, found + 1, low, below))
-                    break
-            elif above >= high:
-                cuts.append((a1, b1))
-                break
-    return cuts
+# Units that a worker keeps; the table starts anew beyond that.
+CACHE_UNITS = 400_000
+# Units encoded in one call (long calls cost more a byte) and aligned in one stream.
+CALL_UNITS, STREAM_UNITS = 1_000, 32_000
+JOIN_UNITS = 1 << 21
+def split_groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ends of the groups as rows (tokens of A so far, tokens of B so far); ``a`` and ``b`` are the ascending byte ends
+    of the tokens of the same bytes, so the last ones agree.  All open intervals take a step together, which probes the end
+    nearest their middle that was not probed yet."""
+    done = []
+    # tokens a0 .. a1 and b0 .. b1 of an interval, its ends low .. high of A that may be cuts, those from
+    # below to above (around the middle) probed in vain
+    middle = (len(a) - 1) // 2
+    todo = np.array([[0, len(a), 0, len(b), 0, len(a) - 1, middle, middle]])
+    while len(todo):
+        a0, a1, b0, b1, low, high, below, above = todo.T
+        leaf = (a1 - a0 == 1) | (b1 - b0 == 1) | ((above >= high) & (below <= low))
+        done.append(todo[leaf][:, [1, 3]])
+        a0, a1, b0, b1, low, high, below, above = todo = todo[~leaf].T
+        up = (above < high) & (((above - below) % 2 == 0) | (below <= low))
+        at = np.where(up, above, below - 1)
+        found = np.searchsorted(b, a[at])
+        hit = b[found] == a[at]
+        # without a hit the probe joins those in vain; with one the interval falls into halves, whose ends lie beyond them
+        missed = np.stack([a0, a1, b0, b1, low, high, np.where(up, below, at), np.where(up, at + 1, above)], axis=1)[~hit]
+        left = np.stack([a0, at + 1, b0, found + 1, low, np.where(up, below, at)], axis=1)[hit]
+        right = np.stack([at + 1, a1, found + 1, b1, np.where(up, at + 1, above), high], axis=1)[hit]
+        halves = np.concatenate([left, right])
+        middle = np.maximum(halves[:, 4:5], halves[:, 4:6].sum(axis=1, keepdims=True) // 2)
+        todo = np.concatenate([missed, np.concatenate([halves, middle, middle], axis=1)])
+    out = np.concatenate(done)
+    return out[np.argsort(out[:, 0])]
 
 
 def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +77,8 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """Both tokenizers and the units met so far; a unit's value is (groups text or None where
-    the bytes differ, links as unsigned 64-bit pair codes, n_a, n_b, n_groups)."""
+    """Both tokenizers and the units met so far, as rows of a table: ``text`` (their groups), ``sizes`` (n_a, n_b, n_groups,
+    n_links, 1 where both token sequences give back the bytes) and ``codes`` (their links as pair codes, one after the other)."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,14 +100,17 @@ class Aligner:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.len_a = np.array([len(x) for x in self.bytes_a])
         self.len_b = np.array([len(x) for x in self.bytes_b])
+        self.names = [pa.array([str(i) for i in range(n)]) for n in (len(self.bytes_a), len(self.bytes_b))]
         whole = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         # a unit stands alone if no piece holds a space after another character, nor a line end
         self.cut = all("▁" not in p.lstrip("▁") and "\n" not in p for p in whole)
-        self.met: dict[str, tuple] = {}
+        self._forget()
 
-    def units(self, text: str) -> list[str]:
-        """Pieces of a text with uneven white space, each without its leading space."""
-        return [PLAIN + u if u[:1] in (LINE_END, PLAIN) else u for u in (CUT.split(text) if self.cut else [text])]
+    def _forget(self) -> None:
+        self.keys = pa.array([], pa.string())
+        self.text = pa.array([], pa.string())
+        self.sizes = np.zeros((0, 5), dtype=np.int64)
+        self.codes = np.zeros(0, dtype=np.int64)
 
     def _stream(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of space + ``text``, where both give back its bytes."""
@@ -131,54 +121,75 @@ class Aligner:
             return None
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
-    def learn(self, units: list[str]) -> dict[str, tuple]:
-        """Values of units, encoded and aligned many in a stream."""
-        out: dict[str, tuple] = {}
-        ends_blank = [u for u in units if not u or u[-1].isspace()]  # the next unit's space would join theirs
-        for u in ends_blank:
-            self._learn([u], out)
-        inner = [u for u in units if u not in out] if ends_blank else units
-        for at in range(0, len(inner), STREAM_UNITS):
-            self._learn(inner[at:at + STREAM_UNITS], out)
-        return out
-
-    def _learn(self, units: list[str], out: dict) -> None:
+    def _encode(self, units: list[str], out: list) -> None:
+        """Append (units, ids of A, ids of B) of calls with many units; single ones without tokens have none."""
         # a first word of their own: a line end must not open the stream
-        texts = [("\n" if u[0] == LINE_END else " ") + u[1:] if u[:1] in (LINE_END, PLAIN) else " " + u for u in units]
+        texts = [("\n" if u[0] == LINE_END else " ") + u[1:] if u.startswith(MARKS) else " " + u for u in units]
         stream = self._stream("x" + "".join(texts))
-        if stream is None:
-            if len(units) > 1:
-                for at in (0, 1):
-                    self._learn(units[at::2], out)
-            else:
-                out[units[0]] = (None, b"", 0, 0, 0)
+        if stream is not None:
+            out.append((units, [len(t.encode()) for t in texts], *stream))
+        elif len(units) == 1:
+            out.append((units, None, None, None))
+        else:
+            for at in (0, 1):
+                self._encode(units[at::2], out)
+
+    def learn(self, units: list[str]) -> None:
+        """Encode units, many in a call, and align all of them as one stream."""
+        parts: list = []
+        blank = {u for u in units if not u or u[-1].isspace()}  # the next unit's space would join theirs
+        for u in blank:
+            self._encode([u], parts)
+        inner = [u for u in units if u not in blank] if blank else units
+        for at in range(0, len(inner), CALL_UNITS):
+            self._encode(inner[at:at + CALL_UNITS], parts)
+        bad = [p[0][0] for p in parts if p[1] is None]
+        self._append(bad, pa.array([""] * len(bad), pa.string()), np.zeros((len(bad), 5), np.int64), np.zeros(0, np.int64))
+        parts = [p for p in parts if p[1] is not None]
+        if not parts:
             return
-        ids_a, ids_b = stream
+        ids_a, ids_b = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
         ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
-        edges = np.cumsum([2] + [len(t.encode()) for t in texts])
-        groups = np.array([(0, 0)] + split_groups(ends_a.tolist(), ends_b.tolist()))
-        group_ends = np.concatenate([[0], ends_a])[groups[:, 0]]
-        at_group = np.searchsorted(group_ends, edges)
+        names = [u for p in parts for u in p[0]]
+        # byte ends of the units; two bytes (" x") before the first one of each call belong to none
+        edges = np.cumsum(np.concatenate([[2, *p[1]] for p in parts]))
+        lone = np.cumsum([0] + [len(p[1]) + 1 for p in parts[:-1]])
+        groups = np.concatenate([np.zeros((1, 2), np.int64), split_groups(ends_a, ends_b)])
+        at_group = np.searchsorted(ends_a[groups[1:, 0] - 1], edges, side="right")
         link_a, link_b = links(ends_a, ends_b)
-        link_ends = np.minimum(ends_a[link_a], ends_b[link_b])
-        at_link = np.searchsorted(link_ends, edges, side="right")
-        codes = (ids_a[link_a].astype("<u8") << np.uint64(32)) | ids_b[link_b].astype("<u8")
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        pairs = groups.tolist()
-        text = [",".join(names_a[s[0]:e[0]]) + "|" + ",".join(names_b[s[1]:e[1]]) for s, e in zip(pairs, pairs[1:])]
-        for u, g0, g1, l0, l1 in zip(units, at_group.tolist(), at_group[1:].tolist(), at_link.tolist(), at_link[1:].tolist()):
-            (a0, b0), (a1, b1) = pairs[g0], pairs[g1]
-            out[u] = (";".join(text[g0:g1]).encode(), codes[l0:l1].tobytes(), a1 - a0, b1 - b0, g1 - g0)
-
-    def values(self, units: list[str]) -> list[tuple]:
-        """Values of distinct units; short ones are kept for later chunks."""
-        got = dict(zip(units, map(self.met.get, units)))
-        new = self.learn([u for u, v in got.items() if v is None])
-        got.update(new)
-        if len(self.met) > CACHE_UNITS:
-            self.met = {}
-        self.met.update((u, v) for u, v in new.items() if len(u) <= LONG_UNIT)
-        return [got[u] for u in units]
+        at_link = np.searchsorted(np.minimum(ends_a[link_a], ends_b[link_b]), edges, side="right")
+        text = pc.binary_join_element_wise(*[
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(groups[:, k], pa.int32()), self.names[k].take(pa.array(ids))), ",")
+            for k, ids in ((0, ids_a), (1, ids_b))], "|")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at_group]), pa.int32()), text), ";")
+        own = np.delete(np.arange(len(edges)), lone)
+        tokens = groups[at_group]
+        sizes = np.concatenate([tokens[own] - tokens[own - 1], (at_group[own] - at_group[own - 1])[:, None],
+                                (at_link[own] - at_link[own - 1])[:, None], np.ones((len(own), 1), np.int64)], axis=1)
+        keep = np.ones(len(link_a), dtype=bool)
+        for i in lone.tolist():
+            keep[(at_link[i - 1] if i else 0):at_link[i]] = False
+        self._append(names, joined.take(pa.array(own)), sizes, ((ids_a[link_a] << 32) | ids_b[link_b])[keep])
+
+    def _append(self, names: list[str], text: pa.Array, sizes: np.ndarray, codes: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, pa.array(names, pa.string())])
+        self.text = pa.concat_arrays([self.text, text])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.codes = np.concatenate([self.codes, codes])
+
+    def values(self, units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(groups text, sizes, links one after the other) of distinct units."""
+        if len(self.keys) > CACHE_UNITS or len(self.codes) > 8 * CACHE_UNITS:
+            self._forget()
+        new = units.filter(pc.is_null(pc.index_in(units, value_set=self.keys))).to_pylist()
+        for at in range(0, len(new), STREAM_UNITS):
+            self.learn(new[at:at + STREAM_UNITS])
+        rows = pc.index_in(units, value_set=self.keys).to_numpy().astype(np.int64)
+        sizes = self.sizes[rows]
+        starts = (np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3])[rows]
+        ends = np.cumsum(sizes[:, 3])
+        flat = np.repeat(starts - (ends - sizes[:, 3]), sizes[:, 3]) + np.arange(ends[-1] if len(ends) else 0)
+        return self.text.take(pa.array(rows)), sizes, self.codes[flat]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -193,61 +204,54 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return per_worker(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
-def cut_units(al: Aligner, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(units of all texts one after the other, their ends per text)."""
-    if al.cut:
-        uneven = pc.match_substring_regex(texts, UNEVEN)
-    else:
-        uneven = pa.array([True] * len(texts), pa.bool_())
-    even = pc.if_else(uneven, "", texts)
-    rows = pc.split_pattern(pc.replace_substring(even, "\n", " " + LINE_END), " ")
-    flat, ends = rows.flatten(), rows.offsets.to_numpy()[1:] - rows.offsets[0].as_py()
-    odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
-    if not len(odd):
-        return flat, ends
-    pieces, counts, last = [], np.diff(ends, prepend=0), 0
-    for i in odd.tolist():  # an uneven text has one empty unit so far; its own units take that place
-        own = al.units(texts[i].as_py())
-        pieces += [flat.slice(last, ends[i] - 1 - last), pa.array(own, flat.type)]
-        counts[i], last = len(own), ends[i]
-    pieces.append(flat.slice(last))
-    return pa.concat_arrays(pieces), np.cumsum(counts)
-
-
 CHUNK_SCHEMA = ("chunk bigint, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, "
                 "sha: string, size: int>>, codes binary, unit_pairs binary, unit_sizes binary, pairs array<bigint>, counts array<bigint>")
 DOC = pa.struct([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
                  ("sha", pa.string()), ("size", pa.int32())])
 
 
+def group_hashes(text: pa.Array, codes: np.ndarray, ends: np.ndarray) -> list[str]:
+    """SHA-256 of each document's groups: the text of its units, joined by ``;``.  At most JOIN_UNITS units are joined at once."""
+    out, first = [], 0
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + JOIN_UNITS, side="right")))
+        if ends[last - 1] - starts[first] <= JOIN_UNITS:
+            lo, hi = starts[first], ends[last - 1]
+            cuts = np.concatenate([starts[first:last], [hi]]) - lo
+            rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), text.take(pa.array(codes[lo:hi])))
+            out += [hashlib.sha256(t.as_buffer()).hexdigest() for t in pc.binary_join(rows, ";")]
+        else:  # one long document
+            state = hashlib.sha256()
+            for at in range(starts[first], ends[first], JOIN_UNITS):
+                part = text.take(pa.array(codes[at:min(at + JOIN_UNITS, ends[first])]))
+                state.update((b";" if at > starts[first] else b"") + pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), ";")[0].as_buffer())
+            out.append(state.hexdigest())
+        first = last
+    return out
+
+
 def align_chunk(al: Aligner, doc_ids: pa.Array, texts: pa.Array) -> tuple:
     """Columns of one chunk, without its number.  ``codes``: units of each document in turn, as numbers
     among the distinct units of the chunk; ``unit_pairs``: their links, as numbers in ``pairs``."""
-    flat, ends = cut_units(al, texts)
+    flat, ends = cut_pieces(texts, False, True) if al.cut else (pa.array([marked(t) for t in texts.to_pylist()], pa.string()), np.arange(1, len(texts) + 1))
     coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int32)
-    values = al.values(coded.dictionary.to_pylist())
-    good = np.array([v[0] is not None for v in values], dtype=bool)
-    sizes = np.array([[v[2], v[3], v[4], len(v[1]) // 8] for v in values], dtype=np.int64).reshape(-1, 4)
+    codes = coded.indices.to_numpy()
+    text, sizes, all_links = al.values(coded.dictionary)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    held = np.concatenate([[0], np.cumsum(~good[codes])])
+    sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(sizes[codes], axis=0)])
+    per_doc = sums[ends] - sums[starts]
     empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    whole = (held[ends] == held[starts]) & ~empty
+    whole = (per_doc[:, 4] == ends - starts) & ~empty
+    per_doc[~whole] = 0
+    shas = [h if ok else "" for h, ok in zip(group_hashes(text, codes, ends), whole.tolist())]
     keep = np.repeat(whole, ends - starts)
-    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(sizes[codes] * keep[:, None], axis=0)])
-    per_doc = sums[ends] - sums[starts]
-    names = [v[0] for v in values]
-    shas, listed = [], codes.tolist()
-    for ok, s, e in zip(whole.tolist(), starts.tolist(), ends.tolist()):
-        shas.append(hashlib.sha256(b";".join([names[c] for c in listed[s:e]])).hexdigest() if ok else "")
-    doc_sizes = ((ends - starts) * whole).astype(np.int32)
     docs = pa.StructArray.from_arrays([doc_ids.cast(pa.int64()), *[pa.array(per_doc[:, k]) for k in range(4)],
-                                       pa.array(shas, pa.string()), pa.array(doc_sizes)], fields=list(DOC))
-    used = np.bincount(codes[keep], minlength=len(values))
-    all_links = np.frombuffer(b"".join(v[1] for v in values), dtype="<i8")
+                                       pa.array(shas, pa.string()), pa.array(((ends - starts) * whole).astype(np.int32))], fields=list(DOC))
+    used = np.bincount(codes[keep], minlength=len(sizes))
     pairs, place = np.unique(all_links, return_inverse=True)
     counts = np.bincount(place, weights=np.repeat(used, sizes[:, 3]), minlength=len(pairs)).astype(np.int64)
-    return (docs, codes[keep].tobytes(), place.astype("<i4").tobytes(), sizes[:, 3].astype("<i4").tobytes(), pairs, counts)
+    return (docs, codes[keep].astype("<i4").tobytes(), place.astype("<i4").tobytes(), sizes[:, 3].astype("<i4").tobytes(), pairs, counts)
 
 
 def chunks(df: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -265,14 +269,9 @@ def chunks(df: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYT
         al = aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.string())
-            total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            first = 0
-            while first < len(ids):
-                before = total[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(total, before + chunk_bytes, side="right")))
-                yield row(number, al, ids.slice(first, last - first), pa.concat_arrays([texts.slice(first, last - first)]))
-                first, number = last, number + 1
+            for first, texts in byte_slices(batch.column(1).cast(pa.string()), chunk_bytes):
+                yield row(number, al, batch.column(0).slice(first, len(texts)), texts)
+                number += 1
 
     return common.write_shared(common.texts(df).mapInArrow(run, CHUNK_SCHEMA), "align-chunks")
 
@@ -296,35 +295,33 @@ def align(df: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTE
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = right.column("pair").to_numpy()
         order = np.argsort(pairs)
-        n, best = right.column("n").to_numpy()[order], right.column("best").to_numpy()[order].astype(np.int64)
-        out = []
-        for row in left.to_pylist():
-            own = np.array(row["pairs"], dtype=np.int64)
-            at = np.searchsorted(pairs[order], own)
-            at_safe = np.minimum(at, max(len(pairs) - 1, 0))
-            hit = (at < len(pairs)) & (pairs[order][at_safe] == own) if len(pairs) else np.zeros(len(own), bool)
-            value = np.zeros((len(own) + 1, 2), np.int64)
-            value[:-1][hit] = np.stack([n[at_safe[hit]], best[at_safe[hit]]], axis=1) if len(pairs) else 0
-            place = np.frombuffer(row["unit_pairs"], "<i4")
-            ends = np.cumsum(np.frombuffer(row["unit_sizes"], "<i4"), dtype=np.int64)
-            run_ = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(value[place], axis=0)])
-            unit = run_[ends] - run_[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
-            codes = np.frombuffer(row["codes"], "<i4")
-            total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(unit[codes], axis=0)])
-            stops = np.cumsum([d["size"] for d in row["docs"]], dtype=np.int64)
-            sums = total[stops] - total[np.concatenate([[0], stops[:-1]]).astype(np.int64)]
-            doc = pa.array(row["docs"], DOC)
-            out.append(pa.table({
-                "doc_id": doc.field("doc_id"), "n_a": doc.field("n_a"), "n_b": doc.field("n_b"), "n_groups": doc.field("n_groups"),
-                "n_links": doc.field("n_links"), "n_best": pa.array(sums[:, 1]), "count_sum": pa.array(sums[:, 0]),
-                "groups_sha256": doc.field("sha")}))
-        return pa.concat_tables(out) if out else EMPTY
+        value = np.stack([right.column("n").to_numpy(), right.column("best").to_numpy().astype(np.int64)], axis=1)[order]
+        out = [EMPTY]
+        for i in range(left.num_rows):  # one row: a chunk
+            docs, own = (left.column(c).combine_chunks().slice(i, 1).flatten() for c in ("docs", "pairs"))
+            codes, place, sizes = (np.frombuffer(left.column(c)[i].as_py(), "<i4") for c in ("codes", "unit_pairs", "unit_sizes"))
+            own = own.to_numpy()
+            met = np.zeros((len(own), 2), np.int64)  # pairs that no document with tokens holds stay 0
+            known = np.isin(own, pairs)
+            met[known] = value[np.searchsorted(pairs[order], own[known])]
+            unit = _runs(met[place], sizes)
+            sums = _runs(unit[codes], docs.field("size").to_numpy())
+            out.append(pa.Table.from_arrays([docs.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+                                            + [pa.array(sums[:, 1]), pa.array(sums[:, 0]), docs.field("sha")], schema=EMPTY.schema))
+        return pa.concat_tables(out)
 
     body = written.select("chunk", "docs", "codes", "unit_pairs", "unit_sizes", "pairs")
     return body.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(
         run, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
 
 
+def _runs(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of rows, of the given sizes."""
+    total = np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0)])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return total[ends] - total[ends - sizes]
+
+
 EMPTY = pa.table({c: pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in (
     "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")})
 
