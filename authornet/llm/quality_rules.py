@@ -25,9 +25,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-ROUNDS = 100
+ROUNDS = 500
 SMOOTHING = 1.0
-SURE = 0.98
+# Weight of the prior on the rules' votes, as a share of the corpus, and the accuracy of a vote against that it assumes.
+PRIOR, ACCURACY = 0.05, 0.7
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shout", "n_stops",
             "n_digits")
 
@@ -99,24 +100,27 @@ def learn(patterns: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> tu
     (n, rules) votes, ``weights``: documents of each.  Returns the prior log-odds and the
     log-odds of each rule's votes, (rules, 3) for -1, 0, 1.
 
-    Left alone, the two classes drift to whatever splits the corpus best.  So the expectation is held
-    at ``SURE`` where no rule votes against and at 1 - SURE where two or more do; the
-    documents in between, with a single vote against, are what the algorithm weighs, and the
-    learned odds then judge every document."""
+    Every posterior moves in every round.  What keeps the classes from trading places or drifting to
+    whatever splits the corpus best is a prior on each rule's votes, worth ``PRIOR`` of the corpus at any size: the corpus
+    shares of its votes, with a vote against ``ACCURACY`` / (1 - ACCURACY) times likelier in bad documents and as much
+    rarer in good ones.  The first expectation is the number of votes against."""
     if not len(patterns):
         return 0.0, np.zeros((patterns.shape[1], 3))
-    against = (patterns == -1).sum(axis=1)
-    free = against == 1
-    good = np.where(free, 0.5, np.where(against == 0, SURE, 1 - SURE))
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    shares = np.einsum("n,nrv->rv", weights, onehot) / weights.sum()
+
+    def tilted(odds: float) -> np.ndarray:
+        out = shares * np.array([odds, 1.0, 1.0])
+        return PRIOR / 2 * weights.sum() * out / out.sum(axis=1, keepdims=True) + SMOOTHING
+
+    of_good, of_bad = tilted((1 - ACCURACY) / ACCURACY), tilted(ACCURACY / (1 - ACCURACY))
+    good = np.array([0.9, 0.5, 0.1])[np.minimum((patterns == -1).sum(axis=1), 2)]
     for _ in range(rounds):
-        of_good, of_bad = weights * good, weights * (1 - good)
-        p_good = (np.einsum("n,nrv->rv", of_good, onehot) + SMOOTHING) / (of_good.sum() + 3 * SMOOTHING)
-        p_bad = (np.einsum("n,nrv->rv", of_bad, onehot) + SMOOTHING) / (of_bad.sum() + 3 * SMOOTHING)
-        prior = math.log((of_good.sum() + SMOOTHING) / (of_bad.sum() + SMOOTHING))
-        odds = np.log(p_good / p_bad)
-        posterior = 1 / (1 + np.exp(-np.clip(prior + np.einsum("nrv,rv->n", onehot, odds), -500, 500)))
-        new = np.where(free, posterior, good)
+        n_good, n_bad = weights * good, weights * (1 - good)
+        p_good, p_bad = (np.einsum("n,nrv->rv", n, onehot) + prior for n, prior in ((n_good, of_good), (n_bad, of_bad)))
+        odds = np.log(p_good / p_good.sum(axis=1, keepdims=True)) - np.log(p_bad / p_bad.sum(axis=1, keepdims=True))
+        prior = math.log((n_good.sum() + SMOOTHING) / (n_bad.sum() + SMOOTHING))
+        new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("nrv,rv->n", onehot, odds), -500, 500)))
         done = np.abs(new - good).max() < 1e-9
         good = new
         if done:

@@ -1,13 +1,13 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens are lower-cased words and the stems (first letters) they begin with.  Candidates are the entries
-that distinctly more toxic than clean training texts use; one pass counts them in toxic and clean
-training texts and in the whole corpus.  Their log-odds carry a Dirichlet prior in proportion to the corpus
-counts, and entries whose log-odds stand out by ``MIN_Z`` deviations form the lexicon.  A word scores as
-its longest entry, every other word a small negative value.
+Tokens are lower-cased words and the stems (first letters) they begin with.  Every entry that the training texts use often
+enough to be estimated is scored: one pass counts the entries of toxic and of clean training texts, a second one their uses in the
+whole corpus, which give the Dirichlet prior of both classes.  Log-odds shrink by their own uncertainty, 1 - (2 / z)^2 of them
+stays and nothing within two deviations, so no entry is left out by a count of its toxic texts.  A word scores as its longest
+entry; a small constant is taken off every word, so that segments end.
 
 The linear-time scan of Ruzzo and Tompa finds all maximal segments of a text.  A segment's score is
-calibrated as an extreme value: lambda from the scores' distribution in the corpus, K from the
+calibrated as an extreme value: lambda from the scores' distribution over the whole corpus (less the toxic class's share), K from the
 best segments of clean training texts, so log(K n) is taken off for a text of n words.  The best
 segment and the sum of the significant ones become a probability by logistic regression.
 
@@ -31,17 +31,21 @@ from .decontam import NORMAL
 from .labels import held_out, training_rows
 
 STEMS = (4, 5, 6, 7)
-MIN_TOXIC_TEXTS = 5
-# deviations by which the share of texts must differ for an entry to be counted in the corpus,
-# and by which its log-odds must stand out to enter the lexicon
-MIN_TEXT_Z = 2.5
-MIN_Z = 4.0
+# Uses in training texts that an entry needs to be estimated (a word with fewer scores as its stem), and the largest
+# share of all uses that this may come to: so there are at most MOST_ENTRIES of one length.
+MIN_USES, MOST_ENTRIES = 10, 1_000_000
+# Deviations within which log-odds are taken for chance.
+CHANCE_Z = 2.0
+# What every word costs, so that segments of indifferent words lose.
+DRIFT = 0.02
 # weight of the prior against the training texts' own words
 PRIOR_SHARE = 0.02
-# a text's uses of one entry beyond these tell no more about it (words repeat inside a text)
+# a text's uses of one entry beyond these tell no more about it (words repeat inside a text); all counts are taken so
 USES_PER_TEXT = 4
 SIGNIFICANT = 0.0
 CACHED_WORDS = 300_000
+# entries that a task holds before it hands their counts on
+HELD_ENTRIES = 1_000_000
 PREDICT_FROM = 0.3
 
 
@@ -60,111 +64,85 @@ def _labelled(df: DataFrame, rows: DataFrame) -> DataFrame:
     return common.texts(df).join(F.broadcast(rows), "doc_id", "left")
 
 
-def text_counts(df: DataFrame, rows: DataFrame, y: int, wanted: frozenset | None = None) -> DataFrame:
-    """(entry, n): training texts of class ``y`` that use each entry (of ``wanted``)."""
+def _count(df: DataFrame, wanted: frozenset | None) -> DataFrame:
+    """(entry, toxic, clean, rest) of ``df`` (text, y): uses of each entry (of ``wanted``, where given) and, under "", of all
+    words, by the class of the text (rest: not a training text).  Tasks sum theirs before the shuffle."""
     sent = common.send(df.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = sent()
-        uses: Counter = Counter()
+        uses: dict[str, list] = {"": [0, 0, 0]}
         known: dict[bytes, tuple] = {}
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                here: set[str] = set()
-                for w in set(tokens(t)):
-                    if (found := known.get(w)) is None:
-                        found = tuple(e for e in entries(w) if wanted is None or e in wanted)
-                        if len(known) < CACHED_WORDS:
-                            known[w] = found
-                    here.update(found)
-                uses.update(here)
-        if uses:
-            yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())],
-                                             names=["entry", "n"])
-
-    mine = common.texts(df).join(F.broadcast(rows.filter(F.col("y") == y).select("doc_id")), "doc_id", "left_semi")
-    return mine.select("text").mapInArrow(run, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
-
-
-def candidates(df: DataFrame, rows: DataFrame) -> list[str]:
-    """Entries that enough toxic training texts use, and distinctly more of them than
-    of the clean ones (both bounded by the training rows)."""
-    often = {r["entry"]: r["n"] for r in text_counts(df, rows, 1).filter(F.col("n") >= MIN_TOXIC_TEXTS).collect()}
-    clean = {r["entry"]: r["n"] for r in text_counts(df, rows, 0, frozenset(often)).collect()}
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = size.get(1, 0) + 1, size.get(0, 0) + 1
-
-    def stands_out(e: str) -> bool:
-        a, b = often[e] + 0.5, clean.get(e, 0) + 0.5
-        odds = np.log(a / (n1 - a + 0.5)) - np.log(b / (n0 - b + 0.5))
-        return odds >= MIN_TEXT_Z * np.sqrt(1 / a + 1 / b)
 
-    return sorted(e for e in often if stands_out(e))
+        def rows() -> pa.RecordBatch:
+            cols = [pa.array([v[k] for v in uses.values()], pa.int64()) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), *cols], names=["entry", "toxic", "clean", "rest"])
 
-
-def count_entries(df: DataFrame, rows: DataFrame, wanted: list[str]) -> dict[str, np.ndarray]:
-    """Uses of each wanted entry ("" for all words) in toxic training texts, clean
-    training texts and the whole corpus, counted over every document."""
-    sent = common.send(df.sparkSession, frozenset(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent()
-        uses = {"": np.zeros(3, dtype=np.int64)}
-        known: dict[bytes, tuple] = {}
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = 2 if y is None else 1 - y
-                words = tokens(t)
-                uses[""][k] += len(words)
                 here: dict[str, int] = {}
-                for w, n in Counter(words).items():
+                for w, n in Counter(tokens(t)).items():
+                    uses[""][k] += min(n, USES_PER_TEXT)
                     if (found := known.get(w)) is None:
-                        found = tuple(e for e in entries(w) if e in wanted)
+                        found = tuple(e for e in entries(w) if wanted is None or e in wanted)
                         if len(known) < CACHED_WORDS:
                             known[w] = found
                     for e in found:
                         here[e] = here.get(e, 0) + n
                 for e, n in here.items():
-                    uses.setdefault(e, np.zeros(3, dtype=np.int64))[k] += min(n, USES_PER_TEXT)
-        cols = [pa.array([int(v[k]) for v in uses.values()], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), *cols], names=["entry", "toxic", "clean", "rest"])
-
-    counted = _labelled(df, rows).select("text", "y").mapInArrow(run, "entry string, toxic bigint, clean bigint, rest bigint")
-    # at most one row per wanted entry
-    total = counted.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "rest")]).collect()
-    return {r["entry"]: np.array([r["toxic"], r["clean"], r["toxic"] + r["clean"] + r["rest"]], dtype=float) for r in total}
+                    if e not in uses:
+                        uses[e] = [0, 0, 0]
+                    uses[e][k] += min(n, USES_PER_TEXT)
+            if len(uses) > HELD_ENTRIES:
+                yield rows()
+                uses = {"": [0, 0, 0]}
+        yield rows()
+
+    counted = df.select("text", "y").mapInArrow(run, "entry string, toxic bigint, clean bigint, rest bigint")
+    return counted.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "rest")])
+
+
+def count_entries(df: DataFrame, rows: DataFrame) -> dict[str, np.ndarray]:
+    """Uses of every entry with enough of them ("" for all words) in toxic training texts, clean training texts and the whole
+    corpus.  The entries are chosen on the training rows and counted over every document."""
+    mine = common.texts(df).join(F.broadcast(rows), "doc_id")
+    trained = common.write_shared(_count(mine, None), "entries")
+    total = trained.filter("entry = ''").agg(F.coalesce(F.sum(F.col("toxic") + F.col("clean")), F.lit(0))).first()[0]
+    least = max(MIN_USES, total / MOST_ENTRIES)
+    # at most total / least words and as many stems of each length
+    often = {r["entry"]: (r["toxic"], r["clean"]) for r in trained.filter((F.col("toxic") + F.col("clean") >= least) | (F.col("entry") == "")).collect()}
+    every = _count(_labelled(df, rows), frozenset(often)).select("entry", (F.col("toxic") + F.col("clean") + F.col("rest")).alias("n"))
+    return {r["entry"]: np.array([*often.get(r["entry"], (0, 0)), r["n"]], dtype=float) for r in every.collect()}
 
 
 class Lexicon:
     """Scores of entries, of every other word, and lambda of the scores in the corpus."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        n = counts.get("", np.ones(3))
-        n_toxic, n_clean, n_all = np.maximum(n, 1)
+        names = [e for e in counts if e]
+        n_toxic, n_clean, n_all = np.maximum(counts.get("", np.ones(3)), 1)
+        table = np.array([counts[e] for e in names]).reshape(-1, 3)
         weight = PRIOR_SHARE * (n_toxic + n_clean)
-        chosen: dict[str, np.ndarray] = {}
-        for e, (toxic, clean, every) in counts.items():
-            if not e:
-                continue
-            prior = weight * every / n_all
-            a, b = toxic + prior, clean + prior
-            delta = (np.log(a / max(n_toxic + weight - a, 1e-9)) - np.log(b / max(n_clean + weight - b, 1e-9)))
-            if delta / np.sqrt(1 / a + 1 / b) >= MIN_Z:
-                chosen[e] = np.array([delta, toxic, clean, every])
+        prior = weight * table[:, 2] / n_all
+        a, b = np.maximum(table[:, 0] + prior, 1e-9), np.maximum(table[:, 1] + prior, 1e-9)
+        delta = np.log(a / np.maximum(n_toxic + weight - a, 1e-9)) - np.log(b / np.maximum(n_clean + weight - b, 1e-9))
+        z = delta / np.sqrt(1 / a + 1 / b)
+        delta *= np.maximum(0.0, 1 - CHANCE_Z ** 2 / np.maximum(z * z, 1e-9))
+        self.scores = dict(zip(names, (delta - DRIFT).tolist()))
+        self.other = -DRIFT
+        # what a text of no toxic kind uses: the whole corpus less the toxic class's share of it
+        share = n_toxic / (n_toxic + n_clean)
+        plain = np.maximum(table[:, 2] / n_all - share * table[:, 0] / n_toxic, 0.0) / max(1 - share, 1e-9)
         # an entry's own uses: those of no longer entry
-        own = {e: v[1:].copy() for e, v in chosen.items()}
-        for e in sorted(chosen, key=len):
+        own = dict(zip(names, plain.tolist()))
+        for e, p in sorted(zip(names, plain.tolist()), key=lambda t: len(t[0])):
             stem = e.rstrip("*")
-            up = next((stem[:k] + "*" for k in reversed(STEMS) if stem[:k] + "*" in chosen and stem[:k] + "*" != e and k <= len(stem)), None)
+            up = next((stem[:k] + "*" for k in reversed(STEMS) if k <= len(stem) and stem[:k] + "*" != e and stem[:k] + "*" in self.scores), None)
             if up:
-                own[up] -= chosen[e][1:]
-        self.scores = {e: float(v[0]) for e, v in chosen.items()}
-        used = sum(own.values(), np.zeros(3))
-        share_toxic, share_clean = min(0.999, (used[0] + 0.5) / (n_toxic + 1)), min(0.999, (used[1] + 0.5) / (n_clean + 1))
-        self.other = float(min(-1e-3, np.log((1 - share_toxic) / (1 - share_clean))))
-        s = np.array([self.other, *self.scores.values()])
-        p = np.array([max(1.0, n_clean - used[1]), *(max(v[1], 0.0) + 1e-6 for v in own.values())])
-        self.decay = decay(s, p / p.sum())
+                own[up] -= p
+        shares = np.maximum(np.array([1 - sum(own.values()), *own.values()]), 1e-12)
+        self.decay = decay(np.array([self.other, *self.scores.values()]), shares / shares.sum())
 
 
 def decay(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -259,7 +237,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 def detect(df: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, score and passages (first word, end word, bits) of every row."""
-    lexicon = Lexicon(count_entries(df, rows, candidates(df, rows)))
+    lexicon = Lexicon(count_entries(df, rows))
     lam = lexicon.decay
     found = common.write_shared(segments(df, rows, lexicon), "segments")
     clean = found.filter("y = 0").agg(F.count("*").alias("n"), F.sum(F.col("n_tokens") * F.exp(-lam * F.col("best"))).alias("s")).first()

@@ -52,6 +52,113 @@ def test_rule_votes_agree_with_labels(spark):
     assert table[0, False] >= 0.9 * (table[0, True] + table[0, False])
 
 
+def plain_em(votes, rounds):
+    """The same estimate with a row per document and loops over rules and votes."""
+    n, rules = votes.shape
+    good = np.array([0.9 if k == 0 else 0.5 if k == 1 else 0.1 for k in (votes == -1).sum(axis=1)])
+    ratio, s = quality_rules.ACCURACY / (1 - quality_rules.ACCURACY), quality_rules.SMOOTHING
+    for _ in range(rounds):
+        odds = np.zeros((rules, 3))
+        for r in range(rules):
+            share = np.array([(votes[:, r] == v).sum() for v in (-1, 0, 1)]) / n
+            for c, tilt in ((good, 1 / ratio), (1 - good, ratio)):
+                base = share * np.array([tilt, 1, 1])
+                p = np.array([(c * (votes[:, r] == v)).sum() for v in (-1, 0, 1)]) + quality_rules.PRIOR / 2 * n * base / base.sum() + s
+                odds[r] += (1 if c is good else -1) * np.log(p / p.sum())
+        prior = np.log((good.sum() + s) / ((1 - good).sum() + s))
+        good = 1 / (1 + np.exp(-(prior + sum(odds[r][votes[:, r] + 1] for r in range(rules)))))
+    return prior, odds
+
+
+def as_table(votes):
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    return patterns, n.astype(float)
+
+
+def planted_votes(seed, n=6000, bad_share=0.2):
+    """Votes of six rules of known accuracy, independent given the class."""
+    rng = np.random.default_rng(seed)
+    bad = rng.random(n) < bad_share
+    votes = np.ones((n, 6), dtype=int)
+    for r, (hit, false) in enumerate([(0.7, 0.02), (0.6, 0.05), (0.5, 0.01), (0.8, 0.1), (0.4, 0.03), (0.3, 0.02)]):
+        against = rng.random(n) < np.where(bad, hit, false)
+        votes[:, r] = np.where(against, -1, np.where(rng.random(n) < 0.1, 0, 1))
+    return votes, bad
+
+
+def test_rule_weights_equal_plain_em(monkeypatch):
+    votes, _ = planted_votes(1, 400)
+    for rounds in (1, 2, 7):
+        prior, odds = quality_rules.learn(*as_table(votes), rounds=rounds)
+        want = plain_em(votes, rounds)
+        assert abs(prior - want[0]) < 1e-9 and np.allclose(odds, want[1])
+
+
+@pytest.mark.parametrize("seed, bad_share", [(1, 0.2), (2, 0.05), (3, 0.5)])
+def test_planted_accuracies_are_found(seed, bad_share):
+    votes, bad = planted_votes(seed, bad_share=bad_share)
+    prior, odds = quality_rules.learn(*as_table(votes))
+    good = prior + sum(odds[r][votes[:, r] + 1] for r in range(6)) > 0
+    assert (good == ~bad).mean() > 0.93 and abs((~good).mean() - bad_share) < 0.05
+    ranks = [float(odds[r][0]) for r in range(6)]
+    assert ranks[2] == min(ranks) and all(o < 0 for o in ranks)  # the most precise rule weighs most
+    assert quality_rules.learn(np.zeros((0, 6), int), np.zeros(0))[0] == 0.0
+
+
+def toy_toxicity():
+    rng = np.random.default_rng(8)
+    plain, bad = [f"plain{chr(97 + i)}word" for i in range(20)], ["vileterm", "nastyterm", "foulterm"]
+    rows = []
+    for i in range(240):
+        words = list(rng.choice(plain, 30))
+        toxic = i % 4 == 0
+        if toxic:
+            words[10:13] = list(rng.choice(bad, 3))
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Counts, log-odds, segments, calibration and logistic weights worked out text by text."""
+    rows = toy_toxicity()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    train = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3], "doc_id bigint, y int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.detect(docs, train).collect()}
+    uses, total = {}, np.zeros(3)
+    for i, t, y in rows:
+        here = Counter()
+        for w, n in Counter(t.split()).items():
+            for e in toxicity.entries(w.encode()):
+                here[e] += n
+            for k in ({2} | ({1 - y} if i % 3 else set())):
+                total[k] += min(n, 4)
+        for e, n in here.items():
+            for k in ({2} | ({1 - y} if i % 3 else set())):
+                uses.setdefault(e, np.zeros(3))[k] += min(n, 4)
+    uses = {e: v for e, v in uses.items() if v[0] + v[1] >= toxicity.MIN_USES}
+    weight, score = toxicity.PRIOR_SHARE * (total[0] + total[1]), {}
+    for e, v in uses.items():
+        a, b = v[0] + weight * v[2] / total[2], v[1] + weight * v[2] / total[2]
+        d = np.log(a / (total[0] + weight - a)) - np.log(b / (total[1] + weight - b))
+        z = d / np.sqrt(1 / a + 1 / b)
+        score[e] = d * max(0.0, 1 - 4 / z ** 2) - toxicity.DRIFT
+    lexicon = toxicity.Lexicon(toxicity.count_entries(docs, train))
+    assert set(lexicon.scores) == set(score) and all(abs(lexicon.scores[e] - s) < 1e-9 for e, s in score.items())
+    lam, bests = lexicon.decay, {}
+    for i, t, _ in rows:
+        s = np.array([next((score[e] for e in toxicity.entries(w.encode()) if e in score), -toxicity.DRIFT) for w in t.split()])
+        bests[i] = brute_segments(s)
+    top = {i: max((v for *_, v in b), default=0.0) for i, b in bests.items()}
+    clean = [i for i, _, y in rows if i % 3 and not y]
+    log_k = np.log(len(clean) / sum(30 * np.exp(-lam * top[i]) for i in clean))
+    room = log_k + np.log(30)
+    x = {i: (min(max(lam * top[i] - room, -10), 30), np.log1p(sum(max(lam * v - room, 0) for *_, v in b))) for i, b in bests.items()}
+    ids = [i for i, _, _ in rows if i % 3]
+    w = toxicity.logistic(np.array([x[i] for i in ids]), np.array([float(y) for i, _, y in rows if i % 3]))
+    for i in bests:
+        assert abs(got[i] - 1 / (1 + np.exp(-(w[0] * x[i][0] + w[1] * x[i][1] + w[2])))) < 1e-6
+
+
 def brute_segments(s):
     best, total = None, np.concatenate([[0], np.cumsum(s)])
     for i in range(len(s)):
@@ -79,14 +186,20 @@ def test_decay_solves_its_equation():
     assert p @ np.exp(lam * s) == pytest.approx(1) and lam > 0
 
 
-def held_out_auc(spark, name, label):
-    rows = QUERIES[name](spark, MEDIUM).filter("held_out").join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").select("score", label, "predicted").collect()
+def held_out_auc(spark, name, label, sf=MEDIUM):
+    rows = QUERIES[name](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", label, "predicted").collect()
     s, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     assert ((0 <= s) & (s <= 1)).all()
     wins = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
     return wins, np.mean([r[2] == r[1] for r in rows])
 
 
+def test_toxicity_with_few_labels(spark):
+    """37 toxic training texts are enough to find most of the others."""
+    auc, _ = held_out_auc(spark, "op3_toxicity", "toxic", "/root/testdata/sf0.01")
+    assert auc > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     auc, accuracy = held_out_auc(spark, "op3_toxicity", "toxic")
     assert auc > 0.95 and accuracy > 0.97
