@@ -182,14 +182,17 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int =
     fps = common.write_shared(fingerprints(df, shingle), "fingerprints")
     per_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(links(per_fp, max_bits)).select(F.col("node").alias("fp"), "root")
-    known = per_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    first = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(known.join(first, "root").select("fp", "root", "component_id"), "fp")
+    # written, so that a root or fingerprint shared by many rows is one key of a plain join, which Spark splits
+    known = common.write_shared(per_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"), "roots")
+    first = common.write_shared(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "first")
+    classes = common.write_shared(known.join(first, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp")
 
 
 def keep_first(df: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``df`` (all columns) that are the first of their class: smallest doc_id,
-    then smallest text hash.  Rows equal in both are one document and stay once."""
+    then smallest text hash.  Rows equal in both are one document and stay once, with the other columns of the row whose hash
+    is smallest."""
     classes = near_duplicates(df, shingle, max_bits)
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     key, h, one = (common.free_name(df, x) for x in ("key", "h", "one"))
@@ -197,7 +200,7 @@ def keep_first(df: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_
     first = first.select(name(F.col("first.doc_id")).alias(key), F.col("first.h").alias(h))
     # equal rows are merged before the shuffle as well as after it; the join keeps the partitioning
     rows = df.withColumns({key: name(F.col("doc_id")), h: F.xxhash64(name(F.col("text")))}).groupBy(key, h).agg(
-        F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(one))
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])).alias(one))
     return rows.join(first, [key, h], "left_semi").select(F.col(f"{one}.*"))
 
 
