@@ -88,15 +88,32 @@ def _hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _under(seed: int, key: str, share: Column) -> Column:
+    """True where the seeded hash of the key lies in the first ``share`` of all hashes."""
+    return F.conv(F.substring(_hash_order(seed, key), 1, 8), 16, 10).cast("double") < share * F.lit(float(1 << 32))
+
+
+def _enough(wanted: Column, of: Column, slack: float) -> Column:
+    """A share of ``of`` rows that holds ``wanted`` of them but for a chance of about e^-50 (at slack 1)."""
+    return F.least(F.lit(1.0), slack * (wanted + 10 * F.sqrt(wanted.cast("double")) + 100) / F.greatest(of, F.lit(1)))
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "UID_key") -> DataFrame:
     """Repeatable sample of exactly ``n`` rows (fewer if the input is
-    smaller), the first n in seeded-hash order; ``key`` names a row.  Sampling *is* the
-    operator here, so the cut is the feature.  One plan for every n: keys get their
-    positions from a range-partitioned sort of (hash, key) alone, and the chosen keys
-    pick the rows in a semi-join, so neither rows nor texts are sorted or merged."""
-    order = F.struct(_hash_order(seed, key).alias("h"), F.col(key).alias("k"))
-    chosen = row_positions(df.select(order.alias("_order")), "_order").filter(F.col("_pos") <= n)
-    return df.join(chosen.select(F.col("_order.k").alias(key)), key, "left_semi")
+    smaller), the first n in seeded-hash order; ``key`` names a row, rows without one are left out.  Sampling *is* the
+    operator here, so the cut is the feature.  Only keys whose hash lies under a threshold that n and the number
+    of rows give are sorted, about n of them; the chosen keys pick the rows in a semi-join.  Should chance leave too few, the
+    threshold is raised."""
+    keys = df.filter(F.col(key).isNotNull()).select(key)
+    total, slack = keys.count(), 1.0
+    while True:
+        share = _enough(F.lit(n), F.lit(total), slack)
+        near = keys.filter(_under(seed, key, share)).select(F.struct(_hash_order(seed, key).alias("h"), F.col(key).alias("k")).alias("_order"))
+        positions = row_positions(near, "_order")
+        if positions.count() >= min(n, total):
+            chosen = positions.filter(F.col("_pos") <= n)
+            return df.join(chosen.select(F.col("_order.k").alias(key)), key, "left_semi")
+        slack *= 4
 
 
 def sample_clean(raw: DataFrame, n: int, seed: int = 42, buffer: int = 500, key: str = "UID_key") -> DataFrame:
@@ -117,17 +134,25 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str = "
 def sample_balanced(df: DataFrame, n: int, by: str = "group_or_channel", seed: int = 42,
                     key: str = "UID_key") -> DataFrame:
     """N rows split evenly over the strata of ``by``; a stratum that has
-    too few rows gives its shortfall to the others (water-filling).  Only
-    (stratum, hash, key) is ordered: a row's number in its stratum is its global
-    position minus the stratum's first one, so a stratum holding most rows is never
+    too few rows gives its shortfall to the others (water-filling).  Of each stratum only the keys under a hash threshold
+    (see :func:`sample_n`) are ordered, about as many as it gives: a key's number in its stratum is its position among
+    all of them minus the stratum's first one, so a stratum holding most rows is never
     sorted in one task; the chosen keys then pick the rows in a semi-join.  Rows without
-    a stratum cannot be allotted and are left out."""
-    order = F.struct(F.col(by).alias("s"), _hash_order(seed, key).alias("h"), F.col(key).alias("k"))
-    pos = row_positions(df.filter(F.col(by).isNotNull()).select(order.alias("_order")), "_order")
-    strata = pos.groupBy(F.col("_order.s").alias("s")).agg(F.min("_pos").alias("first"), F.count(F.lit(1)).alias("cnt"))
-    chosen = (pos.join(water_fill(strata, n), F.col("_order.s") == F.col("s"))
-              .filter(F.col("_pos") - F.col("first") < F.col("quota")))
-    return df.join(chosen.select(F.col("_order.k").alias(key)), key, "left_semi")
+    a stratum cannot be allotted and are left out, as are rows without a key."""
+    keys = df.filter(F.col(by).isNotNull() & F.col(key).isNotNull()).select(F.col(by).alias("s"), F.col(key).alias("k"))
+    strata = cut_lineage(water_fill(keys.groupBy("s").agg(F.count(F.lit(1)).alias("cnt")), n))
+    slack = 1.0
+    while True:
+        share = _enough(F.col("quota"), F.col("cnt"), slack)
+        near = keys.join(strata, "s").filter(_under(seed, "k", share))
+        pos = row_positions(near.select(F.struct("s", _hash_order(seed, "k").alias("h"), "k").alias("_order")), "_order")
+        held = pos.groupBy(F.col("_order.s").alias("s")).agg(F.min("_pos").alias("first"), F.count(F.lit(1)).alias("held"))
+        ranges = cut_lineage(strata.join(held, "s", "left"))
+        if not ranges.filter(F.coalesce("held", F.lit(0)) < F.least("quota", "cnt")).limit(1).count():
+            chosen = (pos.join(ranges.select("s", "first", "quota"), F.col("_order.s") == F.col("s"))
+                      .filter(F.col("_pos") - F.col("first") < F.col("quota")))
+            return df.join(chosen.select(F.col("_order.k").alias(key)), key, "left_semi")
+        slack *= 4
 
 
 def water_fill(strata: DataFrame, n: int) -> DataFrame:
