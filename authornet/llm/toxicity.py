@@ -18,17 +18,18 @@ result; repeated rows are scored each; texts of any length take linear time; ext
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .decontam import NORMAL
 from .labels import held_out, training_rows
+from .tokens import byte_slices
 
 STEMS = (4, 5, 6, 7)
 # Uses in training texts that an entry needs to be estimated (a word with fewer scores as its stem), and the largest
@@ -40,22 +41,34 @@ CHANCE_Z = 2.0
 DRIFT = 0.02
 # weight of the prior against the training texts' own words
 PRIOR_SHARE = 0.02
-# a text's uses of one entry beyond these tell no more about it (words repeat inside a text); all counts are taken so
+# a text's uses of one word beyond these tell no more about it (words repeat inside a text); all counts are taken so
 USES_PER_TEXT = 4
 SIGNIFICANT = 0.0
 CACHED_WORDS = 300_000
-# entries that a task holds before it hands their counts on
-HELD_ENTRIES = 1_000_000
+# words that a task holds before it hands their counts on
+HELD_ENTRIES = 400_000
 PREDICT_FROM = 0.3
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.lower().encode().translate(NORMAL).split()
-
-
-def entries(word: bytes) -> list[str]:
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(word numbers of all texts one after the other, their ends per text, the distinct words): lower-cased runs of
+    letters, digits and everything beyond ASCII, cut and numbered by Arrow kernels."""
+    low = pa.concat_arrays([pc.utf8_lower(texts)])
+    _, offsets, data = low.buffers()
+    plain = data.to_pybytes().translate(NORMAL) if data is not None else b""
+    rows = pc.split_pattern(pa.StringArray.from_buffers(len(low), offsets, pa.py_buffer(plain), offset=low.offset), " ")
+    coded = rows.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    ends = rows.offsets.to_numpy()[1:].astype(np.int64) - rows.offsets[0].as_py()
+    if "" in words:  # between two separators
+        real = codes != words.index("")
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        codes = codes[real]
+    return codes, ends, words
+
+
+def entries(w: str) -> list[str]:
     """The word and its stems (marked by a star), longest first."""
-    w = word.decode(errors="ignore")
     return [w, *(w[:k] + "*" for k in reversed(STEMS) if len(w) >= k)]
 
 
@@ -71,32 +84,33 @@ def _count(df: DataFrame, wanted: frozenset | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = sent()
-        uses: dict[str, list] = {"": [0, 0, 0]}
-        known: dict[bytes, tuple] = {}
+        words: dict[str, np.ndarray] = {}
 
         def rows() -> pa.RecordBatch:
-            cols = [pa.array([v[k] for v in uses.values()], pa.int64()) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), *cols], names=["entry", "toxic", "clean", "rest"])
+            """Uses of the words met so far, by entry."""
+            uses = {"": sum(words.values(), np.zeros(3, dtype=np.int64))}
+            for w, n in words.items():
+                for e in entries(w):
+                    if wanted is None or e in wanted:
+                        uses[e] = uses[e] + n if e in uses else n
+            table = np.array(list(uses.values())).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), *[pa.array(table[:, k]) for k in range(3)]],
+                                              names=["entry", "toxic", "clean", "rest"])
 
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = 2 if y is None else 1 - y
-                here: dict[str, int] = {}
-                for w, n in Counter(tokens(t)).items():
-                    uses[""][k] += min(n, USES_PER_TEXT)
-                    if (found := known.get(w)) is None:
-                        found = tuple(e for e in entries(w) if wanted is None or e in wanted)
-                        if len(known) < CACHED_WORDS:
-                            known[w] = found
-                    for e in found:
-                        here[e] = here.get(e, 0) + n
-                for e, n in here.items():
-                    if e not in uses:
-                        uses[e] = [0, 0, 0]
-                    uses[e][k] += min(n, USES_PER_TEXT)
-            if len(uses) > HELD_ENTRIES:
-                yield rows()
-                uses = {"": [0, 0, 0]}
+            kind = pc.subtract(1, batch.column(1)).fill_null(2).to_numpy().astype(np.int64)
+            for at, texts in byte_slices(batch.column(0).cast(pa.string())):
+                codes, ends, names = word_codes(texts)
+                doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                met, n = np.unique(doc * len(names) + codes, return_counts=True)
+                doc, code = np.divmod(met, max(len(names), 1))
+                table = np.bincount(code * 3 + kind[at + doc], np.minimum(n, USES_PER_TEXT), 3 * len(names)).astype(np.int64).reshape(-1, 3)
+                for w, n in zip(names, table):
+                    if w:
+                        words[w] = words[w] + n if w in words else n
+                if len(words) > HELD_ENTRIES:
+                    yield rows()
+                    words = {}
         yield rows()
 
     counted = df.select("text", "y").mapInArrow(run, "entry string, toxic bigint, clean bigint, rest bigint")
@@ -166,7 +180,7 @@ class WordScores(dict):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: str) -> float:
         found = self.lexicon.scores
         value = next((found[e] for e in entries(word) if e in found), self.lexicon.other)
         if len(self) < CACHED_WORDS:
@@ -206,16 +220,22 @@ def segments(df: DataFrame, rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(sent())
         for batch in batches:
-            n_tokens, best, found = [], [], []
-            for t in batch.column(1).to_pylist():
-                words = tokens(t)
-                segs = maximal_segments(np.fromiter(map(scores.__getitem__, words), np.float64, len(words)))
-                n_tokens.append(len(words))
-                best.append(max((s[2] for s in segs), default=0.0))
-                found.append([{"first": f, "end": e, "score": s} for f, e, s in segs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()),
-                                              pa.array(best, pa.float64()), pa.array(found, kind)],
-                                             names=["doc_id", "y", "n_tokens", "best", "segments"])
+            for at, texts in byte_slices(batch.column(1).cast(pa.string())):
+                codes, ends, names = word_codes(texts)
+                value = np.fromiter(map(scores.__getitem__, names), np.float64, len(names))[codes] if names else np.zeros(0)
+                best, counts, found = [], [0], []
+                for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    segs = maximal_segments(value[s:e])
+                    best.append(max((x[2] for x in segs), default=0.0))
+                    counts.append(len(segs))
+                    found += segs
+                table = np.array(found, dtype=float).reshape(-1, 3)
+                parts = pa.StructArray.from_arrays([pa.array(table[:, 0].astype(np.int64)), pa.array(table[:, 1].astype(np.int64)),
+                                                    pa.array(table[:, 2])], fields=list(kind.value_type))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(ends)), batch.column(2).slice(at, len(ends)), pa.array(np.diff(ends, prepend=0)),
+                     pa.array(best, pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), parts)],
+                    names=["doc_id", "y", "n_tokens", "best", "segments"])
 
     return _labelled(df, rows).select("doc_id", "text", "y").mapInArrow(run, SCORED)
 

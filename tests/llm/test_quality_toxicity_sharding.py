@@ -126,15 +126,11 @@ def test_toxicity_scores_equal_brute_force(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.detect(docs, train).collect()}
     uses, total = {}, np.zeros(3)
     for i, t, y in rows:
-        here = Counter()
         for w, n in Counter(t.split()).items():
-            for e in toxicity.entries(w.encode()):
-                here[e] += n
             for k in ({2} | ({1 - y} if i % 3 else set())):
                 total[k] += min(n, 4)
-        for e, n in here.items():
-            for k in ({2} | ({1 - y} if i % 3 else set())):
-                uses.setdefault(e, np.zeros(3))[k] += min(n, 4)
+                for e in toxicity.entries(w):
+                    uses.setdefault(e, np.zeros(3))[k] += min(n, 4)
     uses = {e: v for e, v in uses.items() if v[0] + v[1] >= toxicity.MIN_USES}
     weight, score = toxicity.PRIOR_SHARE * (total[0] + total[1]), {}
     for e, v in uses.items():
@@ -146,7 +142,7 @@ def test_toxicity_scores_equal_brute_force(spark):
     assert set(lexicon.scores) == set(score) and all(abs(lexicon.scores[e] - s) < 1e-9 for e, s in score.items())
     lam, bests = lexicon.decay, {}
     for i, t, _ in rows:
-        s = np.array([next((score[e] for e in toxicity.entries(w.encode()) if e in score), -toxicity.DRIFT) for w in t.split()])
+        s = np.array([next((score[e] for e in toxicity.entries(w) if e in score), -toxicity.DRIFT) for w in t.split()])
         bests[i] = brute_segments(s)
     top = {i: max((v for *_, v in b), default=0.0) for i, b in bests.items()}
     clean = [i for i, _, y in rows if i % 3 and not y]
