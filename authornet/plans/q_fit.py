@@ -1,18 +1,19 @@
 """Registered queries for the encoder's training objectives and fit (N1, N5, N6, N8, N12, N15-N17) on the author graph, the exact
-nearest-neighbour join and resampling (D6, D7) and the Euclidean silhouette (C1) on ``embeddings``."""
+nearest-neighbour join and resampling (D6, D7), the Euclidean silhouette (C1) and the neighbour embedding (C5) on ``embeddings``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
 from ..operators import fit as FT
 from ..operators import graph as G
+from ..operators import layout as LY
 from ..operators import neighbours as NB
 from ..operators import propagate as N
 from ..operators import reconstruction as R
 from ..operators import validity as V
 from ..session import scratch_path
-from ..sources.tables import table
 from . import sqltwin as S
 from .authors import narrow_messages, round_doubles
 from .catalog import register
@@ -141,6 +142,41 @@ def q_n17(spark, sf):
     return grads.select("epoch", "trial", "name", "cells", "mean", "std", "norm")
 
 
+TRAINED = FT.Trial(hidden=16, embedding=9, lr=0.02, weight_decay=1e-4, seed=SEED)
+
+
+def trained_authors(spark, sf, epochs: int = 4, k: int = K_CENTRES):
+    """Clusters of the authors from an encoder that is fitted to their graph: 30 standard features, ``epochs`` steps,
+    centres by k-means on the embeddings, soft assignment."""
+    from dataclasses import replace
+
+    from ..operators import clean as C
+    from ..session import cut_lineage
+    from .authors import author_table
+    feats = cut_lineage(author_table(spark, sf))
+    x = _standard(C.assemble(C.fill_zero(feats, A.FEATURES_30), A.FEATURES_30, keep=["author"]))
+    mem = G.memberships(narrow_messages(spark, sf))
+    edges = cut_lineage(G.pair_weights(G.author_pairs(mem)))
+    m = cut_lineage(G.transition(edges, mem, t=2))
+    trial = replace(TRAINED, first={}, second={})
+    losses = [loss[0] for _, loss, _, _ in FT.fit_encoders(x, m, edges, [trial], epochs, degree=5)]
+    _, z = FT.encode_trials(x.withColumnRenamed("author", "node"), m, {0: trial.weights})
+    z = cut_lineage(z.select(F.col("node").alias("author"), "z"))
+    return N.cluster_table(N.soft_assign(z, V.start_centres(z, k)), k), losses
+
+
+@register("n13_trained_authors")
+def q_n13t(spark, sf):
+    """N13 from a fitted encoder instead of given weights."""
+    return round_doubles(trained_authors(spark, sf)[0])
+
+
+@register("c5_neighbour_layout")
+def q_c5n(spark, sf):
+    """Neighbour embedding of the vectors in two dimensions."""
+    return round_doubles(LY.neighbour_layout(_emb(spark, sf)))
+
+
 # --- C1 Euclidean, D6, D7 ------------------------------------------------------------------------------
 def _sliced_sql() -> str:
     u = V.projections(64, V.SLICES)

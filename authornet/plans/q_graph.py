@@ -199,7 +199,8 @@ def q_j7(spark, sf):
     return G.lookup(counts, G.degree(edges, nodes), "author")
 
 
-@register("j9_missing_keys", GRAPH_SQL + "SELECT author FROM nodes WHERE author NOT IN (SELECT author FROM clean WHERE author IS NOT NULL AND own_message + forwarded_message > 0)")
+@register("j9_missing_keys", GRAPH_SQL + "SELECT author FROM nodes WHERE author NOT IN (SELECT author FROM clean WHERE author IS NOT NULL AND forwarded_message > 0)")
 def q_j9(spark, sf):
+    """Authors of the graph that the table of forwarders lacks."""
     clean, _, _, nodes = _graph(spark, sf)
-    return G.missing_keys(nodes, A.message_counts(clean, ["author"]))
+    return G.missing_keys(nodes, A.message_counts(clean.filter("forwarded_message > 0"), ["author"]))

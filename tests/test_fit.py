@@ -151,3 +151,13 @@ def test_fit_on_the_author_graph_lowers_the_loss(spark):
     assert len(rows) == q_fit.FIT_EPOCHS + 1 and rows[-1] < rows[0]
     stats = q_fit.q_n17(spark, "/root/testdata/sf0.001").collect()
     assert len(stats) == q_fit.FIT_EPOCHS * len(FT.NAMES) and all(r.norm >= abs(r["mean"]) for r in stats)
+
+
+def test_clusters_of_a_fitted_encoder(spark):
+    from authornet.plans import q_fit
+    table, losses = q_fit.trained_authors(spark, "/root/testdata/sf0.001", epochs=3)
+    assert losses[-1] < losses[0]
+    rows = table.collect()
+    probs = np.array([[r[f"cluster_{i}_prob"] for i in range(6)] for r in rows])
+    assert len(rows) == len({r.author for r in rows}) > 0 and np.allclose(probs.sum(axis=1), 1)
+    assert [r.cluster for r in rows] == probs.argmax(axis=1).tolist() and len({r.cluster for r in rows}) > 1

@@ -21,10 +21,12 @@ def con():
 
 # Queries without a twin and the test that checks their values instead.
 VALUE_TESTS = {
+    "c5_neighbour_layout": "test_layout.py::test_layout_keeps_neighbours_better_than_principal_components",
     "c5_project_2d": "test_stats.py::test_projection_keeps_the_largest_variances",
     "d8_fit_multinomial": "test_stats.py::test_multinomial_matches_balanced_objective",
     "d9_predict_cluster": "test_analysis.py::test_predictions_are_the_softmax_of_the_fit",
     "d13_cluster_report": "test_analysis.py::test_report_recounts_the_predictions",
+    "n13_trained_authors": "test_fit.py::test_clusters_of_a_fitted_encoder",
     "n15_fit_encoder": "test_fit.py::test_fit_on_the_author_graph_lowers_the_loss",
     "n16_random_search": "test_fit.py::test_search_logs_one_row_per_trial_and_epoch",
     "n17_gradient_statistics": "test_fit.py::test_gradients_equal_finite_differences",
