@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_200_000
 # What stays when the table is full: short pieces, which are the frequent ones.
 KEPT_LENGTH = 9
 LONG_PIECE = 80
 CALL_WORDS = 500
 # Bytes of text whose pieces are numbered together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 TAIL = ".,!&%#*$|;:?)"
 # Letters whose lower case is one letter that composes with nothing around it; no marks of pieces among them.
 LATIN = r"^[\x20-\x{12f}\x{131}-\x{24f}]*$"
