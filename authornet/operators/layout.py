@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .neighbours import nearest
 from .validity import project_2d
 
@@ -90,10 +90,18 @@ def neighbour_layout(df: DataFrame, key: str = "vec_id", x: str = "embedding", k
     state = cut_lineage(start.select("key", (F.col("pc1") / size).alias("y0"), (F.col("pc2") / size).alias("y1"),
                                      F.lit(0.0).alias("v0"), F.lit(0.0).alias("v1")))
     for epoch in range(epochs):
-        state = cut_lineage(_epoch(state, edges, EXAGGERATION if epoch < EARLY else 1.0, 0.5 if epoch < EARLY else 0.8))
+        state = _stored(_epoch(state, edges, EXAGGERATION if epoch < EARLY else 1.0, 0.5 if epoch < EARLY else 0.8))
     return state.select(F.col("key").alias(key), "y0", "y1")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back.  A checkpoint would hand the plan's constraints on, whose number doubles
+    with every epoch."""
+    path = scratch_path(df.sparkSession, "layout")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _epoch(state: DataFrame, edges: DataFrame, stress: float, momentum: float) -> DataFrame:
     fields, low, step, n, z = _grid(state)
 
