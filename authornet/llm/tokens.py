@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 800_000
 # What stays when the table is full: short pieces, which are the frequent ones.
 KEPT_LENGTH = 9
 LONG_PIECE = 80
 CALL_WORDS = 500
 # Bytes of text whose pieces are numbered together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 TAIL = ".,!&%#*$|;:?)"
 # Letters whose lower case is one letter that composes with nothing around it; no marks of pieces among them.
 LATIN = r"^[\x20-\x{12f}\x{131}-\x{24f}]*$"
@@ -57,6 +57,7 @@ def byte_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         before = int(total[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(total, before + size, side="right")))
         yield first, pa.concat_arrays([texts.slice(first, last - first)])
+        pa.default_memory_pool().release_unused()  # the pool would keep what the largest slice needed
         first = last
 
 
