@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .propagate import matrix, to_double_array
 from .stats import _cumulative_before
+from .validity import _zero
 
 PIVOTS = 64
 BLOCK = 256
@@ -155,7 +156,7 @@ def nearest(df: DataFrame, key: str, x: str, k: int, by: str | None = None, pivo
     work = pairs.select("qbid", "dbid").join(n_q, "qbid").join(n_d, "dbid").agg(
         F.count(F.lit(1)).alias("block_pairs"), F.coalesce(F.sum(F.col("nq") * F.col("nd")), F.lit(0)).alias("distances"))
     whole = blocks.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("all_pairs"))
-    return neighbours, work.withColumn("_k", F.lit(0)).join(whole.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return neighbours, work.withColumn("_k", _zero("distances")).join(whole.withColumn("_k", _zero("all_pairs")), "_k").drop("_k")
 
 
 # --- D6, D7 --------------------------------------------------------------------------------------

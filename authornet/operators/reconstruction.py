@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .propagate import _dot, _width, kl, matrix, target_distribution
-from .validity import silhouette
+from .validity import _zero, silhouette
 
 # Default degree of the polynomial; the largest error on [-1, 1] falls about thirtyfold with every second degree.
 DEGREE = 11
@@ -171,7 +171,7 @@ def total_loss(z: DataFrame, edges: DataFrame, q: DataFrame, labels: DataFrame,
     sil = (index or silhouette)(z.join(labels, key), col, "cluster", key)
     used = labels.agg(F.countDistinct("cluster").alias("clusters"))
     # four tables of one row each
-    one = divergence.withColumn("_k", F.lit(0)).join(mse.withColumn("_k", F.lit(0)), "_k").join(
-        sil.withColumn("_k", F.lit(0)), "_k").join(used.withColumn("_k", F.lit(0)), "_k")
+    one = divergence.withColumn("_k", _zero("kl")).join(mse.withColumn("_k", _zero("mse")), "_k").join(
+        sil.withColumn("_k", _zero("silhouette")), "_k").join(used.withColumn("_k", _zero("clusters")), "_k")
     total = F.when(F.col("clusters") > 1, F.col("kl") + F.col("mse") + weight * (1 - F.col("silhouette")) / 2)
     return one.select("kl", "mse", "silhouette", "clusters", total.alias("total"))

@@ -176,7 +176,7 @@ def silhouette_sliced(df: DataFrame, x: str = "embedding", label: str = "label",
 
     overall = index(parts.groupBy("key", "label", "cluster").agg(F.sum("total").alias("total")))
     spread = index(parts, "g").agg(F.avg("s").alias("m"), (2 * F.stddev_samp("s") / math.sqrt(min(slices, SLICE_GROUPS))).alias("e"))
-    one = overall.withColumn("_k", F.lit(0)).join(spread.withColumn("_k", F.lit(0)), "_k")
+    one = overall.withColumn("_k", _zero("s")).join(spread.withColumn("_k", _zero("m")), "_k")
     return one.select(F.col("s").alias("silhouette"), (F.col("e") + F.abs(F.col("s") - F.col("m"))).alias("error"))
 
 
