@@ -208,8 +208,10 @@ def spearman(df: DataFrame, cols, key: str, target=None) -> DataFrame:
     each = ranks.select(F.explode(F.transform(listed, lambda p: F.struct(
         p["a"].alias("a"), p["b"].alias("b"), F.try_element_at("ranks", p["sa"]).alias("ra"),
         F.try_element_at("ranks", p["sb"]).alias("rb")))).alias("p")).select("p.*")
-    found = each.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
-    return found
+    both = F.col("ra").isNotNull() & F.col("rb").isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col("ra"))) * F.stddev_pop(F.when(both, F.col("rb")))
+    # a constant side has no correlation; corr() itself would divide by zero there
+    return each.groupBy("a", "b").agg(F.try_divide(F.covar_pop("ra", "rb"), spread).alias("rho"))
 
 
 # --- D3-D5 ----------------------------------------------------------------------------------

@@ -156,3 +156,9 @@ def test_each_step_lowers_kl_to_its_own_target(spark):
     states = [(q, N.target_distribution(q)) for _, _, q in V.refine_epochs(z, Z[:4] * 0.5, epochs=3, lr=0.3)]
     for (q, p), (after, _) in zip(states, states[1:]):
         assert N.kl(p, after).first()[0] < N.kl(p, q).first()[0]
+
+
+def test_spearman_of_a_constant_column_is_null(spark):
+    df = spark.createDataFrame([(i, float(i), 1.0, float(i * i), 3.0 if i > 2 else None) for i in range(5)], "k int, x double, one double, y double, z double")
+    got = {(r.a, r.b): r.rho for r in ST.spearman(df, ["x", "one", "y", "z"], "k").collect()}
+    assert abs(got.pop(("x", "y")) - 1) < 1e-12 and len(got) == 5 and set(got.values()) == {None}
