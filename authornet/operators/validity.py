@@ -95,9 +95,8 @@ def projections(d: int, count: int, seed: int = 42) -> np.ndarray:
     return np.concatenate([np.linalg.qr(normal[at:at + d].T)[0].T for at in range(0, count, d)])
 
 
-def sliced_totals(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id", slices: int = SLICES,
-                  seed: int = 42) -> DataFrame:
-    """(key, label, slice, cluster, total): for each direction the exact sum of |u . (x - y)| over the members y of each cluster.
+def _sliced(df: DataFrame, x: str, label: str, key: str, slices: int, seed: int) -> tuple[DataFrame, list, np.ndarray]:
+    """(key, label, slice, totals), the clusters that ``totals`` lists in order, and their sizes.
     The projections are sorted by (direction, value); running counts and sums per cluster give every sum, and each task
     starts from what lies before it.  Linear in points x slices x clusters."""
     points = df.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(x).isNotNull()).select(
@@ -147,36 +146,88 @@ def sliced_totals(df: DataFrame, x: str = "embedding", label: str = "label", key
                     pa.list_(pa.float64()))], names=["key", "label", "slice", "totals"])
 
     if not clusters:
-        return placed.select("key", "label", "slice", F.col("label").alias("cluster"), F.col("v").alias("total"))
+        return placed.select("key", "label", "slice", F.array(F.col("v")).alias("totals")), [], np.zeros(0)
     out = placed.select("key", "label", "slice", "v", "part").mapInArrow(
         sums, f"key {kind['key']}, label {kind['label']}, slice int, totals array<double>")
-    names = placed.sparkSession.createDataFrame(list(enumerate(clusters)), f"pos int, cluster {kind['label']}")
+    return out, clusters, whole[0, 0]
+
+
+def sliced_totals(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id", slices: int = SLICES,
+                  seed: int = 42) -> DataFrame:
+    """(key, label, slice, cluster, total): for each direction the exact sum of |u . (x - y)| over the members y of each cluster."""
+    out, clusters, _ = _sliced(df, x, label, key, slices, seed)
+    kind = out.schema["label"].dataType.simpleString()
+    names = out.sparkSession.createDataFrame(list(enumerate(clusters)), f"pos int, cluster {kind}")
     return out.select("key", "label", "slice", F.posexplode("totals").alias("pos", "total")).join(names, "pos").drop("pos")
 
 
+def _scores(key: np.ndarray, own: np.ndarray, total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Silhouettes of the points numbered in ``key`` (ascending from 0) from their summed distances to each cluster;
+    NaN where there is no other cluster.  Scale and number of slices cancel in every score.  A key given with
+    several clusters takes the largest distance to its own and the smallest to another."""
+    at = np.arange(len(key))
+    mean = total / sizes
+    inside = total[at, own] / np.maximum(sizes[own] - 1, 1)
+    mean[at, own] = np.inf
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    a, b = np.maximum.reduceat(inside, first), np.minimum.reduceat(mean.min(axis=1), first)
+    top = np.maximum(a, b)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = np.where(top > 0, (b - a) / top, 0.0)
+    s[np.maximum.reduceat(sizes[own], first) <= 1] = 0.0
+    s[np.isinf(b)] = np.nan
+    return s
+
+
 def silhouette_sliced(df: DataFrame, x: str = "embedding", label: str = "label", key: str = "vec_id", slices: int = SLICES,
                       seed: int = 42) -> DataFrame:
     """C1 with Euclidean distance: one row (silhouette, error).  The mean distance from a point to a cluster is estimated from
     ``slices`` directions, each exact, up to a factor common to all distances.  ``error``: two standard errors
-    over the indices of ``SLICE_GROUPS`` groups of directions, and the index's own distance from their mean."""
-    sizes = df.filter(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(label).isNotNull()).groupBy(
-        F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    totals = sliced_totals(df, x, label, key, slices, seed)
-    parts = cut_lineage(totals.groupBy("key", "label", "cluster", (F.col("slice") % SLICE_GROUPS).alias("g")).agg(F.sum("total").alias("total")))
-
-    def index(rows: DataFrame, *by: str) -> DataFrame:
-        """Scale and number of slices cancel in every score."""
-        own = F.col("cluster") == F.col("label")
-        mean = F.col("total") / F.when(own, F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.col("n"))
-        ab = rows.join(sizes, "cluster").groupBy("key", *by).agg(
-            F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
-        top = F.greatest("a", "b")
-        s = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("n") <= 1, F.lit(0.0)).when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(F.lit(0.0))
-        return ab.select(*by, s.alias("s")).groupBy(*by).agg(F.avg("s").alias("s"))
-
-    overall = index(parts.groupBy("key", "label", "cluster").agg(F.sum("total").alias("total")))
-    spread = index(parts, "g").agg(F.avg("s").alias("m"), (2 * F.stddev_samp("s") / math.sqrt(min(slices, SLICE_GROUPS))).alias("e"))
-    one = overall.withColumn("_k", _zero("s")).join(spread.withColumn("_k", _zero("m")), "_k")
+    over the indices of ``SLICE_GROUPS`` groups of directions, and the index's own distance from their mean.
+    A point's distances to all clusters stay one array, and its rows meet once, sorted by key: no table of
+    points x clusters is joined or sent to the driver."""
+    totals, clusters, sizes = _sliced(df, x, label, key, slices, seed)
+    number = {c: i for i, c in enumerate(clusters)}
+    groups = min(slices, SLICE_GROUPS)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(groups + 1), np.zeros(groups + 1, dtype=np.int64)
+
+        def take(rows: pa.Table) -> None:
+            names = rows.column("key").combine_chunks().dictionary_encode()
+            k = names.indices.to_numpy()  # equal keys lie together, so these ascend
+            own = np.array([number[c] for c in rows.column("label").to_pylist()])
+            g = rows.column("slice").to_numpy() % SLICE_GROUPS
+            total = matrix(rows.column("totals"))
+            unit, point = np.unique(k.astype(np.int64) * len(clusters) + own, return_inverse=True)
+            each = np.zeros((groups, len(unit), len(clusters)))
+            np.add.at(each, (g, point), total)
+            for at, t in [*enumerate(each), (groups, each.sum(axis=0))]:
+                s = _scores(unit // len(clusters), unit % len(clusters), t, sizes)
+                sums[at] += np.nansum(s)
+                counts[at] += int((~np.isnan(s)).sum())
+
+        kept = None  # the last key's rows so far
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            if not rows.num_rows:
+                continue
+            k = rows.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+            last = int(np.argmax(k == k[-1]))
+            if last:
+                take(rows.slice(0, last))
+            kept = rows.slice(last)
+        if kept is not None:
+            take(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups + 1, dtype=np.int32)), pa.array(sums), pa.array(counts)], names=["g", "s", "n"])
+
+    by_key = totals.repartition("key").sortWithinPartitions("key", "slice")
+    found = by_key.mapInArrow(score, "g int, s double, n bigint") if clusters else totals.select(
+        F.col("slice").alias("g"), F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
+    index = found.groupBy("g").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("s"))  # a row per group and one for all
+    part = F.when(F.col("g") < groups, F.col("s"))
+    one = index.agg(F.max(F.when(F.col("g") == groups, F.col("s"))).alias("s"), F.avg(part).alias("m"),
+                    (2 * F.stddev_samp(part) / math.sqrt(groups)).alias("e"))
     return one.select(F.col("s").alias("silhouette"), (F.col("e") + F.abs(F.col("s") - F.col("m"))).alias("error"))
 
 
