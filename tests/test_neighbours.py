@@ -85,6 +85,28 @@ def test_edited_neighbours_by_hand(spark):
     assert {r.key for r in kept if "#" not in r.key} <= {str(i) for i in range(150)} and any("#" in r.key for r in kept)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_sent_once_per_run_of_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(NB, "PART_ROWS", 50)
+    x, label = np.float32(RNG.normal(size=(240, 16))).astype(float), np.zeros(240, int)  # nothing to prune
+    df = frame(spark, x, label).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    blocks, centres = NB.blocks_of(df, "vec_id", "embedding", None, 4, 8)
+    summary = NB._Summary(blocks, centres, 1 << 20)
+    routes = NB.block_routes(blocks, centres, 3, summary)
+    assert summary.parts == 4 and routes.count() <= 2 * 4 * blocks.count()  # was a row of vectors for each of the 30 x 30 pairs
+    assert routes.agg(F.sum("pairs")).first()[0] == blocks.count() ** 2
+    near, _ = NB.nearest(df, "vec_id", "embedding", 3, None, 4, 8)
+    got = {(r.key, r.nth): r.neighbour for r in near.collect()}
+    assert got == {(i, n + 1): j for i, v in brute(x, 3).items() for n, (j, _) in enumerate(v)}
+
+
+def test_sliced_silhouette_joins_no_table_of_points(spark):
+    x, label = clustered(60)
+    out = V.silhouette_sliced(frame(spark, x, label))
+    assert "Join" not in out._jdf.queryExecution().toString()  # points x clusters rows, a side of a broadcast, before
+    assert abs(out.first().silhouette - exact_silhouette(x, label)) <= out.first().error
+
+
 def exact_silhouette(x, label):
     far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     s = []
