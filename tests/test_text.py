@@ -1,6 +1,7 @@
 """Per-message expressions: the reference's quirks on hand-written literals."""
 from pyspark.sql import functions as F
 
+from authornet.functions import patterns as P
 from authornet.functions import text as X
 
 
@@ -84,3 +85,29 @@ def test_chunks_hold_the_whole_text(spark):
     from authornet.functions import text as X
     df = spark.createDataFrame([("abcdefg",), ("",), (None,), ("abc",)], "t string")
     assert [r[0] for r in df.select(X.chunk_text("t", 3)).collect()] == [["abc", "def", "g"], [""], None, ["abc"]]
+
+
+def test_fast_paths_give_what_the_patterns_give(spark):
+    texts = [None, "", " ", "  ", "a b", "a  b", "\ta\n\r b ", "x\u00a0\u2003 y\u3000", "caf\u00e9  \u0085z", "<b>Nein</b> 3 < 4", "plain!!! what?? \U0001F600\U0001F600 ja",
+             "\u200d", "!?!", '<a href="x">gone</a>\x1c\x1f.', "\u00c4rger\x0b\x0cund"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    whole = lambda pattern, to: F.regexp_replace("t", P.java(pattern), to)
+    count = lambda pattern: F.coalesce(F.regexp_count("t", F.lit(P.java(pattern))).cast("bigint"), F.lit(0).cast("bigint"))
+    pairs = [(X.remove_tags("t"), F.regexp_replace(whole(P.A_TAG, ""), P.java(P.PLAIN_TAG), "")), (X.exclamation_count("t"), count(P.EXCLAMATION)),
+             (X.question_count("t"), count(P.QUESTION)), (X.emoji_count("t"), count(P.EMOJI_CLASS + "+"))]
+    for row in df.select(*[F.struct(a.alias("a"), b.alias("b")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).collect():
+        assert all(v.a == v.b for v in row)
+    plan = df.select(X.exclamation_count("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower()  # no pattern runs over a text without the character
+
+
+def test_target_masks_find_the_entries_that_catch_a_token(spark):
+    from authornet.operators import lexicon as L
+    from authornet.sources import fixtures as FX
+    lex, targets = L.InlineLexicon(FX.lexicon_df(spark)), P.LEXICON_TARGETS
+    words = ["the", "that", "thats", "th", "there", "therefore", "then", "re", "red", "in", "inn", "i", "on", "one", "ones", "e", "er", "\u00e9r"]
+    toks = F.array(*[F.lit(w) for w in words])
+    row = spark.range(1).select(F.transform(toks, lambda t: F.struct(*[lex.category_hits(lex.entry_keys(F.array(t)), c).alias(c) for c in targets])).alias("old"),
+                                F.transform(toks, lambda t: F.struct(*[F.size(F.filter(lex.target_masks(F.array(t), targets), lambda m: m.bitwiseAND(F.lit(1 << i)) != 0))
+                                                                       .cast("bigint").alias(c) for i, c in enumerate(targets)])).alias("new")).first()
+    assert row.old == row.new and sum(map(sum, row.old)) > 8
