@@ -111,3 +111,19 @@ def test_target_masks_find_the_entries_that_catch_a_token(spark):
                                 F.transform(toks, lambda t: F.struct(*[F.size(F.filter(lex.target_masks(F.array(t), targets), lambda m: m.bitwiseAND(F.lit(1 << i)) != 0))
                                                                        .cast("bigint").alias(c) for i, c in enumerate(targets)])).alias("new")).first()
     assert row.old == row.new and sum(map(sum, row.old)) > 8
+
+
+def test_long_texts_are_cut_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    from authornet.operators import textfeat as TF
+    seen = tmp_path / "seen"
+
+    def score(s):
+        with seen.open("a") as f:
+            f.write(f"{s.str.len().sum()}\n")
+        return s.str.count("a") / s.str.len().clip(lower=1)
+
+    df = spark.createDataFrame([(i, "ab" * 500 if i % 3 else None) for i in range(30)], "k int, t string").coalesce(1)
+    monkeypatch.setattr(TF, "CHARS_AT_ONCE", 4000)
+    got = {r.k: r.score for r in TF.score_batches(df, "t", score, max_chars=100).collect()}
+    assert len(got) == 30 and {v for k, v in got.items() if k % 3} == {0.5}
+    assert max(map(float, seen.read_text().split())) <= 5000  # all 20,000 at once before
