@@ -6,13 +6,13 @@ adverts, forms, comments, scripts), *article* (inside the element by which the p
 Method: the token streams of a host's pages are one text, and the suffixes of that text, sorted to a depth of ``LENGTH``
 tokens, show every string of that length which begins more than one suffix.  The suffixes lie in Spark as
 (host, 64-bit hash of the first ``LENGTH`` tokens), so the groups of equal keys are the intervals of the suffix array
-whose common prefix is long enough.  Strings found on ``MIN_PAGES`` pages of different content are boilerplate; tokens
-they cover are removed and unique runs stay.
+whose common prefix is long enough.  Strings found on ``MIN_PAGES`` pages of different content are boilerplate.  Every
+page, whether it declares its article or not, looks up all suffixes of its kept text, and the tokens that boilerplate
+covers are marked; unique runs stay.  The streams hold all text outside declared articles, from every page of the host.
 
-Exact check: a page that declares its article keeps exactly that element's text (without chrome inside it), however often
-it repeats, since mirrored pages and quoted passages repeat whole articles; chrome is removed even where it is
-unique.  So the suffix array decides on the open runs of pages that declare nothing.  The streams hold all
-text outside declared articles, from every page of the host.
+Exact check, after that step: a marked run goes from the text of a page that declares nothing and goes back into a declared
+article, which keeps exactly that element's text (without chrome inside it), since mirrored pages and quoted passages
+repeat whole articles; chrome is removed even where it is unique.  ``n_repeated`` counts the marked tokens of either.
 
 Edge cases: null and empty html give an empty text; null urls share the host ''; repeated rows are pages of equal content and
 count as one; an unclosed element ends with its page; an empty table gives an empty result; extra columns are ignored;
@@ -38,6 +38,8 @@ from . import common
 # Depth of the suffix order, in tokens, and how many pages make a string boilerplate.
 LENGTH = 8
 MIN_PAGES = 3
+# Size of the filter through which pages look up their suffixes, at most (32 MB); beyond it more of them reach the join.
+FILTER_BITS = 1 << 28
 
 # Fixed values of the HTML language: elements without content, elements whose content is no markup,
 # elements inside a line, elements that end a paragraph.
@@ -187,10 +189,21 @@ def roles(page: str) -> tuple[bool, list[str], list[str]]:
     return level > 0, kept, others
 
 
+class Codes(dict):
+    """64-bit codes of tokens, the same in every task; those of the last tokens are kept."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        code = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return code
+
+
+CODES = Codes()
+
+
 def token_codes(words: list[str]) -> np.ndarray:
-    """64-bit codes of tokens, the same in every task."""
-    code = {w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in set(words)}
-    return np.array([code[w] for w in words], dtype=np.uint64)
+    return np.array([CODES[w] for w in words], dtype=np.uint64)
 
 
 def prefix_keys(codes: np.ndarray, host: int, length: int) -> np.ndarray:
@@ -248,37 +261,81 @@ def repeated_strings(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return suffixes.groupBy("key").agg(F.sum("one").alias("pages")).filter(F.col("pages") >= min_pages).select("key")
 
 
-def unique_runs(kept: list[str], host: int, repeated: np.ndarray, length: int = LENGTH) -> str:
-    """Text of the blocks without the tokens that repeated strings cover."""
-    words = " ".join(kept).split(" ")
+def repeated_tokens(words: list[str], host: int, repeated: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """True per token that a repeated string covers."""
     covered = np.zeros(len(words) + 1, dtype=np.int64)
-    keys = prefix_keys(token_codes(words), host, length)
-    hit = np.flatnonzero(np.isin(keys, repeated))
+    hit = np.flatnonzero(np.isin(prefix_keys(token_codes(words), host, length), repeated))
     np.add.at(covered, hit, 1)
     np.add.at(covered, hit + length, -1)
-    return " ".join(w for w, c in zip(words, np.cumsum(covered).tolist()) if not c)
+    return np.cumsum(covered)[:len(words)] > 0
+
+
+def key_filter(repeated: DataFrame) -> np.ndarray:
+    """Bits, two for every repeated key, of 16 to 32 a key and of ``FILTER_BITS`` at most: a key without both is not repeated."""
+    n = repeated.count()
+    size = min(max(1 << 15, 1 << (16 * n).bit_length()), FILTER_BITS)
+    at = F.explode(F.array(*[c.bitwiseAND(F.lit(size - 1)) + 1 for c in (F.col("key"), F.shiftrightunsigned("key", 32))]))
+    rows = repeated.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for bucket, bits in rows:
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def may_be_in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """False only for keys that are not among those of the filter."""
+    mask, out = np.uint64(8 * len(bits) - 1), np.ones(len(keys), dtype=bool)
+    for shift in (0, 32):
+        at = (keys.view(np.uint64) >> np.uint64(shift)) & mask
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def asked_strings(read: DataFrame, bits: np.ndarray, length: int = LENGTH) -> DataFrame:
+    """(row, key) of the strings in the kept text of every page, but for those the filter rules out."""
+    sent = read.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.unique(prefix_keys(token_codes(" ".join(kept).split(" ")), _host(url), length))
+                    for url, kept in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            keys = [k[may_be_in(k, sent.value)] for k in keys]
+            rows = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64())],
+                                             names=["row", "key"])
+
+    return read.select("row", "url", "kept").mapInArrow(run, "row bigint, key bigint")
 
 
 def extract(pages: DataFrame, length: int = LENGTH, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` (page_id, url, html) -> page_id, url, text, n_chars."""
+    """``pages`` (page_id, url, html) -> page_id, url, text, n_chars, n_repeated."""
     read = read_pages(pages, length)
-    sure = read.filter("declared").select("page_id", "url", F.array_join("kept", " ").alias("text"))
-    # a page meets at most its own keys
-    asked = read.filter("NOT declared").select("row", F.explode("keys").alias("key"))
-    hits = asked.join(repeated_strings(read, min_pages), "key").groupBy("row").agg(F.collect_list("key").alias("hits"))
+    repeated = common.write_shared(repeated_strings(read, min_pages), "repeated")
+    asked = asked_strings(read, key_filter(repeated), length)  # nearly all that is left of a page's suffixes is repeated
+    # written: its size is then known, and a small table is sent to the pages instead of moving these
+    hits = common.write_shared(asked.join(repeated, "key").groupBy("row").agg(F.collect_list("key").alias("hits")), "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [unique_runs(kept, _host(url), np.array(found or [], dtype=np.int64), length)
-                     for url, kept, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["page_id", "url", "text"])
+            texts, marked = [], []
+            for url, declared, kept, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                text, n = " ".join(kept), 0
+                if found:
+                    words = text.split(" ")
+                    gone = repeated_tokens(words, _host(url), np.array(found, dtype=np.int64), length)
+                    n = int(gone.sum())
+                    if not declared:  # the exact check: a declared article keeps its repeated runs
+                        text = " ".join(w for w, g in zip(words, gone.tolist()) if not g)
+                texts.append(text)
+                marked.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(marked, pa.int64())],
+                                             names=["page_id", "url", "text", "n_repeated"])
 
-    open_ = read.filter("NOT declared").select("row", "page_id", "url", "kept").join(hits, "row", "left").select(
-        "page_id", "url", "kept", "hits")
     kind = read.schema["page_id"].dataType.simpleString()
-    rest = open_.mapInArrow(run, f"page_id {kind}, url string, text string")
-    return sure.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    out = read.select("row", "page_id", "url", "declared", "kept").join(hits, "row", "left").select(
+        "page_id", "url", "declared", "kept", "hits").mapInArrow(run, f"page_id {kind}, url string, text string, n_repeated bigint")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,25 @@ def test_open_pages_lose_strings_that_their_host_repeats(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_declared_articles_go_through_the_suffixes_as_well(spark):
+    """A string that the host repeats is found inside declared articles too; the exact check puts it back there."""
+    frame = " ".join(f"f{k}" for k in range(9))
+    pages = [(k, f"https://a.example/{k}", f"<p>{frame}</p><p>own{k}</p>") for k in range(3)]
+    pages += [(10, "https://a.example/10", f"<article><p>start {frame} end</p></article>"), (11, "https://b.example/", f"<article>{frame}</article>"),
+              (12, "https://a.example/12", "<article></article>"), (13, None, None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_text.extract(df).collect()}
+    assert got == {0: ("own0", 9), 1: ("own1", 9), 2: ("own2", 9), 10: (f"start {frame} end", 9), 11: (frame, 0), 12: ("", 0), 13: ("", 0)}
+
+
+def test_filter_rules_out_no_repeated_key(spark):
+    import numpy as np
+    keys = np.random.default_rng(3).integers(-2**63, 2**63 - 1, 4000)
+    bits = html_text.key_filter(spark.createDataFrame([(int(k),) for k in keys[:2000]], "key bigint"))
+    assert html_text.may_be_in(keys[:2000], bits).all() and html_text.may_be_in(keys[2000:], bits).mean() < 0.05
+    assert not html_text.may_be_in(keys, html_text.key_filter(spark.createDataFrame([], "key bigint"))).any()
+
+
 # --- manifest ----------------------------------------------------------------------------------
 
 def brute_manifest(groups, fanout):
