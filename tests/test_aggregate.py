@@ -44,6 +44,18 @@ def test_forward_only_author_has_null_features_and_counts(spark):
     assert (None, "g1") not in out
 
 
+def test_features_that_no_one_reads_are_not_computed(spark):
+    f = features(spark, ROWS).withColumn("noun_count", F.expr("raise_error('computed')").cast("bigint"))
+    out = A.aggregate_features(f, ["author"]).select("author", "word_count", "was_forwarded", "total_message_count")
+    assert {r.author: tuple(r)[1:] for r in out.collect()}["a"][1:] == (2, 2)
+    assert "computed" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_among_the_carried_columns(spark):
+    out = A.aggregate_features(features(spark, ROWS), ["author", "group_or_channel"]).collect()
+    assert {(r.author, r.group_or_channel): r.total_message_count for r in out}[("c", "channel")] == 1
+
+
 def test_post_features_and_toxicity_gate(spark):
     agg = A.post_features(A.aggregate_features(features(spark, ROWS), ["author"]))
     scores = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", 0.1)], "author string, toxicity double")
