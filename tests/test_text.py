@@ -127,3 +127,23 @@ def test_long_texts_are_cut_a_few_at_a_time(spark, monkeypatch, tmp_path):
     got = {r.k: r.score for r in TF.score_batches(df, "t", score, max_chars=100).collect()}
     assert len(got) == 30 and {v for k, v in got.items() if k % 3} == {0.5}
     assert max(map(float, seen.read_text().split())) <= 5000  # all 20,000 at once before
+
+
+def test_cheaper_patterns_give_the_same_runs(spark):
+    """Against the plain patterns in Python, on characters at the edges of the classes."""
+    import random
+    import re
+    plain = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U" + m[1].zfill(8), p)
+    rng = random.Random(4)
+    letters = " \t\n\x0b\x1b\x1c\x1f !a\x84\x85\xa0ä\u1680\u2000\u200a\u200b\u200c\u200d\u200e\u2028\u205f\u231a\u231b\u23cf\u23e9\u24c1\u24c2\u3000\U0001f600\U0010ffffeio"
+    texts = ["", " ", "  ", "\t", "a", "ÀÉ aé", *("".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in [None, *texts]], "t string")
+    got = df.select("t", X.collapse_ws("t").alias("ws"), X.remove_emojis("t").alias("em"), X.emoji_count("t").alias("n"),
+                    X.syllable_count("t").alias("s"), X.ws_tokens("t").alias("k")).collect()
+    ws, em, vowels = (re.compile(plain(p)) for p in (P.WS_RUN, P.EMOJI_CLASS + "+", P.SYLLABLE))
+    for r in got:
+        if r.t is None:
+            assert tuple(r) == (None, None, None, 0, 0, [])
+        else:
+            assert tuple(r)[1:] == (ws.sub(" ", r.t), em.sub("", r.t), len(em.findall(r.t)), len(vowels.findall(r.t.lower())),
+                                    [k for k in re.split("[ \t\n]+", r.t.lower()) if k])
