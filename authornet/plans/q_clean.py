@@ -296,5 +296,5 @@ def q_t13(spark, sf):
     """Every piece of at most 500 characters is scored; a message's score is
     their mean weighted by length."""
     df = clean_messages(spark, sf).select("UID_key", "final_message_string")
-    scored = TF.score_batches(df, "final_message_string", _length_scorer, out="score", max_chars=500)
+    scored = TF.score_batches(df, "final_message_string", _length_scorer, out="score", max_chars=500, on_failure="raise")
     return round_doubles(scored.select("UID_key", "score"))

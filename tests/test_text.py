@@ -81,6 +81,42 @@ def test_batch_scorer_retries_and_gives_up(spark):
     assert out[0].score is None
 
 
+def test_failed_scores_are_told_from_results(spark):
+    import pandas as pd
+    import pytest
+    from authornet.operators import textfeat as TF
+    df = spark.createDataFrame([(1, "x" * 30), (2, "y" * 30), (3, None), (4, "")], "k int, t string").coalesce(1)
+
+    def broken(s):
+        raise OSError("no answer")
+
+    def partly(s):  # no score for a text's last ten characters
+        return pd.Series([None if t is None or t == "y" * 9 + "!" else float(len(t)) for t in s], dtype="float64")
+    quiet = {"retries": 2, "sleep": lambda _: None}
+    for most in (None, 10):
+        got = {r.k: (r.score, r.score_error) for r in TF.score_batches(df, "t", broken, max_chars=most, **quiet).collect()}
+        assert {v for v, _ in got.values()} == {None} and all("no answer" in e for _, e in got.values())
+        with pytest.raises(Exception, match="no answer"):
+            TF.score_batches(df, "t", broken, max_chars=most, on_failure="raise", **quiet).collect()
+    scored = {r.k: (r.score, r.score_error) for r in TF.score_batches(df, "t", partly, max_chars=10, on_failure="raise", **quiet).collect()}
+    assert scored == {1: (10.0, None), 2: (10.0, None), 3: (None, None), 4: (0.0, None)}
+    cut = df.unionAll(spark.createDataFrame([(5, "y" * 29 + "!")], "k int, t string")).coalesce(1)
+    marked = {r.k: (r.score, r.score_error) for r in TF.score_batches(cut, "t", partly, max_chars=10, **quiet).collect()}
+    assert marked == scored | {5: (None, "the scorer gave no score")}  # two thirds of its score before
+
+
+def test_text_toxicity_fails_with_its_scorer(spark, monkeypatch):
+    import pytest
+    import __spark_entry__ as E
+    from authornet.plans import q_authors
+
+    def broken(s):
+        raise OSError("no answer")
+    monkeypatch.setattr(q_authors, "_shout_scorer", broken)
+    with pytest.raises(Exception, match="no answer"):
+        E.queries()["t12_text_toxicity"](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_chunks_hold_the_whole_text(spark):
     from authornet.functions import text as X
     df = spark.createDataFrame([("abcdefg",), ("",), (None,), ("abc",)], "t string")
