@@ -34,12 +34,15 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import LINE_END, MARKS, byte_slices, cut_pieces, marked, per_worker
 
-CHUNK_BYTES = 8 << 20
+# A chunk is one row: what a worker and the JVM hold of it at once is a few dozen times its text.
+CHUNK_BYTES = 2 << 20
 # Units that a worker keeps; the table starts anew beyond that.
 CACHE_UNITS = 400_000
 # Units encoded in one call (long calls cost more a byte) and aligned in one stream.
-CALL_UNITS, STREAM_UNITS = 1_000, 32_000
-JOIN_UNITS = 1 << 21
+CALL_UNITS, STREAM_UNITS = 1_000, 16_000
+JOIN_UNITS = 1 << 18
+
+
 def split_groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Ends of the groups as rows (tokens of A so far, tokens of B so far); ``a`` and ``b`` are the ascending byte ends
     of the tokens of the same bytes, so the last ones agree.  All open intervals take a step together, which probes the end
@@ -109,7 +112,7 @@ class Aligner:
     def _forget(self) -> None:
         self.keys = pa.array([], pa.string())
         self.text = pa.array([], pa.string())
-        self.sizes = np.zeros((0, 5), dtype=np.int64)
+        self.sizes = np.zeros((0, 5), dtype=np.int32)
         self.codes = np.zeros(0, dtype=np.int64)
 
     def _stream(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -134,8 +137,8 @@ class Aligner:
             for at in (0, 1):
                 self._encode(units[at::2], out)
 
-    def learn(self, units: list[str]) -> None:
-        """Encode units, many in a call, and align all of them as one stream."""
+    def learn(self, units: list[str]) -> list[tuple]:
+        """Encode units, many in a call, and align all of them as one stream: (units, text, sizes, codes) as in the table."""
         parts: list = []
         blank = {u for u in units if not u or u[-1].isspace()}  # the next unit's space would join theirs
         for u in blank:
@@ -144,10 +147,10 @@ class Aligner:
         for at in range(0, len(inner), CALL_UNITS):
             self._encode(inner[at:at + CALL_UNITS], parts)
         bad = [p[0][0] for p in parts if p[1] is None]
-        self._append(bad, pa.array([""] * len(bad), pa.string()), np.zeros((len(bad), 5), np.int64), np.zeros(0, np.int64))
+        out = [(bad, pa.array([""] * len(bad), pa.string()), np.zeros((len(bad), 5), np.int32), np.zeros(0, np.int64))]
         parts = [p for p in parts if p[1] is not None]
         if not parts:
-            return
+            return out
         ids_a, ids_b = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
         ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
         names = [u for p in parts for u in p[0]]
@@ -169,25 +172,30 @@ class Aligner:
         keep = np.ones(len(link_a), dtype=bool)
         for i in lone.tolist():
             keep[(at_link[i - 1] if i else 0):at_link[i]] = False
-        self._append(names, joined.take(pa.array(own)), sizes, ((ids_a[link_a] << 32) | ids_b[link_b])[keep])
+        out.append((names, joined.take(pa.array(own)), sizes.astype(np.int32), ((ids_a[link_a] << 32) | ids_b[link_b])[keep]))
+        return out
 
-    def _append(self, names: list[str], text: pa.Array, sizes: np.ndarray, codes: np.ndarray) -> None:
-        self.keys = pa.concat_arrays([self.keys, pa.array(names, pa.string())])
-        self.text = pa.concat_arrays([self.text, text])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.codes = np.concatenate([self.codes, codes])
+    def _append(self, learnt: list[tuple]) -> None:
+        names, text, sizes, codes = zip(*learnt)
+        self.keys = pa.concat_arrays([self.keys, *(pa.array(n, pa.string()) for n in names)])
+        self.text = pa.concat_arrays([self.text, *text])
+        self.sizes = np.concatenate([self.sizes, *sizes])
+        self.codes = np.concatenate([self.codes, *codes])
 
     def values(self, units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(groups text, sizes, links one after the other) of distinct units."""
         if len(self.keys) > CACHE_UNITS or len(self.codes) > 8 * CACHE_UNITS:
             self._forget()
-        new = units.filter(pc.is_null(pc.index_in(units, value_set=self.keys))).to_pylist()
-        for at in range(0, len(new), STREAM_UNITS):
-            self.learn(new[at:at + STREAM_UNITS])
-        rows = pc.index_in(units, value_set=self.keys).to_numpy().astype(np.int64)
+        at = pc.index_in(units, value_set=self.keys)
+        absent = pc.is_null(at)
+        if pc.any(absent).as_py():
+            known, new = len(self.keys), units.filter(absent)
+            self._append([x for k in range(0, len(new), STREAM_UNITS) for x in self.learn(new.slice(k, STREAM_UNITS).to_pylist())])
+            at = pc.replace_with_mask(at, absent, pc.add(pc.index_in(new, value_set=self.keys.slice(known)), pa.scalar(known, pa.int32())))
+        rows = at.to_numpy()
         sizes = self.sizes[rows]
-        starts = (np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3])[rows]
-        ends = np.cumsum(sizes[:, 3])
+        starts = (np.cumsum(self.sizes[:, 3], dtype=np.int64) - self.sizes[:, 3])[rows]
+        ends = np.cumsum(sizes[:, 3], dtype=np.int64)
         flat = np.repeat(starts - (ends - sizes[:, 3]), sizes[:, 3]) + np.arange(ends[-1] if len(ends) else 0)
         return self.text.take(pa.array(rows)), sizes, self.codes[flat]
 
@@ -239,8 +247,7 @@ def align_chunk(al: Aligner, doc_ids: pa.Array, texts: pa.Array) -> tuple:
     codes = coded.indices.to_numpy()
     text, sizes, all_links = al.values(coded.dictionary)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(sizes[codes], axis=0)])
-    per_doc = sums[ends] - sums[starts]
+    per_doc = np.stack([_runs(sizes[codes, k], ends - starts) for k in range(5)], axis=1)
     empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     whole = (per_doc[:, 4] == ends - starts) & ~empty
     per_doc[~whole] = 0
@@ -273,7 +280,8 @@ def chunks(df: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYT
                 yield row(number, al, batch.column(0).slice(first, len(texts)), texts)
                 number += 1
 
-    return common.write_shared(common.texts(df).mapInArrow(run, CHUNK_SCHEMA), "align-chunks")
+    # one chunk a row group: neither the writer nor a reader holds more than one, however many a task makes
+    return common.write_shared(common.texts(df).mapInArrow(run, CHUNK_SCHEMA), "align-chunks", **{"parquet.block.row.count.limit": 1})
 
 
 def pair_counts(written: DataFrame) -> DataFrame:
@@ -301,13 +309,14 @@ def align(df: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTE
             docs, own = (left.column(c).combine_chunks().slice(i, 1).flatten() for c in ("docs", "pairs"))
             codes, place, sizes = (np.frombuffer(left.column(c)[i].as_py(), "<i4") for c in ("codes", "unit_pairs", "unit_sizes"))
             own = own.to_numpy()
-            met = np.zeros((len(own), 2), np.int64)  # pairs that no document with tokens holds stay 0
             known = np.isin(own, pairs)
-            met[known] = value[np.searchsorted(pairs[order], own[known])]
-            unit = _runs(met[place], sizes)
-            sums = _runs(unit[codes], docs.field("size").to_numpy())
+            sums = []
+            for k in range(2):
+                met = np.zeros(len(own), np.int64)  # pairs that no document with tokens holds stay 0
+                met[known] = value[np.searchsorted(pairs[order], own[known]), k]
+                sums.append(_runs(_runs(met[place], sizes)[codes], docs.field("size").to_numpy()))
             out.append(pa.Table.from_arrays([docs.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                                            + [pa.array(sums[:, 1]), pa.array(sums[:, 0]), docs.field("sha")], schema=EMPTY.schema))
+                                            + [pa.array(sums[1]), pa.array(sums[0]), docs.field("sha")], schema=EMPTY.schema))
         return pa.concat_tables(out)
 
     body = written.select("chunk", "docs", "codes", "unit_pairs", "unit_sizes", "pairs")
@@ -316,8 +325,9 @@ def align(df: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTE
 
 
 def _runs(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows, of the given sizes."""
-    total = np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0)])
+    """Sums of consecutive runs of numbers, of the given sizes."""
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=total[1:])
     ends = np.cumsum(sizes, dtype=np.int64)
     return total[ends] - total[ends - sizes]
 

@@ -29,13 +29,13 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared checkpoint folder and read it back.
+def write_shared(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` once into the shared checkpoint folder (with ``options`` of the Parquet writer) and read it back.
     The files cut the lineage and outlive any executor; they are deleted when
     the session's process ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

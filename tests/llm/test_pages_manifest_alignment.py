@@ -250,6 +250,27 @@ def test_alignment_equals_brute_force(spark, al):
         assert [got[k] for k in range(len(texts))] == want
 
 
+def test_a_row_group_holds_one_chunk(spark):
+    """A task's chunks are neither written nor read together, however many it has."""
+    import pyarrow.parquet as pq
+    df = spark.createDataFrame([(i, f"one more text {i} " * 20) for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    written = alignment.chunks(df, *PATHS, chunk_bytes=700)
+    groups = [pq.read_metadata(f.removeprefix("file://")) for f in written.inputFiles()]
+    assert sum(g.num_row_groups for g in groups) == written.count() > 10
+
+
+def test_units_met_before_and_new_ones_keep_their_rows(al, monkeypatch):
+    monkeypatch.setattr(alignment, "STREAM_UNITS", 3)
+    texts = pa.array(["ab cd ef gh ij", "cd new ab\x02 ef kl mn op", "", "  x\ny z", "kl ab new"], pa.string())
+    al._forget()
+    for part in (texts.slice(0, 2), texts, texts.slice(1)):  # some units known, all known
+        got = [(d["n_groups"], d["n_links"], d["sha"]) for d in alignment.align_chunk(al, pa.array(range(len(part)), pa.int64()), part)[0].to_pylist()]
+        for g, t in zip(got, part.to_pylist()):
+            want = brute_align(al, t)
+            text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want[0]) if want else ""
+            assert g == ((len(want[0]), len(want[1]), hashlib.sha256(text.encode()).hexdigest()) if want else (0, 0, ""))
+
+
 def test_hashes_of_long_documents_are_joined_in_pieces(monkeypatch):
     text, codes, ends = pa.array(["1|2", "3,4|5", "6|7"]), np.array([0, 1, 2, 2, 1, 0, 1, 0], dtype=np.int32), np.array([3, 3, 7, 8])
     want = alignment.group_hashes(text, codes, ends)
